@@ -7,6 +7,8 @@ import importlib
 FAMILIES = [
     "panel",
     "cohort",
+    "ledger",
+    "compare",
 ]
 
 

@@ -42,9 +42,15 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     )
 
 
-def show(body: str, keys: str = "", doubles: str = "", ctes: str = "") -> str:
-    """Oracle text: ``keys`` pass through, ``doubles`` are rounded like the Spark side."""
+def show(body: str, keys: str = "", doubles: str = "", ctes: str = "", money: str = "") -> str:
+    """Oracle text: ``keys`` pass through, ``doubles`` are rounded to 6 places and ``money`` to 2, like the Spark side."""
     columns = [c.strip() for c in keys.split(",") if c.strip()]
     columns += [f"round({c.strip()}, 6) + 0.0 AS {c.strip()}" for c in doubles.split(",") if c.strip()]
+    columns += [f"round({c.strip()}, 2) + 0.0 AS {c.strip()}" for c in money.split(",") if c.strip()]
     head = f"WITH {ctes.strip().rstrip(',')} " if ctes.strip() else ""
     return f"{head}SELECT {', '.join(columns)} FROM ({body.strip()}) AS result_rows"
+
+
+def to_cents(df: DataFrame, *names: str) -> DataFrame:
+    """Large money columns rounded to cents, the finest step a double of that size carries safely."""
+    return df.withColumns({n: F.round(n, 2) for n in names})
