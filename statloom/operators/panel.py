@@ -78,20 +78,58 @@ def positive_change(df: DataFrame, by: str, ordinal: str, value: str, k: int, na
     return df.withColumn(name, pct_change(value, calendar_lag(value, by, ordinal, k)))
 
 
-def parents_from_levels(tree: DataFrame, scope: str, item: str, order: str, level: str) -> DataFrame:
-    """Parent of a row = nearest earlier row one level up with no shallower row between.
+def parents_from_levels(tree: DataFrame, scope: str, item: str, order: str, level: str, max_level: int = 8) -> DataFrame:
+    """Parent of a row = nearest earlier shallower row, if it is exactly one level up.
 
-    Works per ``scope`` (one published table).  For each level the last seen
-    code travels down the sort order; it counts only when nothing shallower
-    came after it.
+    Works per ``scope`` (one published table) in sort order; one running value
+    per possible level, no row lists.
     """
     w = Window.partitionBy(scope).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    positions = tree.withColumn(
-        "_seen", F.collect_list(F.struct(F.col(order).alias("o"), F.col(level).alias("l"), F.col(item).alias("i"))).over(w)
+    above = None
+    for depth in range(1, max_level + 1):
+        nearest = F.last(F.when(F.col(level) < depth, F.struct(F.col(level).alias("l"), F.col(item).alias("i"))), ignorenulls=True).over(w)
+        hit = F.col(level) == depth
+        above = F.when(hit, nearest) if above is None else above.when(hit, nearest)
+    return tree.withColumn("_above", above).withColumn("parent", F.when(F.col("_above.l") == F.col(level) - 1, F.col("_above.i"))).drop("_above")
+
+
+def ancestors(tree: DataFrame, item: str = "item", parent: str = "parent") -> DataFrame:
+    """Every (item, ancestor, depth) of a parent table; depth 1 is the parent."""
+    edges = tree.filter(F.col(parent).isNotNull()).select(F.col(item).alias("item"), F.col(parent).alias("ancestor"))
+    return tree.sparkSession.sql(
+        """WITH RECURSIVE up(item, ancestor, depth) AS (
+             SELECT item, ancestor, 1 FROM {edges}
+             UNION ALL SELECT up.item, e.ancestor, up.depth + 1 FROM up JOIN {edges} e ON e.item = up.ancestor)
+           SELECT item, ancestor, depth FROM up""",
+        edges=edges,
     )
-    shallower = F.array_max(F.transform(F.filter("_seen", lambda s: s["l"] < F.col(level)), lambda s: s["o"]))
-    above = F.filter("_seen", lambda s: (s["o"] == shallower) & (s["l"] == F.col(level) - 1))
-    return positions.withColumn("parent", F.try_element_at(above, F.lit(1))["i"]).drop("_seen")
+
+
+def complete_partition(tree: DataFrame, weights: DataFrame, min_share: float = 0.99) -> DataFrame:
+    """Finest set of nodes that still tiles the whole.
+
+    A node opens when its children carry at least ``min_share`` of its weight; a
+    node belongs to the partition when it stays closed and all its ancestors are open.
+    """
+    weighted = tree.join(weights, "item", "left")
+    child = weighted.groupBy(F.col("parent").alias("item")).agg(F.sum("w").alias("_cw"), F.count(F.lit(1)).alias("_n"))
+    state = weighted.join(child, "item", "left").withColumn("open", F.coalesce((F.col("w") > 0) & (F.col("_cw") >= F.col("w") * min_share), F.lit(False)))
+    closed_above = (
+        ancestors(tree)
+        .join(state.select(F.col("item").alias("ancestor"), "open"), "ancestor")
+        .filter(~F.col("open"))
+        .select("item")
+        .distinct()
+    )
+    return state.filter(~F.col("open")).join(closed_above, "item", "left_anti").select("item", "parent", "w")
+
+
+def nearest_ancestor(tree: DataFrame, targets: DataFrame, name: str = "grp") -> DataFrame:
+    """Closest listed ancestor (or the item itself) of every item: targets(item)."""
+    selves = tree.select("item", F.col("item").alias("ancestor"), F.lit(0).alias("depth"))
+    chain = ancestors(tree).unionByName(selves).join(targets.select(F.col("item").alias("ancestor")), "ancestor", "left_semi")
+    nearest = chain.groupBy("item").agg(F.min_by("ancestor", "depth").alias(name))
+    return tree.join(nearest, "item", "left")
 
 
 def leaves(tree: DataFrame, item: str = "item", parent: str = "parent") -> DataFrame:

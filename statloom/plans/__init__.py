@@ -9,6 +9,7 @@ FAMILIES = [
     "cohort",
     "ledger",
     "compare",
+    "indexes",
 ]
 
 
