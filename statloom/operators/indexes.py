@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.calendar import calendar_lag, ordinal_month, ordinal_year, pct_change
-from statloom.operators.ordered import with_group_totals
+from statloom.operators.ordered import shared, with_group_totals
 
 # Smallest covered weight of a month, weeks per month, replicate count.
 MIN_COVERAGE = 0.90
@@ -42,7 +42,7 @@ def chain(cells: DataFrame, schemes: DataFrame, published: DataFrame, anchored:
     where there is none (always the published one when ``anchored``).  Only the
     yearly links are sequential: a window over years multiplies them.
     """
-    rel = december_relatives(cells, schemes, min_coverage)
+    rel = shared(december_relatives(cells, schemes, min_coverage))
     pub = published.filter(ordinal_month("m") == 12).select(ordinal_year("m").alias("weight_year"), F.col("level").alias("_pub"))
     years = rel.select("scheme", "weight_year").distinct().join(pub, "weight_year", "left")
     if anchored:
@@ -69,12 +69,12 @@ def survey_frequencies(lines: DataFrame, weights: DataFrame, weight_columns: lis
     per_unit = lines.groupBy("unit", "code").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost"))
     aggs = []
     for c in weight_columns:
-        w = F.coalesce(F.col(c), F.lit(0.0))
-        aggs += [F.sum(w * F.col("n")).alias(f"{c}_n"), F.sum(w * F.col("cost")).alias(f"{c}_cost"), F.sum(w).alias(f"{c}_who")]
+        w = f"coalesce({c}, 0D)"
+        aggs += [F.expr(f"sum({w} * n) AS {c}_n"), F.expr(f"sum({w} * cost) AS {c}_cost"), F.expr(f"sum({w}) AS {c}_who")]
     sums = per_unit.join(weights, "unit").groupBy("code").agg(*aggs)
-    packed = F.array(*[F.struct(F.lit(c).alias("weight"), F.col(f"{c}_n").alias("n"), F.col(f"{c}_cost").alias("cost"), F.col(f"{c}_who").alias("who")) for c in weight_columns])
+    packed = F.expr("array(" + ", ".join(f"named_struct('weight', '{c}', 'n', {c}_n, 'cost', {c}_cost, 'who', {c}_who)" for c in weight_columns) + ")")
     long = sums.select("code", F.inline(packed))
-    totals = weights.agg(*[F.sum(F.coalesce(F.col(c), F.lit(0.0))).alias(c) for c in weight_columns])
+    totals = weights.agg(*[F.expr(f"sum(coalesce({c}, 0D)) AS {c}") for c in weight_columns])
     totals = totals.unpivot([], weight_columns, "weight", "_all")
     return long.join(totals, "weight").select(
         "code", "weight", (F.col("n") / F.col("_all")).alias("freq"), (F.col("cost") / F.col("_all")).alias("spend"), (F.col("who") / F.col("_all")).alias("share")

@@ -10,6 +10,7 @@ FAMILIES = [
     "ledger",
     "compare",
     "indexes",
+    "vintages",
 ]
 
 

@@ -36,9 +36,8 @@ def _survey(spark, d):
 
 
 def _weights(spark, d):
-    k = F.col("unit")
-    cols = [((k * 17) % 11 + 1).cast("double").alias("w0")]
-    cols += [F.when((k * 31 + r * 7) % 5 == 0, 0.0).otherwise(((k * (r + 3)) % 13 + 1).cast("double")).alias(f"w{r}") for r in range(1, REPS + 1)]
+    cols = [F.expr("double((unit * 17) % 11 + 1) AS w0")]
+    cols += [F.expr(f"if((unit * 31 + {r} * 7) % 5 = 0, 0D, double((unit * ({r} + 3)) % 13 + 1)) AS w{r}") for r in range(1, REPS + 1)]
     return table(spark, d, "customer").select(F.col("c_custkey").alias("unit")).select("unit", *cols)
 
 

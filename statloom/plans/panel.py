@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions.calendar import calendar_lag, label_from_ordinal, month_ordinal, ordinal_year, pct_change
 from statloom.operators import panel, xsection
-from statloom.operators.ordered import top_k, with_one_row
+from statloom.operators.ordered import shared, top_k, with_one_row
 from statloom.plans.registry import query, show
 from statloom.plans.tables import CELLS, month_label, price_cells, spend_sum, table
 
@@ -46,7 +46,7 @@ def changes(spark, d):
 
 def weighted_changes(spark, d):
     weights = panel.december_weights(price_cells(spark, d))
-    return panel.clamped_vintage(changes(spark, d).withColumn("year", ordinal_year("m")), weights, "year", "item")
+    return shared(panel.clamped_vintage(changes(spark, d).withColumn("year", ordinal_year("m")), weights, "year", "item"))
 
 
 @query(
@@ -158,7 +158,7 @@ def _(spark, d):
 
 
 def _shares(spark, d):
-    contrib = xsection.contribution_panel(weighted_changes(spark, d), "m", "mom", "w")
+    contrib = shared(xsection.contribution_panel(weighted_changes(spark, d), "m", "mom", "w"))
     return xsection.variance_shares(contrib, "item", "m")
 
 

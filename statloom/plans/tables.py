@@ -9,8 +9,15 @@ from statloom.functions.calendar import month_ordinal
 from statloom.operators.ordered import shared
 
 
+_OPENED: dict[tuple[str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A table of the folder; its file listing and schema are read once per application."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if key not in _OPENED:
+        _OPENED[key] = spark.read.parquet(key[1])
+    return _OPENED[key]
 
 
 def cents(col) -> Column:
