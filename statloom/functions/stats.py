@@ -10,6 +10,13 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def pair_corr(x, y) -> Column:
+    """Correlation over rows where both sides exist; NULL (not an error) when a side does not vary."""
+    both = _c(x).isNotNull() & _c(y).isNotNull()
+    a, b = F.when(both, _c(x)), F.when(both, _c(y))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def safe_rate(x, y) -> Column:
     """x / y where y > 0, else NULL."""
     return F.when(_c(y) > 0, _c(x) / _c(y))

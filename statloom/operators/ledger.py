@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.calendar import calendar_lag
-from statloom.functions.stats import half_even
+from statloom.functions.stats import half_even, pair_corr
 from statloom.operators.ordered import exact_quantiles, with_one_row, with_position
 
 # Item-code sets of the public finance classification.
@@ -350,7 +350,7 @@ def guarded_corr(df: DataFrame, group, pairs: list[tuple[str, str, str]], more_t
     for name, x, y in pairs:
         both = F.col(x).isNotNull() & F.col(y).isNotNull()
         n = F.count_if(both)
-        aggs += [F.when(n > more_than, F.corr(F.when(both, F.col(x)), F.when(both, F.col(y)))).alias(name), n.alias(f"{name}_n")]
+        aggs += [F.when(n > more_than, pair_corr(x, y)).alias(name), n.alias(f"{name}_n")]
     return df.groupBy(*group).agg(*aggs) if group else df.agg(*aggs)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions.calendar import trailing
+from statloom.functions.stats import pair_corr
 from statloom.operators.ordered import running_totals, with_group_totals, with_one_row, with_ranks
 
 
@@ -164,7 +165,7 @@ def spearman(df: DataFrame, group, x: str, y: str, min_n: int = 5) -> DataFrame:
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     rx = with_ranks(pairs, group, x).withColumnRenamed("rank_mean", "_rx").drop("rank_low", "rank_high", "group_n")
     both = with_ranks(rx, group, y)
-    out = both.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "rank_mean").alias("rho"))
+    out = both.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), pair_corr("_rx", "rank_mean").alias("rho"))
     return out.select(*group, "n", F.when(F.col("n") >= min_n, F.col("rho")).alias("rho"))
 
 

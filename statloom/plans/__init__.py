@@ -11,6 +11,7 @@ FAMILIES = [
     "compare",
     "indexes",
     "vintages",
+    "timeseries",
 ]
 
 

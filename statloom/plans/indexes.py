@@ -258,7 +258,7 @@ def _(spark, d):
 
 
 TIER = """
-tiers AS (SELECT item, CASE WHEN s >= 0.345 THEN 'high' WHEN s >= 0.33 THEN 'mid' ELSE 'low' END AS t0, CASE WHEN s * 3 - 0.8 >= 0.25 THEN 'high' WHEN s * 3 - 0.8 >= 0.10 THEN 'mid' ELSE 'low' END AS tier
+tiers AS (SELECT item, CASE WHEN s * 20 - 6.5 >= 0.25 THEN 'high' WHEN s * 20 - 6.5 >= 0.10 THEN 'mid' ELSE 'low' END AS tier
   FROM (SELECT p_brand AS item, count(*) FILTER (WHERE l_returnflag = 'R') * 1.0 / count(*) AS s FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1) AS q),
 """
 
@@ -266,7 +266,7 @@ tiers AS (SELECT item, CASE WHEN s >= 0.345 THEN 'high' WHEN s >= 0.33 THEN 'mid
 def _tiers(spark, d):
     lines = table(spark, d, "lineitem").select("l_partkey", "l_returnflag")
     parts = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("item"))
-    share = F.count_if(F.col("l_returnflag") == "R") / F.count(F.lit(1)) * 3 - 0.8
+    share = F.count_if(F.col("l_returnflag") == "R") / F.count(F.lit(1)) * 20 - 6.5
     return lines.join(parts, lines.l_partkey == parts.p_partkey).groupBy("item").agg(indexes.tier(share).alias("tier"))
 
 
