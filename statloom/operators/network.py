@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from statloom.operators.ordered import order_bucket, shared, top_k, value_ranks
+from statloom.operators.ordered import order_bucket, shared, spread, top_k, value_ranks
 from statloom.operators.regress import automatic_lags, solve_hac
 
 # Screening and stability rules of the network.
@@ -102,7 +102,7 @@ def lagged_correlations(slabs: DataFrame, max_lag: int = 12, min_obs: int = 60,
         out.insert(0, "win", pdf["win"].iloc[0])
         return out[out["src"] != out["dst"]]
 
-    out = _blocks(slabs, blocks).groupBy("win", "sb", "db").applyInPandas(per_block, "win string, src string, dst string, lag int, n bigint, rho double")
+    out = spread(_blocks(slabs, blocks), "win", "sb", "db").groupBy("win", "sb", "db").applyInPandas(per_block, "win string, src string, dst string, lag int, n bigint, rho double")
     return out.withColumn("rho", F.when(~F.isnan("rho"), F.col("rho")))
 
 
@@ -172,7 +172,7 @@ def granger(slabs: DataFrame, lags: int = 6, min_obs: int = 60, blocks: int = 4)
                         rows.append((pdf["win"].iloc[0], src["node"][i], dst["node"][j], f, f_upper_tail(f, lags, n - k), n))
         return pd.DataFrame(rows, columns=["win", "src", "dst", "f", "p", "n"])
 
-    return _blocks(slabs, blocks).groupBy("win", "sb", "db").applyInPandas(per_block, "win string, src string, dst string, f double, p double, n bigint")
+    return spread(_blocks(slabs, blocks), "win", "sb", "db").groupBy("win", "sb", "db").applyInPandas(per_block, "win string, src string, dst string, f double, p double, n bigint")
 
 
 def benjamini_hochberg(df: DataFrame, group, p: str = "p", name: str = "q") -> DataFrame:

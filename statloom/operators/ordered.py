@@ -201,3 +201,11 @@ def with_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
 def shared(df: DataFrame) -> DataFrame:
     """Keep a derived table that several branches of a job read; lost blocks are recomputed from lineage."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by the keys into the session's full number of shuffle partitions.
+
+    For grouped numpy work: small inputs would otherwise be merged into one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

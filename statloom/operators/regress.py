@@ -9,8 +9,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from statloom.operators.ordered import spread
 
 
 def solve_hac(y: np.ndarray, X: np.ndarray, lags: int, small_sample: bool = True):
@@ -40,24 +44,28 @@ def grouped_hac(df: DataFrame, keys: list[str], y: str, xs: list[str], order: st
     ``lags`` names an integer column: the truncation lag, or -1-h for the
     automatic rule at horizon h.  One row per coefficient.
     """
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys)
-    fields = ", ".join(f"{k} {dict((f.name, f.dataType.simpleString()) for f in df.schema.fields)[k]}" for k in keys) if fields else fields
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    fields = ", ".join(f"{k} {kinds[k]}" for k in keys)
     names = ["const", *xs]
+    result = [*keys, "term", "beta", "se", "n", "r2"]
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = {k: pdf[k].iloc[0] for k in keys}
-        rows = pdf.dropna(subset=[y, *xs]).sort_values(order)
-        n = len(rows)
+    def fit(group: pa.Table) -> pa.Table:
+        group = group.sort_by(order)
+        data = np.column_stack([group[c].to_numpy().astype(float) for c in (y, *xs)])
+        data = data[np.isfinite(data).all(axis=1)]
+        n = len(data)
         if n < max(min_n, len(names) + 1):
-            return pd.DataFrame(columns=[*keys, "term", "beta", "se", "n", "r2"])
-        wanted = int(rows[lags].iloc[0])
-        used = automatic_lags(n, -1 - wanted) if wanted < 0 else wanted
-        Y = rows[y].to_numpy(float)
-        X = np.column_stack([np.ones(n)] + [rows[c].to_numpy(float) for c in xs])
-        b, cov, u = solve_hac(Y, X, used)
-        spread = float(((Y - Y.mean()) ** 2).sum())
-        r2 = 1 - float(u @ u) / spread if spread > 0 else None
-        se = np.sqrt(np.clip(np.diag(cov), 0, None))
-        return pd.DataFrame([{**head, "term": t, "beta": float(bb), "se": float(ss), "n": n, "r2": r2} for t, bb, ss in zip(names, b, se)])
-
-    return df.select(*keys, y, *xs, order, lags).groupBy(*keys).applyInPandas(fit, f"{fields}, term string, beta double, se double, n bigint, r2 double")
+            return empty
+        wanted = group[lags][0].as_py()
+        Y, X = data[:, 0], np.column_stack([np.ones(n), data[:, 1:]])
+        b, cov, u = solve_hac(Y, X, automatic_lags(n, -1 - wanted) if wanted < 0 else wanted)
+        total = float(((Y - Y.mean()) ** 2).sum())
+        r2 = 1 - float(u @ u) / total if total > 0 else None
+        head = [[group[k][0].as_py()] * len(names) for k in keys]
+        columns = [*head, names, b, np.sqrt(np.clip(np.diag(cov), 0, None)), [n] * len(names), [r2] * len(names)]
+        return pa.Table.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=result)
+
+    schema = f"{fields}, term string, beta double, se double, n bigint, r2 double"
+    types = to_arrow_schema(StructType.fromDDL(schema)).types
+    empty = pa.table({k: pa.array([], t) for k, t in zip(result, types)})
+    return spread(df.select(*keys, y, *xs, order, lags), *keys).groupBy(*keys).applyInArrow(fit, schema)
