@@ -73,19 +73,27 @@ def band(value, cuts: list[float], labels: list[str]) -> Column:
     return F.when(v.isNotNull(), out.otherwise(labels[0]))
 
 
-def log_class(value, cuts=((1e-4, "X"), (1e-5, "M"), (1e-6, "C"), (1e-7, "B")), rest: str = "A", rest_unit: float = 1e-8) -> Column:
-    """Class letter on a log scale and the multiple inside it, for example M2.5."""
+# Peak-flux classes, W/m^2 at size 1.
+FLUX_CLASSES = [("A", 1e-8), ("B", 1e-7), ("C", 1e-6), ("M", 1e-5), ("X", 1e-4)]
+
+
+def log_class(value) -> Column:
+    """Class letter on a log scale and the multiple inside it: M2.5, X12; NULL unless positive."""
     v = _c(value)
-    letter, size = F.when(v >= cuts[0][0], cuts[0][1]), F.when(v >= cuts[0][0], v / cuts[0][0])
-    for cut, name in cuts[1:]:
-        letter, size = letter.when(v >= cut, name), size.when(v >= cut, v / cut)
-    return F.when(v > 0, F.concat(letter.otherwise(rest), F.format_string("%.1f", size.otherwise(v / rest_unit))))
+    letter, base = F.lit(FLUX_CLASSES[0][0]), F.lit(FLUX_CLASSES[0][1])
+    for name, start in FLUX_CLASSES[1:]:
+        letter, base = F.when(v >= start, name).otherwise(letter), F.when(v >= start, start).otherwise(base)
+    size = v / base
+    return F.when(v > 0, F.concat(letter, F.when(size >= 10, F.format_string("%.0f", size)).otherwise(F.format_string("%.1f", size))))
 
 
-# Earth's gravitational parameter (km^3/s^2), mean radius (km), lunar distances per AU.
+# Earth's gravitational parameter (km^3/s^2), equatorial radius (km), km per AU and per lunar
+# distance, diameter (km) at absolute magnitude 0.
 EARTH_MU = 398600.4418
-EARTH_RADIUS_KM = 6371.0
-LUNAR_PER_AU = 389.17
+EARTH_RADIUS_KM = 6378.137
+AU_KM = 149597870.7
+LUNAR_DISTANCE_KM = 384400.0
+DIAMETER_AT_ZERO_KM = 3550.9
 
 
 def altitude_km(revs_per_day) -> Column:
@@ -94,10 +102,10 @@ def altitude_km(revs_per_day) -> Column:
     return F.cbrt(F.lit(EARTH_MU) / (n * n)) - EARTH_RADIUS_KM
 
 
-def diameter_m(magnitude, albedo: float = 0.14) -> Column:
-    """Diameter in metres from absolute magnitude."""
-    return F.lit(1329000.0 / albedo**0.5) * F.pow(F.lit(10.0), -_c(magnitude) / 5)
+def diameter_m(magnitude) -> Column:
+    """Whole metres of diameter from absolute magnitude, at an albedo of 0.14."""
+    return F.round(F.pow(F.lit(10.0), -_c(magnitude) / 5) * (DIAMETER_AT_ZERO_KM * 1000))
 
 
 def lunar_distances(au) -> Column:
-    return _c(au) * LUNAR_PER_AU
+    return _c(au) / (LUNAR_DISTANCE_KM / AU_KM)

@@ -5,10 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Cell texts that mean "no value" in the feeds.
-MISSING_TEXT = ["", ".", "na", "n/a", "null", "none", "-", "m", "-999", "-999.9", "-9999"]
-# Words that do not belong to a place name.
-GOVERNMENT_WORDS = ["city", "town", "village", "municipality", "county", "government", "metropolitan", "metro", "consolidated", "unified", "of"]
+# Cell texts that mean "no value", and the query parameters whose value is hidden.
+MISSING_TEXT = r"^(\.|na|n/a|null|none|-|m|-?999(\.9+)?|-9999)?$"
+SECRET_PARAMETERS = "key|token|secret|password|sig|auth|pass"
+# Government words and appended county names that do not belong to a city name, and name aliases.
+GOVERNMENT_WORDS = (
+    "city|and county|county|metropolitan government|metro government|consolidated government|urban county government|"
+    "unified government|municipality|-davidson|-jefferson|-fayette|-richmond|-bibb|-clarke|dc"
+)
+PLACE_ALIASES = {
+    "batonrougeeastbatonrougeparish": "batonrouge", "wyandotteandkansasunifiedgovernment": "kansas", "wyandotteandkansas": "kansas",
+    "sanfranciscoand": "sanfrancisco", "denverand": "denver", "augustaconsolidatedgovernment": "augusta",
+    "columbusconsolidatedgovernment": "columbus", "athensunifiedgovernment": "athens", "maconbibb": "macon",
+    "honoluluand": "honolulu", "washingtondc": "washington", "anchoragemunicipality": "anchorage",
+    "lexingtonurbangovernment": "lexington", "louisvillemetrogovernment": "louisville",
+}
+# What counts as an action on everything, import value (bn) by scope, value without a stated one.
+BROAD_SCOPE = (
+    "all goods|all shipments|all modes|universal|all countries|of us imports|broad product list|"
+    "broad intermediate and consumer goods|most goods|reciprocal rate|certain goods|country-specific reciprocal"
+)
+SCOPE_VALUE = [
+    ("global", 3100.0), ("universal", 3100.0), ("all countries", 3100.0), ("trading partners", 2200.0), ("china", 440.0),
+    ("canada", 410.0), ("mexico", 505.0), ("european union", 550.0), ("eu", 550.0), ("japan", 150.0), ("korea", 130.0),
+    ("india", 90.0), ("brazil", 43.0), ("uk", 65.0), ("united kingdom", 65.0),
+]
+PRODUCT_VALUE = 10.0
 
 
 def _c(col) -> Column:
@@ -17,10 +39,9 @@ def _c(col) -> Column:
 
 def lenient_number(text) -> Column:
     """Number from published text: strips , $ % and spaces; missing tokens and junk become NULL, never 0."""
-    raw = F.lower(F.trim(_c(text)))
-    stripped = F.regexp_replace(raw, r"[,$%\s]", "")
+    stripped = F.regexp_replace(F.lower(_c(text)), r"[,$%\s]", "")
     value = stripped.try_cast("double")
-    return F.when(~raw.isin(*MISSING_TEXT) & ~stripped.isin(*MISSING_TEXT) & ~F.isnan(value), value)
+    return F.when(~stripped.rlike(MISSING_TEXT) & ~F.isnan(value) & (F.abs(value) != float("inf")), value)
 
 
 def alnum_key(text) -> Column:
@@ -30,13 +51,13 @@ def alnum_key(text) -> Column:
     return F.regexp_replace(c, r"[^a-z0-9]", "")
 
 
-def place_key(text) -> Column:
-    """City names: ft -> fort, saint -> st, government words dropped, letters only."""
-    c = F.regexp_replace(F.lower(_c(text)), r"[^a-z]+", " ")
-    c = F.regexp_replace(c, r"\bft\b", "fort")
-    c = F.regexp_replace(c, r"\bsaint\b", "st")
-    c = F.regexp_replace(c, r"\b(" + "|".join(GOVERNMENT_WORDS) + r")\b", "")
-    return F.regexp_replace(c, r"[^a-z]", "")
+def place_key(text, aliases: dict[str, str] | None = None) -> Column:
+    """City names: ft becomes fort, saint becomes st, government words dropped, letters only, then aliases."""
+    c = F.regexp_replace(F.lower(_c(text)), r"\bft[. ]+", "fort ")
+    c = F.regexp_replace(c, rf"\b({GOVERNMENT_WORDS})\b|({'|'.join(w for w in GOVERNMENT_WORDS.split('|') if w[0] == '-')})\b", " ")
+    c = F.regexp_replace(F.regexp_replace(c, "saint", "st"), r"[^a-z]", "")
+    table = F.create_map(*[F.lit(x) for kv in (aliases or PLACE_ALIASES).items() for x in kv])
+    return F.coalesce(F.try_element_at(table, c), c)
 
 
 def slug(text) -> Column:
@@ -72,14 +93,20 @@ def first_match(text, rules, default=None) -> Column:
 
 
 def mask_query_secret(url) -> Column:
-    """Values of key-like query parameters replaced by ***."""
-    return F.regexp_replace(_c(url), r"(?i)([?&](?:api_?key|key|token|secret|ref)=)[^&#]*", "$1***")
+    """Values of secret-looking query parameters replaced by REDACTED."""
+    return F.regexp_replace(_c(url), rf"(?i)([?&][^=&#]*(?:{SECRET_PARAMETERS})[^=&#]*=)[^&#]*", "$1REDACTED")
 
 
 def money_in_text(text) -> Column:
-    """Billions from '$n B', '$n bn' or '$n billion'; NULL when absent."""
-    found = F.regexp_extract(_c(text), r"(?i)\$\s*(\d+(?:\.\d+)?)\s*(?:b|bn|billion)\b", 1)
-    return found.try_cast("double")
+    """Billions from '$n B'; NULL when absent."""
+    found = F.regexp_extract(_c(text), r"(?i)\$\s?([\d,]+(?:\.\d+)?)\s?B", 1)
+    return F.regexp_replace(found, ",", "").try_cast("double")
+
+
+def scope_value(text) -> Column:
+    """Stated billions, else the partner's total for actions on everything, else the product placeholder."""
+    broad = F.when(F.lower(_c(text)).rlike(BROAD_SCOPE), first_contained(text, SCOPE_VALUE))
+    return F.coalesce(money_in_text(text), broad, F.lit(PRODUCT_VALUE))
 
 
 def first_contained(text, table: list[tuple[str, float]]) -> Column:
@@ -100,11 +127,11 @@ def event_family(label, kin_labels) -> Column:
     return F.when((F.size(F.split(_c(label), "_")) > 2) & (kin >= 3), F.regexp_replace(prefix, "_$", "")).otherwise(_c(label))
 
 
-def strike_basis_points(text) -> Column:
-    """'>25' means 50, otherwise the signed number in the text."""
-    c = F.regexp_replace(F.trim(_c(text)), r"\s", "")
-    n = F.regexp_extract(c, r"(-?\d+)", 1).try_cast("int")
-    return F.when(c.startswith(">"), n * 2).when(c.startswith("<"), -F.abs(n) * 2).otherwise(n)
+def strike_basis_points(kind, text) -> Column:
+    """Signed basis points of a Cut or Hike strike; an open-ended '>25' counts as 50."""
+    c = F.trim(_c(text))
+    size = F.when(c.startswith(">"), 50.0).otherwise(c.try_cast("double"))
+    return F.when(_c(kind) == "Cut", -size).when(_c(kind) == "Hike", size)
 
 
 def age_range(text) -> Column:

@@ -12,6 +12,7 @@ FAMILIES = [
     "indexes",
     "vintages",
     "timeseries",
+    "feeds",
 ]
 
 

@@ -97,9 +97,9 @@ def _(spark, d):
 
 NAMES = """
 census AS (SELECT p_name AS city, p_brand AS state, sum(l_quantity)::BIGINT AS sworn FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag <> 'A' GROUP BY 1, 2),
-fbi AS (SELECT 'City of ' || upper(replace(p_name, ' ', '-')) AS city, p_brand AS state, sum(l_quantity)::BIGINT AS officers FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag <> 'N' GROUP BY 1, 2),
+fbi AS (SELECT upper(replace(p_name, ' ', '-')) || ' City' AS city, p_brand AS state, sum(l_quantity)::BIGINT AS officers FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag <> 'N' GROUP BY 1, 2),
 matched AS (SELECT c.city, c.state, c.sworn, f.officers, c.sworn * 1.0 / f.officers AS ratio FROM census c JOIN fbi f ON f.state = c.state
-  AND regexp_replace(regexp_replace(lower(f.city), '^city of ', ''), '[^a-z]', '', 'g') = regexp_replace(lower(c.city), '[^a-z]', '', 'g')),
+  AND regexp_replace(regexp_replace(lower(f.city), ' city$', ''), '[^a-z]', '', 'g') = regexp_replace(lower(c.city), '[^a-z]', '', 'g')),
 """
 
 
@@ -109,7 +109,7 @@ def name_sources(spark, d):
     rows = lines.join(parts, lines.l_partkey == parts.p_partkey)
     sums = shared(rows.groupBy("p_name", "state", "l_returnflag").agg(F.sum("l_quantity").cast("bigint").alias("q")))
     census = sums.filter("l_returnflag <> 'A'").groupBy(F.col("p_name").alias("city"), "state").agg(F.sum("q").alias("sworn"))
-    shouted = F.concat(F.lit("City of "), F.upper(F.replace("p_name", F.lit(" "), F.lit("-"))))
+    shouted = F.concat(F.upper(F.replace("p_name", F.lit(" "), F.lit("-"))), F.lit(" City"))
     fbi = sums.filter("l_returnflag <> 'N'").groupBy(shouted.alias("agency"), "state").agg(F.sum("q").alias("officers"))
     return census, fbi
 

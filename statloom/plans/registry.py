@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,7 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 def show(body: str, keys: str = "", doubles: str = "", ctes: str = "", money: str = "") -> str:
     """Oracle text: ``keys`` pass through, ``doubles`` are rounded to 6 places and ``money`` to 2, like the Spark side."""
+    body, ctes, keys = _quoted(body), _quoted(ctes), _quoted(keys)
     columns = [c.strip() for c in keys.split(",") if c.strip()]
     columns += [f"round({c.strip()}, 6) + 0.0 AS {c.strip()}" for c in doubles.split(",") if c.strip()]
     columns += [f"round({c.strip()}, 2) + 0.0 AS {c.strip()}" for c in money.split(",") if c.strip()]
@@ -51,6 +53,11 @@ def show(body: str, keys: str = "", doubles: str = "", ctes: str = "", money: st
     return f"{head}SELECT {', '.join(columns)} FROM ({body.strip()}) AS result_rows"
 
 
+def _quoted(sql: str) -> str:
+    """``at`` is a reserved word in the oracle's dialect."""
+    return re.sub(r'(?<![\w".])at(?![\w"])', '"at"', sql)
+
+
 def to_cents(df: DataFrame, *names: str) -> DataFrame:
     """Large money columns rounded to cents, the finest step a double of that size carries safely."""
     return df.withColumns({n: F.round(n, 2) for n in names})
