@@ -13,6 +13,7 @@ FAMILIES = [
     "vintages",
     "timeseries",
     "feeds",
+    "metro",
 ]
 
 
