@@ -14,6 +14,8 @@ FAMILIES = [
     "timeseries",
     "feeds",
     "metro",
+    "sources",
+    "text",
 ]
 
 

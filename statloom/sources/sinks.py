@@ -18,7 +18,8 @@ def write_periods(df: DataFrame, folder: str, period: str = "period", restricted
 def columnar_documents(df: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
     """One JSON document per key with arrays aligned to the ordered axis; a key's series is bounded by its calendar."""
     rows = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, *columns))).alias("_s"))
-    arrays = [F.transform("_s", lambda s, c=c: s[c]).alias(c) for c in [order, *columns]]
+    # a field of an array of structs is the array of that field
+    arrays = [F.col(f"_s.{c}").alias(c) for c in [order, *columns]]
     return rows.select(key, F.to_json(F.struct(*arrays)).alias("document"))
 
 
