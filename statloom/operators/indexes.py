@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.calendar import calendar_lag, ordinal_month, ordinal_year, pct_change
-from statloom.operators.ordered import shared, with_group_totals
+from statloom.operators.ordered import with_group_totals, written
 
 # Smallest covered weight of a month, weeks per month, replicate count.
 MIN_COVERAGE = 0.90
@@ -42,7 +42,7 @@ def chain(cells: DataFrame, schemes: DataFrame, published: DataFrame, anchored:
     where there is none (always the published one when ``anchored``).  Only the
     yearly links are sequential: a window over years multiplies them.
     """
-    rel = shared(december_relatives(cells, schemes, min_coverage))
+    rel = written(december_relatives(cells, schemes, min_coverage))
     pub = published.filter(ordinal_month("m") == 12).select(ordinal_year("m").alias("weight_year"), F.col("level").alias("_pub"))
     years = rel.select("scheme", "weight_year").distinct().join(pub, "weight_year", "left")
     if anchored:
@@ -58,27 +58,23 @@ def chain(cells: DataFrame, schemes: DataFrame, published: DataFrame, anchored:
     return out.withColumn("yoy", pct_change("level", calendar_lag("level", "scheme", "m", 12))).select("scheme", "m", "coverage", "rel", "level", "yoy")
 
 
-def survey_frequencies(lines: DataFrame, weights: DataFrame, weight_columns: list[str]) -> DataFrame:
+def survey_frequencies(lines: DataFrame, weights: DataFrame, weight_columns: list[str], measures=("freq", "spend", "share")) -> DataFrame:
     """Purchase frequency, spend and buying share per code, for every weight column at once.
 
     lines(unit, code, cost); weights(unit, <weight columns>).  Lines are first
     reduced to one row per (unit, code); replicates stay columns of one
     aggregation, so 45 weights cost one pass and no row is multiplied.  Returns
-    (code, weight, freq, spend, share).
+    (code, weight, <measures>), written once because every scheme reads it.
     """
+    per_row = {"freq": "coalesce({c}, 0D) * n", "spend": "coalesce({c}, 0D) * cost", "share": "coalesce({c}, 0D)"}
     per_unit = lines.groupBy("unit", "code").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost"))
-    aggs = []
-    for c in weight_columns:
-        w = f"coalesce({c}, 0D)"
-        aggs += [F.expr(f"sum({w} * n) AS {c}_n"), F.expr(f"sum({w} * cost) AS {c}_cost"), F.expr(f"sum({w}) AS {c}_who")]
-    sums = per_unit.join(weights, "unit").groupBy("code").agg(*aggs)
-    packed = F.expr("array(" + ", ".join(f"named_struct('weight', '{c}', 'n', {c}_n, 'cost', {c}_cost, 'who', {c}_who)" for c in weight_columns) + ")")
-    long = sums.select("code", F.inline(packed))
+    sums = [F.expr(f"sum({per_row[m].format(c=c)}) AS {c}_{m}") for c in weight_columns for m in measures]
+    by_code = per_unit.join(weights, "unit").groupBy("code").agg(*sums)
+    cells = ", ".join("named_struct('weight', '{0}', {1})".format(c, ", ".join(f"'{m}', {c}_{m}" for m in measures)) for c in weight_columns)
+    long = written(by_code.select("code", F.expr(f"inline(array({cells}))")))
     totals = weights.agg(*[F.expr(f"sum(coalesce({c}, 0D)) AS {c}") for c in weight_columns])
-    totals = totals.unpivot([], weight_columns, "weight", "_all")
-    return long.join(totals, "weight").select(
-        "code", "weight", (F.col("n") / F.col("_all")).alias("freq"), (F.col("cost") / F.col("_all")).alias("spend"), (F.col("who") / F.col("_all")).alias("share")
-    )
+    totals = written(totals.unpivot([], weight_columns, "weight", "_all"))
+    return long.join(totals, "weight").select("code", "weight", *[(F.col(m) / F.col("_all")).alias(m) for m in measures])
 
 
 def map_codes(concordance: DataFrame, leaf: DataFrame, split: str = "exp") -> DataFrame:

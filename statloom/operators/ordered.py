@@ -16,6 +16,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from statloom.session import ensure_checkpoint_dir
+
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -203,6 +205,16 @@ def shared(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write a small derived table to the session's shared checkpoint folder and go on from the files.
+
+    For panel-sized results that several later steps read: the lineage is cut,
+    so a lost executor never sends the job back to the raw tables.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition by the keys into the session's full number of shuffle partitions.
 

@@ -68,7 +68,9 @@ def nearest_peers(
         "fixed", mismatch + F.when(F.col("both"), 0.0).otherwise(1.0)
     )
 
-    bounds = _bounds(searches, keep, k)
+    # finer segments for more units, so that a segment stays near a fixed number of rows
+    slices = max(2, points.count() // 2_000_000)
+    bounds = _bounds(searches, keep, k, slices)
     wanted = searches.join(bounds, feature).join(F.broadcast(lanes), ["cls", "priced"]).filter(F.col("fixed") <= F.col("bound"))
     # what is left of the bound after the fixed part is the radius in the (x, y) plane; rounding up keeps ties in
     radius = F.col("bound") - F.col("fixed") + 1e-9
@@ -110,7 +112,7 @@ def nearest_peers(
     )
 
 
-def _bounds(searches: DataFrame, keep: DataFrame, k: int) -> DataFrame:
+def _bounds(searches: DataFrame, keep: DataFrame, k: int, slices: int) -> DataFrame:
     """An upper bound of the distance to the k+1-th candidate, per searching point.
 
     Searching points and candidates of one (class, priced) lane are laid out on
@@ -120,7 +122,7 @@ def _bounds(searches: DataFrame, keep: DataFrame, k: int) -> DataFrame:
     than k+1 candidates takes the diameter of the whole data instead.
     """
     feature = ["cls", "priced", "x", "y"]
-    segment = F.floor(F.col("x") * 2).cast("int")
+    segment = F.floor(F.col("x") * slices).cast("bigint")
     tagged = searches.select(*feature, F.lit(0).alias("_n"), F.lit(1).alias("_search")).unionByName(
         keep.select(*feature, F.size("pids").alias("_n"), F.lit(0).alias("_search"))
     )

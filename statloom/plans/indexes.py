@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from statloom.functions.calendar import calendar_lag, ordinal_year, pct_change
 from statloom.functions.stats import annualised
 from statloom.operators import indexes, panel
-from statloom.operators.ordered import shared, top_k
+from statloom.operators.ordered import shared, written
 from statloom.plans.panel import CHANGES, WEIGHTS, changes
 from statloom.plans.registry import query, show
 from statloom.plans.tables import CELLS, cents, price_cells, spend_sum, table
@@ -41,12 +41,12 @@ def _weights(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("unit")).select("unit", *cols)
 
 
-def _frequencies(spark, d, columns):
+def _frequencies(spark, d, columns, measures=("freq",)):
     """Purchase frequencies per (December, item): the code carries both, so one pass serves all years."""
     lines = _survey(spark, d).withColumn("code", F.concat_ws("|", F.col("weight_year").cast("string"), "item"))
-    out = indexes.survey_frequencies(lines, _weights(spark, d).select("unit", *columns), columns)
+    out = indexes.survey_frequencies(lines, _weights(spark, d).select("unit", *columns), columns, measures)
     parts = F.split("code", r"\|")
-    return out.select(parts[0].cast("int").alias("weight_year"), parts[1].alias("item"), "weight", "freq", "spend", "share")
+    return out.select(parts[0].cast("int").alias("weight_year"), parts[1].alias("item"), "weight", *measures)
 
 
 def _published(cells):
@@ -141,7 +141,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return _frequencies(spark, d, ["w0"]).drop("weight")
+    return _frequencies(spark, d, ["w0"], ("freq", "spend", "share")).drop("weight")
 
 
 def _schemes(spark, d):
@@ -158,7 +158,7 @@ def _(spark, d):
 @query("scheme_indexes", show("SELECT * FROM chain", "scheme, m", "coverage, rel, level, yoy", CH_ALL + _chain_ctes(_SCHEMES)))
 def _(spark, d):
     cells = _cells(spark, d)
-    return indexes.chain(cells, shared(_schemes(spark, d)), _published(cells))
+    return indexes.chain(cells, written(_schemes(spark, d)), _published(cells))
 
 
 @query(
@@ -172,7 +172,7 @@ def _(spark, d):
 )
 def _(spark, d):
     cells = _cells(spark, d)
-    return indexes.gap_range(indexes.gap_to(indexes.chain(cells, shared(_schemes(spark, d)), _published(cells))))
+    return indexes.gap_range(indexes.gap_to(indexes.chain(cells, written(_schemes(spark, d)), _published(cells))))
 
 
 _REP_SCHEMES = "SELECT 'official' AS scheme, weight_year, item, w FROM wts UNION ALL SELECT 'w' || r, weight_year, item, freq FROM fr JOIN wts USING (weight_year, item)"
@@ -193,7 +193,7 @@ def _(spark, d):
     official = _official(cells)
     reps = _frequencies(spark, d, _REP_COLS).select(F.col("weight").alias("scheme"), "weight_year", "item", F.col("freq").alias("w"))
     reps = reps.join(official.select("weight_year", "item"), ["weight_year", "item"], "left_semi")
-    schemes = shared(official.unionByName(reps))
+    schemes = written(official.unionByName(reps))
     return indexes.replicate_error(indexes.gap_to(indexes.chain(cells, schemes, _published(cells))), "w0", REPS)
 
 
@@ -329,7 +329,7 @@ def _flow(spark, d):
         .join(makers, lines.l_suppkey == makers.s_suppkey)
         .join(orders, lines.l_orderkey == orders.o_orderkey)
     )
-    return shared(
+    return written(
         rows.groupBy(
             "commodity",
             "category",
@@ -348,7 +348,7 @@ def _content(spark, d):
     req = names.select(F.col("commodity").alias("row"), "commodity", F.lit(1.05).alias("value")).unionByName(
         names.select(F.concat(F.lit("hot "), F.split("commodity", " ")[1]).alias("row"), "commodity", F.lit(0.1).alias("value"))
     )
-    return shared(
+    return written(
         indexes.import_content(
             flow.groupBy("commodity", "col").agg(value),
             flow.groupBy("industry", "commodity").agg(value),

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from statloom.functions.calendar import calendar_lag, label_from_ordinal, month_ordinal, ordinal_year, pct_change
 from statloom.operators import panel, xsection
-from statloom.operators.ordered import shared, top_k, with_one_row
+from statloom.operators.ordered import top_k, with_one_row, written
 from statloom.plans.registry import query, show
-from statloom.plans.tables import CELLS, month_label, price_cells, spend_sum, table
+from statloom.plans.tables import CELLS, derived, month_label, price_cells, spend_sum, table
 
 WEIGHTS = """
 wts AS (
@@ -45,8 +45,12 @@ def changes(spark, d):
 
 
 def weighted_changes(spark, d):
+    return derived(spark, d, "weighted_changes", lambda: _weighted_changes(spark, d))
+
+
+def _weighted_changes(spark, d):
     weights = panel.december_weights(price_cells(spark, d))
-    return shared(panel.clamped_vintage(changes(spark, d).withColumn("year", ordinal_year("m")), weights, "year", "item"))
+    return panel.clamped_vintage(changes(spark, d).withColumn("year", ordinal_year("m")), weights, "year", "item")
 
 
 @query(
@@ -158,7 +162,7 @@ def _(spark, d):
 
 
 def _shares(spark, d):
-    contrib = shared(xsection.contribution_panel(weighted_changes(spark, d), "m", "mom", "w"))
+    contrib = written(xsection.contribution_panel(weighted_changes(spark, d), "m", "mom", "w"))
     return xsection.variance_shares(contrib, "item", "m")
 
 

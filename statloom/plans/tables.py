@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.functions.calendar import month_ordinal
-from statloom.operators.ordered import shared
+from statloom.operators.ordered import written
 
 
 _OPENED: dict[tuple[str, str], DataFrame] = {}
@@ -20,6 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _OPENED[key]
 
 
+_DERIVED: dict[tuple, DataFrame] = {}
+
+
+def derived(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A panel-sized table built once per application and folder, kept in the shared checkpoint folder."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    if key not in _DERIVED:
+        _DERIVED[key] = written(build())
+    return _DERIVED[key]
+
+
+def forget_derived() -> None:
+    """Build derived tables anew from here on."""
+    _DERIVED.clear()
+
+
 def cents(col) -> Column:
     """Money as whole cents: integer sums do not depend on the order of partitions."""
     return F.round(F.col(col) * 100).cast("bigint")
@@ -31,15 +47,18 @@ def spend_sum(col) -> Column:
 
 def price_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item x month cells: item = brand, idx = spend per unit, both from order lines."""
+    return derived(spark, sf_dir, "price_cells", lambda: _price_cells(spark, sf_dir))
+
+
+def _price_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_extendedprice", "l_quantity")
     parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("item"))
-    cells = (
+    return (
         lines.join(parts, lines.l_partkey == parts.p_partkey)
         .groupBy("item", month_ordinal("l_shipdate").alias("m"))
         .agg(spend_sum("l_extendedprice").alias("spend"), F.sum("l_quantity").alias("qty"))
         .withColumn("idx", F.col("spend") / F.col("qty"))
     )
-    return shared(cells)
 
 
 # DuckDB text of price_cells, as a common table expression

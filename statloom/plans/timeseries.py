@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from statloom.functions.calendar import calendar_lag, ordinal_month, ordinal_year, pct_change
 from statloom.functions.stats import pair_corr
 from statloom.operators import network, panel, regress, timeseries, xsection
-from statloom.operators.ordered import exact_quantiles, shared, with_one_row
+from statloom.operators.ordered import shared, with_one_row, written
 from statloom.plans.indexes import TIER, _published, _tiers
 from statloom.plans.panel import CHANGES, WEIGHTED, WEIGHTS, changes, weighted_changes
 from statloom.plans.registry import query, show
@@ -31,9 +31,10 @@ def _panel(spark, d):
 
 
 def rates(spark, d):
+    """Rates are read by every persistence query."""
     head = _published(price_cells(spark, d)).withColumn("_z", F.lit(0))
     head = head.select("m", pct_change("level", calendar_lag("level", "_z", "m", 1)).alias("mom_sa"), F.col("level").alias("idx_nsa"))
-    return shared(timeseries.rate_source(_panel(spark, d), head, min_obs=60))
+    return written(timeseries.rate_source(_panel(spark, d), head, min_obs=60))
 
 
 @query("rate_source_choice", show("SELECT * FROM rates", "item, m, source", "raw, rel", CELLS + CHANGES + RATES))
@@ -59,7 +60,7 @@ P_ALL = CELLS + CHANGES + RATES + PERSIST
 
 def persist(spark, d):
     long = rates(spark, d).select("item", "m", "raw", "rel").unpivot(["item", "m"], ["raw", "rel"], "universe", "x")
-    return shared(timeseries.persistence(long, ["universe", "item"], "x", W, MIN))
+    return written(timeseries.persistence(long, ["universe", "item"], "x", W, MIN))
 
 
 @query("rolling_persistence", show("SELECT * FROM pers", "universe, item, m, n_obs", "rho, halflife, lp1, lp3, lp6, lp12", P_ALL))
@@ -237,7 +238,7 @@ def series_pairs(spark, d):
     nxt = brands.withColumn("nxt", F.lead("item").over(Window.partitionBy("_g").orderBy("item")))
     pairs = nxt.filter("nxt IS NOT NULL").select(F.concat_ws(">", "item", "nxt").alias("pair"), F.col("item").alias("src"), F.col("nxt").alias("dst"))
     series = changes(spark, d).filter("mom IS NOT NULL").select(F.col("item").alias("series"), "m", F.col("mom").alias("v"))
-    return shared(pairs), shared(series)
+    return written(pairs), written(series)
 
 
 @query("cross_correlogram", show("SELECT * FROM prof", "pair, lag, n", "rho", CELLS + CHANGES + PAIRS + PROFILE))
@@ -292,7 +293,7 @@ def _(spark, d):
 
 def projections(spark, d):
     pairs, series = series_pairs(spark, d)
-    design = shared(timeseries.projection_design(pairs, series, range(13)))
+    design = written(timeseries.projection_design(pairs, series, range(13)))
     return pairs, series, design
 
 
@@ -327,12 +328,12 @@ def _(spark, d):
 
 def pressure_inputs(spark, d):
     pairs, series, design = projections(spark, d)
-    betas = shared(timeseries.local_projections(design, min_n=36))
+    betas = written(timeseries.local_projections(design, min_n=36))
     best = timeseries.best_lags(timeseries.correlogram(pairs, series, range(-3, 19), 36))
     b12 = betas.filter("h = 12").select("pair", F.col("beta").alias("beta12"), F.col("se").alias("se12"))
     weights = panel.december_weights(price_cells(spark, d)).filter("weight_year = 2000").select(F.col("item").alias("dst"), F.col("w").alias("weight"))
     table_ = pairs.join(best.select("pair", "best_lag"), "pair").join(b12, "pair", "left").join(weights, "dst", "left").withColumn("weak", timeseries.weak_link("beta12", "se12"))
-    return shared(table_), betas, series
+    return written(table_), betas, series
 
 
 @query("pair_in_sum_reasons")
@@ -474,11 +475,11 @@ def slabs(spark, d):
 
 
 def residual_slabs(spark, d):
-    return shared(network.remove_common_factor(slabs(spark, d), headline(spark, d), 30))
+    return written(network.remove_common_factor(slabs(spark, d), headline(spark, d), 30))
 
 
 def correlations(spark, d):
-    return shared(network.lagged_correlations(residual_slabs(spark, d), 12, 30, blocks=2))
+    return written(network.lagged_correlations(residual_slabs(spark, d), 12, 30, blocks=2))
 
 
 @query("network_window_nodes", show("SELECT win, node, count(*) AS n FROM slabs GROUP BY 1, 2", "win, node, n", "", N_ALL))
@@ -518,8 +519,8 @@ se AS (SELECT b.src, b.dst, b.lag, b.rho FROM bl b JOIN st USING (src, dst) WHER
 
 
 def stable(spark, d):
-    best = shared(network.strongest_lag(correlations(spark, d)))
-    st = shared(network.stable_edges(network.screen(best, rho_min=0.30), min_windows=2))
+    best = written(network.strongest_lag(correlations(spark, d)))
+    st = written(network.stable_edges(network.screen(best, rho_min=0.30), min_windows=2))
     edges = best.filter("win = 'w4'").join(st.filter("stable").select("src", "dst", "stable"), ["src", "dst"]).select("src", "dst", "lag", "rho", "stable")
     return best, st, shared(edges)
 
@@ -585,7 +586,7 @@ def _(spark, d):
 
 @query("granger_false_discovery_screen")
 def _(spark, d):
-    tests = shared(network.granger(residual_slabs(spark, d), 3, 30, blocks=2))
+    tests = written(network.granger(residual_slabs(spark, d), 3, 30, blocks=2))
     q = network.benjamini_hochberg(tests, "win")
     best = network.strongest_lag(correlations(spark, d)).drop("n")
     return network.screen(best.join(q.select("win", "src", "dst", "p", "q"), ["win", "src", "dst"], "left"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from statloom.operators import vintages
-from statloom.operators.ordered import shared
+from statloom.operators.ordered import shared, written
 from statloom.plans.registry import query, show
 from statloom.plans.tables import cents, table
 
@@ -32,7 +32,7 @@ def levels(spark, d):
     cells = lines.join(parts, lines.l_partkey == parts.p_partkey).groupBy("series", obs.alias("obs_m"), F.col("l_linenumber").alias("k")).agg(F.sum("c").alias("c"), F.sum("l_quantity").alias("q"))
     w = Window.partitionBy("series", "obs_m").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     vm = (F.col("obs_m") + F.col("k") * 3).cast("int")
-    return shared(
+    return written(
         cells.select(
             "series",
             "obs_m",
@@ -49,7 +49,7 @@ def moms(spark, d):
     change = vintages.vintage_changes(lv).withColumnRenamed("vintage_m", "k")
     vm = (F.col("obs_m") + F.col("k") * 3).cast("int")
     dated = change.withColumn("vintage_m", vm).withColumn("vintage", F.make_date(F.floor((vm - 1) / 12).cast("int"), ((vm - 1) % 12 + 1).cast("int"), F.lit(1)))
-    return shared(dated)
+    return written(dated)
 
 
 @query("vintage_month_changes", show("SELECT * FROM mom", "series, k, vintage_m, obs_m", "mom", VINT))
@@ -66,7 +66,7 @@ def _(spark, d):
 
 
 def true_first(spark, d):
-    return shared(vintages.revisions(moms(spark, d)).filter("true_first"))
+    return written(vintages.revisions(moms(spark, d)).filter("true_first"))
 
 
 @query(
