@@ -184,6 +184,21 @@ def with_position(df: DataFrame, group, value: str, tie: str, name: str = "posit
     )
 
 
+def with_prior_max(df: DataFrame, group, order: str, value: str, name: str = "prior_max", bits: int = 26) -> DataFrame:
+    """Largest value of the group's earlier rows, NULL on the first one; ``order`` is numeric and unique inside the group.
+
+    Maxima go over order buckets first and inside a bucket second, so a long or
+    hot series is spread over many tasks.
+    """
+    group = [group] if isinstance(group, str) else list(group)
+    rows = df.withColumn("_bucket", order_bucket(order, bits))
+    earlier = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    heads = rows.groupBy(*group, "_bucket").agg(F.max(value).alias("_m")).withColumn("_before", F.max("_m").over(earlier)).drop("_m")
+    inside = Window.partitionBy(*group, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.join(heads, [*group, "_bucket"])
+    return joined.withColumn(name, F.greatest(F.max(value).over(inside), "_before")).drop("_bucket", "_before")
+
+
 def top_k(df: DataFrame, group, order, k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows of each group in a total order.
 

@@ -25,6 +25,10 @@ def events(spark, d):
     return table(spark, d, "events")
 
 
+def timed(spark, d):
+    return events(spark, d).withColumn("us", series.epoch_us("ts"))
+
+
 def feed(spark, d):
     ten = F.window("ts", "10 minutes").getField("start")
     return events(spark, d).select(F.col("event_type").alias("id"), ten.alias("_t"), "value", F.col("ts").alias("fetched")).withColumnRenamed("_t", "ts").withColumn("fetched", F.col("fetched").cast("timestamp"))
@@ -449,7 +453,7 @@ def _(spark, d):
     show("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS running FROM events WHERE value >= 100", "user_id, event_id, running"),
 )
 def _(spark, d):
-    return windows.running_over_threshold(events(spark, d), "user_id", "ts", "value", 100.0).select("user_id", "event_id", "running")
+    return windows.running_over_threshold(timed(spark, d), "user_id", "us", "event_id", "value", 100.0).select("user_id", "event_id", "running")
 
 
 @query(
@@ -457,7 +461,7 @@ def _(spark, d):
     show("SELECT user_id, event_id, value FROM (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM events) AS t WHERE b IS NULL OR value > b", "user_id, event_id", "value"),
 )
 def _(spark, d):
-    return windows.running_records(events(spark, d), "user_id", "ts", "value").select("user_id", "event_id", "value")
+    return windows.running_records(timed(spark, d), "user_id", "us", "value").select("user_id", "event_id", "value")
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.calendar import calendar_lag, trailing
-from statloom.operators.ordered import exact_quantiles, top_k
+from statloom.operators.ordered import exact_quantiles, top_k, with_position, with_prior_max
 
 
 def bucket_last(df: DataFrame, key: str, ts: str, value: str, width: str = "5 minutes") -> DataFrame:
@@ -113,7 +113,10 @@ def calendar_yoy(df: DataFrame, key: str, month: str, value: str) -> DataFrame:
 
 
 def offset_difference(df: DataFrame, key: str, order: str, value: str, back: int = 252) -> DataFrame:
-    """Change against ``back`` rows earlier, or against the first row when there are fewer."""
+    """Change against ``back`` rows earlier, or against the first row when there are fewer.
+
+    For merged series: a key holds at most its history of points.
+    """
     w = Window.partitionBy(key).orderBy(order)
     first = F.first(value).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("change", F.col(value) - F.coalesce(F.lag(value, back).over(w), first))
@@ -140,16 +143,14 @@ def upper_median(df: DataFrame, group, value: str) -> DataFrame:
     return exact_quantiles(df, group, value, {"upper_median": 0.5}, "upper")
 
 
-def running_over_threshold(df: DataFrame, key: str, order: str, value: str, threshold: float) -> DataFrame:
-    """Running count of rows over the threshold (per key, bounded by its series)."""
-    w = Window.partitionBy(key).orderBy(order)
-    return df.filter(F.col(value) >= threshold).withColumn("running", F.row_number().over(w))
+def running_over_threshold(df: DataFrame, key: str, order: str, tie: str, value: str, threshold: float) -> DataFrame:
+    """Running count of rows over the threshold, in (order, tie) order; both are numeric."""
+    return with_position(df.filter(F.col(value) >= threshold), key, order, tie, "running", 26)
 
 
 def running_records(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """Rows that beat everything before them."""
-    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    best = df.withColumn("_best", F.max(value).over(before))
+    """Rows that beat everything before them; ``order`` is numeric and unique per key."""
+    best = with_prior_max(df, key, order, value, "_best")
     return best.filter(F.col("_best").isNull() | (F.col(value) > F.col("_best"))).drop("_best")
 
 
@@ -160,6 +161,7 @@ def degraded_count(status: DataFrame, source: str, state: str, good: str = "oper
 
 
 def trailing_max(df: DataFrame, key: str, order: str, value: str, rows: int = 132) -> DataFrame:
+    """Maximum over the last ``rows`` points of a merged series (at most its history long)."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(-(rows - 1), 0)
     return df.withColumn("trailing_max", F.max(value).over(w))
 
