@@ -733,3 +733,50 @@ def _(spark, d):
     span = cells.agg((F.max("m") - F.min("m") + 1).alias("_span"))
     counted = cells.groupBy(F.col("p_name").alias("item")).agg(F.count(F.lit(1)).alias("n"))
     return with_one_row(counted, span).filter(F.col("n") >= F.col("_span") * 0.8).join(tiles, "item", "left_semi").select("item", "n")
+
+
+# y on a constant, x and three own lags: x is cleared of the lags one after the other, the rest is a simple slope
+ORTHO = """
+dsg AS (SELECT p.pair, y.m, x.v AS x, a.v AS y1, b.v AS y2, c.v AS y3 FROM pairs p JOIN ser y ON y.series = p.dst JOIN ser x ON x.series = p.src AND x.m = y.m
+  JOIN ser a ON a.series = p.dst AND a.m = y.m - 1 JOIN ser b ON b.series = p.dst AND b.m = y.m - 2 JOIN ser c ON c.series = p.dst AND c.m = y.m - 3),
+cum AS (SELECT p.pair, h.h, y.m, sum(z.v) AS cum FROM pairs p CROSS JOIN range(0, 13) AS h(h) JOIN ser y ON y.series = p.dst JOIN ser z ON z.series = p.dst AND z.m BETWEEN y.m AND y.m + h.h GROUP BY 1, 2, 3 HAVING count(*) = h.h + 1),
+o0 AS (SELECT h, d.*, cum FROM dsg d JOIN cum USING (pair, m)),
+o1 AS (SELECT pair, h, m, cum, y1, y2 - regr_intercept(y2, y1) OVER w - regr_slope(y2, y1) OVER w * y1 AS r2, y3 - regr_intercept(y3, y1) OVER w - regr_slope(y3, y1) OVER w * y1 AS s3, x - regr_intercept(x, y1) OVER w - regr_slope(x, y1) OVER w * y1 AS s1 FROM o0 WINDOW w AS (PARTITION BY pair, h)),
+o2 AS (SELECT pair, h, m, cum, s3 - regr_slope(s3, r2) OVER w * r2 AS r3, s1 - regr_slope(s1, r2) OVER w * r2 AS s2 FROM o1 WINDOW w AS (PARTITION BY pair, h)),
+o3 AS (SELECT pair, h, m, cum, s2 - regr_slope(s2, r3) OVER w * r3 AS xt FROM o2 WINDOW w AS (PARTITION BY pair, h)),
+"""
+
+
+@query(
+    "cumulative_response_betas",
+    show("SELECT pair, h::INT AS h, count(*) AS n, regr_slope(cum, xt) AS beta FROM o3 GROUP BY 1, 2 HAVING count(*) >= 36", "pair, h, n", "beta", CELLS + CHANGES + PAIRS + ORTHO),
+)
+def _(spark, d):
+    return timeseries.local_projections(projections(spark, d)[2], min_n=36).select("pair", "h", "n", "beta")
+
+
+AR3 = f"""
+a0 AS (SELECT c.item, c.m AS s, c.mom AS y, b1.mom AS l1, b2.mom AS l2, b3.mom AS l3 FROM chg c JOIN chg b1 ON b1.item = c.item AND b1.m = c.m - 1 JOIN chg b2 ON b2.item = c.item AND b2.m = c.m - 2 JOIN chg b3 ON b3.item = c.item AND b3.m = c.m - 3
+  WHERE c.mom IS NOT NULL AND b1.mom IS NOT NULL AND b2.mom IS NOT NULL AND b3.mom IS NOT NULL),
+ws AS (SELECT item, m FROM (SELECT item, m, min(m) OVER (PARTITION BY item) AS lo FROM chg WHERE mom IS NOT NULL) AS q WHERE m - lo >= {W - 1}),
+a1 AS (SELECT w.item, w.m, count(*) AS n, avg(y) AS my, avg(l1) AS m1, avg(l2) AS m2, avg(l3) AS m3, covar_pop(l1, l1) AS s11, covar_pop(l2, l2) AS s22, covar_pop(l3, l3) AS s33, covar_pop(l1, l2) AS s12, covar_pop(l1, l3) AS s13, covar_pop(l2, l3) AS s23,
+   covar_pop(y, l1) AS c1, covar_pop(y, l2) AS c2, covar_pop(y, l3) AS c3 FROM ws w JOIN a0 ON a0.item = w.item AND a0.s BETWEEN w.m - {W - 1 - 3} AND w.m GROUP BY 1, 2 HAVING count(*) >= 10),
+a2 AS (SELECT *, s11 * (s22 * s33 - s23 * s23) - s12 * (s12 * s33 - s23 * s13) + s13 * (s12 * s23 - s22 * s13) AS det FROM a1),
+"""
+
+
+@query(
+    "rolling_ar3_sum",
+    show(
+        """SELECT item, m, (c1 * (s22 * s33 - s23 * s23) - s12 * (c2 * s33 - s23 * c3) + s13 * (c2 * s23 - s22 * c3)
+   + s11 * (c2 * s33 - c3 * s23) - c1 * (s12 * s33 - s23 * s13) + s13 * (s12 * c3 - c2 * s13)
+   + s11 * (s22 * c3 - s23 * c2) - s12 * (s12 * c3 - c2 * s13) + c1 * (s12 * s23 - s22 * s13)) / det AS ar3sum FROM a2""",
+        "item, m",
+        "ar3sum",
+        CELLS + CHANGES + AR3,
+    ),
+)
+def _(spark, d):
+    rows = changes(spark, d).filter("mom IS NOT NULL")
+    # windows that end in a month with a value, as the closed form states them
+    return timeseries.rolling_ar3_and_errors(rows, "item", "mom", W, MIN, 3).filter("ar3sum IS NOT NULL").select("item", "m", "ar3sum").join(rows.select("item", "m"), ["item", "m"], "left_semi")

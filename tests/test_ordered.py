@@ -113,3 +113,13 @@ def test_fewer_candidates_than_peers(spark):
     for r in peers.nearest_peers(df).orderBy("pid", "rank").collect():
         got.setdefault(r.pid, []).append(r.peer_pid)
     assert got == {0: [1, 2], 1: [2, 0], 2: [1, 0], 3: [2, 1, 0], 4: [2, 1, 0]}
+
+
+def test_prior_max_with_a_hot_group(hot):
+    rows, df = hot
+    got = {r.id: r.best for r in ordered.with_prior_max(df, "g", "id", "v", "best").collect()}
+    for g in ("hot", "g1"):
+        best = None
+        for r in sorted(r for r in rows if r[1] == g):
+            assert got[r[0]] == best
+            best = r[2] if best is None else max(best, r[2])
