@@ -780,3 +780,22 @@ def _(spark, d):
     rows = changes(spark, d).filter("mom IS NOT NULL")
     # windows that end in a month with a value, as the closed form states them
     return timeseries.rolling_ar3_and_errors(rows, "item", "mom", W, MIN, 3).filter("ar3sum IS NOT NULL").select("item", "m", "ar3sum").join(rows.select("item", "m"), ["item", "m"], "left_semi")
+
+
+PRESSURE = """
+bk AS (SELECT pair, h, regr_slope(cum, xt) AS beta FROM o3 GROUP BY 1, 2 HAVING count(*) >= 36),
+pp AS (SELECT p.pair, p.src, best_lag, bk.beta AS b12, wts.w FROM pairs p JOIN best USING (pair) JOIN bk ON bk.pair = p.pair AND bk.h = 12 JOIN wts ON wts.item = p.dst AND wts.weight_year = 2000 WHERE best_lag > 0),
+gm AS (SELECT g.series, g.m, avg(s.v) OVER (PARTITION BY g.series ORDER BY g.m RANGE BETWEEN 59 PRECEDING AND CURRENT ROW) AS base FROM (SELECT series, unnest(range(min(m), max(m) + 1)) AS m FROM ser GROUP BY 1) AS g LEFT JOIN ser s ON s.series = g.series AND s.m = g.m),
+pe AS (SELECT pp.pair, gm.m, b12, w, coalesce(sum((s.v - base) * CASE WHEN abs(b12) > 1e-9 THEN greatest(b12 - CASE WHEN k.k >= 12 THEN b12 ELSE coalesce(bk.beta, 0) END, 0) / b12 ELSE 0 END), 0) AS e
+  FROM pp JOIN gm ON gm.series = pp.src AND gm.m > (SELECT max(m) FROM ser) - 36 JOIN range(0, 18) AS k(k) ON k.k < best_lag LEFT JOIN bk ON bk.pair = pp.pair AND bk.h = k.k LEFT JOIN ser s ON s.series = pp.src AND s.m = gm.m - k.k GROUP BY 1, 2, 3, 4),
+"""
+
+
+@query(
+    "pressure_totals",
+    show("SELECT m, sum(e * b12 * w) AS total, count(*) AS n_pairs FROM pe GROUP BY 1", "m, n_pairs", "total", CELLS + CHANGES + WEIGHTS + PAIRS + PROFILE + ORTHO + PRESSURE),
+)
+def _(spark, d):
+    pairs, betas, series = pressure_inputs(spark, d)
+    parts, _ = timeseries.pressure(pairs.filter("beta12 IS NOT NULL AND weight IS NOT NULL"), betas, series, 36)
+    return parts.groupBy("m").agg(F.sum("contribution").alias("total"), F.count(F.lit(1)).alias("n_pairs"))
