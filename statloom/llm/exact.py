@@ -32,6 +32,7 @@ SHARD_ROWS = 20_000
 LEAST_SHARDS = 64
 SLOTS = 4
 MAX_KICKS = 200
+#: Stands for a missing id inside the index; below every other id.
 NO_ID = -(2**63)
 STATE = "shard int, buckets int, fingerprints binary, digests binary, ids binary, counts binary"
 
@@ -160,7 +161,7 @@ def representatives(rows: DataFrame) -> DataFrame:
     """Rows of a digest summed per salt, in the map tasks first: largest id, the first row that has it, and the count."""
     best = F.max(F.struct("doc_id", (-F.col("row")).alias("row")))
     groups = rows.groupBy("digest", "salt").agg(best.alias("best"), F.count(F.lit(1)).alias("n"))
-    return groups.select("digest", "salt", F.col("best.doc_id").alias("doc_id"), (-F.col("best.row")).alias("first_row"), "n")
+    return groups.select("digest", "salt", F.coalesce("best.doc_id", F.lit(NO_ID)).alias("doc_id"), (-F.col("best.row")).alias("first_row"), "n")
 
 
 def _sharded(reps: DataFrame, shards: int) -> DataFrame:
@@ -168,8 +169,7 @@ def _sharded(reps: DataFrame, shards: int) -> DataFrame:
 
 
 def _entries(frame: pd.DataFrame):
-    ids = [NO_ID if pd.isna(i) else int(i) for i in frame["doc_id"]]
-    return zip(map(bytes, frame["digest"]), ids, frame["n"].tolist())
+    return zip(map(bytes, frame["digest"]), frame["doc_id"].tolist(), frame["n"].tolist())
 
 
 def shard_count(rows: DataFrame) -> int:
@@ -221,13 +221,12 @@ def probe_index(index: DataFrame, reps: DataFrame, shards: int) -> DataFrame:
             shard = CuckooShard.load(state.iloc[0])
             for digest, salt, row in zip(map(bytes, frame["digest"]), frame["salt"].tolist(), frame["first_row"].tolist()):
                 if (slot := shard.find(digest)) >= 0:
-                    kept = shard.ids[slot]
-                    out.append((digest, salt, row, None if kept == NO_ID else kept, shard.counts[slot]))
-        found = pd.DataFrame(out, columns=["digest", "salt", "first_row", "keep_id", "group_size"])
-        return found.astype({"keep_id": "Int64"})
+                    out.append((digest, salt, row, shard.ids[slot], shard.counts[slot]))
+        return pd.DataFrame(out, columns=["digest", "salt", "first_row", "keep_id", "group_size"])
 
     schema = "digest binary, salt int, first_row bigint, keep_id bigint, group_size bigint"
-    return _with_index(index, reps.select("digest", "salt", "first_row"), shards, probe, schema)
+    found = _with_index(index, reps.select("digest", "salt", "first_row"), shards, probe, schema)
+    return found.withColumn("keep_id", F.nullif("keep_id", F.lit(NO_ID)))
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

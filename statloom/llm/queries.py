@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from statloom.llm import exact, hilbert
+from statloom.llm import exact, hilbert, lines, packing, simhash
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -41,3 +43,33 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @corpus_query()
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.contract_rows(hilbert.hilbert_shards(_documents(spark, sf_dir)))
+
+
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@corpus_query(
+    f"""
+    WITH split AS (
+      SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place, unnest(string_split(coalesce(text, ''), chr(10))) AS line
+      FROM documents),
+    keyed AS (SELECT *, translate(trim(line, {_BLANKS}), '{lines.UPPER}', '{lines.LOWER}') AS k FROM split),
+    hits AS (SELECT k, max(doc_id) AS largest FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (hits.k IS NOT NULL AND doc_id <> largest) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (hits.k IS NULL OR doc_id = largest), '')) AS kept_sha256
+    FROM keyed LEFT JOIN hits USING (k) GROUP BY doc_id
+    """
+)
+def op5_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.with_kept_lines(_documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@corpus_query()
+def op7_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_documents(spark, sf_dir))
+
+
+@corpus_query()
+def op8_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), with_ids=False).drop("ids")
