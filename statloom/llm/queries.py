@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm import exact, hilbert, lines, packing, simhash
+from statloom.llm import divergence, exact, hilbert, licenses, lines, mixing, nbsvm, packing, simhash, warc
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -24,8 +24,12 @@ def corpus_query(sql: str | None = None):
     return wrap
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    return _table(spark, sf_dir, "documents")
 
 
 @corpus_query(
@@ -40,6 +44,32 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_documents(spark, sf_dir))
 
 
+@corpus_query()
+def op2_naive_bayes_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.quality_scores(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
+@corpus_query(
+    """
+    WITH hashed AS (
+      SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+    coded AS (
+      SELECT *, max(page_id) OVER (PARTITION BY h) AS response_id,
+             list_transform(range(0, 8), i -> ('0x' || substr(h, i * 5 + 1, 5))::BIGINT) AS groups
+      FROM hashed)
+    SELECT page_id, payload_bytes,
+           array_to_string(list_transform(groups, g ->
+             substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((g >> 15) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((g >> 10) & 31) + 1, 1) ||
+             substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((g >> 5) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (g & 31) + 1, 1)), '') AS payload_digest,
+           CASE WHEN page_id = response_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> response_id THEN response_id END AS refers_to
+    FROM coded
+    """
+)
+def op3_warc_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(spark, _table(spark, sf_dir, "pages"))
+
+
 @corpus_query()
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.contract_rows(hilbert.hilbert_shards(_documents(spark, sf_dir)))
@@ -65,6 +95,11 @@ def op5_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+@corpus_query()
+def op6_histogram_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.rule_rows(_documents(spark, sf_dir))
+
+
 @corpus_query()
 def op7_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
@@ -73,3 +108,13 @@ def op7_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 @corpus_query()
 def op8_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), with_ids=False).drop("ids")
+
+
+@corpus_query()
+def op9_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(_documents(spark, sf_dir))
+
+
+@corpus_query()
+def op10_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_documents(spark, sf_dir)).drop("spans")
