@@ -149,14 +149,15 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, least_length: int, batch
 
 
 def with_kept_lines(docs: DataFrame, least_length: int = 40, least_docs: int = 5, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` as struct ``row`` with kept (text without the dropped lines), n_lines and n_dropped."""
+    """doc_id, kept (text without the dropped lines), n_lines, n_dropped and the other columns as struct ``row``."""
     lines = stored(_lines(docs, id_col, text_col, least_length, batches), "line-keys")
     hits = repeated_keys(lines, least_docs, batches)
     lost = lines.join(hits, HASH).where(F.coalesce(F.col("doc_id") < F.col("largest"), F.col("largest").isNotNull()))
     lost = lost.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct(*HASH)).alias("lost"))
     lost = lost.select(F.col("doc_id").alias("lost_id"), F.col("text_hash").alias("lost_hash"), "lost")
     text = text_or_empty(text_col)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")
+    rows = docs.select(others, F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     joined = rows.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")) & (F.col("text_hash") == F.col("lost_hash")), "left")
     stay = F.filter(split_lines(F.col("text")), lambda x: ~F.array_contains(F.col("lost"), key_hash(line_key(x))))
     kept = F.when(F.col("lost").isNull(), split_lines(F.col("text"))).otherwise(stay)
@@ -168,3 +169,10 @@ def with_kept_lines(docs: DataFrame, least_length: int = 40, least_docs: int = 5
         (F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).cast("bigint").alias("n_lines"),
         F.size("stay").cast("bigint").alias("n_kept"),
     ).withColumn("n_dropped", F.col("n_lines") - F.col("n_kept")).drop("n_kept")
+
+
+def deduplicated(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", **options) -> DataFrame:
+    """``docs`` with the repeated lines taken out of the text; ``length_col``, where there is one, counts what is left."""
+    kept = with_kept_lines(docs, text_col=text_col, **options)
+    new = {text_col: F.col("kept"), length_col: F.length("kept").cast("bigint")}
+    return kept.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

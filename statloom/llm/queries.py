@@ -55,10 +55,10 @@ def op2_naive_bayes_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
     coded AS (
       SELECT *, max(page_id) OVER (PARTITION BY h) AS response_id,
-             list_transform(range(0, 8), i -> ('0x' || substr(h, i * 5 + 1, 5))::BIGINT) AS groups
+             list_transform(range(0, 8), lambda i: ('0x' || substr(h, i * 5 + 1, 5))::BIGINT) AS groups
       FROM hashed)
     SELECT page_id, payload_bytes,
-           array_to_string(list_transform(groups, g ->
+           array_to_string(list_transform(groups, lambda g:
              substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((g >> 15) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((g >> 10) & 31) + 1, 1) ||
              substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((g >> 5) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (g & 31) + 1, 1)), '') AS payload_digest,
            CASE WHEN page_id = response_id THEN 'response' ELSE 'revisit' END AS record_type,

@@ -27,12 +27,12 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from statloom.llm.common import stored, text_bytes
+from statloom.llm.common import stored, text_bytes, text_or_empty
 
 SEED = 42
 MAX_TREE = 65_536
@@ -250,12 +250,40 @@ def component_roots(links: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """doc_id, fingerprint (hex) and component_id, the smallest id of the class, of every row."""
-    prints = stored(docs.select(F.col(f"`{id_col}`").alias("doc_id"), fingerprint_column(text_bytes(text_col), F.lit(width)).alias("fp")), "simhash")
+def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
+    """Stored (doc_id, fp) of every row, and k1, k2: 128 bits of the id and text."""
+    return stored(
+        docs.select(F.col(f"`{id_col}`").alias("doc_id"), *_row_keys(id_col, text_col), fingerprint_column(text_bytes(text_col), F.lit(width)).alias("fp")),
+        "simhash",
+    )
+
+
+def _row_keys(id_col: str, text_col: str) -> list[Column]:
+    what = [F.col(f"`{id_col}`"), text_or_empty(text_col)]
+    return [F.xxhash64(*what).alias("k1"), F.xxhash64(F.lit("second"), *what).alias("k2")]
+
+
+def classes(prints: DataFrame, radius: int = 4) -> DataFrame:
+    """fp, root of its class and the smallest id that has it, for every distinct fingerprint; stored."""
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
     roots = component_roots(near_links(nodes.select("fp"), radius, nodes.count()))
-    classes = stored(nodes.join(roots, F.col("fp") == F.col("v"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "classes")
-    smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.join(smallest, "root").select("fp", "component_id")
+    joined = nodes.join(roots, F.col("fp") == F.col("v"), "left")
+    return stored(joined.select("fp", "least", F.coalesce("root", "fp").alias("root")), "classes")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
+    """doc_id, fingerprint (hex) and component_id, the smallest id of the class, of every row."""
+    prints = fingerprinted(docs, id_col, text_col, width)
+    found = classes(prints, radius)
+    named = found.join(found.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
+    """``docs`` with one row of every class: that of the smallest id, and of equal ids the one with the smallest key."""
+    prints = fingerprinted(docs, id_col, text_col, width)
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("best")
+    picked = prints.join(classes(prints, radius).select("fp", "root"), "fp").groupBy("root").agg(best).select("best.k1", "best.k2").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), *_row_keys(id_col, text_col)).join(picked, ["k1", "k2"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.xxhash64("whole")))
+    return rows.withColumn("nth", first).where("nth = 1").select("whole.*")
