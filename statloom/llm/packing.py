@@ -8,8 +8,9 @@ The order is cut by (curve number, row), so a third of all documents at one poin
 of the curve still spreads over many tasks; only one token total for each range
 partition passes through a window.
 
-Words between white space are tokenized once per worker and remembered; white
-space never joins two tokens here, so the ids are those of the whole text.
+Words between white space are tokenized once per worker and remembered (up to
+``REMEMBERED_WORDS``); white space never joins two tokens here, so the ids are
+those of the whole text.
 
 Nulls and edge cases: a null or empty text is its end token alone; repeated rows
 and ids are packed as often as they occur; a document longer than a sequence is
@@ -34,12 +35,21 @@ from statloom.llm.hilbert import hilbert_index
 HASHED_DIMS = 256
 CURVE_DIMS = 3
 CURVE_BITS = 10
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 600_000
+CODED_TEXTS = 500
+STOPS = b".,;:!?*#$%&|()-"
+LATIN_END, DOTTED_I = "\u0250", "\u0130"
 PIECES = "doc_id bigint, no_id boolean, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, curve bigint, ids binary"
 
 
 class WordTokenizer:
-    """Token ids of a text, word by word; for tokenizers that drop white space and never join across it."""
+    """Token ids of texts, word by word; for tokenizers that drop white space and never join across it.
+
+    A word of letters up to Latin Extended-B, perhaps followed by stops, is its
+    lower-cased letters and its stops one after the other: such tokenizers split
+    there.  Many words at once are coded in one call and told apart by the tokens
+    that end a word.
+    """
 
     _loaded: dict[str, "WordTokenizer"] = {}
 
@@ -54,26 +64,60 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, tuple[int, ...]] = {}
-
-    def ids(self, text: bytes, end_id: int) -> np.ndarray:
-        words = text.split()
+        self.size = self.tokenizer.get_vocab_size()
+        self.type = "<u2" if self.size <= 1 << 16 else "<u4"
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.size, bool)
+        if suffix:
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+        self.known: dict[bytes, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+
+    def ids(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
+        """Ids of every text, each with ``end_id`` behind it."""
+        end = np.array([end_id], self.type).tobytes()
+        split = [t.split() for t in texts]
         known = self.known
-        if new := [w for w in dict.fromkeys(words) if w not in known]:
-            if len(known) > REMEMBERED_WORDS:
-                known.clear()
-                new = list(dict.fromkeys(words))
+        if len(known) > REMEMBERED_WORDS:
+            known.clear()
+            self.letters.clear()
+        if new := set(chain.from_iterable(split)).difference(known):
             self._learn(new)
-        flat = chain.from_iterable(map(known.__getitem__, words))
-        return np.fromiter(chain(flat, (end_id,)), np.uint32)
-
-    def _learn(self, words: list[bytes]) -> None:
+        find = known.__getitem__
+        return [np.frombuffer(b"".join(map(find, words)) + end, self.type) for words in split]
+
+    def _learn(self, words: set[bytes]) -> None:
+        parts: dict[bytes, tuple[str, bytes]] = {}
+        for word in words:
+            core = word.rstrip(STOPS)
+            text = core.decode()
+            if text.isalpha() and (core.isascii() or max(text) < LATIN_END and DOTTED_I not in text):
+                parts[word] = (text.lower(), word[len(core) :])
+        self._learn_letters([c for c in dict.fromkeys(c for c, _ in parts.values()) if c not in self.letters])
+        rest = [w for w in words if w not in parts or parts[w][0] not in self.letters]
+        stops = dict.fromkeys(s for _, s in parts.values() if s and s not in self.known)
+        self._learn_whole([*stops, *(w for w in rest if w not in stops)])
+        for word, (core, stop) in parts.items():
+            if core in self.letters:
+                self.known[word] = self.letters[core] + self.known[stop] if stop else self.letters[core]
+
+    def _learn_letters(self, cores: list[str]) -> None:
+        if not cores or not self.ends.any():
+            return
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(cores)], add_special_tokens=False)[0].ids)
+        cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(cuts) == len(cores):  # else a core was split after all, and all go the long way
+            flat, width = ids.astype(self.type).tobytes(), int(self.type[-1])
+            self.letters.update((c, flat[a * width : b * width]) for c, a, b in zip(cores, [0, *cuts], cuts))
+
+    def _learn_whole(self, words: list[bytes]) -> None:
+        if not words:
+            return
         coded = self.tokenizer.encode([w.decode() for w in words], is_pretokenized=True, add_special_tokens=False)
-        self.known.update(dict.fromkeys(words, ()))
         got: dict[int, list[int]] = {}
         for word, token in zip(coded.word_ids, coded.ids):
             got.setdefault(word, []).append(token)
-        self.known.update((words[w], tuple(t)) for w, t in got.items())
+        self.known.update((w, np.array(got.get(i, ()), self.type).tobytes()) for i, w in enumerate(words))
 
 
 def _hash_table(size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,22 +144,17 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "
     @pandas_udf("ids binary, doc_tokens bigint, c0 int, c1 int, c2 int")
     def code(texts: pd.Series) -> pd.DataFrame:
         words = WordTokenizer.of(tokenizer_path)
-        dims, signs = _hash_table(max(words.tokenizer.get_vocab_size(), end_id + 1))
-        width = _id_type(len(dims))
+        dims, signs = _hash_table(max(words.size, end_id + 1))
         directions = _projection()
         rows = []
-        for text in texts:
-            ids = words.ids(text, end_id)
-            rows.append((ids.astype(width).tobytes(), len(ids), *curve_cells(ids, dims, signs, directions)))
+        for i in range(0, len(texts), CODED_TEXTS):
+            for ids in words.ids(texts.iloc[i : i + CODED_TEXTS].tolist(), end_id):
+                rows.append((ids.tobytes(), len(ids), *curve_cells(ids, dims, signs, directions)))
         return pd.DataFrame(rows, columns=["ids", "doc_tokens", "c0", "c1", "c2"])
 
     coded = docs.select(F.col(f"`{id_col}`").alias("doc_id"), code(text_bytes(text_col)).alias("t"), F.monotonically_increasing_id().alias("row"))
-    flat = stored(coded.select("row", "doc_id", "t.*"), "tokens")
-    return flat.withColumn("curve", hilbert_index(["c0", "c1", "c2"], CURVE_BITS)).drop("c0", "c1", "c2")
-
-
-def _id_type(vocabulary: int) -> str:
-    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+    flat = coded.select("row", "doc_id", "t.*").withColumn("curve", hilbert_index(["c0", "c1", "c2"], CURVE_BITS))
+    return stored(flat.drop("c0", "c1", "c2"), "tokens")
 
 
 def stream_starts(tokens: DataFrame) -> DataFrame:

@@ -23,14 +23,14 @@ def tokenizer():
 def test_word_by_word_equals_whole_text(tokenizer):
     words = packing.WordTokenizer(PATH)
     for text in [*ODD, "\n\t".join(ODD)]:
-        assert words.ids(text.encode(), 1).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1], text
+        assert words.ids([text.encode()], 1)[0].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1], text
 
 
 def test_forgetting_words_changes_nothing(tokenizer, monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED_WORDS", 2)
     words = packing.WordTokenizer(PATH)
     for text in ["one two three four", "four five one", "one two"] * 2:
-        assert words.ids(text.encode(), 1).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+        assert words.ids([text.encode()], 1)[0].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
 
 
 def check(rows, pieces, tokenizer, length):
