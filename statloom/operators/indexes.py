@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.calendar import calendar_lag, ordinal_month, ordinal_year, pct_change
-from statloom.operators.ordered import with_group_totals, written
+from statloom.operators.ordered import with_group_totals, with_one_row, with_ranks, written
 
 # Smallest covered weight of a month, weeks per month, replicate count.
 MIN_COVERAGE = 0.90
@@ -177,6 +177,15 @@ def gap_decomposition(parts: DataFrame, total: DataFrame) -> DataFrame:
     return comp.join(total.withColumnRenamed("gap", "total_gap"), "m").withColumn("residual", F.col("total_gap") - F.col("component_gap"))
 
 
+def gap_heatmap(gaps: DataFrame, months: int = 120) -> DataFrame:
+    """Cumulative gap of every item in the last ``months`` months, with the item's place by its latest gap, largest first."""
+    last = gaps.agg(F.max("m").alias("_last"))
+    recent = with_one_row(gaps.select("item", "m", "gap_cum"), last)
+    latest = recent.filter("m = _last AND gap_cum IS NOT NULL").select("item", F.lit(0).alias("_all"), (-F.round("gap_cum", 9)).alias("_key"))
+    places = with_ranks(latest, "_all", "_key").select("item", F.col("rank_low").alias("place"))
+    return recent.filter(F.col("m") > F.col("_last") - months).join(places, "item").select("item", "m", "gap_cum", "place")
+
+
 def clip01(c) -> Column:
     return F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0))
 

@@ -246,8 +246,8 @@ def regional_deflate(df: DataFrame, parity: DataFrame, area: str, year: str, val
 
 
 def undo_real_per_capita(df: DataFrame, value: str, index: str, population: str, name: str = "nominal_total") -> DataFrame:
-    """Nominal total from real per-head figures; rows of aggregates (no unit) are dropped."""
-    return df.filter(F.col("unit").isNotNull()).withColumn(name, F.col(value) * F.col(index) * F.col(population))
+    """Nominal total from per-head figures that were multiplied by ``index``; rows of aggregates (no unit) are dropped."""
+    return df.filter(F.col("unit").isNotNull()).withColumn(name, F.col(value) / F.col(index) * F.col(population))
 
 
 def allocate_county_spending(parts: DataFrame, counties: DataFrame, own: DataFrame) -> DataFrame:

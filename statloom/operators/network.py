@@ -70,6 +70,13 @@ def _matrix(pdf: pd.DataFrame, first: int, length: int) -> np.ndarray:
     return out
 
 
+def _powers(values: np.ndarray) -> np.ndarray:
+    """(time, 3, series): 1, x and x^2 where x is known, zeros elsewhere."""
+    known = np.isfinite(values)
+    x = np.where(known, values, 0.0)
+    return np.stack([known.astype(float), x, x * x], axis=1)
+
+
 def lagged_correlations(slabs: DataFrame, max_lag: int = 12, min_obs: int = 60, blocks: int = 4) -> DataFrame:
     """corr(x_src at t-k, x_dst at t) for every ordered pair and lag 1..max_lag, pairwise complete.
 
@@ -88,14 +95,14 @@ def lagged_correlations(slabs: DataFrame, max_lag: int = 12, min_obs: int = 60,
             # centring changes no correlation and keeps the closed form accurate
             A, B = A - np.nanmean(A, axis=0), B - np.nanmean(B, axis=0)
             for k in range(1, min(max_lag, length - 1) + 1):
-                a, b = A[:-k], B[k:]
-                ma, mb = np.isfinite(a).astype(float), np.isfinite(b).astype(float)
-                za, zb = np.nan_to_num(a), np.nan_to_num(b)
-                n = ma.T @ mb
-                sa, sb = za.T @ mb, ma.T @ zb
-                va, vb = n * ((za**2).T @ mb) - sa**2, n * (ma.T @ (zb**2)) - sb**2
+                # one product of the stacked powers (1, x, x^2) holds every moment of every pair
+                moments = np.einsum("tpi,tqj->pqij", _powers(A[:-k]), _powers(B[k:]), optimize=True)
+                n = moments[0, 0]
                 with np.errstate(invalid="ignore", divide="ignore"):
-                    r = np.where((va > 0) & (vb > 0) & (n >= min_obs), (n * (za.T @ zb) - sa * sb) / np.sqrt(np.clip(va, 0, None) * np.clip(vb, 0, None)), np.nan)
+                    mean_a, mean_b = moments[1, 0] / n, moments[0, 1] / n
+                    var_a, var_b = moments[2, 0] / n - mean_a**2, moments[0, 2] / n - mean_b**2
+                    r = (moments[1, 1] / n - mean_a * mean_b) / np.sqrt(var_a * var_b)
+                r[~((n >= min_obs) & (var_a > 0) & (var_b > 0))] = np.nan
                 i, j = np.nonzero(n > 0)
                 frames.append(pd.DataFrame({"src": src["node"].to_numpy()[i], "dst": dst["node"].to_numpy()[j], "lag": k, "n": n[i, j].astype(int), "rho": r[i, j]}))
         out = pd.concat(frames) if frames else pd.DataFrame(columns=["src", "dst", "lag", "n", "rho"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.calendar import calendar_lag, ordinal_month, ordinal_year, pct_change
-from statloom.operators.ordered import with_group_totals, with_one_row
+from statloom.operators.ordered import with_group_totals, with_one_row, written
 
 
 def item_month_panel(obs: DataFrame, weights: DataFrame) -> DataFrame:
@@ -49,6 +49,12 @@ def december_weights(cells: DataFrame) -> DataFrame:
     )
 
 
+def latest_weights(cells: DataFrame) -> DataFrame:
+    """item, w of the latest December there is."""
+    weights = december_weights(cells)
+    return with_one_row(weights, weights.agg(F.max("weight_year").alias("_last"))).filter("weight_year = _last").select("item", "w")
+
+
 def clamped_vintage(df: DataFrame, weights: DataFrame, year: str, key: str) -> DataFrame:
     """Inner join on the previous year's weights, clamped to the years that exist, with an exactness flag."""
     span = weights.agg(F.min("weight_year").alias("_lo"), F.max("weight_year").alias("_hi"))
@@ -78,31 +84,43 @@ def positive_change(df: DataFrame, by: str, ordinal: str, value: str, k: int, na
     return df.withColumn(name, pct_change(value, calendar_lag(value, by, ordinal, k)))
 
 
-def parents_from_levels(tree: DataFrame, scope: str, item: str, order: str, level: str, max_level: int = 8) -> DataFrame:
+def parents_from_levels(tree: DataFrame, scope: str, item: str, order: str, level: str, max_level: int | None = None) -> DataFrame:
     """Parent of a row = nearest earlier shallower row, if it is exactly one level up.
 
     Works per ``scope`` (one published table) in sort order; one running value
-    per possible level, no row lists.
+    per level in use, no row lists.  The deepest level is read from the data
+    unless it is given.
     """
+    if max_level is None:
+        max_level = tree.agg(F.max(level)).first()[0] or 0
     w = Window.partitionBy(scope).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     above = None
     for depth in range(1, max_level + 1):
         nearest = F.last(F.when(F.col(level) < depth, F.struct(F.col(level).alias("l"), F.col(item).alias("i"))), ignorenulls=True).over(w)
         hit = F.col(level) == depth
         above = F.when(hit, nearest) if above is None else above.when(hit, nearest)
+    above = F.lit(None).cast("struct<l:int,i:string>") if above is None else above
     return tree.withColumn("_above", above).withColumn("parent", F.when(F.col("_above.l") == F.col(level) - 1, F.col("_above.i"))).drop("_above")
 
 
 def ancestors(tree: DataFrame, item: str = "item", parent: str = "parent") -> DataFrame:
-    """Every (item, ancestor, depth) of a parent table; depth 1 is the parent."""
-    edges = tree.filter(F.col(parent).isNotNull()).select(F.col(item).alias("item"), F.col(parent).alias("ancestor"))
-    return tree.sparkSession.sql(
-        """WITH RECURSIVE up(item, ancestor, depth) AS (
-             SELECT item, ancestor, 1 FROM {edges}
-             UNION ALL SELECT up.item, e.ancestor, up.depth + 1 FROM up JOIN {edges} e ON e.item = up.ancestor)
-           SELECT item, ancestor, depth FROM up""",
-        edges=edges,
-    )
+    """Every (item, ancestor, depth) of a parent table; depth 1 is the parent.
+
+    One join per level of the tree, each level written before the next one; a
+    chain longer than the table is a cycle and an error.
+    """
+    edges = written(tree.filter(F.col(parent).isNotNull()).select(F.col(item).alias("item"), F.col(parent).alias("ancestor")).distinct())
+    up = edges.select(F.col("item").alias("ancestor"), F.col("ancestor").alias("_next"))
+    n = edges.count()
+    step = edges.withColumn("depth", F.lit(1))
+    out, depth = step, 1
+    while not step.isEmpty():
+        if depth > n:
+            raise ValueError("the parent table has a cycle")
+        depth += 1
+        step = written(step.join(up, "ancestor").select("item", F.col("_next").alias("ancestor"), F.lit(depth).alias("depth")))
+        out = out.unionByName(step)
+    return out
 
 
 def complete_partition(tree: DataFrame, weights: DataFrame, min_share: float = 0.99) -> DataFrame:

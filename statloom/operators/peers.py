@@ -70,7 +70,7 @@ def nearest_peers(
 
     # finer segments for more units, so that a segment stays near a fixed number of rows
     slices = max(2, points.count() // 2_000_000)
-    bounds = _bounds(searches, keep, k, slices)
+    bounds = _bounds(searches, keep, k, slices, sum(weights.values()) + 1.0)
     wanted = searches.join(bounds, feature).join(F.broadcast(lanes), ["cls", "priced"]).filter(F.col("fixed") <= F.col("bound"))
     # what is left of the bound after the fixed part is the radius in the (x, y) plane; rounding up keeps ties in
     radius = F.col("bound") - F.col("fixed") + 1e-9
@@ -112,14 +112,15 @@ def nearest_peers(
     )
 
 
-def _bounds(searches: DataFrame, keep: DataFrame, k: int, slices: int) -> DataFrame:
+def _bounds(searches: DataFrame, keep: DataFrame, k: int, slices: int, fixed: float) -> DataFrame:
     """An upper bound of the distance to the k+1-th candidate, per searching point.
 
     Searching points and candidates of one (class, priced) lane are laid out on
     interleaved-digit cells of both coordinates; the candidates around a point
     in that order are close enough to give a tight bound.  Lanes are cut into
     segments so that no lane is one task; a point whose segment holds fewer
-    than k+1 candidates takes the diameter of the whole data instead.
+    than k+1 candidates takes the diameter of the whole data and ``fixed``, the
+    largest distance structure and missing prices can add.
     """
     feature = ["cls", "priced", "x", "y"]
     segment = F.floor(F.col("x") * slices).cast("bigint")
@@ -149,8 +150,8 @@ def _bounds(searches: DataFrame, keep: DataFrame, k: int, slices: int) -> DataFr
         (F.max("x") - F.min("x") + F.max("y") - F.min("y")).alias("_span")
     )
     out = near.withColumn("_r", reach).filter("_search = 1").join(F.broadcast(span.limit(1)), F.lit(True))
-    # 8.0 covers every structure weight and the missing-price constant together
-    bound = F.when(F.col("_r.n") >= k + 1, F.col("_r.d")).otherwise(F.col("_span") + 8.0)
+    # ``fixed`` is all structure weights and the missing-price constant together
+    bound = F.when(F.col("_r.n") >= k + 1, F.col("_r.d")).otherwise(F.col("_span") + fixed)
     return out.select(*feature, bound.alias("bound"))
 
 

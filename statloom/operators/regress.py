@@ -18,20 +18,20 @@ from statloom.operators.ordered import spread
 
 
 def solve_hac(y: np.ndarray, X: np.ndarray, lags: int, small_sample: bool = True):
-    """Coefficients, covariance and residuals; Bartlett weights over row-adjacent lags."""
+    """Coefficients, covariance and residuals.
+
+    Coefficient j is a weighted sum of y with weights W[j]; row t moves it by
+    W[j, t] * resid[t].  The covariance sums the products of these pulls with a
+    weight that falls to zero ``lags`` + 1 rows apart.
+    """
     n, k = X.shape
-    inv = np.linalg.pinv(X.T @ X)
-    b = inv @ (X.T @ y)
-    u = y - X @ b
-    g = X * u[:, None]
-    meat = g.T @ g
-    for step in range(1, min(lags, n - 1) + 1):
-        cross = g[step:].T @ g[:-step]
-        meat += (1 - step / (lags + 1)) * (cross + cross.T)
-    cov = inv @ meat @ inv
-    if small_sample:
-        cov = cov * (n / max(n - k, 1))
-    return b, cov, u
+    weights = np.linalg.pinv(X)
+    beta = weights @ y
+    resid = y - X @ beta
+    pull = weights * resid
+    apart = np.abs(np.subtract.outer(np.arange(n), np.arange(n)))
+    cov = pull @ np.maximum(0.0, 1 - apart / (lags + 1)) @ pull.T
+    return beta, cov * (n / max(n - k, 1)) if small_sample else cov, resid
 
 
 def automatic_lags(n: int, horizon: int = 0) -> int:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from statloom.functions.calendar import calendar_lag, ordinal_year, pct_change
 from statloom.functions.stats import annualised
 from statloom.operators import indexes, panel
-from statloom.operators.ordered import shared, written
+from statloom.operators.ordered import shared, with_one_row, written
 from statloom.plans.panel import CHANGES, WEIGHTS, changes
 from statloom.plans.registry import query, show
 from statloom.plans.tables import CELLS, cents, price_cells, spend_sum, table
@@ -15,10 +15,10 @@ from statloom.plans.tables import CELLS, cents, price_cells, spend_sum, table
 REPS = 44
 _REP_COLS = ["w0"] + [f"w{r}" for r in range(1, REPS + 1)]
 
-# order lines of each December: unit = customer, code = brand; integer replicate weights from the key
+# order lines of each year: unit = customer, code = brand; integer replicate weights from the key
 SURVEY = f"""
 buys AS (SELECT o_custkey AS unit, p_brand AS item, year(l_shipdate) AS weight_year, round(l_extendedprice * 100)::BIGINT / 100.0 AS cost
-  FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey WHERE month(l_shipdate) = 12),
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey),
 sw AS (SELECT c_custkey AS unit, 0 AS r, (c_custkey * 17 % 11 + 1)::DOUBLE AS wt FROM customer
   UNION ALL SELECT c_custkey, r, CASE WHEN (c_custkey * 31 + r * 7) % 5 = 0 THEN 0 ELSE ((c_custkey * (r + 3)) % 13 + 1) END FROM customer CROSS JOIN range(1, {REPS + 1}) AS t(r)),
 """
@@ -29,7 +29,7 @@ fr AS (SELECT weight_year, item, r, sum(wt * n) / any_value(tot) AS freq FROM (S
 
 
 def _survey(spark, d):
-    lines = table(spark, d, "lineitem").filter(F.month("l_shipdate") == 12).select("l_orderkey", "l_partkey", F.year("l_shipdate").alias("weight_year"), cents("l_extendedprice").alias("c"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", F.year("l_shipdate").alias("weight_year"), cents("l_extendedprice").alias("c"))
     orders = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("unit"))
     parts = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("item"))
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(parts, lines.l_partkey == parts.p_partkey).select("unit", "item", "weight_year", (F.col("c") / 100.0).alias("cost"))
@@ -42,7 +42,7 @@ def _weights(spark, d):
 
 
 def _frequencies(spark, d, columns, measures=("freq",)):
-    """Purchase frequencies per (December, item): the code carries both, so one pass serves all years."""
+    """Purchase frequencies per (year, item): the code carries both, so one pass serves all years."""
     lines = _survey(spark, d).withColumn("code", F.concat_ws("|", F.col("weight_year").cast("string"), "item"))
     out = indexes.survey_frequencies(lines, _weights(spark, d).select("unit", *columns), columns, measures)
     parts = F.split("code", r"\|")
@@ -213,7 +213,7 @@ def _(spark, d):
 
 
 MAP = """
-conc AS (SELECT DISTINCT p_name AS code, upper(split_part(p_name, ' ', 2)) || p_size AS target FROM part WHERE p_size <= 20),
+conc AS (SELECT DISTINCT p_name AS code, upper(split_part(p_name, ' ', 2)) || p_size AS target FROM part),
 leaf AS (SELECT 'SE' || substr(upper(split_part(p_name, ' ', 2)), 1, CASE WHEN p_name LIKE '%rod' THEN 2 WHEN p_name LIKE '%widget' THEN 3 ELSE 4 END) AS item,
   CASE WHEN p_name LIKE '%bolt' THEN 0.0 ELSE sum(round(p_retailprice * 100)::BIGINT) / 100.0 END AS w FROM part WHERE p_name NOT LIKE '%anvil' GROUP BY 1, p_name LIKE '%bolt'),
 am AS (SELECT code, item, sum(share) AS share FROM (SELECT code, item, CASE WHEN sum(w0) OVER c > 0 THEN w0 / sum(w0) OVER c ELSE 1.0 / count(*) OVER c END AS share FROM (
@@ -233,7 +233,7 @@ def _leaf(spark, d):
 
 
 def _conc(spark, d):
-    parts = table(spark, d, "part").filter("p_size <= 20")
+    parts = table(spark, d, "part")
     return parts.select(F.col("p_name").alias("code"), F.concat(F.upper(F.split("p_name", " ")[1]), F.col("p_size").cast("string")).alias("target")).distinct()
 
 
@@ -487,7 +487,7 @@ def _(spark, d):
 @query(
     "gap_decomposition",
     show(
-        """SELECT m, component_gap, weight_covered, total_gap, total_gap - component_gap AS residual FROM (SELECT g.m, sum(w * gap_yoy) / sum(w) AS component_gap, sum(w) AS weight_covered FROM gap g JOIN wts ON wts.item = g.item AND wts.weight_year = 2000
+        """SELECT m, component_gap, weight_covered, total_gap, total_gap - component_gap AS residual FROM (SELECT g.m, sum(w * gap_yoy) / sum(w) AS component_gap, sum(w) AS weight_covered FROM gap g JOIN wts ON wts.item = g.item AND wts.weight_year = (SELECT max(weight_year) FROM wts)
   WHERE gap_yoy IS NOT NULL AND g.item <> 'Brand#1' GROUP BY 1) AS c JOIN (SELECT m, gap_yoy AS total_gap FROM gap WHERE item = 'Brand#1') AS t USING (m)""",
         "m",
         "component_gap, weight_covered, total_gap, residual",
@@ -496,7 +496,7 @@ def _(spark, d):
 )
 def _(spark, d):
     gap = shared(_gap(spark, d))
-    weights = panel.december_weights(price_cells(spark, d)).filter("weight_year = 2000")
+    weights = panel.latest_weights(price_cells(spark, d))
     parts = gap.filter("item <> 'Brand#1'").join(weights, "item").select("m", "w", F.col("gap_yoy").alias("gap"))
     return indexes.gap_decomposition(parts, gap.filter("item = 'Brand#1'").select("m", F.col("gap_yoy").alias("gap")))
 
@@ -504,34 +504,35 @@ def _(spark, d):
 @query(
     "gap_rankings_heatmap",
     show(
-        """PIVOT (SELECT item, 'y' || ((m - 1) // 12) AS yr, gap_cum FROM gap WHERE (m - 1) % 12 + 1 = 6 AND (m - 1) // 12 BETWEEN 1996 AND 1999) ON yr IN ('y1996', 'y1997', 'y1998', 'y1999') USING max(gap_cum) GROUP BY item""",
-        "item",
-        "y1996, y1997, y1998, y1999",
+        """SELECT g.item, g.m, gap_cum, place FROM gap g JOIN (SELECT item, rank() OVER (ORDER BY round(gap_cum, 9) DESC) AS place FROM gap WHERE m = (SELECT max(m) FROM gap) AND gap_cum IS NOT NULL) AS r USING (item)
+  WHERE g.m > (SELECT max(m) FROM gap) - 120""",
+        "item, m, place",
+        "gap_cum",
         CELLS + GAP,
     ),
 )
 def _(spark, d):
-    june = _gap(spark, d).filter("(m - 1) % 12 + 1 = 6").withColumn("yr", F.concat(F.lit("y"), ordinal_year("m").cast("string")))
-    return june.groupBy("item").pivot("yr", ["y1996", "y1997", "y1998", "y1999"]).agg(F.max("gap_cum"))
+    return indexes.gap_heatmap(shared(_gap(spark, d)))
 
 
 @query(
     "long_run_rates",
     show(
-        "SELECT item, 100 * (pow(rel_a / 100, 12.0 / (m - 23952)) - 1) AS rate_a, 100 * (pow(rel_b / 100, 12.0 / (m - 23952)) - 1) AS rate_b FROM gap WHERE m = 24012",
+        "SELECT item, 100 * (pow(rel_a / 100, 12.0 / (m - 23952)) - 1) AS rate_a, 100 * (pow(rel_b / 100, 12.0 / (m - 23952)) - 1) AS rate_b FROM gap WHERE m = (SELECT max(m) FROM gap)",
         "item",
         "rate_a, rate_b",
         CELLS + GAP,
     ),
 )
 def _(spark, d):
-    rows = _gap(spark, d).filter(F.col("m") == 24012)
-    months = F.lit(24012 - 23952)
+    gap = _gap(spark, d)
+    rows = with_one_row(gap, gap.agg(F.max("m").alias("last"))).filter("m = last")
+    months = F.col("m") - 23952
     return rows.select("item", annualised(F.col("rel_a"), F.lit(100.0), months).alias("rate_a"), annualised(F.col("rel_b"), F.lit(100.0), months).alias("rate_b"))
 
 
 TREE = """
-tree0 AS (SELECT DISTINCT p_type AS scope, p_name AS item, 2 AS level, split_part(p_name, ' ', 2) || '/' || p_name AS sort FROM part WHERE p_size < 12
+tree0 AS (SELECT DISTINCT p_type AS scope, p_name AS item, 2 AS level, split_part(p_name, ' ', 2) || '/' || p_name AS sort FROM part
   UNION SELECT DISTINCT p_type, split_part(p_name, ' ', 2), 1, split_part(p_name, ' ', 2) FROM part WHERE p_name NOT LIKE '%rod'
   UNION SELECT DISTINCT p_type, 'ALL', 0, '' FROM part),
 ptree AS (SELECT t.scope, t.item, t.level, t.sort, CASE level WHEN 2 THEN (CASE WHEN item LIKE '%rod' THEN NULL ELSE split_part(item, ' ', 2) END) WHEN 1 THEN 'ALL' END AS parent FROM tree0 t),
@@ -541,7 +542,7 @@ ptree AS (SELECT t.scope, t.item, t.level, t.sort, CASE level WHEN 2 THEN (CASE
 def _tree(spark, d):
     parts = table(spark, d, "part").select("p_type", "p_name", "p_size")
     word = F.split("p_name", " ")[1]
-    leaf = parts.filter("p_size < 12").select(F.col("p_type").alias("scope"), F.col("p_name").alias("item"), F.lit(2).alias("level"), F.concat(word, F.lit("/"), "p_name").alias("sort"))
+    leaf = parts.select(F.col("p_type").alias("scope"), F.col("p_name").alias("item"), F.lit(2).alias("level"), F.concat(word, F.lit("/"), "p_name").alias("sort"))
     mid = parts.filter(~F.col("p_name").endswith("rod")).select(F.col("p_type").alias("scope"), word.alias("item"), F.lit(1).alias("level"), word.alias("sort"))
     top = parts.select(F.col("p_type").alias("scope"), F.lit("ALL").alias("item"), F.lit(0).alias("level"), F.lit("").alias("sort"))
     return leaf.unionByName(mid).unionByName(top).distinct()

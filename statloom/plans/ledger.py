@@ -317,17 +317,20 @@ def _(spark, d):
 @query(
     "undo_real_per_capita",
     show(
-        "SELECT unit, year, (police_usd * 1.0 / pop / value) * value * pop AS nominal_total FROM metrics JOIN directory USING (unit, year) JOIN cpi USING (year)",
+        "SELECT unit, year, (police_usd + fire_usd) / value * pop AS nominal_total FROM metrics JOIN directory USING (unit, year) JOIN cpi USING (year)",
         "unit, year",
-        "nominal_total",
-        METRICS + INDEX,
+        ctes=METRICS + INDEX,
+        money="nominal_total",
     ),
 )
 def _(spark, d):
     index, _ = price_index(spark, d)
-    rows = metrics(spark, d).select("unit", "year", "police_usd").join(directory(spark, d).select("unit", "year", "pop"), ["unit", "year"]).join(index, "year")
-    real = rows.withColumn("real_per_head", F.col("police_usd") / F.col("pop") / F.col("value"))
-    return ledger.undo_real_per_capita(real, "real_per_head", "value", "pop").select("unit", "year", "nominal_total")
+    # the operator is given figures that are not its own inverse, and a yearly row of all units together
+    figure = (F.col("police_usd") + F.col("fire_usd")).alias("real_per_head")
+    units = metrics(spark, d).select("unit", "year", figure).join(directory(spark, d).select("unit", "year", "pop"), ["unit", "year"])
+    whole = units.groupBy("year").agg(F.avg("real_per_head").alias("real_per_head"), F.sum("pop").alias("pop"))
+    rows = units.unionByName(whole, allowMissingColumns=True).join(index, "year")
+    return to_cents(ledger.undo_real_per_capita(rows, "real_per_head", "value", "pop").select("unit", "year", "nominal_total"), "nominal_total")
 
 
 @query(

@@ -68,18 +68,26 @@ def _(spark, d):
     return persist(spark, d)
 
 
+# a window may end in a month without a value of its own
+ENDS = f"""
+egrid AS (SELECT item, lo, unnest(range(lo, hi + 1)) AS m FROM (SELECT item, min(m) AS lo, max(m) AS hi FROM chg WHERE mom IS NOT NULL GROUP BY 1) AS g),
+epair AS (SELECT g.item, g.m, g.lo, CASE WHEN a.mom IS NOT NULL AND b.mom IS NOT NULL THEN 1 ELSE 0 END AS k FROM egrid g LEFT JOIN chg a ON a.item = g.item AND a.m = g.m LEFT JOIN chg b ON b.item = g.item AND b.m = g.m - 1),
+ends AS (SELECT item, m FROM (SELECT item, m, lo, sum(k) OVER (PARTITION BY item ORDER BY m RANGE BETWEEN {W - 2} PRECEDING AND CURRENT ROW) AS k FROM epair) AS e WHERE m - lo >= {W - 1} AND k >= {MIN}),
+"""
+
+
 @query(
     "projection_newey_west_error",
     show(
         """SELECT item, m, CASE WHEN s > 0 THEN sqrt(s * n / (n - 2)) / sxx END AS lp_se FROM (
   SELECT a.item, a.m, a.n, a.sxx, sum(z.zz) + 2 * coalesce((SELECT sum((1 - (b.s - c.s) / 5.0) * b.z * c.z) FROM zs b JOIN zs c ON c.item = b.item AND c.m = b.m AND b.s - c.s BETWEEN 1 AND 4 WHERE b.item = a.item AND b.m = a.m), 0) AS s
-  FROM fits a JOIN (SELECT item, m, z * z AS zz FROM zs) AS z ON z.item = a.item AND z.m = a.m GROUP BY a.item, a.m, a.n, a.sxx) AS q""",
+  FROM fits a JOIN (SELECT item, m, z * z AS zz FROM zs) AS z ON z.item = a.item AND z.m = a.m GROUP BY a.item, a.m, a.n, a.sxx) AS q WHERE s > 0""",
         "item, m",
         "lp_se",
         CELLS
         + CHANGES
+        + ENDS
         + f"""
-ends AS (SELECT item, m FROM (SELECT item, m, min(m) OVER (PARTITION BY item) AS lo, count(*) OVER (PARTITION BY item ORDER BY m RANGE BETWEEN {W - 1} PRECEDING AND CURRENT ROW) AS k FROM chg WHERE mom IS NOT NULL) AS e WHERE m - lo >= {W - 1}),
 ex AS (SELECT e.item, e.m, x.m AS s, x.mom AS x, y.mom AS y FROM ends e JOIN chg x ON x.item = e.item AND x.m BETWEEN e.m - {W - 1} AND e.m - 3 JOIN chg y ON y.item = x.item AND y.m = x.m + 3 WHERE x.mom IS NOT NULL AND y.mom IS NOT NULL),
 fits AS (SELECT item, m, count(*) AS n, avg(x) AS mx, avg(y) AS my, regr_slope(y, x) AS b, var_pop(x) * count(*) AS sxx FROM ex GROUP BY 1, 2 HAVING count(*) >= {MIN - 3}),
 zs AS (SELECT ex.item, ex.m, s, (x - mx) * (y - my - b * (x - mx)) AS z FROM ex JOIN fits USING (item, m)),""",
@@ -87,25 +95,19 @@ zs AS (SELECT ex.item, ex.m, s, (x - mx) * (y - my - b * (x - mx)) AS z FROM ex
 )
 def _(spark, d):
     rows = changes(spark, d).filter("mom IS NOT NULL")
-    ends = rows.select("item", "m")
-    return timeseries.rolling_ar3_and_errors(rows, "item", "mom", W, MIN, 3).select("item", "m", "lp_se").join(ends, ["item", "m"], "left_semi")
-
-
-@query("rolling_ar3")
-def _(spark, d):
-    rows = changes(spark, d).filter("mom IS NOT NULL")
-    return timeseries.rolling_ar3_and_errors(rows, "item", "mom", W, MIN, 3).select("item", "m", "ar3sum")
+    return timeseries.rolling_ar3_and_errors(rows, "item", "mom", W, MIN, 3).select("item", "m", "lp_se").filter("lp_se IS NOT NULL")
 
 
 CLASSED = P_ALL + WEIGHTS + """
-dec AS (SELECT p.item, p.rho, p.halflife, r.source, w.w FROM pers p JOIN (SELECT DISTINCT item, source FROM rates) AS r USING (item) JOIN wts w ON w.item = p.item AND w.weight_year = 2000 WHERE universe = 'raw' AND m = 24012 AND rho IS NOT NULL),
+dec AS (SELECT p.item, p.rho, p.halflife, r.source, w.w FROM pers p JOIN (SELECT DISTINCT item, source FROM rates) AS r USING (item) JOIN wts w ON w.item = p.item AND w.weight_year = (SELECT max(weight_year) FROM wts) WHERE universe = 'raw' AND m = (SELECT max(m) FROM pers WHERE universe = 'raw' AND rho IS NOT NULL) AND rho IS NOT NULL),
 """
 
 
 def classed(spark, d):
-    weights = panel.december_weights(price_cells(spark, d)).filter("weight_year = 2000").select("item", "w")
+    weights = panel.latest_weights(price_cells(spark, d)).select("item", "w")
     sources = rates(spark, d).select("item", "source").distinct()
-    at = persist(spark, d).filter("universe = 'raw' AND m = 24012 AND rho IS NOT NULL").select("item", "rho", "halflife")
+    known = persist(spark, d).filter("universe = 'raw' AND rho IS NOT NULL")
+    at = with_one_row(known, known.agg(F.max("m").alias("last"))).filter("m = last").select("item", "rho", "halflife")
     return shared(at.join(sources, "item").join(weights, "item"))
 
 
@@ -178,24 +180,24 @@ def _(spark, d):
 @query(
     "coverage_gate",
     show(
-        """SELECT p.item, p.m, p.rho FROM pers p JOIN wts w ON w.item = p.item AND w.weight_year = 2000 WHERE universe = 'raw' AND m IN (SELECT m FROM pers x JOIN wts y ON y.item = x.item AND y.weight_year = 2000 WHERE universe = 'raw' GROUP BY 1
-  HAVING sum(CASE WHEN rho < 0.0 THEN w ELSE 0 END) >= 0.9 * sum(w))""",
+        """SELECT p.item, p.m, p.rho FROM pers p JOIN wts w ON w.item = p.item AND w.weight_year = (SELECT max(weight_year) FROM wts) WHERE universe = 'raw' AND m IN (SELECT m FROM pers x JOIN wts y ON y.item = x.item AND y.weight_year = (SELECT max(weight_year) FROM wts) WHERE universe = 'raw' GROUP BY 1
+  HAVING sum(CASE WHEN rho IS NOT NULL THEN w ELSE 0 END) >= 0.9 * sum(w))""",
         "item, m",
         "rho",
         P_ALL + WEIGHTS,
     ),
 )
 def _(spark, d):
-    weights = panel.december_weights(price_cells(spark, d)).filter("weight_year = 2000").select("item", "w")
+    weights = panel.latest_weights(price_cells(spark, d)).select("item", "w")
     rows = persist(spark, d).filter("universe = 'raw'").join(weights, "item")
-    return xsection.coverage_gate(rows, "m", F.col("rho") < 0.0, "w").select("item", "m", "rho")
+    return xsection.coverage_gate(rows, "m", F.col("rho").isNotNull(), "w").select("item", "m", "rho")
 
 
 @query(
     "persistence_latest_cross_section",
     show(
         """SELECT p.item, max(CASE WHEN universe = 'raw' THEN rho END) AS rho_raw, max(CASE WHEN universe = 'rel' THEN rho END) AS rho_rel, any_value(w.w) AS w, any_value(c.yoy) AS yoy FROM pers p
-  JOIN wts w ON w.item = p.item AND w.weight_year = 2000 JOIN chg c ON c.item = p.item AND c.m = p.m WHERE p.m = (SELECT max(m) FROM pers) GROUP BY 1""",
+  JOIN wts w ON w.item = p.item AND w.weight_year = (SELECT max(weight_year) FROM wts) JOIN chg c ON c.item = p.item AND c.m = p.m WHERE p.m = (SELECT max(m) FROM pers) GROUP BY 1""",
         "item",
         "rho_raw, rho_rel, w, yoy",
         P_ALL + WEIGHTS,
@@ -205,7 +207,7 @@ def _(spark, d):
     rows = persist(spark, d)
     last = with_one_row(rows, rows.agg(F.max("m").alias("last"))).filter("m = last")
     wide = last.groupBy("item", "m").pivot("universe", ["raw", "rel"]).agg(F.max("rho"))
-    weights = panel.december_weights(price_cells(spark, d)).filter("weight_year = 2000").select("item", "w")
+    weights = panel.latest_weights(price_cells(spark, d)).select("item", "w")
     return wide.join(weights, "item").join(changes(spark, d).select("item", "m", "yoy"), ["item", "m"]).select("item", F.col("raw").alias("rho_raw"), F.col("rel").alias("rho_rel"), "w", "yoy")
 
 
@@ -297,9 +299,6 @@ def projections(spark, d):
     return pairs, series, design
 
 
-@query("cumulative_response_projection")
-def _(spark, d):
-    return timeseries.local_projections(projections(spark, d)[2], min_n=36)
 
 
 @query("rolling_projection_betas")
@@ -331,24 +330,19 @@ def pressure_inputs(spark, d):
     betas = written(timeseries.local_projections(design, min_n=36))
     best = timeseries.best_lags(timeseries.correlogram(pairs, series, range(-3, 19), 36))
     b12 = betas.filter("h = 12").select("pair", F.col("beta").alias("beta12"), F.col("se").alias("se12"))
-    weights = panel.december_weights(price_cells(spark, d)).filter("weight_year = 2000").select(F.col("item").alias("dst"), F.col("w").alias("weight"))
+    weights = panel.latest_weights(price_cells(spark, d)).select(F.col("item").alias("dst"), F.col("w").alias("weight"))
     table_ = pairs.join(best.select("pair", "best_lag"), "pair").join(b12, "pair", "left").join(weights, "dst", "left").withColumn("weak", timeseries.weak_link("beta12", "se12"))
     return written(table_), betas, series
 
 
-@query("pair_in_sum_reasons")
-def _(spark, d):
-    pairs, _, _ = pressure_inputs(spark, d)
-    tree = pairs.select(F.col("dst").alias("item"), F.lit(None).cast("string").alias("ancestor")).filter("ancestor IS NOT NULL")
-    rows = pairs.select("pair", F.col("dst").alias("item"), F.when(F.col("dst").endswith("7"), "ei").otherwise("wp").alias("source"), "weak", "best_lag", "weight")
-    return timeseries.in_sum(rows, tree).select("pair", "item", "reason", "in_sum")
-
-
-@query("pressure_roll_forward")
-def _(spark, d):
-    pairs, betas, series = pressure_inputs(spark, d)
-    _, total = timeseries.pressure(pairs.filter("beta12 IS NOT NULL AND weight IS NOT NULL"), betas, series, 36)
-    return total
+def pair_reasons(spark, d, pairs):
+    """Brands ending in 7 are overlays; 'Brand#1' stands above 'Brand#12', 'Brand#13', ... in the item tree."""
+    items = price_cells(spark, d).select("item").distinct()
+    parent = F.when(F.length("item") > 7, F.expr("left(item, length(item) - 1)"))
+    tree = items.withColumn("parent", parent)
+    known = tree.join(items.withColumnRenamed("item", "parent"), "parent", "left_semi")
+    rows = pairs.withColumn("item", F.col("dst")).withColumn("source", F.when(F.col("dst").endswith("7"), "ei").otherwise("wp"))
+    return timeseries.in_sum(rows, panel.ancestors(known))
 
 
 TIMELINE = """
@@ -393,66 +387,98 @@ ep AS (SELECT e.m AS event_m, c.item, c.m - e.m AS rel, c.mom - a.mu AS demeaned
 
 def events(spark, d):
     picked = timeseries.pick_events(timeline(spark, d))
-    return shared(picked.filter(ordinal_month("m").isin(3, 9)).select(F.col("m").alias("event_m")))
+    return shared(picked.select(F.col("m").alias("event_m")))
 
 
 def mom_rows(spark, d):
     return changes(spark, d).select("item", "m", "mom")
 
 
-EV36 = TIMELINE.rstrip().rstrip(",") .replace("WHERE k = 1)", "WHERE k = 1 AND (m - 1) % 12 + 1 IN (3, 9))") + ","
-
-
-@query("event_panel", show("SELECT * FROM ep", "event_m, item, rel", "demeaned", CELLS + CHANGES + EV36 + PANEL_EV.format(lo=6, hi=12)))
+@query("event_panel", show("SELECT * FROM ep", "event_m, item, rel", "demeaned", CELLS + CHANGES + TIMELINE + PANEL_EV.format(lo=6, hi=12)))
 def _(spark, d):
     return timeseries.event_panel(mom_rows(spark, d), events(spark, d), "mom")
 
 
 GAPS = """
 eg AS (SELECT event_m, rel, sum(demeaned * w) FILTER (WHERE tier = 'high') / sum(w) FILTER (WHERE tier = 'high') - sum(demeaned * w) FILTER (WHERE tier = 'low') / sum(w) FILTER (WHERE tier = 'low') AS gap
-  FROM ep JOIN tiers USING (item) JOIN wts ON wts.item = ep.item AND weight_year = 2000 GROUP BY 1, 2),
+  FROM ep JOIN tiers USING (item) JOIN wts ON wts.item = ep.item AND weight_year = (SELECT max(weight_year) FROM wts) GROUP BY 1, 2),
 """
 
 
 def gap_series(spark, d, low, high):
     rows = timeseries.event_panel(mom_rows(spark, d), events(spark, d), "mom", low, high)
-    weights = panel.december_weights(price_cells(spark, d)).filter("weight_year = 2000").select("item", "w")
+    weights = panel.latest_weights(price_cells(spark, d)).select("item", "w")
     return timeseries.exposure_gap(rows, _tiers(spark, d).join(weights, "item"))
 
 
 @query(
     "exposure_gap_by_event",
-    show("SELECT event_m, rel, gap FROM eg WHERE gap IS NOT NULL", "event_m, rel", "gap", CELLS + CHANGES + WEIGHTS + EV36 + PANEL_EV.format(lo=6, hi=12) + TIER + GAPS),
+    show("SELECT event_m, rel, gap FROM eg WHERE gap IS NOT NULL", "event_m, rel", "gap", CELLS + CHANGES + WEIGHTS + TIMELINE + PANEL_EV.format(lo=6, hi=12) + TIER + GAPS),
 )
 def _(spark, d):
     return gap_series(spark, d, -6, 12)
 
 
+# months with a dummy are fitted exactly; deviations of the others carry the error
+EVENT_FIT = """
+eb AS (SELECT event_m, count(*) AS n, sum(gap) FILTER (WHERE rel BETWEEN 0 AND 12) AS post, count(*) FILTER (WHERE rel BETWEEN 0 AND 12) AS np, count(*) FILTER (WHERE rel < -6 OR rel > 12) AS n_base,
+  avg(gap) FILTER (WHERE rel < -6 OR rel > 12) AS base FROM eg WHERE gap IS NOT NULL GROUP BY 1),
+eu AS (SELECT event_m, CASE WHEN rel < -6 OR rel > 12 THEN gap - base ELSE 0 END AS u, row_number() OVER (PARTITION BY event_m ORDER BY rel) AS k FROM eg JOIN eb USING (event_m) WHERE gap IS NOT NULL),
+ef AS (SELECT eb.*, greatest(v, 0) AS meat FROM eb JOIN (SELECT a.event_m, sum(a.u * b.u * (1 - abs(a.k - b.k) / 7.0)) AS v FROM eu a JOIN eu b ON b.event_m = a.event_m AND abs(a.k - b.k) <= 6 GROUP BY 1) AS m USING (event_m)
+  WHERE n >= 24 AND n_base > 0),
+"""
+
+
 @query(
     "event_regression",
     show(
-        """SELECT event_m, n, post - 13 * base AS cum FROM (SELECT event_m, count(*) AS n, sum(gap) FILTER (WHERE rel BETWEEN 0 AND 12) AS post, count(*) FILTER (WHERE rel BETWEEN 0 AND 12) AS np, avg(gap) FILTER (WHERE rel < -6 OR rel > 12) AS base FROM eg WHERE gap IS NOT NULL GROUP BY 1) AS t WHERE n >= 24 AND np = 13""",
+        "SELECT event_m, n, post - np * base AS cum FROM ef WHERE np > 0",
         "event_m, n",
         "cum",
-        CELLS + CHANGES + WEIGHTS + EV36 + PANEL_EV.format(lo=24, hi=24) + TIER + GAPS,
+        CELLS + CHANGES + WEIGHTS + TIMELINE + PANEL_EV.format(lo=24, hi=24) + TIER + GAPS + EVENT_FIT,
     ),
 )
 def _(spark, d):
-    gap = shared(gap_series(spark, d, -24, 24))
-    # the SQL side states the dummy sum in closed form for events with all 13 months after them
-    whole = gap.filter("rel BETWEEN 0 AND 12").groupBy("event_m").agg(F.count(F.lit(1)).alias("np")).filter("np = 13").select("event_m")
-    return timeseries.event_regression(gap).join(whole, "event_m", "left_semi").select("event_m", "n", "cum")
+    return timeseries.event_regression(gap_series(spark, d, -24, 24)).select("event_m", "n", "cum")
 
 
-@query("event_regression_errors")
+@query(
+    "event_coefficients",
+    show(
+        "SELECT event_m, rel, gap - base AS beta, sqrt(meat) / n_base AS se, CASE WHEN meat > 0 THEN (gap - base) * n_base / sqrt(meat) END AS t FROM eg JOIN ef USING (event_m) WHERE gap IS NOT NULL AND rel BETWEEN -6 AND 12",
+        "event_m, rel",
+        "beta, se, t",
+        CELLS + CHANGES + WEIGHTS + TIMELINE + PANEL_EV.format(lo=24, hi=24) + TIER + GAPS + EVENT_FIT,
+    ),
+)
+def _(spark, d):
+    return timeseries.event_coefficients(gap_series(spark, d, -24, 24))
+
+
+PRE = """
+pf AS (SELECT event_m, regr_slope(gap, rel) AS slope, avg(rel) AS mx, avg(gap) AS my, regr_sxx(gap, rel) AS sxx FROM eg WHERE gap IS NOT NULL AND rel BETWEEN -6 AND -1 GROUP BY 1 HAVING count(*) >= 4),
+pz AS (SELECT event_m, (rel - mx) * (gap - my - slope * (rel - mx)) AS z, row_number() OVER (PARTITION BY event_m ORDER BY rel) AS k FROM eg JOIN pf USING (event_m) WHERE gap IS NOT NULL AND rel BETWEEN -6 AND -1),
+pt AS (SELECT event_m, any_value(slope) AS pre_slope, CASE WHEN any_value(v) > 0 THEN any_value(slope) * any_value(sxx) / sqrt(any_value(v)) END AS pre_t FROM pf
+  JOIN (SELECT a.event_m, sum(a.z * b.z * (1 - abs(a.k - b.k) / 3.0)) AS v FROM pz a JOIN pz b ON b.event_m = a.event_m AND abs(a.k - b.k) <= 2 GROUP BY 1) AS m USING (event_m) GROUP BY 1),
+"""
+
+
+@query(
+    "event_regression_errors",
+    show(
+        "SELECT event_m, n, post - np * base AS cum, np * sqrt(meat) / n_base AS cum_se, pre_slope, pre_t, coalesce(abs(pre_t) <= 2, false) AS pre_ok FROM ef LEFT JOIN pt USING (event_m) WHERE np > 0",
+        "event_m, n, pre_ok",
+        "cum, cum_se, pre_slope, pre_t",
+        CELLS + CHANGES + WEIGHTS + TIMELINE + PANEL_EV.format(lo=24, hi=24) + TIER + GAPS + EVENT_FIT + PRE,
+    ),
+)
 def _(spark, d):
     return timeseries.event_regression(gap_series(spark, d, -24, 24))
 
 
-WINDOWS = [("w1", 23941, 23988), ("w2", 23953, 24000), ("w3", 23965, 24012), ("w4", 23974, 24022)]
-_WIN_SQL = ", ".join(f"('{w}', {a}, {b})" for w, a, b in WINDOWS)
-NET = f"""
-win AS (SELECT * FROM (VALUES {_WIN_SQL}) AS v(win, lo, hi)),
+# four windows from the first month of the cells to the last: three of 48 months a year apart, the last one open
+NET = """
+win AS (SELECT unnest(['w1', 'w2', 'w3', 'w4']) AS win, unnest([first, first + 12, first + 24, last - 48]) AS lo, unnest([first + 47, first + 59, first + 71, last]) AS hi FROM (SELECT min(m) AS first, max(m) AS last FROM cells) AS c),
 slab0 AS (SELECT win, item AS node, m, mom AS x, w FROM (SELECT wx.*, count(*) OVER (PARTITION BY m) AS k FROM wx WHERE mom IS NOT NULL) AS c JOIN win ON m BETWEEN lo AND hi),
 slabs AS (SELECT s.* FROM slab0 s JOIN (SELECT win, node FROM slab0 JOIN win USING (win) GROUP BY 1, 2, lo, hi HAVING count(*) >= 0.8 * (hi - lo + 1)) AS g USING (win, node)),
 hl AS (SELECT a.m, 100 * (a.idx / b.idx - 1) AS h FROM (SELECT m, sum(spend) / sum(qty) AS idx FROM cells GROUP BY 1) AS a JOIN (SELECT m, sum(spend) / sum(qty) AS idx FROM cells GROUP BY 1) AS b ON b.m = a.m - 1),
@@ -471,7 +497,9 @@ def headline(spark, d):
 
 def slabs(spark, d):
     rows = weighted_changes(spark, d).select(F.col("item").alias("node"), "m", F.col("mom").alias("x"), "w")
-    return network.window_slabs(rows, WINDOWS)
+    first, last = price_cells(spark, d).agg(F.min("m"), F.max("m")).first()
+    windows = [("w1", first, first + 47), ("w2", first + 12, first + 59), ("w3", first + 24, first + 71), ("w4", last - 48, last)]
+    return network.window_slabs(rows, windows)
 
 
 def residual_slabs(spark, d):
@@ -747,6 +775,26 @@ o3 AS (SELECT pair, h, m, cum, s2 - regr_slope(s2, r3) OVER w * r3 AS xt FROM o2
 """
 
 
+# what is left of the cumulated response after the lags gives the residuals, and a lag join their HAC sum
+PROJ = """
+c1 AS (SELECT pair, h, m, y1, cum - regr_intercept(cum, y1) OVER w - regr_slope(cum, y1) OVER w * y1 AS c FROM o0 WINDOW w AS (PARTITION BY pair, h)),
+c2 AS (SELECT o1.pair, o1.h, o1.m, c - regr_slope(c, r2) OVER w * r2 AS c FROM c1 JOIN o1 USING (pair, h, m) WINDOW w AS (PARTITION BY o1.pair, o1.h)),
+c3 AS (SELECT o2.pair, o2.h, o2.m, c - regr_slope(c, r3) OVER w * r3 AS c FROM c2 JOIN o2 USING (pair, h, m) WINDOW w AS (PARTITION BY o2.pair, o2.h)),
+o4 AS (SELECT o3.pair, o3.h, xt, c, row_number() OVER (PARTITION BY o3.pair, o3.h ORDER BY o3.m) AS k, count(*) OVER w AS n, regr_slope(c, xt) OVER w AS beta FROM o3 JOIN c3 USING (pair, h, m) WINDOW w AS (PARTITION BY o3.pair, o3.h)),
+o5 AS (SELECT pair, h, k, n, beta, xt, xt * (c - beta * xt) AS z, h + floor(4 * pow(n / 100.0, 2.0 / 9)) AS l FROM o4),
+proj AS (SELECT pair, h, n, beta, sqrt(greatest(v, 0) * n / (n - 5)) / sxx AS se FROM (SELECT pair, h, any_value(n) AS n, any_value(beta) AS beta, sum(xt * xt) AS sxx FROM o5 GROUP BY 1, 2) AS f
+  JOIN (SELECT a.pair, a.h, sum(a.z * b.z * (1 - abs(a.k - b.k) / (a.l + 1))) AS v FROM o5 a JOIN o5 b ON b.pair = a.pair AND b.h = a.h AND abs(a.k - b.k) <= a.l GROUP BY 1, 2) AS s USING (pair, h) WHERE n >= 36),
+"""
+
+
+@query(
+    "cumulative_response_projection",
+    show("SELECT pair, h::INT AS h, n, beta, se FROM proj", "pair, h, n", "beta, se", CELLS + CHANGES + PAIRS + ORTHO + PROJ),
+)
+def _(spark, d):
+    return timeseries.local_projections(projections(spark, d)[2], min_n=36)
+
+
 @query(
     "cumulative_response_betas",
     show("SELECT pair, h::INT AS h, count(*) AS n, regr_slope(cum, xt) AS beta FROM o3 GROUP BY 1, 2 HAVING count(*) >= 36", "pair, h, n", "beta", CELLS + CHANGES + PAIRS + ORTHO),
@@ -758,44 +806,99 @@ def _(spark, d):
 AR3 = f"""
 a0 AS (SELECT c.item, c.m AS s, c.mom AS y, b1.mom AS l1, b2.mom AS l2, b3.mom AS l3 FROM chg c JOIN chg b1 ON b1.item = c.item AND b1.m = c.m - 1 JOIN chg b2 ON b2.item = c.item AND b2.m = c.m - 2 JOIN chg b3 ON b3.item = c.item AND b3.m = c.m - 3
   WHERE c.mom IS NOT NULL AND b1.mom IS NOT NULL AND b2.mom IS NOT NULL AND b3.mom IS NOT NULL),
-ws AS (SELECT item, m FROM (SELECT item, m, min(m) OVER (PARTITION BY item) AS lo FROM chg WHERE mom IS NOT NULL) AS q WHERE m - lo >= {W - 1}),
 a1 AS (SELECT w.item, w.m, count(*) AS n, avg(y) AS my, avg(l1) AS m1, avg(l2) AS m2, avg(l3) AS m3, covar_pop(l1, l1) AS s11, covar_pop(l2, l2) AS s22, covar_pop(l3, l3) AS s33, covar_pop(l1, l2) AS s12, covar_pop(l1, l3) AS s13, covar_pop(l2, l3) AS s23,
-   covar_pop(y, l1) AS c1, covar_pop(y, l2) AS c2, covar_pop(y, l3) AS c3 FROM ws w JOIN a0 ON a0.item = w.item AND a0.s BETWEEN w.m - {W - 1 - 3} AND w.m GROUP BY 1, 2 HAVING count(*) >= 10),
+   covar_pop(y, l1) AS c1, covar_pop(y, l2) AS c2, covar_pop(y, l3) AS c3 FROM ends w JOIN a0 ON a0.item = w.item AND a0.s BETWEEN w.m - {W - 1 - 3} AND w.m GROUP BY 1, 2 HAVING count(*) >= 10),
 a2 AS (SELECT *, s11 * (s22 * s33 - s23 * s23) - s12 * (s12 * s33 - s23 * s13) + s13 * (s12 * s23 - s22 * s13) AS det FROM a1),
 """
 
+_AR3_SUM = """(c1 * (s22 * s33 - s23 * s23) - s12 * (c2 * s33 - s23 * c3) + s13 * (c2 * s23 - s22 * c3)
+   + s11 * (c2 * s33 - c3 * s23) - c1 * (s12 * s33 - s23 * s13) + s13 * (s12 * c3 - c2 * s13)
+   + s11 * (s22 * c3 - s23 * c2) - s12 * (s12 * c3 - c2 * s13) + c1 * (s12 * s23 - s22 * s13)) / det"""
+
 
 @query(
     "rolling_ar3_sum",
     show(
-        """SELECT item, m, (c1 * (s22 * s33 - s23 * s23) - s12 * (c2 * s33 - s23 * c3) + s13 * (c2 * s23 - s22 * c3)
-   + s11 * (c2 * s33 - c3 * s23) - c1 * (s12 * s33 - s23 * s13) + s13 * (s12 * c3 - c2 * s13)
-   + s11 * (s22 * c3 - s23 * c2) - s12 * (s12 * c3 - c2 * s13) + c1 * (s12 * s23 - s22 * s13)) / det AS ar3sum FROM a2""",
+        f"SELECT item, m, {_AR3_SUM} AS ar3sum FROM a2",
         "item, m",
         "ar3sum",
-        CELLS + CHANGES + AR3,
+        CELLS + CHANGES + ENDS + AR3,
     ),
 )
 def _(spark, d):
+    return ar3(spark, d).filter("ar3sum IS NOT NULL")
+
+
+def ar3(spark, d):
     rows = changes(spark, d).filter("mom IS NOT NULL")
-    # windows that end in a month with a value, as the closed form states them
-    return timeseries.rolling_ar3_and_errors(rows, "item", "mom", W, MIN, 3).filter("ar3sum IS NOT NULL").select("item", "m", "ar3sum").join(rows.select("item", "m"), ["item", "m"], "left_semi")
+    return timeseries.rolling_ar3_and_errors(rows, "item", "mom", W, MIN, 3).select("item", "m", "ar3sum")
+
+
+@query(
+    "rolling_ar3",
+    show(
+        f"SELECT item, m, ar3sum FROM ends LEFT JOIN (SELECT item, m, {_AR3_SUM} AS ar3sum FROM a2) AS s USING (item, m)",
+        "item, m",
+        "ar3sum",
+        CELLS + CHANGES + ENDS + AR3,
+    ),
+)
+def _(spark, d):
+    """Every window end, also where no sum can be estimated."""
+    return ar3(spark, d)
 
 
 PRESSURE = """
-bk AS (SELECT pair, h, regr_slope(cum, xt) AS beta FROM o3 GROUP BY 1, 2 HAVING count(*) >= 36),
-pp AS (SELECT p.pair, p.src, best_lag, bk.beta AS b12, wts.w FROM pairs p JOIN best USING (pair) JOIN bk ON bk.pair = p.pair AND bk.h = 12 JOIN wts ON wts.item = p.dst AND wts.weight_year = 2000 WHERE best_lag > 0),
+bk AS (SELECT pair, h, beta FROM proj),
+pr AS (SELECT p.pair, p.src, p.dst, best_lag, q.beta AS b12, q.se AS se12, wts.w, p.dst LIKE '%7' AS overlay, coalesce(q.beta <= 0 OR q.se <= 0 OR abs(q.beta / q.se) < 1.96, true) AS weak,
+  EXISTS (SELECT 1 FROM pairs o WHERE o.dst NOT LIKE '%7' AND length(o.dst) > 7 AND left(o.dst, length(o.dst) - 1) = p.dst) AS covered
+  FROM pairs p JOIN best USING (pair) LEFT JOIN proj q ON q.pair = p.pair AND q.h = 12 LEFT JOIN wts ON wts.item = p.dst AND wts.weight_year = (SELECT max(weight_year) FROM wts)),
+rs AS (SELECT *, CASE WHEN overlay THEN 'overlay' WHEN weak THEN 'weak' WHEN covered THEN 'covered by a finer pair' WHEN best_lag = 0 THEN 'nothing in the pipe' WHEN w IS NULL THEN 'no weight' END AS reason FROM pr),
+pp AS (SELECT * FROM rs WHERE {chosen}),
 gm AS (SELECT g.series, g.m, avg(s.v) OVER (PARTITION BY g.series ORDER BY g.m RANGE BETWEEN 59 PRECEDING AND CURRENT ROW) AS base FROM (SELECT series, unnest(range(min(m), max(m) + 1)) AS m FROM ser GROUP BY 1) AS g LEFT JOIN ser s ON s.series = g.series AND s.m = g.m),
-pe AS (SELECT pp.pair, gm.m, b12, w, coalesce(sum((s.v - base) * CASE WHEN abs(b12) > 1e-9 THEN greatest(b12 - CASE WHEN k.k >= 12 THEN b12 ELSE coalesce(bk.beta, 0) END, 0) / b12 ELSE 0 END), 0) AS e
-  FROM pp JOIN gm ON gm.series = pp.src AND gm.m > (SELECT max(m) FROM ser) - 36 JOIN range(0, 18) AS k(k) ON k.k < best_lag LEFT JOIN bk ON bk.pair = pp.pair AND bk.h = k.k LEFT JOIN ser s ON s.series = pp.src AND s.m = gm.m - k.k GROUP BY 1, 2, 3, 4),
+pe AS (SELECT pp.pair, gm.m, b12, se12, coalesce(any_value(mw.w), any_value(pp.w)) AS w, coalesce(sum((s.v - base) * CASE WHEN abs(b12) > 1e-9 THEN greatest(b12 - CASE WHEN k.k >= 12 THEN b12 ELSE coalesce(bk.beta, 0) END, 0) / b12 ELSE 0 END), 0) AS e
+  FROM pp JOIN gm ON gm.series = pp.src AND gm.m > (SELECT max(m) FROM ser) - 36 JOIN range(0, 18) AS k(k) ON k.k < best_lag LEFT JOIN bk ON bk.pair = pp.pair AND bk.h = k.k LEFT JOIN ser s ON s.series = pp.src AND s.m = gm.m - k.k
+  LEFT JOIN wts mw ON mw.item = pp.dst AND mw.weight_year = (gm.m - 1) // 12 - 1 GROUP BY 1, 2, 3, 4),
 """
+IN_SUM = PRESSURE.replace("{chosen}", "reason IS NULL")
+PRESSURE = PRESSURE.replace("{chosen}", "best_lag > 0 AND b12 IS NOT NULL AND w IS NOT NULL")
+
+
+@query(
+    "pair_in_sum_reasons",
+    show("SELECT pair, dst AS item, reason, reason IS NULL AS in_sum FROM rs", "pair, item, reason, in_sum", "", CELLS + CHANGES + WEIGHTS + PAIRS + PROFILE + ORTHO + PROJ + IN_SUM),
+)
+def _(spark, d):
+    pairs, _, _ = pressure_inputs(spark, d)
+    return pair_reasons(spark, d, pairs).select("pair", "item", "reason", "in_sum")
+
+
+@query(
+    "pressure_roll_forward",
+    show(
+        "SELECT m, sum(e * b12 * w) AS total, sqrt(sum(pow(abs(e) * se12 * w, 2))) AS se_independent, sum(abs(e) * se12 * w) AS se_comonotone FROM pe GROUP BY 1",
+        "m",
+        "total, se_independent, se_comonotone",
+        CELLS + CHANGES + WEIGHTS + PAIRS + PROFILE + ORTHO + PROJ + IN_SUM,
+    ),
+)
+def _(spark, d):
+    """Totals over the pairs in the sum, each with its month's own weight."""
+    pairs, betas, series = pressure_inputs(spark, d)
+    chosen = pair_reasons(spark, d, pairs).filter("in_sum")
+    return timeseries.pressure(chosen, betas, series, month_weights(spark, d), 36)[1]
+
+
+def month_weights(spark, d):
+    return panel.december_weights(price_cells(spark, d)).withColumnRenamed("item", "dst")
+
 
 
 @query(
     "pressure_totals",
-    show("SELECT m, sum(e * b12 * w) AS total, count(*) AS n_pairs FROM pe GROUP BY 1", "m, n_pairs", "total", CELLS + CHANGES + WEIGHTS + PAIRS + PROFILE + ORTHO + PRESSURE),
+    show("SELECT m, sum(e * b12 * w) AS total, count(*) AS n_pairs FROM pe GROUP BY 1", "m, n_pairs", "total", CELLS + CHANGES + WEIGHTS + PAIRS + PROFILE + ORTHO + PROJ + PRESSURE),
 )
 def _(spark, d):
     pairs, betas, series = pressure_inputs(spark, d)
-    parts, _ = timeseries.pressure(pairs.filter("beta12 IS NOT NULL AND weight IS NOT NULL"), betas, series, 36)
+    parts, _ = timeseries.pressure(pairs.filter("beta12 IS NOT NULL AND weight IS NOT NULL"), betas, series, month_weights(spark, d), 36)
     return parts.groupBy("m").agg(F.sum("contribution").alias("total"), F.count(F.lit(1)).alias("n_pairs"))
