@@ -79,7 +79,7 @@ def series_area(series) -> Column:
 
 
 def series_item(series) -> Column:
-    return F.substring(_c(series), 9, 100)
+    return F.substr(_c(series), F.lit(9))
 
 
 def first_match(text, rules, default=None) -> Column:

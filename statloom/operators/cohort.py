@@ -64,19 +64,21 @@ def splice_replace(df: DataFrame, replacement: DataFrame, year: int) -> DataFram
     return df.join(keys, ["unit", "year"], "left_anti").unionByName(replacement.select(*df.columns))
 
 
-def splice_top_bins(base: DataFrame, top: DataFrame, bins=("75-84", "85+")) -> tuple[DataFrame, DataFrame]:
+def splice_top_bins(base: DataFrame, top: DataFrame, bins=("75-84", "85+"), by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Oldest bins taken from a second table.
 
     Returns the spliced rows and, per (unit, sex), a row of ``checks``: both
     sums, whether they differ and whether the second table lacks the unit.
+    ``by`` names further keys, such as the year, that tell tables apart.
     """
+    unit, cell = ["unit", *by], ["unit", "sex", *by]
     oldest = F.col("age_bin").isin(*bins)
-    a = base.filter(oldest).groupBy("unit", "sex").agg(F.sum("count").alias("base_sum"))
-    b = top.filter(oldest).groupBy("unit", "sex").agg(F.sum("count").alias("top_sum"))
-    checks = a.join(b, ["unit", "sex"], "left").select(
-        "unit", "sex", "base_sum", "top_sum", (F.col("base_sum") != F.col("top_sum")).alias("mismatch"), F.col("top_sum").isNull().alias("missing")
+    a = base.filter(oldest).groupBy(*cell).agg(F.sum("count").alias("base_sum"))
+    b = top.filter(oldest).groupBy(*cell).agg(F.sum("count").alias("top_sum"))
+    checks = a.join(b, cell, "left").select(
+        *cell, "base_sum", "top_sum", (F.col("base_sum") != F.col("top_sum")).alias("mismatch"), F.col("top_sum").isNull().alias("missing")
     )
-    kept = top.filter(oldest).join(base.select("unit").distinct(), "unit", "left_semi")
+    kept = top.filter(oldest).join(base.select(*unit).distinct(), unit, "left_semi")
     return base.filter(~oldest).unionByName(kept.select(*base.columns)), checks
 
 

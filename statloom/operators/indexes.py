@@ -253,13 +253,14 @@ def bridge_to_purchasers(bridge: DataFrame, content: DataFrame, margins: DataFra
     )
 
 
-def concordance_mean(mapping: DataFrame, shares: DataFrame) -> tuple[DataFrame, DataFrame]:
+def concordance_mean(mapping: DataFrame, shares: DataFrame, compared: int = 28) -> tuple[DataFrame, DataFrame]:
     """Item shares through a multi-target map, and the rows left out.
 
     mapping(item, category, description, share); shares(category, description, share_total).
-    A target is left out when its category is missing or its description drifted.
+    A target is left out when its category is missing or its description drifted
+    in the first ``compared`` characters: map files cut descriptions there.
     """
-    tidy = lambda c: F.substring(F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9 ]", " "), r"\s+", " ")), 1, 28)
+    tidy = lambda c: F.substring(F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9 ]", " "), r"\s+", " ")), 1, compared)
     joined = mapping.withColumnRenamed("description", "expected").join(shares, "category", "left")
     problem = F.when(F.col("share_total").isNull(), "missing").when(tidy(F.col("description")) != tidy(F.col("expected")), "drift")
     tagged = joined.withColumn("problem", problem)

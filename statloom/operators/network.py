@@ -195,7 +195,8 @@ def benjamini_hochberg(df: DataFrame, group, p: str = "p", name: str = "q") -> D
     heads = steps.groupBy(*group, "_bucket").agg(F.min("_a").alias("_m")).withColumn("_later", F.min("_m").over(after))
     inside = Window.partitionBy(*group, "_bucket").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
     q = steps.join(heads, [*group, "_bucket"]).select(*group, p, F.least(F.min("_a").over(inside), F.coalesce("_later", F.lit(1.0)), F.lit(1.0)).alias(name))
-    return df.join(q, [*group, p], "left")
+    kept = df.filter(F.col(p).isNotNull()).join(q, [*group, p])
+    return kept.unionByName(df.filter(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double")).select(*kept.columns))
 
 
 def screen(edges: DataFrame, rho_min: float = RHO_MIN, fdr: float = FDR) -> DataFrame:

@@ -12,6 +12,8 @@ task always makes the same cut.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,7 +26,11 @@ def _c(col) -> Column:
 
 
 def order_bucket(value, bits: int = 12) -> Column:
-    """Monotone BIGINT bucket of a number: binade and ``bits`` leading fraction bits."""
+    """Monotone BIGINT bucket of a number: binade and ``bits`` leading fraction bits.
+
+    Values far from zero but close together, such as times, should come as the
+    distance from their group's smallest one.
+    """
     x = _c(value).cast("double")
     a = F.abs(x)
     steps = 1 << bits
@@ -221,13 +227,16 @@ def shared(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Write a small derived table to the session's shared checkpoint folder and go on from the files.
+    """Write a derived table to the session's shared folder as Parquet and go on from the files.
 
     For panel-sized results that several later steps read: the lineage is cut,
-    so a lost executor never sends the job back to the raw tables.
+    so a lost executor never sends the job back to the raw tables, and readers
+    prune columns.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/statloom-table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -123,19 +123,19 @@ def trend_noise(rev: DataFrame, mom: DataFrame, errors: DataFrame, min_months: i
 def as_of(left: DataFrame, right: DataFrame, key: str, left_on: str, right_on: str, value: str) -> DataFrame:
     """Latest right row at or before the left one, else the earliest right row.
 
-    Both sides go through one shuffle on the key as a union in time order; the
-    running last value is the match, so no range join is expanded.  A hot key is
-    cut by the caller's key, here series, whose length is bounded by the calendar.
+    The right side, one row per key and time, is what is ordered; left rows are
+    first reduced to their distinct times, so a key's left rows never share a
+    window.  Matches come back by an equality join on (key, time), whose hot keys
+    adaptive execution can split.
     """
-    r = right.select(F.col(key).alias(key), F.col(right_on).alias("_t"), F.lit(0).alias("_side"), F.struct(F.col(right_on).alias("t"), F.col(value).alias("v")).alias("_r"))
-    payload = F.struct(*left.columns)
-    l = left.select(key, F.col(left_on).alias("_t"), F.lit(1).alias("_side"), payload.alias("_l"))  # noqa: E741
-    both = r.unionByName(l, allowMissingColumns=True)
-    order = Window.partitionBy(key).orderBy("_t", "_side")
-    seen = F.last("_r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    earliest = F.first("_r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    hit = both.withColumn("_hit", F.coalesce(seen, earliest)).filter("_side = 1")
-    return hit.select("_l.*", F.col("_hit.t").alias("matched"), F.col("_hit.v").alias(value))
+    r = right.select(F.col(key).alias("_key"), F.col(right_on).alias("_t"), F.lit(0).alias("_side"), F.struct(F.col(right_on).alias("t"), F.col(value).alias("v")).alias("_r"))
+    first = r.groupBy("_key").agg(F.min_by("_r", "_t").alias("_first"))
+    times = left.select(F.col(key).alias("_key"), F.col(left_on).alias("_t")).distinct().withColumn("_side", F.lit(1))
+    order = Window.partitionBy("_key").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    seen = r.unionByName(times, allowMissingColumns=True).withColumn("_seen", F.last("_r", ignorenulls=True).over(order)).filter("_side = 1")
+    hit = seen.join(first, "_key", "left").select("_key", "_t", F.coalesce("_seen", "_first").alias("_hit"))
+    rows = left.join(hit, left[key].eqNullSafe(hit["_key"]) & left[left_on].eqNullSafe(hit["_t"]))
+    return rows.select(*left.columns, F.col("_hit.t").alias("matched"), F.col("_hit.v").alias(value))
 
 
 def fan(mom: DataFrame, months: int = 36) -> DataFrame:

@@ -171,11 +171,11 @@ _FOLD = "CASE WHEN age_bin IN ('75-79', '80-84') THEN '75-84' ELSE age_bin END"
 @query(
     "cohort_top_bin_splice",
     show(
-        f"""SELECT unit, sex, sum(CASE WHEN src = 'base' THEN count END)::BIGINT AS base_sum, sum(CASE WHEN src = 'top' THEN count END)::BIGINT AS top_sum,
+        f"""SELECT unit, sex, year, sum(CASE WHEN src = 'base' THEN count END)::BIGINT AS base_sum, sum(CASE WHEN src = 'top' THEN count END)::BIGINT AS top_sum,
   sum(CASE WHEN src = 'base' THEN count END) <> sum(CASE WHEN src = 'top' THEN count END) AS mismatch, sum(CASE WHEN src = 'top' THEN count END) IS NULL AS missing
-  FROM (SELECT unit, sex, {_FOLD} AS b, count, CASE WHEN year = 1995 THEN 'base' ELSE 'top' END AS src FROM unitpop WHERE year IN (1995, 1996)) AS t
-  WHERE b IN ('75-84', '85+') GROUP BY 1, 2 HAVING base_sum IS NOT NULL""",
-        "unit, sex, base_sum, top_sum, mismatch, missing",
+  FROM (SELECT unit, sex, year, {_FOLD} AS b, count, 'base' AS src FROM unitpop UNION ALL SELECT unit, sex, year - 1, {_FOLD}, count, 'top' FROM unitpop) AS t
+  WHERE b IN ('75-84', '85+') GROUP BY 1, 2, 3 HAVING base_sum IS NOT NULL""",
+        "unit, sex, year, base_sum, top_sum, mismatch, missing",
         "",
         POP + UNITS,
     ),
@@ -183,9 +183,8 @@ _FOLD = "CASE WHEN age_bin IN ('75-79', '80-84') THEN '75-84' ELSE age_bin END"
 def _(spark, d):
     fold = F.when(F.col("age_bin").isin("75-79", "80-84"), "75-84").otherwise(F.col("age_bin"))
     people = crosswalked(spark, d).groupBy("year", "unit", "sex", fold.alias("age_bin")).agg(F.sum("count").alias("count"))
-    base = people.filter("year = 1995").drop("year")
-    top = people.filter("year = 1996").drop("year")
-    return cohort.splice_top_bins(base, top)[1]
+    # every year's table with the oldest bins of the next one
+    return cohort.splice_top_bins(people, people.withColumn("year", F.col("year") - 1), by=("year",))[1]
 
 
 @query(

@@ -91,21 +91,20 @@ def _(spark, d):
 @query(
     "column_chunk_merge",
     show(
-        "SELECT g.geoid, g.var, coalesce(sum(p.count), 0)::BIGINT::VARCHAR AS cell FROM (SELECT geoid, v.s || '_' || b AS var, v.s AS sex, b AS age_bin FROM (SELECT DISTINCT geoid FROM pop WHERE year = 1996) CROSS JOIN (VALUES ('M'), ('F')) AS v(s) CROSS JOIN (SELECT DISTINCT age_bin AS b FROM pop)) AS g LEFT JOIN pop p ON p.geoid = g.geoid AND p.sex = g.sex AND p.age_bin = g.age_bin AND p.year = 1996 GROUP BY 1, 2",
-        "geoid, var, cell",
+        "SELECT g.year, g.geoid, g.var, coalesce(sum(p.count), 0)::BIGINT::VARCHAR AS cell FROM (SELECT year, geoid, v.s || '_' || b AS var, v.s AS sex, b AS age_bin FROM (SELECT DISTINCT year, geoid FROM pop) CROSS JOIN (VALUES ('M'), ('F')) AS v(s) CROSS JOIN (SELECT DISTINCT age_bin AS b FROM pop)) AS g LEFT JOIN pop p ON p.geoid = g.geoid AND p.sex = g.sex AND p.age_bin = g.age_bin AND p.year = g.year GROUP BY 1, 2, 3",
+        "year, geoid, var, cell",
         "",
         POP,
     ),
 )
 def _(spark, d):
     wide, _, names = _wide(spark, d)
-    year = wide.filter("year = 1996").select("geoid", *[F.col(f"`{n}`").cast("string").alias(n) for n in names])
-    year = shared(year)
-    chunks = [year.select("geoid", *[F.col(f"`{n}`") for n in names[i : i + 12]]) for i in range(0, len(names), 12)]
+    cells = shared(wide.select("year", "geoid", *[F.col(f"`{n}`").cast("string").alias(n) for n in names]))
+    chunks = [cells.select("year", "geoid", *[F.col(f"`{n}`") for n in names[i : i + 12]]) for i in range(0, len(names), 12)]
     # a chunk that reports nothing for a county does not list it
-    chunks = [c.filter(F.coalesce(*[F.col(f"`{n}`") for n in c.columns if n != "geoid"]).isNotNull()) for c in chunks]
-    merged = tables.merge_chunks(chunks, ["geoid"])
-    return merged.unpivot(["geoid"], [F.col(f"`{n}`") for n in names], "var", "cell")
+    chunks = [c.filter(F.coalesce(*[F.col(f"`{n}`") for n in c.columns if n not in ("year", "geoid")]).isNotNull()) for c in chunks]
+    merged = tables.merge_chunks(chunks, ["year", "geoid"])
+    return merged.unpivot(["year", "geoid"], [F.col(f"`{n}`") for n in names], "var", "cell")
 
 
 SEG = """
@@ -206,13 +205,15 @@ def _(spark, d):
 
 @query(
     "wide_monthly_melt",
-    show("SELECT r_name AS region, strftime(o_orderdate, '%Y-%m') AS ym, count(*)::BIGINT AS value FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE r_name <> 'ASIA' AND year(o_orderdate) BETWEEN 1995 AND 2000 GROUP BY 1, 2", "region, ym, value"),
+    show("SELECT r_name AS region, strftime(o_orderdate, '%Y-%m') AS ym, count(*)::BIGINT AS value FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE r_name <> 'ASIA' GROUP BY 1, 2", "region, ym, value"),
 )
 def _(spark, d):
     o = table(spark, d, "orders").select("o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("ym"))
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("region"))
-    months = [f"{y}-{m:02d}" for y in range(1995, 2001) for m in range(1, 13)]
+    # the stored table has one column a month, from the first to the last there is
+    lo, hi = o.agg(F.min("ym"), F.max("ym")).first()
+    months = [f"{y}-{m:02d}" for y in range(int(lo[:4]), int(hi[:4]) + 1) for m in range(1, 13) if lo <= f"{y}-{m:02d}" <= hi]
     wide = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("region").pivot("ym", months).count()
     return tables.melt_months(wide, "region", F.col("region") != "ASIA")
 

@@ -67,9 +67,9 @@ def _(spark, d):
     return rows.filter("headline IS NOT NULL")
 
 
-@query("masked_urls", show("SELECT page_id, regexp_replace(url || CASE WHEN url LIKE '%?%' THEN '&' ELSE '?' END || 'api_key=REDACTED&x=1', '#', '#') AS url FROM pages WHERE url NOT LIKE '%#%'", "page_id, url"))
+@query("masked_urls", show("SELECT page_id, url || CASE WHEN url LIKE '%?%' THEN '&' ELSE '?' END || 'api_key=REDACTED&x=1' AS url FROM pages", "page_id, url"))
 def _(spark, d):
-    p = table(spark, d, "pages").filter(~F.contains("url", F.lit("#")))
+    p = table(spark, d, "pages")
     joined = F.concat("url", F.when(F.contains("url", F.lit("?")), "&").otherwise("?"), F.lit("api_key=s"), F.col("page_id").cast("string"), F.lit("&x=1"))
     return p.select("page_id", text.mask_query_secret(joined).alias("url"))
 
@@ -298,12 +298,12 @@ def _(spark, d):
 @query(
     "event_family_labels",
     show(
-        "SELECT grp, label, CASE WHEN n >= 3 THEN 'sec_' || k ELSE label END AS family FROM (SELECT grp, 'sec_' || k || '_' || s AS label, k, count(*) OVER (PARTITION BY grp, k) AS n FROM (SELECT DISTINCT c_nationkey AS grp, c_mktsegment AS s, c_custkey % 5 AS k FROM customer WHERE c_acctbal > 8500) AS t) AS q",
+        "SELECT grp, label, CASE WHEN n >= 3 THEN 'sec_' || k ELSE label END AS family FROM (SELECT grp, 'sec_' || k || '_' || s AS label, k, count(*) OVER (PARTITION BY grp, k) AS n FROM (SELECT DISTINCT c_nationkey AS grp, c_mktsegment AS s, c_custkey % 5 AS k FROM customer) AS t) AS q",
         "grp, label, family",
     ),
 )
 def _(spark, d):
-    c = table(spark, d, "customer").filter("c_acctbal > 8500")
+    c = table(spark, d, "customer")
     rows = c.select(F.col("c_nationkey").alias("grp"), F.concat_ws("_", F.lit("sec"), (F.col("c_custkey") % 5).cast("string"), "c_mktsegment").alias("label")).distinct()
     # kin are counted per (group, prefix), so no list of labels is carried
     prefix = F.substring_index("label", "_", 2)

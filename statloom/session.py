@@ -8,7 +8,9 @@ from measured sizes rather than from hints.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -34,7 +36,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder used to cut lineage.
 
     A cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    and the session is local (tests) is a scratch folder chosen here.
+    and the session is local (tests) is a scratch folder chosen here, removed at exit.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
@@ -47,5 +49,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         current = tempfile.mkdtemp(prefix="statloom-checkpoint-")
+        atexit.register(shutil.rmtree, current, ignore_errors=True)
         context.setCheckpointDir(current)
     return current

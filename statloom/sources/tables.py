@@ -25,7 +25,7 @@ def wide_to_tidy(wide: DataFrame, ids: list[str], variables: DataFrame, value: s
     """Variable columns to rows through a map variables(var, sex, age_bin), summed per cell; unmapped columns drop out."""
     columns = [c for c in wide.columns if c not in ids]
     long = wide.select(*ids, *[F.col(c).cast("string") for c in columns]).unpivot(ids, columns, "var", "_v")
-    return long.join(F.broadcast(variables), "var").groupBy(*ids, "sex", "age_bin").agg(F.sum(F.col("_v").try_cast("bigint")).alias(value))
+    return long.join(variables, "var").groupBy(*ids, "sex", "age_bin").agg(F.sum(F.col("_v").try_cast("bigint")).alias(value))
 
 
 def merge_chunks(chunks: list[DataFrame], key: list[str]) -> DataFrame:
@@ -80,7 +80,7 @@ def response_long(wide: DataFrame, month: str, columns: DataFrame) -> DataFrame:
     """Rate columns to (metric, unit, value): columns(column, metric, unit, scale)."""
     names = [c for c in wide.columns if c != month]
     long = wide.select(month, *[F.col(c).cast("double") for c in names]).unpivot([month], names, "column", "_v")
-    return long.join(F.broadcast(columns), "column").filter("_v IS NOT NULL").select(month, "metric", "unit", (F.col("_v") * F.col("scale")).alias("value"))
+    return long.join(columns, "column").filter("_v IS NOT NULL").select(month, "metric", "unit", (F.col("_v") * F.col("scale")).alias("value"))
 
 
 def mode_long(wide: DataFrame, month: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.calendar import cadence_millis
-from statloom.operators.ordered import order_bucket, shared
+from statloom.operators.ordered import order_bucket
 
 # Levels from calm to worst.
 LEVELS = ["unknown", "good", "warning", "serious", "critical"]
@@ -22,14 +22,17 @@ def epoch_us(ts: str | Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
-def keep_last(df: DataFrame, key: str, order: str, history, newest: bool = True) -> DataFrame:
-    """The last (or first) ``history`` rows of each key by a numeric order column that is unique inside the key.
+def keep_last(df: DataFrame, key: str, order: str, history, newest: bool = True, tie: str | None = None) -> DataFrame:
+    """The last (or first) ``history`` rows of each key by a whole-number order column, ties by ``tie``.
 
     Counts per order bucket decide which buckets are kept whole and which one is
-    cut, so only that one bucket of a key is ever sorted.
+    cut, so only that one bucket of a key is ever sorted.  Buckets are those of
+    the distance from the key's smallest value: a span of a few hours far from
+    zero is still cut finely.
     """
     limit = F.lit(history) if isinstance(history, int) else history
-    rows = df.withColumn("_bucket", order_bucket(order, 20)).withColumn("_limit", limit)
+    first = df.groupBy(key).agg(F.min(order).alias("_first"))
+    rows = df.join(first, key).withColumn("_bucket", order_bucket(F.col(order) - F.col("_first"), 20)).withColumn("_limit", limit).drop("_first")
     counts = rows.groupBy(key, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     direction = F.desc("_bucket") if newest else F.asc("_bucket")
     w = Window.partitionBy(key).orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
@@ -37,7 +40,8 @@ def keep_last(df: DataFrame, key: str, order: str, history, newest: bool = True)
     joined = rows.join(counts, [key, "_bucket"]).filter(F.col("_before") < F.col("_limit"))
     whole = joined.filter(F.col("_before") + F.col("_n") <= F.col("_limit"))
     cut = joined.filter(F.col("_before") + F.col("_n") > F.col("_limit"))
-    local = Window.partitionBy(key, "_bucket").orderBy(F.desc(order) if newest else F.asc(order))
+    ties = [] if tie is None else [tie]
+    local = Window.partitionBy(key, "_bucket").orderBy(F.desc(order) if newest else F.asc(order), *ties)
     cut = cut.withColumn("_rn", F.row_number().over(local)).filter(F.col("_rn") <= F.col("_limit") - F.col("_before")).drop("_rn")
     return whole.unionByName(cut).drop("_bucket", "_limit", "_n", "_before")
 
@@ -146,29 +150,39 @@ def health(df: DataFrame, now: Column) -> DataFrame:
     return df.select("id", minutes("at").alias("data_age_min"), minutes("fetched_at").alias("fetch_age_min"), F.col("error_count") > 0)
 
 
-def run_series_stream(stream: DataFrame, folder: str, history: int, checkpoint: str) -> DataFrame:
+def run_series_stream(stream: DataFrame, folder: str, history: int, checkpoint: str, replace: bool = False) -> DataFrame:
     """Drive a stream of (id, ts, value, fetched) into merged series and return the final state.
 
-    Batch n reads state n-1 and writes state n, both under the caller's shared
-    folder; a replayed batch writes the same result again.
+    Batch n reads the newest state before n and writes state n under the caller's
+    shared folder; a replayed batch writes the same result again, and a restart
+    that finds nothing new returns the newest state there is.  A batch without
+    rows keeps the state as it is.
     """
     spark = stream.sparkSession
-    done = []
 
     def upsert(batch: DataFrame, number: int) -> None:
-        state = batch.sparkSession.read.parquet(f"{folder}/v={number - 1}") if number > 0 else None
-        merge_series(state, batch, history).write.mode("overwrite").parquet(f"{folder}/v={number}")
-        done.append(number)
+        before = [v for v in _versions(spark, folder) if v < number]
+        state = spark.read.parquet(f"{folder}/v={max(before)}") if before else None
+        merge_series(state, batch, history, replace).write.mode("overwrite").parquet(f"{folder}/v={number}")
 
     query = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    done = _versions(spark, folder)
+    if not done:
+        raise ValueError("the stream has had no batch yet")
     return spark.read.parquet(f"{folder}/v={max(done)}")
 
 
+def _versions(spark, folder: str) -> list[int]:
+    """Numbers of the finished states in a folder, listed by Spark's own file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    entries = [e.getPath() for e in files.listStatus(path) if e.getPath().getName().startswith("v=")]
+    return [int(e.getName()[2:]) for e in entries if files.exists(e.suffix("/_SUCCESS"))]
+
+
 def upsert_on_date(series: DataFrame, live: DataFrame) -> DataFrame:
     """The live price replaces the bar of its date: series(id, day, value), live(id, day, value)."""
     return series.join(live.select("id", "day"), ["id", "day"], "left_anti").unionByName(live)
-
-
-def shared_state(df: DataFrame) -> DataFrame:
-    return shared(df)

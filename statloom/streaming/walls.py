@@ -30,9 +30,8 @@ def upsert_wall(state: DataFrame | None, batch: DataFrame, now: Column, history:
     latest = latest.filter(F.col("at").isNotNull())
     if forward:
         latest = latest.filter(epoch_us("at") >= epoch_us(now) - 3_600_000_000)
-    # a unique order inside a wall: time in microseconds, ties by a hash of the id
-    order = epoch_us("at").cast("double") + F.pmod(F.xxhash64("id"), F.lit(1000)) / 4000.0
-    return keep_last(latest.withColumn("_o", order), "wall", "_o", history, newest=not forward).drop("_o")
+    # a unique order inside a wall: time in microseconds, then the id
+    return keep_last(latest.withColumn("_o", epoch_us("at")), "wall", "_o", history, newest=not forward, tie="id").drop("_o")
 
 
 def severity_by_pattern(text, rules: list[tuple[str, str]], default: str = "info") -> Column:
