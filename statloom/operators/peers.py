@@ -7,9 +7,10 @@ Distance = sum of weights of differing structure flags + |log2 size ratio| +
    smallest ids: with ties broken by id nobody else can be among anyone's k.
    Searches collapse the same way, so a third of all units sharing one point
    costs one search.
-2. Every searching point gets a proven bound: the distance of its k+1-th
-   candidate among neighbours in a locality ordering.  Where there are too few,
-   a candidate pair (point, class) falls back to the span of the data.
+2. Every searching point gets a proven bound, the smaller of two: the distance
+   of its k+1-th candidate among neighbours of its own class in a locality
+   ordering, and the reach of the cheapest strips of size, over all classes with
+   their mismatch, that together hold k+1 candidates.
 3. Points are put in square cells whose side is the power of two above the
    bound; any candidate within the bound lies in the 3 x 3 cells around the
    point, found by an equality join on (level, cell, class).  Levels adapt to
@@ -68,9 +69,8 @@ def nearest_peers(
         "fixed", mismatch + F.when(F.col("both"), 0.0).otherwise(1.0)
     )
 
-    # finer segments for more units, so that a segment stays near a fixed number of rows
-    slices = max(2, points.count() // 2_000_000)
-    bounds = _bounds(searches, keep, k, slices, sum(weights.values()) + 1.0)
+    bounds = _bounds(searches, keep, k).join(F.broadcast(_strip_reach(searches, keep, lanes, k)), ["cls", "priced", "strip"])  # a row a class and doubling of size
+    bounds = bounds.select(*feature, F.least("near", "reach").alias("bound"))
     wanted = searches.join(bounds, feature).join(F.broadcast(lanes), ["cls", "priced"]).filter(F.col("fixed") <= F.col("bound"))
     # what is left of the bound after the fixed part is the radius in the (x, y) plane; rounding up keeps ties in
     radius = F.col("bound") - F.col("fixed") + 1e-9
@@ -112,26 +112,49 @@ def nearest_peers(
     )
 
 
-def _bounds(searches: DataFrame, keep: DataFrame, k: int, slices: int, fixed: float) -> DataFrame:
-    """An upper bound of the distance to the k+1-th candidate, per searching point.
+def _strip(x: str) -> Column:
+    """Strip of the size axis one unit wide."""
+    return F.floor(F.col(x)).cast("int")
+
+
+def _strip_reach(searches: DataFrame, keep: DataFrame, lanes: DataFrame, k: int) -> DataFrame:
+    """cls, priced, strip, reach: within ``reach`` any point of the strip finds k+1 candidates, or all there are.
+
+    Strips of candidates are taken in order of the largest distance they can be
+    at.  Both sides are classes times strips, whatever the number of units.
+    """
+    low_high = [F.min("y").alias("lo"), F.max("y").alias("hi")]
+    mine = searches.groupBy("cls", "priced", _strip("x").alias("strip")).agg(*low_high)
+    theirs = keep.groupBy(F.col("cls").alias("c_cls"), F.col("priced").alias("c_priced"), _strip("x").alias("c_strip")).agg(
+        F.sum(F.size("pids")).alias("n"), F.min("y").alias("c_lo"), F.max("y").alias("c_hi")
+    )
+    apart = F.when(F.col("both"), F.greatest(F.col("hi") - F.col("c_lo"), F.col("c_hi") - F.col("lo"))).otherwise(0.0)
+    met = mine.join(F.broadcast(lanes), ["cls", "priced"]).join(theirs, ["c_cls", "c_priced"])
+    met = met.withColumn("far", F.col("fixed") + F.abs(F.col("strip") - F.col("c_strip")) + 1 + apart)
+    w = Window.partitionBy("cls", "priced", "strip").orderBy("far", "c_cls", "c_priced", "c_strip")
+    met = met.withColumn("_run", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    enough = F.min(F.when(F.col("_run") >= k + 1, F.col("far")))
+    return met.groupBy("cls", "priced", "strip").agg(F.coalesce(enough, F.max("far")).alias("reach"))
+
+
+def _bounds(searches: DataFrame, keep: DataFrame, k: int) -> DataFrame:
+    """``near``: distance to the k+1-th candidate of the same class among neighbours in a locality order, where there are so many.
 
     Searching points and candidates of one (class, priced) lane are laid out on
-    interleaved-digit cells of both coordinates; the candidates around a point
-    in that order are close enough to give a tight bound.  Lanes are cut into
-    segments so that no lane is one task; a point whose segment holds fewer
-    than k+1 candidates takes the diameter of the whole data and ``fixed``, the
-    largest distance structure and missing prices can add.
+    interleaved-digit cells of both coordinates.  The order is cut where range
+    partitioning cuts it, so a hot lane is many tasks; any cut gives a valid
+    bound.
     """
     feature = ["cls", "priced", "x", "y"]
-    segment = F.floor(F.col("x") * slices).cast("bigint")
     tagged = searches.select(*feature, F.lit(0).alias("_n"), F.lit(1).alias("_search")).unionByName(
         keep.select(*feature, F.size("pids").alias("_n"), F.lit(0).alias("_search"))
     )
-    tagged = tagged.groupBy(*feature).agg(F.sum("_n").alias("_n"), F.max("_search").alias("_search")).withColumn("_seg", segment)
+    tagged = tagged.groupBy(*feature).agg(F.sum("_n").alias("_n"), F.max("_search").alias("_search"))
     digits = [(F.shiftright(F.floor(F.col(c) * 64).cast("bigint"), i).bitwiseAND(1), c, i) for i in range(11, -1, -1) for c in ("x", "y")]
     order = F.concat(*[d.cast("string") for d, _, _ in digits])
+    cut = tagged.withColumn("_z", order).repartitionByRange("cls", "priced", "_z", "x", "y").withColumn("_seg", F.spark_partition_id())
     w = Window.partitionBy("cls", "priced", "_seg").orderBy("_z", "x", "y").rowsBetween(-(k + 1), k + 1)
-    near = tagged.withColumn("_z", order).withColumn("_near", F.collect_list(F.struct("x", "y", "_n")).over(w))
+    near = cut.withColumn("_near", F.collect_list(F.struct("x", "y", "_n")).over(w))
     # distances to neighbours of the same class, each standing for _n candidates
     dist = F.array_sort(
         F.transform(
@@ -146,13 +169,8 @@ def _bounds(searches: DataFrame, keep: DataFrame, k: int, slices: int, fixed: fl
             (acc["n"] + s["n"]).cast("bigint").alias("n"), F.when(acc["n"] >= k + 1, acc["d"]).otherwise(s["d"]).alias("d")
         ),
     )
-    span = keep.unionByName(searches.withColumn("pids", F.array().cast("array<bigint>"))).agg(
-        (F.max("x") - F.min("x") + F.max("y") - F.min("y")).alias("_span")
-    )
-    out = near.withColumn("_r", reach).filter("_search = 1").join(F.broadcast(span.limit(1)), F.lit(True))
-    # ``fixed`` is all structure weights and the missing-price constant together
-    bound = F.when(F.col("_r.n") >= k + 1, F.col("_r.d")).otherwise(F.col("_span") + fixed)
-    return out.select(*feature, bound.alias("bound"))
+    found = near.filter("_search = 1").withColumn("_r", reach)
+    return found.select(*feature, _strip("x").alias("strip"), F.when(F.col("_r.n") >= k + 1, F.col("_r.d")).alias("near"))
 
 
 def group_quality(links: DataFrame) -> DataFrame:

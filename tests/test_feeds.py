@@ -39,6 +39,20 @@ def test_streamed_merge_equals_batch(spark, tmp_path):
     got = series.run_series_stream(stream, str(tmp_path / "state"), 25, str(tmp_path / "ck"))
     want = series.merge_series(None, spark.createDataFrame([r for p in parts for r in p], SCHEMA), 25)
     assert as_set(got) == as_set(want)
+    # a restart that finds nothing new returns the same state, later files go on from it
+    assert as_set(series.run_series_stream(stream, str(tmp_path / "state"), 25, str(tmp_path / "ck"))) == as_set(want)
+    more = points(5, start=100, value=7.0, fetched=9)
+    spark.createDataFrame(more, SCHEMA).coalesce(1).write.parquet(str(src / "part=9"))
+    again = series.run_series_stream(stream, str(tmp_path / "state"), 25, str(tmp_path / "ck"))
+    assert as_set(again) == as_set(series.merge_series(want, spark.createDataFrame(more, SCHEMA), 25))
+
+
+def test_wall_ties_are_cut_by_id(spark):
+    rows = [("w", f"{i:03d}", T0, f"t{i}", "info", T0) for i in range(60)]
+    df = spark.createDataFrame(rows, "wall string, id string, at timestamp, title string, severity string, fetched timestamp")
+    for parts in (1, 7):
+        kept = walls.upsert_wall(None, df.repartition(parts), F.lit(T0), 5)
+        assert sorted(r.id for r in kept.collect()) == [f"{i:03d}" for i in range(5)]
 
 
 def test_walls(spark):

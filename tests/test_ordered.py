@@ -72,14 +72,14 @@ def test_false_discovery_matches_brute_force(spark):
     assert got[999] is None
 
 
-def brute_peers(units, k):
+def brute_peers(units, k, weights=(1.5, 1.5, 1.5, 1.5, 1.0)):
     out = {}
     for a in units:
         cand = []
         for b in units:
             if b[0] == a[0] or not b[8]:
                 continue
-            d = sum(w for x, y, w in zip(a[3:8], b[3:8], (1.5, 1.5, 1.5, 1.5, 1.0)) if x != y)
+            d = sum(w for x, y, w in zip(a[3:8], b[3:8], weights) if x != y)
             d += abs(np.log2(b[1]) - np.log2(a[1]))
             d += abs(a[2] - b[2]) / 10 if a[2] is not None and b[2] is not None else 1.0
             cand.append((round(d, 9), b[0]))
@@ -105,6 +105,18 @@ def test_peers_match_brute_force_with_a_hot_point(spark, seed):
     assert got == brute_peers(units, 8)
 
 
+def test_peers_of_a_lone_class_under_heavier_weights(spark):
+    units = [(0, 3.0e6, 90.0, True, True, True, True, True, True)]
+    units += [(i, 1000.0 * i, 90.0 + i, False, False, False, False, False, True) for i in range(1, 13)]
+    names = list(peers.STRUCTURE_WEIGHTS)
+    weights = {k: v * 1.5 for k, v in peers.STRUCTURE_WEIGHTS.items()}
+    df = spark.createDataFrame(units, "pid long, pop double, rpp double, " + ", ".join(f"{n} boolean" for n in names) + ", complete boolean")
+    got = {}
+    for r in peers.nearest_peers(df, weights=weights).orderBy("pid", "rank").collect():
+        got.setdefault(r.pid, []).append(r.peer_pid)
+    assert got == brute_peers(units, 8, tuple(weights.values())) and len(got[0]) == 8
+
+
 def test_fewer_candidates_than_peers(spark):
     names = list(peers.STRUCTURE_WEIGHTS)
     units = [(i, 1000.0 * (i + 1), 90.0, False, False, False, False, False, i < 3) for i in range(5)]
@@ -123,3 +135,13 @@ def test_prior_max_with_a_hot_group(hot):
         for r in sorted(r for r in rows if r[1] == g):
             assert got[r[0]] == best
             best = r[2] if best is None else max(best, r[2])
+
+
+def test_false_discovery_with_mostly_missing_values(spark):
+    rows = [(i, "f", None if i % 3 else i / 1000) for i in range(600)] + [(900 + i, "g", None) for i in range(50)]
+    got = {r.id: r.q for r in network.benjamini_hochberg(spark.createDataFrame(rows, "id int, f string, p double"), "f").collect()}
+    assert len(got) == len(rows)
+    known = sorted(p for _, _, p in rows if p is not None)
+    for i, _, p in rows:
+        want = None if p is None else min(1, min(len(known) * b / (known.index(b) + 1) for b in known if b >= p))
+        assert got[i] == (None if want is None else pytest.approx(want))

@@ -107,10 +107,62 @@ def test_parents_and_partition(spark):
 
 
 def test_pressure_counts_only_what_is_left(spark):
-    pairs = spark.createDataFrame([("p", "s", 2, 1.0, 0.1, 10.0)], "pair string, src string, best_lag int, beta12 double, se12 double, weight double")
+    pairs = spark.createDataFrame([("p", "s", "d", 2, 1.0, 0.1, 99.0)], "pair string, src string, dst string, best_lag int, beta12 double, se12 double, weight double")
+    weights = spark.createDataFrame([("d", -1, 10.0)], "dst string, weight_year int, w double")
     betas = spark.createDataFrame([("p", 0, 0.25), ("p", 1, None)], "pair string, h int, beta double")
     series = spark.createDataFrame([("s", 1, 0.0), ("s", 2, 0.0), ("s", 3, 3.0)], "series string, m int, v double")
-    parts, total = timeseries.pressure(pairs, betas, series, months=1)
+    parts, total = timeseries.pressure(pairs, betas, series, weights, months=1)
     base = 1.0
     want = ((3 - base) * 0.75 + (0 - base) * 1.0) * 10
     assert parts.collect()[0].contribution == pytest.approx(want) and total.collect()[0].total == pytest.approx(want)
+
+
+def test_ancestors_of_a_chain_deeper_than_one_hundred(spark):
+    chain = spark.createDataFrame([(str(i), str(i - 1) if i else None) for i in range(110)], "item string, parent string")
+    rows = panel.ancestors(chain).filter("item = '109'").collect()
+    assert sorted(r.depth for r in rows) == list(range(1, 110))
+    with pytest.raises(ValueError):
+        panel.ancestors(spark.createDataFrame([("a", "b"), ("b", "a")], "item string, parent string"))
+
+
+def test_event_regression_matches_dummies_with_hac(spark):
+    rng = np.random.default_rng(4)
+    rel = np.array([r for r in range(-24, 25) if r not in (-20, 3, 12)])
+    gap = rng.normal(size=len(rel))
+    df = spark.createDataFrame([(7, int(r), float(g)) for r, g in zip(rel, gap)], "event_m int, rel int, gap double")
+    steps = [h for h in range(-6, 13) if h in rel]
+    X = np.column_stack([np.ones(len(rel))] + [(rel == h).astype(float) for h in steps])
+    b, cov, _ = regress.solve_hac(gap, X, 6, small_sample=False)
+    post = [i + 1 for i, h in enumerate(steps) if h >= 0]
+    got = timeseries.event_regression(df).first()
+    assert got.cum == pytest.approx(b[post].sum()) and got.cum_se == pytest.approx(np.sqrt(cov[np.ix_(post, post)].sum()))
+    coefficients = {r.rel: (r.beta, r.se) for r in timeseries.event_coefficients(df).collect()}
+    assert set(coefficients) == set(steps)
+    assert all(coefficients[h] == pytest.approx((b[i + 1], np.sqrt(cov[i + 1, i + 1]))) for i, h in enumerate(steps))
+    pre = (rel >= -6) & (rel <= -1)
+    pb, pc, _ = regress.solve_hac(gap[pre], np.column_stack([np.ones(pre.sum()), rel[pre]]), 2, small_sample=False)
+    assert got.pre_slope == pytest.approx(pb[1]) and got.pre_t == pytest.approx(pb[1] / np.sqrt(pc[1, 1]))
+
+
+def test_rolling_windows_match_one_regression_each(spark):
+    rng = np.random.default_rng(6)
+    x = np.cumsum(rng.normal(size=60)) * 0.3 + rng.normal(size=60)
+    x[[11, 40, 59 - 3]] = np.nan
+    df = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(x) if np.isfinite(v)], "k string, m int, v double")
+    got = {r.m: r for r in timeseries.rolling_ar3_and_errors(df, "k", "v", 30, 20, 4).collect()}
+    for end in range(29, 60):
+        w = x[end - 29 : end + 1]
+        if (np.isfinite(w[1:]) & np.isfinite(w[:-1])).sum() < 20:
+            assert end not in got
+            continue
+        rows = [(1.0, w[i - 1], w[i - 2], w[i - 3], w[i]) for i in range(3, 30)]
+        data = np.array([r for r in rows if np.isfinite(r).all()])
+        coef = np.linalg.lstsq(data[:, :4], data[:, 4], rcond=None)[0]
+        assert got[end].ar3sum == pytest.approx(coef[1:].sum())
+        pairs = [(i, w[i], w[i + 4]) for i in range(26) if np.isfinite(w[i]) and np.isfinite(w[i + 4])]
+        a, y = np.array([p[1] for p in pairs]), np.array([p[2] for p in pairs])
+        slope, dx = np.polyfit(a, y, 1)[0], a - a.mean()
+        z = dict(zip([p[0] for p in pairs], dx * (y - y.mean() - slope * dx)))
+        total = sum(u * v * (1 - abs(i - j) / 6) for i, u in z.items() for j, v in z.items() if abs(i - j) <= 5)
+        n = len(pairs)
+        assert got[end].lp_se == pytest.approx(np.sqrt(total * n / (n - 2)) / (dx @ dx))
