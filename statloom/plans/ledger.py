@@ -537,8 +537,8 @@ def _(spark, d):
 @query(
     "share_correlations",
     show(
-        """SELECT year, CASE WHEN n > 30 THEN r END AS size_share, n AS size_share_n, CASE WHEN n >= 10 AND abs(r) < 1 THEN tanh(atanh(r) - 1.96 / sqrt(n - 3)) END AS lo,
-  CASE WHEN n >= 10 AND abs(r) < 1 THEN tanh(atanh(r) + 1.96 / sqrt(n - 3)) END AS hi FROM (
+        """SELECT year, CASE WHEN n > 30 THEN r END AS size_share, n AS size_share_n, CASE WHEN n > 30 AND abs(r) < 1 THEN tanh(atanh(r) - 1.96 / sqrt(n - 3)) END AS lo,
+  CASE WHEN n > 30 AND abs(r) < 1 THEN tanh(atanh(r) + 1.96 / sqrt(n - 3)) END AS hi FROM (
   SELECT year, corr(log10(pop), share) AS r, count(*) FILTER (WHERE share IS NOT NULL) AS n FROM rows0 GROUP BY 1) AS t""",
         "year, size_share_n",
         "size_share, lo, hi",

@@ -228,7 +228,7 @@ ser AS (SELECT item AS series, m, mom AS v FROM chg WHERE mom IS NOT NULL),
 PROFILE = """
 prof AS (SELECT pair, lag, n, CASE WHEN n >= 36 THEN r END AS rho FROM (SELECT p.pair, k.lag, count(*) AS n, corr(x.v, y.v) AS r FROM pairs p CROSS JOIN range(-3, 19) AS k(lag)
    JOIN ser x ON x.series = p.src JOIN ser y ON y.series = p.dst AND y.m = x.m + k.lag GROUP BY 1, 2) AS q),
-best AS (SELECT pair, arg_max(lag, round(rho, 12) * 1000 - lag * 1e-9) FILTER (WHERE lag >= 0 AND rho IS NOT NULL) AS best_lag, max(rho) FILTER (WHERE lag >= 0) AS rho_best, max(rho) FILTER (WHERE lag < 0) AS lead_max, max(rho) FILTER (WHERE lag = 0) AS rho0 FROM prof GROUP BY 1),
+best AS (SELECT pair, arg_max(lag, round(rho, 12) * 1000 - lag * 1e-9) FILTER (WHERE lag >= 0 AND rho IS NOT NULL) AS best_lag, max(rho) FILTER (WHERE lag >= 0) AS rho_best, max(rho) FILTER (WHERE lag < 0) AS lead_max, max(rho) FILTER (WHERE lag = 0) AS rho0 FROM prof GROUP BY 1 HAVING count(*) FILTER (WHERE lag >= 0 AND rho IS NOT NULL) > 0),
 """
 
 

@@ -22,7 +22,8 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def canonical(v):
+def canonical(v, digits=None):
+    """A comparable form; ``digits`` significant digits of a double count, all of them by default."""
     if isinstance(v, bool) or v is None:
         return v
     if isinstance(v, decimal.Decimal):
@@ -30,26 +31,26 @@ def canonical(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "NaN"
-        return repr(v)
+        return repr(v if digits is None else float(f"{v:.{digits}g}") + 0.0)
     if isinstance(v, dt.datetime):
         return v.replace(tzinfo=None).isoformat()
     if isinstance(v, dt.date):
         return v.isoformat()
     if isinstance(v, dict):
-        return {k: canonical(x) for k, x in sorted(v.items())}
+        return {k: canonical(x, digits) for k, x in sorted(v.items())}
     if hasattr(v, "asDict"):
-        return [canonical(x) for x in v]
+        return [canonical(x, digits) for x in v]
     if isinstance(v, (list, tuple)):
-        return [canonical(x) for x in v]
+        return [canonical(x, digits) for x in v]
     return v
 
 
-def rows_of(columns, rows):
+def rows_of(columns, rows, digits=None):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted(repr([canonical(r[i]) for i in order]) for r in rows)
+    return sorted(repr([canonical(r[i], digits) for i in order]) for r in rows)
 
 
-def compare(spark, con, sf_dir, name, queries, oracles):
+def compare(spark, con, sf_dir, name, queries, oracles, digits=None):
     """Empty string when equal, else a short description of the difference."""
     df = queries[name](spark, sf_dir)
     got = df.collect()
@@ -60,7 +61,7 @@ def compare(spark, con, sf_dir, name, queries, oracles):
     want = cur.fetchall()
     if sorted(cols) != sorted(df.columns):
         return f"columns {sorted(df.columns)} vs {sorted(cols)}"
-    a, b = rows_of(df.columns, got), rows_of(cols, want)
+    a, b = rows_of(df.columns, got, digits), rows_of(cols, want, digits)
     if not a:
         return "no rows"
     if a == b:
