@@ -10,7 +10,8 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -69,3 +70,28 @@ def grouped_hac(df: DataFrame, keys: list[str], y: str, xs: list[str], order: st
     types = to_arrow_schema(StructType.fromDDL(schema)).types
     empty = pa.table({k: pa.array([], t) for k, t in zip(result, types)})
     return spread(df.select(*keys, y, *xs, order, lags), *keys).groupBy(*keys).applyInArrow(fit, schema)
+
+
+def rolling_slope_error(df: DataFrame, key: str, order: str, y: str, x: str, rows: int = 24, lags: int = 6) -> DataFrame:
+    """key, order, beta, se of y on x over the last ``rows`` rows of a series, HAC with ``lags``.
+
+    A row carries the array of its window, so nothing is copied through a
+    shuffle; everything after that is array arithmetic inside the row.
+    """
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(1 - rows, 0)
+    seen = df.select(key, order, F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))).over(w).alias("v")).filter(F.size("v") == rows)
+
+    def total(column):
+        return F.aggregate(column, F.lit(0.0), lambda a, b: a + b)
+
+    means = seen.withColumn("mx", total(F.transform("v", lambda v: v["x"])) / rows).withColumn("my", total(F.transform("v", lambda v: v["y"])) / rows)
+    centred = means.select(key, order, F.transform("v", lambda v: v["x"] - F.col("mx")).alias("dx"), F.transform("v", lambda v: v["y"] - F.col("my")).alias("dy"))
+    sums = centred.withColumn("sxx", total(F.transform("dx", lambda v: v * v))).withColumn("sxy", total(F.zip_with("dx", "dy", lambda a, b: a * b)))
+    fit = sums.filter("sxx > 0").withColumn("beta", F.col("sxy") / F.col("sxx"))
+    scored = fit.withColumn("z", F.zip_with("dx", "dy", lambda a, b: a * (b - F.col("beta") * a)))
+    meat = total(F.transform("z", lambda v: v * v))
+    for apart in range(1, lags + 1):
+        near = F.zip_with(F.slice("z", 1, rows - apart), F.slice("z", apart + 1, rows - apart), lambda a, b: a * b)
+        meat = meat + 2 * (1 - apart / (lags + 1)) * total(near)
+    error = F.sqrt(F.greatest(meat, F.lit(0.0)) * rows / (rows - 2)) / F.col("sxx")
+    return scored.select(key, order, "beta", error.alias("se"))

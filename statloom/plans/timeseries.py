@@ -301,28 +301,33 @@ def projections(spark, d):
 
 
 
-@query("rolling_projection_betas")
-def _(spark, d):
-    design = projections(spark, d)[2].filter(F.col("h").isin(3, 6, 12))
-    return timeseries.rolling_projections(design, months=48, min_n=30)
+# each regressor and the response cleared of the other regressor; what is left gives slope, residual and the HAC sum
+TWO = """
+tw0 AS (SELECT p.pair, y.m, y.v AS y, x.v AS x, l.v AS z FROM pairs p JOIN ser y ON y.series = p.dst JOIN ser x ON x.series = p.src AND x.m = y.m JOIN ser l ON l.series = p.dst AND l.m = y.m - 1),
+tw1 AS (SELECT pair, 'x' AS k, m, y, x AS a, z AS b FROM tw0 UNION ALL SELECT pair, 'z', m, y, z, x FROM tw0),
+tw2 AS (SELECT pair, k, m, a - regr_intercept(a, b) OVER w - regr_slope(a, b) OVER w * b AS at, y - regr_intercept(y, b) OVER w - regr_slope(y, b) OVER w * b AS yt FROM tw1 WINDOW w AS (PARTITION BY pair, k)),
+tw3 AS (SELECT pair, k, row_number() OVER (PARTITION BY pair, k ORDER BY m) AS i, count(*) OVER w AS n, regr_slope(yt, at) OVER w AS beta, at, yt FROM tw2 WINDOW w AS (PARTITION BY pair, k)),
+tw4 AS (SELECT *, at * (yt - beta * at) AS s FROM tw3),
+two AS (SELECT pair, k, n, beta, sqrt(greatest(v, 0) * n / (n - 3)) / sxx AS se FROM (SELECT pair, k, any_value(n) AS n, any_value(beta) AS beta, sum(at * at) AS sxx FROM tw3 GROUP BY 1, 2) AS f
+  JOIN (SELECT a.pair, a.k, sum(a.s * b.s * (1 - abs(a.i - b.i) / 5.0)) AS v FROM tw4 a JOIN tw4 b ON b.pair = a.pair AND b.k = a.k AND abs(a.i - b.i) <= 4 GROUP BY 1, 2) AS h USING (pair, k) WHERE n >= 24),
+"""
 
 
 @query(
     "two_regressor_hac",
     show(
-        """SELECT pair, n, (syx * szz - syz * sxz) / (sxx * szz - sxz * sxz) AS beta_x, (syz * sxx - syx * sxz) / (sxx * szz - sxz * sxz) AS beta_z FROM (
-  SELECT pair, count(*) AS n, covar_pop(y, x) AS syx, covar_pop(y, z) AS syz, covar_pop(x, z) AS sxz, var_pop(x) AS sxx, var_pop(z) AS szz FROM (
-   SELECT p.pair, y.v AS y, x.v AS x, l.v AS z FROM pairs p JOIN ser y ON y.series = p.dst JOIN ser x ON x.series = p.src AND x.m = y.m JOIN ser l ON l.series = p.dst AND l.m = y.m - 1) AS q GROUP BY 1) AS t""",
+        "SELECT pair, max(n) AS n, max(beta) FILTER (WHERE k = 'x') AS beta_x, max(beta) FILTER (WHERE k = 'z') AS beta_z, max(se) FILTER (WHERE k = 'x') AS se_x, max(se) FILTER (WHERE k = 'z') AS se_z FROM two GROUP BY 1",
         "pair, n",
-        "beta_x, beta_z",
-        CELLS + CHANGES + PAIRS,
+        "beta_x, beta_z, se_x, se_z",
+        CELLS + CHANGES + PAIRS + TWO,
     ),
 )
 def _(spark, d):
     _, _, design = projections(spark, d)
     rows = design.filter("h = 0 AND cum IS NOT NULL").select("pair", "m", "cum", "x", "y1", F.lit(4).alias("lags"))
     fit = regress.grouped_hac(rows, ["pair"], "cum", ["x", "y1"], "m")
-    return fit.groupBy("pair", "n").pivot("term", ["x", "y1"]).agg(F.max("beta")).select("pair", "n", F.col("x").alias("beta_x"), F.col("y1").alias("beta_z"))
+    wide = fit.groupBy("pair", "n").pivot("term", ["x", "y1"]).agg(F.max("beta").alias("beta"), F.max("se").alias("se"))
+    return wide.select("pair", "n", F.col("x_beta").alias("beta_x"), F.col("y1_beta").alias("beta_z"), F.col("x_se").alias("se_x"), F.col("y1_se").alias("se_z"))
 
 
 def pressure_inputs(spark, d):
@@ -607,9 +612,32 @@ def _(spark, d):
     return out.select("name", "src", "dst", "lag", "rho", "found")
 
 
-@query("granger_tests")
+# the source's lags cleared of the own lags and of each other; F is a form in the inverse of their HAC matrix
+_GW = "WINDOW w AS (PARTITION BY win, src, dst)"
+GRANGER = f"""
+g0 AS (SELECT y.win, s.node AS src, y.node AS dst, y.m, y.x AS y, a.x AS a1, b.x AS a2, c.x AS a3, s.x AS b1, t.x AS b2, u.x AS b3 FROM cf y JOIN cf a ON a.win = y.win AND a.node = y.node AND a.m = y.m - 1
+  JOIN cf b ON b.win = y.win AND b.node = y.node AND b.m = y.m - 2 JOIN cf c ON c.win = y.win AND c.node = y.node AND c.m = y.m - 3 JOIN cf s ON s.win = y.win AND s.node <> y.node AND s.m = y.m - 1
+  JOIN cf t ON t.win = y.win AND t.node = s.node AND t.m = y.m - 2 JOIN cf u ON u.win = y.win AND u.node = s.node AND u.m = y.m - 3),
+g1 AS (SELECT win, src, dst, m, {', '.join(f'{c} - regr_intercept({c}, a1) OVER w - regr_slope({c}, a1) OVER w * a1 AS {c}' for c in ('y', 'a2', 'a3', 'b1', 'b2', 'b3'))} FROM g0 {_GW}),
+g2 AS (SELECT win, src, dst, m, {', '.join(f'{c} - regr_slope({c}, a2) OVER w * a2 AS {c}' for c in ('y', 'a3', 'b1', 'b2', 'b3'))} FROM g1 {_GW}),
+g3 AS (SELECT win, src, dst, m, {', '.join(f'{c} - regr_slope({c}, a3) OVER w * a3 AS {c}' for c in ('y', 'b1', 'b2', 'b3'))} FROM g2 {_GW}),
+g4 AS (SELECT win, src, dst, m, y, b1, b2 - regr_slope(b2, b1) OVER w * b1 AS b2, b3 - regr_slope(b3, b1) OVER w * b1 AS b3 FROM g3 {_GW}),
+g5 AS (SELECT win, src, dst, m, y, b1, b2, b3 - regr_slope(b3, b2) OVER w * b2 AS b3 FROM g4 {_GW}),
+g6 AS (SELECT *, y - regr_slope(y, b1) OVER w * b1 - regr_slope(y, b2) OVER w * b2 - regr_slope(y, b3) OVER w * b3 AS u, count(*) OVER w AS n, row_number() OVER (PARTITION BY win, src, dst ORDER BY m) AS k FROM g5 {_GW}),
+g7 AS (SELECT win, src, dst, k, n, b1 * u AS p, b2 * u AS q, b3 * u AS r, greatest(1, floor(4 * pow(n / 100.0, 2.0 / 9))) AS l FROM g6 WHERE n >= 30),
+g8 AS (SELECT a.win, a.src, a.dst, sum(wt * a.p * b.p) AS pp, sum(wt * a.q * b.q) AS qq, sum(wt * a.r * b.r) AS rr, sum(wt * a.p * b.q) AS pq, sum(wt * a.p * b.r) AS pr, sum(wt * a.q * b.r) AS qr
+  FROM g7 a JOIN g7 b ON b.win = a.win AND b.src = a.src AND b.dst = a.dst AND abs(a.k - b.k) <= a.l CROSS JOIN LATERAL (SELECT 1 - abs(a.k - b.k) / (a.l + 1) AS wt) GROUP BY 1, 2, 3),
+g9 AS (SELECT win, src, dst, any_value(n) AS n, sum(b1 * y) AS e, sum(b2 * y) AS f, sum(b3 * y) AS g FROM g6 GROUP BY 1, 2, 3),
+gr AS (SELECT win, src, dst, n, (e * (e * (qq * rr - qr * qr) + f * (pr * qr - pq * rr) + g * (pq * qr - pr * qq)) + f * (e * (pr * qr - pq * rr) + f * (pp * rr - pr * pr) + g * (pq * pr - pp * qr))
+  + g * (e * (pq * qr - pr * qq) + f * (pq * pr - pp * qr) + g * (pp * qq - pq * pq))) / (pp * (qq * rr - qr * qr) - pq * (pq * rr - qr * pr) + pr * (pq * qr - qq * pr)) * (n - 7) / n / 3 AS f
+  FROM g8 JOIN g9 USING (win, src, dst)),
+"""
+
+
+@query("granger_tests", show("SELECT win, src, dst, f, n FROM gr WHERE f >= 0", "win, src, dst, n", "f", N_ALL + GRANGER))
 def _(spark, d):
-    return network.granger(residual_slabs(spark, d), 3, 30, blocks=2)
+    """The F statistics; the screen below turns them into p and q."""
+    return network.granger(residual_slabs(spark, d), 3, 30, blocks=2).drop("p")
 
 
 @query("granger_false_discovery_screen")
@@ -669,15 +697,25 @@ def _(spark, d):
     return rows.select("item", "m", F.count(F.lit(1)).over(w).alias("n"), F.regr_slope("yoy", "mom").over(w).alias("beta")).filter("n = 24")
 
 
-@query("rolling_24_row_beta_errors")
+@query(
+    "rolling_24_row_beta_errors",
+    show(
+        """SELECT item, e AS "end", beta, sqrt(greatest(v, 0) * 24 / 22) / sxx AS se FROM wf JOIN (SELECT a.item, a.e, sum(a.z * b.z * (1 - abs(a.k - b.k) / 7.0)) AS v FROM wz a JOIN wz b ON b.item = a.item AND b.e = a.e AND abs(a.k - b.k) <= 6 GROUP BY 1, 2) AS s USING (item, e)""",
+        'item, "end"',
+        "beta, se",
+        CELLS
+        + CHANGES
+        + """
+wr AS (SELECT item, m, yoy, mom, row_number() OVER (PARTITION BY item ORDER BY m) AS k FROM chg WHERE yoy IS NOT NULL AND mom IS NOT NULL),
+wc AS (SELECT e.item, e.m AS e, r.k, r.yoy, r.mom FROM wr e JOIN wr r ON r.item = e.item AND r.k BETWEEN e.k - 23 AND e.k WHERE e.k >= 24),
+wf AS (SELECT item, e, avg(yoy) AS my, avg(mom) AS mx, regr_slope(yoy, mom) AS beta, regr_sxx(yoy, mom) AS sxx FROM wc GROUP BY 1, 2),
+wz AS (SELECT item, e, k, (mom - mx) * (yoy - my - beta * (mom - mx)) AS z FROM wc JOIN wf USING (item, e)),
+""",
+    ),
+)
 def _(spark, d):
-    from pyspark.sql import Window
-
-    rows = changes(spark, d).filter("yoy IS NOT NULL AND mom IS NOT NULL").select("item", "m", "yoy", "mom")
-    # a row belongs to the 24 windows that end at itself or one of the next 23 rows of its series
-    w = Window.partitionBy("item").orderBy("m").rowsBetween(0, 23)
-    covered = rows.withColumn("_ends", F.collect_list("m").over(w)).withColumn("end", F.explode("_ends")).withColumn("lags", F.lit(6))
-    return regress.grouped_hac(covered, ["item", "end"], "yoy", ["mom"], "m").filter("term = 'mom' AND n = 24").select("item", "end", "beta", "se")
+    rows = changes(spark, d).filter("yoy IS NOT NULL AND mom IS NOT NULL")
+    return regress.rolling_slope_error(rows, "item", "m", "yoy", "mom", rows=24, lags=6).withColumnRenamed("m", "end")
 
 
 @query(
@@ -795,6 +833,29 @@ def _(spark, d):
     return timeseries.local_projections(projections(spark, d)[2], min_n=36)
 
 
+ROLLED = """
+ro0 AS (SELECT o.*, e.e FROM o0 o JOIN (SELECT pair, lo, hi, unnest(range(lo, hi + 1)) AS e FROM (SELECT p.pair, min(y.m) AS lo, max(y.m) AS hi FROM pairs p JOIN ser y ON y.series = p.dst GROUP BY 1) AS s) AS e
+  ON e.pair = o.pair AND e.e - e.lo >= 47 AND ((e.e - 1) % 12 + 1 IN (6, 12) OR e.e = e.hi) AND o.m BETWEEN e.e - 47 AND e.e WHERE o.h IN (3, 6, 12)),
+ro1 AS (SELECT pair, h, e, m, y2 - regr_intercept(y2, y1) OVER w - regr_slope(y2, y1) OVER w * y1 AS r2, y3 - regr_intercept(y3, y1) OVER w - regr_slope(y3, y1) OVER w * y1 AS s3,
+  x - regr_intercept(x, y1) OVER w - regr_slope(x, y1) OVER w * y1 AS x1, cum - regr_intercept(cum, y1) OVER w - regr_slope(cum, y1) OVER w * y1 AS c1 FROM ro0 WINDOW w AS (PARTITION BY pair, h, e)),
+ro2 AS (SELECT pair, h, e, m, s3 - regr_slope(s3, r2) OVER w * r2 AS r3, x1 - regr_slope(x1, r2) OVER w * r2 AS x2, c1 - regr_slope(c1, r2) OVER w * r2 AS c2 FROM ro1 WINDOW w AS (PARTITION BY pair, h, e)),
+ro3 AS (SELECT pair, h, e, m, x2 - regr_slope(x2, r3) OVER w * r3 AS xt, c2 - regr_slope(c2, r3) OVER w * r3 AS c FROM ro2 WINDOW w AS (PARTITION BY pair, h, e)),
+ro4 AS (SELECT pair, h, e, xt, c, row_number() OVER (PARTITION BY pair, h, e ORDER BY m) AS k, count(*) OVER w AS n, regr_slope(c, xt) OVER w AS beta FROM ro3 WINDOW w AS (PARTITION BY pair, h, e)),
+ro5 AS (SELECT pair, h, e, k, n, beta, xt, xt * (c - beta * xt) AS z, h + floor(4 * pow(n / 100.0, 2.0 / 9)) AS l FROM ro4 WHERE n >= 30),
+rolled AS (SELECT pair, h, e, n, beta, sqrt(greatest(v, 0) * n / (n - 5)) / sxx AS se FROM (SELECT pair, h, e, any_value(n) AS n, any_value(beta) AS beta, sum(xt * xt) AS sxx FROM ro5 GROUP BY 1, 2, 3) AS f
+  JOIN (SELECT a.pair, a.h, a.e, sum(a.z * b.z * (1 - abs(a.k - b.k) / (a.l + 1))) AS v FROM ro5 a JOIN ro5 b ON b.pair = a.pair AND b.h = a.h AND b.e = a.e AND abs(a.k - b.k) <= a.l GROUP BY 1, 2, 3) AS s USING (pair, h, e)),
+"""
+
+
+@query(
+    "rolling_projection_betas",
+    show('SELECT pair, h::INT AS h, e AS "end", n, beta, se FROM rolled', 'pair, h, "end", n', "beta, se", CELLS + CHANGES + PAIRS + ORTHO + ROLLED),
+)
+def _(spark, d):
+    design = projections(spark, d)[2].filter(F.col("h").isin(3, 6, 12))
+    return timeseries.rolling_projections(design, months=48, min_n=30)
+
+
 @query(
     "cumulative_response_betas",
     show("SELECT pair, h::INT AS h, count(*) AS n, regr_slope(cum, xt) AS beta FROM o3 GROUP BY 1, 2 HAVING count(*) >= 36", "pair, h, n", "beta", CELLS + CHANGES + PAIRS + ORTHO),
