@@ -159,7 +159,8 @@ def document_copies(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap:
         return frame.assign(copies=copies)[["row", "size", "source_size", "target", "rate", "copies"]]
 
     schema = "row bigint, size bigint, source_size bigint, target double, rate double, copies bigint"
-    return rated.groupBy("s", "is_null", "bucket").applyInPandas(deal, schema)
+    # dealt out anew: the join left all buckets of a source in one partition
+    return rated.repartition("s", "is_null", "bucket").groupBy("s", "is_null", "bucket").applyInPandas(deal, schema)
 
 
 def _row_keys(id_col: str, text_col: str, source_col: str) -> list[Column]:
