@@ -135,27 +135,46 @@ def strike_basis_points(kind, text) -> Column:
 
 
 def age_range(text) -> Column:
-    """'under 5', '85 years and over', '5 to 9', '60 and 61 years', '20 years' to struct(lo, hi)."""
-    t = F.trim(F.regexp_replace(F.lower(_c(text)), ",", ""))
-
-    def group(pattern, i):
-        return F.regexp_extract(t, pattern, i).try_cast("int")
-
-    under, over = r"^under (\d+)", r"^(\d+) years? and (?:over|older)"
-    span, pair, single = r"^(\d+) (?:to|through) (\d+)", r"^(\d+) and (\d+) years", r"^(\d+) years?$"
-    lo = F.coalesce(F.when(t.rlike(under), F.lit(0)), group(over, 1), group(span, 1), group(pair, 1), group(single, 1))
-    hi = F.coalesce(group(under, 1) - 1, F.when(t.rlike(over), F.lit(200)), group(span, 2), group(pair, 2), group(single, 1))
+    """'under 5', '85 years and over', '5 to 9', '60 and 61 years', '20 years' to struct(lo, hi).
+
+    A label is read as words: the word for years is taken out and remembered,
+    and what is left is a number, two numbers around a joining word, or a number
+    with a word for an open end on either side.
+    """
+    words = F.filter(F.split(F.trim(F.regexp_replace(F.lower(_c(text)), ",", "")), r"\s+"), lambda w: w != "")
+    unit = F.exists(words, lambda w: w.isin("year", "years"))
+    rest = F.filter(words, lambda w: ~w.isin("year", "years"))
+
+    def word(i):
+        return F.try_element_at(rest, F.lit(i))
+
+    def number(i):
+        return word(i).try_cast("int")
+
+    n, joint = F.size(rest), word(2)
+    lo = F.when((n == 2) & (word(1) == "under"), F.lit(0)).otherwise(number(1))
+    hi = (
+        F.when((n == 2) & (word(1) == "under"), number(2) - 1)
+        .when((n == 1) & unit, number(1))
+        .when((n >= 3) & joint.isin("to", "through"), number(3))
+        .when((n == 3) & unit & (joint == "and"), F.when(word(3).isin("over", "older"), F.lit(200)).otherwise(number(3)))
+    )
     return F.when(lo.isNotNull() & hi.isNotNull(), F.struct(lo.alias("lo"), hi.alias("hi")))
 
 
-def standard_bin(text, bins: list[str]) -> Column:
-    """The five-year bin that contains an age label; NULL where the label spans bins or does not parse."""
+def standard_bin(text, bins: list[str], strict: bool = False) -> Column:
+    """The five-year bin that contains an age label; NULL where the label spans bins or does not parse.
+
+    With ``strict`` a label that spans bins is an error when the row is read.
+    """
     r = age_range(text)
     out = None
     for b in bins:
         lo, hi = (int(b[:-1]), 200) if b.endswith("+") else tuple(int(x) for x in b.split("-"))
         inside = (r["lo"] >= lo) & (r["hi"] <= hi)
         out = F.when(inside, b) if out is None else out.when(inside, b)
+    if strict:
+        out = out.when(r.isNotNull(), F.raise_error(F.concat(F.lit("age label spans bins: "), _c(text))).cast("string"))
     return out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statloom.functions.calendar import calendar_lag, trailing
+from statloom.functions.calendar import calendar_lag, trailing, month_grid
 from statloom.functions.stats import half_away
 from statloom.operators.ordered import exact_quantiles, shared
 
@@ -39,6 +39,17 @@ def vintage_changes(levels: DataFrame) -> DataFrame:
     return levels.withColumn("mom", (F.col("value") / prev - 1) * 100).filter(F.col("mom").isNotNull()).select("series", "vintage_m", "obs_m", "mom")
 
 
+def matrix_to_long(wide: DataFrame, series: str = "series", obs_m: str = "obs_m", prefix: str = "v") -> DataFrame:
+    """One column per vintage to rows (series, vintage, obs_m, value, mom) on every month between a vintage's first and last value."""
+    names = [c for c in wide.columns if c.startswith(prefix) and c[len(prefix) :].isdigit()]
+    vintage = F.substr("_c", F.lit(len(prefix) + 1)).cast("int")
+    long = wide.select(series, obs_m, *names).unpivot([series, obs_m], names, "_c", "value").withColumn("vintage", vintage).filter("value IS NOT NULL").drop("_c")
+    keys = [series, "vintage"]
+    grid = month_grid(long, keys, obs_m).join(long, [*keys, obs_m], "left")
+    before = calendar_lag("value", keys, obs_m, 1)
+    return grid.select(*keys, obs_m, "value", ((F.col("value") / before - 1) * 100).alias("mom"))
+
+
 def revisions(mom: DataFrame, days: int = 365) -> DataFrame:
     """First print, print at least a year later, latest print per observation: mom(series, vintage date, obs_m, mom).
 

@@ -314,12 +314,14 @@ def _(spark, d):
 @query(
     "dated_notice_list",
     show(
-        r"""SELECT url, arg_min(title, page_id * 1000 + k) AS title FROM (SELECT page_id, k, regexp_extract(li, 'href="([^"]*)"', 1) AS url, trim(regexp_replace(li, '<[^>]+>', '', 'g')) AS title FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1)) AS li, generate_subscripts(regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1), 1) AS k FROM pages) AS a) AS b WHERE url <> '' GROUP BY 1""",
-        "url",
+        r"""SELECT url, title, strftime(day, '%Y-%m-%d') AS day FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id, title, day NULLS FIRST) AS k FROM (
+  SELECT page_id, url, trim(regexp_replace(body, '\(\d{2}/\d{2}/\d{4}\)\s*$', '')) AS title, try_strptime(nullif(regexp_extract(body, '\((\d{2}/\d{2}/\d{4})\)\s*$', 1), ''), '%m/%d/%Y') AS day FROM (
+   SELECT page_id, regexp_extract(li, 'href="([^"]*)"', 1) AS url, trim(regexp_replace(li, '<[^>]+>', '', 'g')) AS body FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1)) AS li FROM pages) AS a) AS b) AS c WHERE url <> '') AS q WHERE k = 1""",
+        "url, title, day",
     ),
 )
 def _(spark, d):
-    return tables.dated_notices(table(spark, d, "pages").select("page_id", "html"), "html", "page_id").select("url")
+    return tables.dated_notices(table(spark, d, "pages").select("page_id", "html"), "html", "page_id").select("url", "title", F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
 @query(

@@ -57,6 +57,22 @@ def _(spark, d):
     return moms(spark, d).select("series", "k", "vintage_m", "obs_m", "mom")
 
 
+@query(
+    "vintage_matrix_long",
+    show(
+        """SELECT g.series, g.k AS vintage, g.obs_m, l.value, 100 * (l.value / p.value - 1) AS mom FROM (SELECT series, k, unnest(range(min(obs_m), max(obs_m) + 1)) AS obs_m FROM lev GROUP BY 1, 2) AS g
+  LEFT JOIN lev l ON l.series = g.series AND l.k = g.k AND l.obs_m = g.obs_m LEFT JOIN lev p ON p.series = g.series AND p.k = g.k AND p.obs_m = g.obs_m - 1""",
+        "series, vintage, obs_m",
+        "value, mom",
+        VINT,
+    ),
+)
+def _(spark, d):
+    """A matrix with a column per vintage number, back to rows."""
+    wide = levels(spark, d).withColumn("_k", F.concat(F.lit("v"), F.col("k").cast("string"))).groupBy("series", "obs_m").pivot("_k").agg(F.max("value"))
+    return vintages.matrix_to_long(wide)
+
+
 _REV_COLS = "first_print, after_1y, latest, rev_1y, rev_latest"
 
 
