@@ -72,6 +72,27 @@ def grouped_hac(df: DataFrame, keys: list[str], y: str, xs: list[str], order: st
     return spread(df.select(*keys, y, *xs, order, lags), *keys).groupBy(*keys).applyInArrow(fit, schema)
 
 
+def specification_grid(df: DataFrame, keys: list[str], y: str, specs: dict[str, list[str]], order: str, long: str, short: str) -> DataFrame:
+    """Slopes of every specification with errors under two truncation lags, and what each adds to the first one.
+
+    The first specification is the base; a later one adds one regressor, its
+    last, and gets the gain in r2 and the Wald statistic of that regressor.
+    """
+    out, base = None, None
+    for name, xs in specs.items():
+        wide = grouped_hac(df, keys, y, xs, order, long).filter("term <> 'const'").withColumnRenamed("se", "se_long")
+        narrow = grouped_hac(df, keys, y, xs, order, short).select(*keys, "term", F.col("se").alias("se_short"))
+        fit = wide.join(narrow, [*keys, "term"]).withColumn("spec", F.lit(name))
+        if base is None:
+            base = fit.select(*keys, F.col("r2").alias("_r2")).distinct()
+            fit = fit.withColumn("delta_r2", F.lit(None).cast("double")).withColumn("wald", F.lit(None).cast("double"))
+        else:
+            added = fit.filter(F.col("term") == xs[-1]).select(*keys, F.pow(F.col("beta") / F.col("se_long"), F.lit(2.0)).alias("wald"))
+            fit = fit.join(base, keys).join(added, keys).withColumn("delta_r2", F.col("r2") - F.col("_r2")).drop("_r2")
+        out = fit if out is None else out.unionByName(fit)
+    return out.select(*keys, "spec", "term", "n", "beta", "se_long", "se_short", "r2", "delta_r2", "wald")
+
+
 def rolling_slope_error(df: DataFrame, key: str, order: str, y: str, x: str, rows: int = 24, lags: int = 6) -> DataFrame:
     """key, order, beta, se of y on x over the last ``rows`` rows of a series, HAC with ``lags``.
 

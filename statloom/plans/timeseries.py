@@ -665,19 +665,42 @@ def _(spark, d):
     return network.benjamini_hochberg(lines, "fam").drop("fam", "p")
 
 
-@query("regression_grid")
+# every slope from what the other regressor leaves over; both truncation lags from one lag join
+GRID = """
+rg0 AS (SELECT c.item, c.m, c.yoy AS y, c.mom, h.h AS head, c.m >= (SELECT (min(m) + max(m)) // 2 FROM hl) AS late FROM chg c JOIN hl h USING (m) WHERE c.yoy IS NOT NULL AND c.mom IS NOT NULL AND h.h IS NOT NULL),
+rg1 AS (SELECT item, 'all' AS sample, m, y, mom, head FROM rg0 UNION ALL SELECT item, CASE WHEN late THEN 'late' ELSE 'early' END, m, y, mom, head FROM rg0),
+rg2 AS (SELECT item, sample, 'change' AS spec, 'mom' AS term, 2 AS k, m, y, mom - avg(mom) OVER w AS a, y - avg(y) OVER w AS r FROM rg1 WINDOW w AS (PARTITION BY item, sample)
+  UNION ALL SELECT item, sample, 'change+headline', 'mom', 3, m, y, mom - regr_intercept(mom, head) OVER w - regr_slope(mom, head) OVER w * head, y - regr_intercept(y, head) OVER w - regr_slope(y, head) OVER w * head FROM rg1 WINDOW w AS (PARTITION BY item, sample)
+  UNION ALL SELECT item, sample, 'change+headline', 'head', 3, m, y, head - regr_intercept(head, mom) OVER w - regr_slope(head, mom) OVER w * mom, y - regr_intercept(y, mom) OVER w - regr_slope(y, mom) OVER w * mom FROM rg1 WINDOW w AS (PARTITION BY item, sample)),
+rg3 AS (SELECT *, row_number() OVER (PARTITION BY item, sample, spec, term ORDER BY m) AS i, count(*) OVER w AS n, regr_slope(r, a) OVER w AS beta FROM rg2 WINDOW w AS (PARTITION BY item, sample, spec, term)),
+rg4 AS (SELECT *, r - beta * a AS u, a * (r - beta * a) AS z, least(12, n // 4) AS l FROM rg3 WHERE n >= 24),
+rg5 AS (SELECT p.item, p.sample, p.spec, p.term, sum(p.z * q.z * greatest(0, 1 - abs(p.i - q.i) / (p.l + 1))) AS long_v, sum(p.z * q.z * greatest(0, 1 - abs(p.i - q.i) / 5.0)) AS short_v
+  FROM rg4 p JOIN rg4 q ON q.item = p.item AND q.sample = p.sample AND q.spec = p.spec AND q.term = p.term AND abs(p.i - q.i) <= greatest(p.l, 4) GROUP BY 1, 2, 3, 4),
+rg6 AS (SELECT item, sample, spec, term, any_value(n) AS n, any_value(beta) AS beta, any_value(n) * 1.0 / (any_value(n) - any_value(k)) AS ss, sum(a * a) AS sxx, 1 - sum(u * u) / (var_pop(y) * count(*)) AS r2 FROM rg4 GROUP BY 1, 2, 3, 4),
+rg AS (SELECT item, sample, spec, term, n, beta, sqrt(greatest(long_v, 0) * ss) / sxx AS se_long, sqrt(greatest(short_v, 0) * ss) / sxx AS se_short, r2 FROM rg6 JOIN rg5 USING (item, sample, spec, term)),
+"""
+
+
+@query(
+    "regression_grid",
+    show(
+        """SELECT g.*, CASE WHEN g.spec <> 'change' THEN g.r2 - s.r2 END AS delta_r2, CASE WHEN g.spec <> 'change' THEN pow(w.beta / w.se_long, 2) END AS wald FROM rg g JOIN rg s ON s.item = g.item AND s.sample = g.sample AND s.spec = 'change'
+  JOIN rg w ON w.item = g.item AND w.sample = g.sample AND w.term = 'head'""",
+        "item, sample, spec, term, n",
+        "beta, se_long, se_short, r2, delta_r2, wald",
+        N_ALL + GRID,
+    ),
+)
 def _(spark, d):
-    """Gap on regressors over sub-samples with and without a control, HAC 12: spec x sample are the groups."""
+    """12-month change on the monthly one, with and without the headline, in all months and either half; HAC with 12 lags (at most n/4) and with 4."""
     rows = changes(spark, d).filter("yoy IS NOT NULL AND mom IS NOT NULL").select("item", "m", "yoy", "mom")
-    head = headline(spark, d).withColumnRenamed("h", "head")
-    full = rows.join(head, "m").withColumn("lags", F.lit(4))
-    samples = F.when(F.col("m") >= 23990, F.array(F.lit("all"), F.lit("late"))).otherwise(F.array(F.lit("all"), F.lit("early")))
-    cut = full.withColumn("sample", F.explode(samples))
-    small = regress.grouped_hac(cut, ["item", "sample"], "yoy", ["mom"], "m").withColumn("spec", F.lit("change"))
-    wide = regress.grouped_hac(cut, ["item", "sample"], "yoy", ["mom", "head"], "m").withColumn("spec", F.lit("change+headline"))
-    added = wide.filter("term = 'head'").select("item", "sample", (F.pow(F.col("beta") / F.col("se"), F.lit(2))).alias("wald"))
-    r2 = small.select("item", "sample", F.col("r2").alias("_r0")).distinct()
-    return wide.join(r2, ["item", "sample"]).join(added, ["item", "sample"]).withColumn("delta_r2", F.col("r2") - F.col("_r0")).drop("_r0").unionByName(small, allowMissingColumns=True)
+    head = shared(headline(spark, d).withColumnRenamed("h", "head"))
+    full = with_one_row(rows.join(head, "m"), head.agg(F.floor((F.min("m") + F.max("m")) / 2).alias("_mid")))
+    half = F.when(F.col("m") >= F.col("_mid"), "late").otherwise("early")
+    cut = full.withColumn("sample", F.explode(F.array(F.lit("all"), half))).drop("_mid")
+    sized = cut.groupBy("item", "sample").agg(F.least(F.lit(12), F.floor(F.count(F.lit(1)) / 4)).cast("int").alias("long"))
+    cut = written(cut.join(sized, ["item", "sample"]).withColumn("short", F.lit(4)))
+    return regress.specification_grid(cut, ["item", "sample"], "yoy", {"change": ["mom"], "change+headline": ["mom", "head"]}, "m", "long", "short")
 
 
 @query(
