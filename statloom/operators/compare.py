@@ -65,6 +65,13 @@ def drift(old: DataFrame, new: DataFrame, keys: list[str], value: str, limit: fl
     return a.join(b, keys).withColumn("moved", F.col("after") - F.col("before")).filter(F.abs("moved") > limit)
 
 
+def worse_headlines(before: DataFrame, after: DataFrame, tolerance: float = 0.5, tolerant: tuple[str, ...] = ("within", "matching")) -> DataFrame:
+    """Headline figures (stat, value) that fell below their baseline; names with a ``tolerant`` word may fall by ``tolerance``."""
+    slack = F.when(F.col("stat").rlike("|".join(tolerant)), tolerance).otherwise(0.0)
+    both = after.select("stat", F.col("value").alias("after")).join(before.select("stat", F.col("value").alias("before")), "stat")
+    return both.filter(F.col("after") < F.col("before") - slack).select("stat", "before", "after")
+
+
 def majority(df: DataFrame, key: str, value: str) -> DataFrame:
     """Most common value per key, smallest value on ties, with how many rows disagree."""
     counts = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))

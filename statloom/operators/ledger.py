@@ -239,6 +239,24 @@ def deflate(df: DataFrame, index: DataFrame, year: str, value: str, shift: int =
     return joined.withColumn(name, F.col(value) * F.col("_base") / F.col("_idx")).drop("_base", "_idx")
 
 
+def redeflated_trend(df: DataFrame, index: DataFrame, value: str, base_year: int | None = None) -> DataFrame:
+    """Median of ``value`` per year in money of the base year of another index, and its ratio to the first year.
+
+    df(year, value); index(year, value).  The base is the index of ``base_year``,
+    or its latest where that is missing; a year takes the index of the year
+    before, else its own.
+    """
+    wanted = F.max(F.when(F.col("year") == F.lit(base_year), F.col("value")))
+    base = index.agg(F.coalesce(wanted, F.max_by("value", "year")).alias("_base"))
+    before = index.select((F.col("year") + 1).alias("year"), F.col("value").alias("_before"))
+    own = index.select("year", F.col("value").alias("_own"))
+    rows = with_one_row(df.filter(F.col(value).isNotNull()), base).join(before, "year", "left").join(own, "year", "left")
+    rows = rows.withColumn("real", F.col(value) * F.col("_base") / F.coalesce("_before", "_own")).filter("real IS NOT NULL")
+    trend = exact_quantiles(rows, "year", "real", {"median": 0.5})
+    first = trend.agg(F.min_by("median", "year").alias("_first"))
+    return with_one_row(trend, first).select("year", "n", "median", (F.col("median") / F.col("_first")).alias("ratio"))
+
+
 def regional_deflate(df: DataFrame, parity: DataFrame, area: str, year: str, value: str, name: str = "regional_real") -> DataFrame:
     """Divide by the regional price parity (100 = nation) of the previous year: parity(area, year, rpp)."""
     p = parity.select(F.col("area").alias(area), (F.col("year") + 1).alias(year), F.col("rpp").alias("_rpp"))

@@ -230,6 +230,29 @@ def _(spark, d):
     return rows.groupBy("state", "code").agg(F.sum("ft").alias("ours"), pub.alias("published"), (F.sum("ft") == pub).alias("exact"))
 
 
+_BEFORE_AFTER = """
+st AS (SELECT year, police_pct_general AS b, police_pct_core AS a FROM metrics WHERE police_pct_general IS NOT NULL AND police_pct_core IS NOT NULL),
+hs AS (SELECT year || ' median police share' AS stat, median(b) AS before, median(a) AS after FROM st GROUP BY year
+  UNION ALL SELECT year || ' shares within 20', 100.0 * count(*) FILTER (WHERE b <= 20) / count(*), 100.0 * count(*) FILTER (WHERE a <= 20) / count(*) FROM st GROUP BY year),
+"""
+
+
+@query(
+    "worse_headlines",
+    show("SELECT * FROM hs WHERE after < before - CASE WHEN stat LIKE '%within%' THEN 0.5 ELSE 0 END", "stat", "before, after", METRICS + _BEFORE_AFTER),
+)
+def _(spark, d):
+    """Yearly headline figures of two ways of stating the police share, the first being the baseline."""
+    rows = shared(metrics(spark, d).filter("police_pct_general IS NOT NULL AND police_pct_core IS NOT NULL"))
+
+    def headlines(value):
+        medians = exact_quantiles(rows, "year", value, {"value": 0.5}).select(F.concat_ws(" ", "year", F.lit("median police share")).alias("stat"), "value")
+        shares = rows.groupBy("year").agg((F.count_if(F.col(value) <= 20) * 100.0 / F.count(F.lit(1))).alias("value"))
+        return medians.unionByName(shares.select(F.concat_ws(" ", "year", F.lit("shares within 20")).alias("stat"), "value"))
+
+    return compare.worse_headlines(headlines("police_pct_general"), headlines("police_pct_core"))
+
+
 @query(
     "history_drift",
     show(

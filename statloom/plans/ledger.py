@@ -314,6 +314,30 @@ def _(spark, d):
     return to_cents(rows, "real", "real_fallback", "regional_real")
 
 
+# a second index: what a unit of the suppliers' goods costs them
+COSTS = """
+costs AS (SELECT year(l_shipdate) AS year, sum(round(l_extendedprice * 100)::BIGINT) / 100.0 / sum(l_quantity) AS value FROM lineitem GROUP BY 1),
+"""
+
+
+@query(
+    "redeflated_trend",
+    show(
+        """SELECT year, n, med AS median, med / arg_min(med, year) OVER () AS ratio FROM (SELECT year, count(*) AS n, median(nominal * base / coalesce(b.value, o.value)) AS med FROM (
+   SELECT year, (police_usd + fire_usd) * 1.0 / pop AS nominal FROM metrics JOIN directory USING (unit, year) WHERE pop > 0) AS r CROSS JOIN (SELECT value AS base FROM costs WHERE year = 1998) AS z
+   LEFT JOIN (SELECT year + 1 AS year, value FROM costs) AS b USING (year) LEFT JOIN costs o USING (year) GROUP BY 1) AS t""",
+        "year, n",
+        "median, ratio",
+        METRICS + COSTS,
+    ),
+)
+def _(spark, d):
+    lines = table(spark, d, "lineitem").select(F.year("l_shipdate").alias("year"), "l_extendedprice", "l_quantity")
+    index = lines.groupBy("year").agg((F.sum(cents("l_extendedprice")) / 100.0 / F.sum("l_quantity")).alias("value"))
+    rows = metrics(spark, d).select("unit", "year", "police_usd", "fire_usd").join(directory(spark, d).select("unit", "year", "pop").filter("pop > 0"), ["unit", "year"])
+    return ledger.redeflated_trend(rows.withColumn("nominal", (F.col("police_usd") + F.col("fire_usd")) / F.col("pop")), index, "nominal", 1998)
+
+
 @query(
     "undo_real_per_capita",
     show(
