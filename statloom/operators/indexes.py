@@ -64,16 +64,16 @@ def survey_frequencies(lines: DataFrame, weights: DataFrame, weight_columns: lis
     lines(unit, code, cost); weights(unit, <weight columns>).  Lines are first
     reduced to one row per (unit, code); replicates stay columns of one
     aggregation, so 45 weights cost one pass and no row is multiplied.  Returns
-    (code, weight, <measures>), written once because every scheme reads it.
+    (code, weight, <measures>).
     """
     per_row = {"freq": "coalesce({c}, 0D) * n", "spend": "coalesce({c}, 0D) * cost", "share": "coalesce({c}, 0D)"}
     per_unit = lines.groupBy("unit", "code").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost"))
     sums = [F.expr(f"sum({per_row[m].format(c=c)}) AS {c}_{m}") for c in weight_columns for m in measures]
     by_code = per_unit.join(weights, "unit").groupBy("code").agg(*sums)
     cells = ", ".join("named_struct('weight', '{0}', {1})".format(c, ", ".join(f"'{m}', {c}_{m}" for m in measures)) for c in weight_columns)
-    long = written(by_code.select("code", F.expr(f"inline(array({cells}))")))
+    long = by_code.select("code", F.expr(f"inline(array({cells}))"))
     totals = weights.agg(*[F.expr(f"sum(coalesce({c}, 0D)) AS {c}") for c in weight_columns])
-    totals = written(totals.unpivot([], weight_columns, "weight", "_all"))
+    totals = totals.unpivot([], weight_columns, "weight", "_all")
     return long.join(totals, "weight").select("code", "weight", *[(F.col(m) / F.col("_all")).alias(m) for m in measures])
 
 
