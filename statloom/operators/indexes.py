@@ -125,6 +125,28 @@ def scheme_table(weights: DataFrame, frequencies: DataFrame) -> DataFrame:
     return both.select("weight_year", "item", F.inline(packed)).select("scheme", "weight_year", "item", "w")
 
 
+def frequency_variants(frequencies: DataFrame, concordance: DataFrame, leaf: DataFrame) -> DataFrame:
+    """Item schemes from code frequencies under every choice: split by spend or equally, leaf or class level, each year or all years.
+
+    frequencies(weight_year, code, freq); concordance(code, target); leaf(item, w).
+    Schemes are named split/level/years and normalised to 100 per year.
+    """
+    years = frequencies.select("weight_year").distinct()
+    n_years = years.agg(F.count(F.lit(1)).alias("_years"))
+    out = None
+    for split in ("exp", "equal"):
+        mapped = frequencies.join(map_codes(concordance, leaf, split), "code")
+        items = mapped.groupBy("weight_year", "item").agg(F.sum(F.col("freq") * F.col("share")).alias("f"))
+        for level, rows in (("leaf", items), ("class", spread_in_class(items, leaf, "f", ["weight_year"]))):
+            pooled = with_one_row(rows.groupBy("item").agg(F.sum("f").alias("_f")), n_years).select("item", (F.col("_f") / F.col("_years")).alias("f"))
+            pooled = pooled.withColumn("_all", F.lit(0)).join(years.withColumn("_all", F.lit(0)), "_all").select("weight_year", "item", "f")  # a row a year and item
+            for span, freq in (("yearly", rows), ("pooled", pooled)):
+                total = with_group_totals(freq, "weight_year", _t=F.sum("f"))
+                scheme = total.select(F.lit(f"{split}/{level}/{span}").alias("scheme"), "weight_year", "item", (F.col("f") / F.col("_t") * 100).alias("w"))
+                out = scheme if out is None else out.unionByName(scheme)
+    return out
+
+
 def gap_to(chains: DataFrame, reference: str = "official") -> DataFrame:
     """yoy of every scheme minus the reference scheme's, by month."""
     ref = chains.filter(F.col("scheme") == reference).select("m", F.col("yoy").alias("_ref"))

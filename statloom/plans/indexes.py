@@ -257,6 +257,54 @@ def _(spark, d):
     return indexes.spread_in_class(indexes.map_codes(_conc(spark, d), leaf), leaf, "share").select("item", "share")
 
 
+# the whole way from purchases by product name to indexes over mapped items, under each choice of the weights
+_EQUAL = MAP[MAP.index("am AS") :].replace("am AS", "ame AS").replace("coalesce(l4.w, l3.w, l2.w, 0) AS w0", "(coalesce(l4.item, l3.item, l2.item) IS NOT NULL)::INT::DOUBLE AS w0")
+VARIANTS = """
+cells AS (SELECT item, m, sum(c) / 100.0 AS spend, sum(q) AS qty, sum(c) / 100.0 / sum(q) AS idx FROM (
+  SELECT 'SE' || substr(upper(split_part(p_name, ' ', 2)), 1, CASE WHEN p_name LIKE '%rod' THEN 2 WHEN p_name LIKE '%widget' THEN 3 ELSE 4 END) AS item, year(l_shipdate) * 12 + month(l_shipdate) AS m,
+   round(l_extendedprice * 100)::BIGINT AS c, l_quantity AS q FROM lineitem JOIN part ON p_partkey = l_partkey) AS z GROUP BY 1, 2),
+"""
+_VARIANT_FREQ = """
+frc AS (SELECT weight_year, code, sum(wt * n) / any_value(tot) AS freq FROM (SELECT o_custkey AS unit, p_name AS code, year(l_shipdate) AS weight_year, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2, 3) AS b
+  JOIN (SELECT * FROM sw WHERE r = 0) AS s USING (unit) CROSS JOIN (SELECT sum(wt) AS tot FROM sw WHERE r = 0) AS t GROUP BY 1, 2),
+fi AS (SELECT 'exp' AS split, weight_year, item, sum(freq * share) AS f FROM frc JOIN am USING (code) GROUP BY 1, 2, 3 UNION ALL SELECT 'equal', weight_year, item, sum(freq * share) FROM frc JOIN ame USING (code) GROUP BY 1, 2, 3),
+lc AS (SELECT item, substr(item, 1, 4) AS cls, CASE WHEN sum(w) OVER c > 0 THEN w / sum(w) OVER c ELSE 1.0 / count(*) OVER c END AS s FROM leaf WINDOW c AS (PARTITION BY substr(item, 1, 4))),
+fl AS (SELECT split, 'leaf' AS lvl, weight_year, item, f FROM fi UNION ALL SELECT v.split, 'class', v.weight_year, lc.item, v.f * lc.s FROM lc JOIN (SELECT split, weight_year, substr(item, 1, 4) AS cls, sum(f) AS f FROM fi GROUP BY 1, 2, 3) AS v USING (cls)),
+fp AS (SELECT split, lvl, 'yearly' AS span, weight_year, item, f FROM fl UNION ALL SELECT split, lvl, 'pooled', y.weight_year, item, p.f / (SELECT count(DISTINCT weight_year) FROM frc)
+  FROM (SELECT split, lvl, item, sum(f) AS f FROM fl GROUP BY 1, 2, 3) AS p CROSS JOIN (SELECT DISTINCT weight_year FROM frc) AS y),
+"""
+_VARIANT_SCHEMES = "SELECT 'official' AS scheme, weight_year, item, w FROM wts UNION ALL SELECT split || '/' || lvl || '/' || span, weight_year, item, 100 * f / sum(f) OVER (PARTITION BY split, lvl, span, weight_year) FROM fp"
+
+
+@query(
+    "sensitivity_variants",
+    show(
+        "SELECT a.scheme, a.m, a.yoy - b.yoy AS gap FROM chain a JOIN chain b ON b.m = a.m AND b.scheme = 'official' WHERE a.scheme <> 'official'",
+        "scheme, m",
+        "gap",
+        VARIANTS + WEIGHTS + PUB + SURVEY + MAP + _EQUAL + _VARIANT_FREQ + _chain_ctes(_VARIANT_SCHEMES),
+    ),
+)
+def _(spark, d):
+    parts = table(spark, d, "part")
+    keep = F.when(F.col("p_name").endswith("rod"), 2).when(F.col("p_name").endswith("widget"), 3).otherwise(4)
+    item = F.concat(F.lit("SE"), F.substr(F.upper(F.split("p_name", " ")[1]), F.lit(1), keep))
+    named = parts.select("p_partkey", F.col("p_name").alias("code"), item.alias("item"))
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("unit"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate", cents("l_extendedprice").alias("c"), "l_quantity")
+    bought = lines.join(named, lines.l_partkey == named.p_partkey).join(orders, lines.l_orderkey == orders.o_orderkey)
+    month = (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("int")
+    cells = bought.groupBy("item", month.alias("m")).agg((F.sum("c") / 100.0).alias("spend"), F.sum("l_quantity").alias("qty"))
+    cells = written(cells.withColumn("idx", F.col("spend") / F.col("qty")))
+    year = F.year("l_shipdate").cast("string")
+    survey = bought.select("unit", F.concat_ws("|", year, "code").alias("code"), (F.col("c") / 100.0).alias("cost"))
+    freq = indexes.survey_frequencies(survey, _weights(spark, d).select("unit", "w0"), ["w0"], ("freq",))
+    split = F.split("code", r"\|", 2)
+    freq = written(freq.select(split[0].cast("int").alias("weight_year"), split[1].alias("code"), "freq"))
+    schemes = written(indexes.frequency_variants(freq, shared(_conc(spark, d)), shared(_leaf(spark, d))).unionByName(_official(cells)))
+    return indexes.gap_to(indexes.chain(cells, schemes, _published(cells)))
+
+
 TIER = """
 tiers AS (SELECT item, CASE WHEN s * 20 - 6.5 >= 0.25 THEN 'high' WHEN s * 20 - 6.5 >= 0.10 THEN 'mid' ELSE 'low' END AS tier
   FROM (SELECT p_brand AS item, count(*) FILTER (WHERE l_returnflag = 'R') * 1.0 / count(*) AS s FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1) AS q),
