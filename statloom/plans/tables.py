@@ -9,23 +9,37 @@ from statloom.functions.calendar import month_ordinal
 from statloom.operators.ordered import written
 
 
-_OPENED: dict[tuple[str, str], DataFrame] = {}
+def file_stamp(spark: SparkSession, path: str) -> tuple:
+    """Name, length and time of change of the files at a path: what a rewritten table differs in."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in files.listStatus(where)))
+
+
+_OPENED: dict[tuple, DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder; its file listing and schema are read once per application."""
-    key = (spark.sparkContext.applicationId, f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A table of the folder; its schema is read once per application and state of its files."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path, file_stamp(spark, path))
     if key not in _OPENED:
-        _OPENED[key] = spark.read.parquet(key[1])
+        _OPENED[key] = spark.read.parquet(path)
     return _OPENED[key]
 
 
 _DERIVED: dict[tuple, DataFrame] = {}
 
 
+#: Tables that derived ones are built from.
+_SOURCES = ("lineitem", "part")
+
+
 def derived(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """A panel-sized table built once per application and folder, kept in the shared checkpoint folder."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    """A panel-sized table built once per application and state of its sources, kept in the shared folder."""
+    folder = sf_dir.rstrip("/")
+    stamps = tuple(file_stamp(spark, f"{folder}/{t}.parquet") for t in _SOURCES)
+    key = (spark.sparkContext.applicationId, folder, name, stamps)
     if key not in _DERIVED:
         _DERIVED[key] = written(build())
     return _DERIVED[key]

@@ -71,3 +71,11 @@ def test_sinks_write_per_period(spark, tmp_path):
 def test_month_melt_wants_enough_months(spark):
     with pytest.raises(ValueError):
         tables.melt_months(spark.createDataFrame([("r", 1.0)], "region string, `2020-01` double"), "region", F.lit(True))
+
+
+def test_a_rewritten_table_is_seen(spark, tmp_path):
+    from statloom.plans.tables import table
+
+    for n in (3, 5):
+        spark.range(n).write.mode("overwrite").parquet(str(tmp_path / "part.parquet"))
+        assert table(spark, str(tmp_path), "part").count() == n
