@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from statloom.operators import cohort, ledger
 from statloom.operators.ordered import shared
 from statloom.plans.cohort import POP, population
-from statloom.plans.ledger import ITEMS, STAFF, directory, items, metrics, staff
+from statloom.plans.ledger import CRIME, ITEMS, METRICS, STAFF, crime, directory, items, metrics, staff
 from statloom.plans.registry import query, show
 from statloom.plans.tables import table
 from statloom.sources import fixed_width, sinks, tables
@@ -399,18 +399,33 @@ def _(spark, d):
 @query(
     "city_bundle_export",
     show(
-        """SELECT d.unit, max(d.year) AS last_year, to_json(list({'year': d.year, 'pop': d.pop} ORDER BY d.year)) AS people, (SELECT to_json(list({'year': i.year, 'n': i.n} ORDER BY i.year)) FROM (SELECT unit, year, count(*) AS n FROM items GROUP BY 1, 2) AS i WHERE i.unit = d.unit) AS books FROM directory d GROUP BY 1""",
-        "unit, last_year, people, books",
+        """SELECT d.unit, max(d.year) AS last_year, to_json(list({'year': d.year, 'pop': d.pop} ORDER BY d.year)) AS people, (SELECT to_json(list({'year': i.year, 'n': i.n} ORDER BY i.year)) FROM (SELECT unit, year, count(*) AS n FROM items GROUP BY 1, 2) AS i WHERE i.unit = d.unit) AS books,
+  (SELECT to_json(list({'year': m.year, 'police_usd': m.police_usd, 'fire_usd': m.fire_usd} ORDER BY m.year)) FROM metrics m WHERE m.unit = d.unit) AS spending,
+  (SELECT to_json(list({'year': c.year, 'violent': c.violent, 'property': c.property, 'coverage': c.coverage} ORDER BY c.year)) FROM cov c WHERE c.unit = d.unit) AS crime,
+  (SELECT to_json(list({'year': s.year, 'police_ft': s.police, 'fire_ft': s.fire} ORDER BY s.year)) FROM (SELECT unit, year, coalesce(sum(ft) FILTER (WHERE code IN ('062', '162')), 0)::BIGINT AS police, coalesce(sum(ft) FILTER (WHERE code IN ('024', '124')), 0)::BIGINT AS fire FROM staff GROUP BY 1, 2) AS s WHERE s.unit = d.unit) AS staffing
+  FROM directory d GROUP BY 1""",
+        "unit, last_year, people, books, spending, crime, staffing",
         "",
-        ITEMS,
+        METRICS + CRIME.replace(ITEMS, "") + STAFF,
     ),
 )
 def _(spark, d):
     places = directory(spark, d).select("unit", "year", "pop")
     books = items(spark, d).groupBy("unit", "year").agg(F.count(F.lit(1)).alias("n"))
     units = places.groupBy("unit").agg(F.max("year").alias("last_year"))
-    out = sinks.nested_records(units, "unit", {"people": (places, "year", ["pop"]), "books": (books, "year", ["n"])})
-    return out.withColumn("people", F.to_json("people")).withColumn("books", F.to_json("books"))
+    def heads(*codes):
+        return F.coalesce(F.sum(F.when(F.col("code").isin(*codes), F.col("ft"))), F.lit(0)).cast("bigint")
+
+    crew = staff(spark, d).groupBy("unit", "year").agg(heads("062", "162").alias("police_ft"), heads("024", "124").alias("fire_ft"))
+    joined = {
+        "people": (places, "year", ["pop"]),
+        "books": (books, "year", ["n"]),
+        "spending": (metrics(spark, d), "year", ["police_usd", "fire_usd"]),
+        "crime": (crime(spark, d), "year", ["violent", "property", "coverage"]),
+        "staffing": (crew, "year", ["police_ft", "fire_ft"]),
+    }
+    out = sinks.nested_records(units, "unit", joined)
+    return out.withColumns({name: F.to_json(name, {"ignoreNullFields": "false"}) for name in joined})
 
 
 @query("city_fact_sheet")
