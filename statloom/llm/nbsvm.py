@@ -91,22 +91,28 @@ def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     return np.log(shares[1] / shares[0])
 
 
-def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, cost: float, rounds: int) -> tuple[np.ndarray, float]:
-    """Weights and intercept of the hinge loss; one dual variable is optimised at a time within its box."""
+def dual_descent(rows: list[np.ndarray], scale: np.ndarray, labels: np.ndarray, cost: float, rounds: int) -> tuple[np.ndarray, float]:
+    """Weights and intercept of the hinge loss; one dual variable is optimised at a time within its box.
+
+    Row i is the unit vector along ``scale`` on the features in ``rows[i]``; it is
+    gathered when it is needed, so only the feature numbers are held.
+    """
     signs = np.where(labels == 1, 1.0, -1.0)
     boxes = cost * len(labels) / 2 / np.where(labels == 1, max(1, (labels == 1).sum()), max(1, (labels == 0).sum()))
     weights, intercept = np.zeros(DIMS), 0.0
     duals = np.zeros(len(labels))
-    curvature = np.array([v @ v for v in values]) + 1.0
+    lengths = np.array([max(float(np.sqrt(scale[r] @ scale[r])), 1e-12) for r in rows])
+    curvature = np.array([float(scale[r] @ scale[r]) for r in rows]) / lengths**2 + 1.0
     rng = np.random.default_rng(11)
     for _ in range(rounds):
         moved = 0.0
         for i in rng.permutation(len(labels)):
-            gradient = signs[i] * (weights[rows[i]] @ values[i] + intercept) - 1
+            value = scale[rows[i]] / lengths[i]
+            gradient = signs[i] * (weights[rows[i]] @ value + intercept) - 1
             new = min(max(duals[i] - gradient / curvature[i], 0.0), boxes[i])
             if new != duals[i]:
                 step = (new - duals[i]) * signs[i]
-                weights[rows[i]] += step * values[i]
+                weights[rows[i]] += step * value
                 intercept += step
                 moved = max(moved, abs(step))
                 duals[i] = new
@@ -153,8 +159,7 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, roun
     later = place % 5 == 1
     learn = [r for r, x in zip(rows, later) if not x]
     ratios = log_count_ratios(learn, labels[~later])
-    values = [ratios[r] / max(np.sqrt((ratios[r] ** 2).sum()), 1e-12) for r in learn]
-    weights, intercept = dual_descent(learn, values, labels[~later], cost, rounds)
+    weights, intercept = dual_descent(learn, ratios, labels[~later], cost, rounds)
     model = Model((weights * ratios).astype(np.float32), ratios.astype(np.float32), intercept, 1.0, 0.0)
     held = np.array([model.margin(r) for r, x in zip(rows, later) if x])
     model.slope, model.offset = sigmoid_fit(held, labels[later])
@@ -194,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows
 
     def train(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("doc_id")
-        rows = [np.frombuffer(f, "<u4").astype(np.int64) for f in frame["found"]]
+        rows = [np.frombuffer(f, "<u4") for f in frame["found"]]
         m = fit_rows(rows, frame["label"].to_numpy(np.int64))
         return pd.DataFrame([(m.weights.tobytes(), m.ratios.tobytes(), m.intercept, m.slope, m.offset)], columns=["w", "r", "b", "s", "o"])
 

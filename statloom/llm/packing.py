@@ -78,7 +78,7 @@ class WordTokenizer:
         end = np.array([end_id], self.type).tobytes()
         split = [t.split() for t in texts]
         known = self.known
-        if len(known) > REMEMBERED_WORDS:
+        if len(known) + len(self.letters) > REMEMBERED_WORDS:
             known.clear()
             self.letters.clear()
         if new := set(chain.from_iterable(split)).difference(known):

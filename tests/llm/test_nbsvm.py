@@ -37,13 +37,13 @@ def test_descent_reaches_the_optimum_of_the_dual():
     rng = np.random.default_rng(3)
     rows = [np.sort(rng.choice(40, 8, replace=False)) for _ in range(60)]
     labels = np.array([int(r[0] < 3) for r in rows])
-    values = [np.full(8, 8**-0.5) for _ in rows]
-    weights, intercept = nbsvm.dual_descent(rows, values, labels, 1.0, 2000)
+    scale = rng.normal(size=nbsvm.DIMS)
+    weights, intercept = nbsvm.dual_descent(rows, scale, labels, 1.0, 2000)
     signs = np.where(labels == 1, 1, -1)
     boxes = len(labels) / 2 / np.where(labels == 1, (labels == 1).sum(), (labels == 0).sum())
     dense = np.zeros((60, 40))
-    for i, (r, v) in enumerate(zip(rows, values)):
-        dense[i, r] = v
+    for i, r in enumerate(rows):
+        dense[i, r] = scale[r] / np.sqrt(scale[r] @ scale[r])
 
     def primal(w, b):
         return (w @ w + b * b) / 2 + (boxes * np.maximum(0, 1 - signs * (dense @ w + b))).sum()
