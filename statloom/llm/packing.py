@@ -90,7 +90,7 @@ class WordTokenizer:
         parts: dict[bytes, tuple[str, bytes]] = {}
         for word in words:
             core = word.rstrip(STOPS)
-            text = core.decode()
+            text = core.decode("utf-8", "replace")
             if text.isalpha() and (core.isascii() or max(text) < LATIN_END and DOTTED_I not in text):
                 parts[word] = (text.lower(), word[len(core) :])
         self._learn_letters([c for c in dict.fromkeys(c for c, _ in parts.values()) if c not in self.letters])
@@ -113,7 +113,7 @@ class WordTokenizer:
     def _learn_whole(self, words: list[bytes]) -> None:
         if not words:
             return
-        coded = self.tokenizer.encode([w.decode() for w in words], is_pretokenized=True, add_special_tokens=False)
+        coded = self.tokenizer.encode([w.decode("utf-8", "replace") for w in words], is_pretokenized=True, add_special_tokens=False)
         got: dict[int, list[int]] = {}
         for word, token in zip(coded.word_ids, coded.ids):
             got.setdefault(word, []).append(token)
