@@ -2,21 +2,25 @@
 
 References are counted over all documents: per language the shares of character
 classes and of its ``COMMON_WORDS`` most frequent words (all other words are one
-more bin).  Word counts are summed in the map tasks before they are shuffled.  A
-document is compared with its language's reference, or with the nearest one where
-its language has none, by the Jensen-Shannon distance (square root of the
-divergence to base 2).  A distance counts only from a minimum length on: short
-texts scatter too much to be judged by it.
-
-Nulls and edge cases: a null text has no words and fails the base rule; a null
-language is compared with the nearest reference; repeated rows are judged one by
-one and all count for the references; without any reference no distance counts;
-an empty table gives no rows; only the named columns are read.
+more bin).  Word counts are summed in the map tasks before they are shuffled.
+Every language from ``LEAST_REFERENCE_WORDS`` words on has a reference, however many
+there are; a join on the language brings it to its documents.  A document is
+compared with its language's reference by the Jensen-Shannon distance (square root
+of the divergence to base 2).  A distance counts only from a minimum length on:
+short texts scatter too much to be judged by it.
+
+Nulls and edge cases: a null text has no words and fails the base rule; a language
+with too few words for a reference has no distance, and only the base rule judges
+its documents; a null language is compared with the nearest reference; repeated
+rows are judged one by one and all count for the references; an empty table gives
+no rows; only the named columns are read.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter, defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,12 +29,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from statloom.llm.common import text_bytes
+from statloom.llm.common import stored, text_bytes
 
 COMMON_WORDS = 50
-#: Languages with fewer words in all have no reference of their own, and at most so many have one.
+#: Languages with fewer words in all have no stable reference: their documents have no distance.
 LEAST_REFERENCE_WORDS = 5_000
-MAX_REFERENCES = 256
 #: Distances beyond which a document fails, and the length from which on they count.
 CLASS_LIMIT, CLASS_LEAST_CHARS = 0.25, 200
 WORD_LIMIT, WORD_LEAST_WORDS = 0.5, 100
@@ -132,7 +135,9 @@ class References:
         if not words or not self.classes:
             return None, None, None
         counted, classes = Counter(text.lower().split()), class_counts(text)
-        names = [lang] if lang in self.classes else sorted(self.classes)
+        names = sorted(self.classes) if lang is None else [lang] if lang in self.classes else []
+        if not names:
+            return None, None, None
         found = [(*self.distances(n, classes, counted, len(words)), n) for n in names]
         return min(found, key=lambda x: (x[0] + x[1], x[2]))
 
@@ -163,37 +168,58 @@ def corpus_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     return counted.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
 
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> References:
-    """At most MAX_REFERENCES languages of COMMON_WORDS + 1 + 7 numbers come to the driver."""
+def reference_rows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Stored (lang, packed), COMMON_WORDS + 1 + 7 numbers for every language with enough words."""
     counts = corpus_counts(docs, text_col, lang_col)
     best = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")
     ranked = counts.withColumn("place", F.row_number().over(best)).where(F.col("place") <= COMMON_WORDS)
     top = ranked.groupBy("lang").agg(F.collect_list(F.struct("kind", "place", "key", "n")).alias("rows"))
     totals = counts.groupBy("lang").agg(F.sum(F.when(F.col("kind") == "word", F.col("n"))).alias("total"))
-    largest = totals.where(F.col("total") >= LEAST_REFERENCE_WORDS).orderBy(F.desc("total"), "lang").limit(MAX_REFERENCES)
+
+    @pandas_udf("binary")
+    def packed(rows: pd.Series, totals: pd.Series) -> pd.Series:
+        out = []
+        for found, total in zip(rows, totals):
+            common = sorted((r["place"], bytes(r["key"]), r["n"]) for r in found if r["kind"] == "word")
+            shares = {bytes(r["key"]).decode(): r["n"] for r in found if r["kind"] == "class"}
+            words = {w: i for i, (_, w, _) in enumerate(common)}
+            numbers = np.array([*(n for _, _, n in common), total - sum(n for _, _, n in common)], float)
+            out.append(pickle.dumps((np.array([shares.get(name, 0) for name in CLASS_NAMES], float), words, numbers)))
+        return pd.Series(out, dtype=object)
+
+    enough = totals.where(F.col("total") >= LEAST_REFERENCE_WORDS)
+    return stored(top.join(enough, "lang").select("lang", packed("rows", "total").alias("packed")), "references")
+
+
+def unpacked(rows: Iterable[tuple[str, bytes]]) -> References:
     out = References()
-    for row in top.join(largest, "lang").collect():
-        common = sorted((r["place"], bytes(r["key"]), r["n"]) for r in row["rows"] if r["kind"] == "word")
-        shares = {bytes(r["key"]).decode(): r["n"] for r in row["rows"] if r["kind"] == "class"}
-        out.words[row["lang"]] = {w: i for i, (_, w, _) in enumerate(common)}
-        out.word_counts[row["lang"]] = np.array([*(n for _, _, n in common), row["total"] - sum(n for _, _, n in common)], float)
-        out.classes[row["lang"]] = np.array([shares.get(name, 0) for name in CLASS_NAMES], float)
+    for lang, packed in rows:
+        out.classes[lang], out.words[lang], out.word_counts[lang] = pickle.loads(packed)
     return out
 
 
 def rule_rows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
-    """Base counts, distances and verdicts of every document."""
-    sent = docs.sparkSession.sparkContext.broadcast(references(docs, text_col, lang_col))  # MAX_REFERENCES small histograms
+    """Base counts, distances and verdicts of every document.
+
+    Without a hint on the join, Spark broadcasts the references while they are small.
+    Only documents of a null language need all of them in one place.
+    """
+    found = reference_rows(docs, text_col, lang_col)
+    unknown = docs.where(F.col(f"`{lang_col}`").isNull()).limit(1).count()
+    every = docs.sparkSession.sparkContext.broadcast(unpacked(found.collect() if unknown else []))
 
     @pandas_udf(RESULT)
-    def judge(langs: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for lang, text in zip(langs, texts):
+    def judge(langs: pd.Series, texts: pd.Series, packed: pd.Series) -> pd.DataFrame:
+        rows, own = [], {}
+        for lang, text, reference in zip(langs, texts, packed):
             words = text.split()
-            rows.append((*base_counts(text, words), *sent.value.judge(lang, text, words)))
+            if lang is not None and lang not in own:
+                own[lang] = unpacked([] if reference is None else [(lang, reference)])
+            rows.append((*base_counts(text, words), *(every.value if lang is None else own[lang]).judge(lang, text, words)))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")]).astype({"class_distance": float, "word_distance": float, "reference": object})
 
-    judged = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.octet_length(text_bytes(text_col)).alias("n_bytes"), judge(F.col(f"`{lang_col}`").cast("string"), text_bytes(text_col)).alias("j"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_bytes(text_col).alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
+    judged = texts.join(found, "lang", "left").select("doc_id", F.octet_length("text").alias("n_bytes"), judge("lang", "text", "packed").alias("j"))
     flat = judged.select("doc_id", "n_bytes", "j.*")
     flat = flat.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("class_distance", "word_distance")})
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

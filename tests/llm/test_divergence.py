@@ -72,3 +72,21 @@ def test_odd_rows_and_tables(spark):
     rows = sorted(divergence.rule_rows(docs).collect(), key=lambda r: r["n_words"])
     assert [(r["n_words"], r["base_failed"], r["kept"]) for r in rows] == [(0, True, False)] * 2 + [(60_000, True, False)] * 2
     assert divergence.rule_rows(docs.limit(0)).collect() == []
+
+
+def test_every_language_has_its_own_reference_and_a_small_one_none(spark, monkeypatch):
+    monkeypatch.setattr(divergence, "LEAST_REFERENCE_WORDS", 150)
+    rng = random.Random(4)
+
+    def text(lang, n):
+        return " ".join(f"{lang}{rng.choice('abcdefghij')}{rng.choice('klm')}" for _ in range(n))
+
+    names = [f"l{i}x" for i in range(300)]
+    rows = [(2 * i + k, text(lang, 120), lang) for i, lang in enumerate(names) for k in range(2)]
+    rows += [(1000, text("rare", 120), "rare"), (1001, text("l7x", 120), None)]
+    got = {r["doc_id"]: r for r in divergence.rule_rows(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert len(got) == len(rows)
+    for i, _, lang in rows[:600]:
+        assert got[i]["reference"] == lang and got[i]["kept"]
+    assert (got[1000]["reference"], got[1000]["word_distance"], got[1000]["class_distance"], got[1000]["kept"]) == (None, None, None, True)
+    assert got[1001]["reference"] == "l7x" and got[1001]["word_distance"] < 0.5
