@@ -117,7 +117,7 @@ class Template:
 def formatted(
     convs: DataFrame, tokenizer: str, trained: tuple[str, ...] = TRAINED, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
 ) -> DataFrame:
-    """Stored conv_id, start (the turn's first place in its conversation's tokens), ids and loss of every turn."""
+    """Stored conv_id, part (the task that formatted it), start (the turn's first place in its conversation's tokens), ids and loss of every turn."""
     rows = convs.select(
         F.col(f"`{conv_col}`").cast("bigint").alias("conv_id"), F.col(f"`{turn_col}`").alias("turn"), text_or_empty(role_col).alias("role"), text_or_empty(text_col).alias("text")
     ).withColumn("tie", F.sha2(F.concat("role", F.lit("\n"), "text").cast("binary"), 256))
@@ -153,7 +153,7 @@ def formatted(
     crossing = sizes.withColumn("before", F.sum("n").over(earlier)).where("before IS NOT NULL")
     crossing = crossing.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), "before")  # at most one row for each range partition
     placed = turns.join(F.broadcast(crossing), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left")
-    return placed.select("conv_id", (F.col("inside") + F.coalesce("before", F.lit(0))).alias("start"), "ids", "loss")
+    return placed.select("conv_id", "part", (F.col("inside") + F.coalesce("before", F.lit(0))).alias("start"), "ids", "loss")
 
 
 DIGESTS = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"

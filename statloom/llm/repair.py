@@ -115,38 +115,57 @@ def search(initials: str, faults: str, begin: int = NOTHING, ends: tuple[int, ..
     return best
 
 
-def fold(tables: list[list[tuple[int, str] | None]]) -> tuple[int, list[str], list[int]]:
-    """Cost, and audit and entry state of every piece, of a conversation cut into pieces.
+def _behind(letter: str, initial: str, state: int) -> int:
+    """The state behind a turn that an edit leaves."""
+    return STEPS[initial][state] if letter == "K" else ASSISTANT if state == USER else USER
+
+
+def cut(audit: str, initials: str, sizes: list[int]) -> tuple[list[str], list[int], list[int]]:
+    """Audit, entry state and number of turns before it of every piece; inserted turns go with the row behind them."""
+    audits: list[list[str]] = [[] for _ in sizes]
+    states, starts = [NOTHING] * len(sizes), [0] * len(sizes)
+    piece, left, row, state, written = 0, sizes[0], 0, NOTHING, 0
+    for letter in audit:
+        if not left and piece + 1 < len(sizes):
+            piece += 1
+            left, states[piece], starts[piece] = sizes[piece], state, written
+        audits[piece].append(letter)
+        if letter != "D":
+            state, written = _behind(letter, initials[row : row + 1], state), written + 1
+        if letter != "I":
+            row, left = row + 1, left - 1
+    return ["".join(a) for a in audits], states, starts
+
+
+def fold(tables: list[list[tuple[int, str] | None]]) -> tuple[int, str]:
+    """Cost and audit of a conversation cut into pieces.
 
     ``tables`` holds for every piece the 16 results from state s to state t at 4 s + t.
     """
-    held: dict[int, tuple[int, str, tuple]] = {NOTHING: (0, "", ())}
+    held = {NOTHING: (0, "")}
     for table in tables:
-        then: dict[int, tuple[int, str, tuple]] = {}
-        for state, (cost, audit, way) in held.items():
-            for end in range(4):
-                if (step := table[4 * state + end]) is not None:
-                    new = (cost + step[0], audit + step[1], (way, state, step[1]))
-                    if end not in then or new[:2] < then[end][:2]:
-                        then[end] = new
+        then: dict[int, tuple[int, str]] = {}
+        for state, (cost, audit) in held.items():
+            for end, step in enumerate(table[4 * state : 4 * state + 4]):
+                if step is not None:
+                    new = cost + step[0], audit + step[1]
+                    then[end] = min(then.get(end, new), new)
         held = then
-    cost, _, way = min((held[s] for s in ENDS if s in held), key=lambda x: x[:2])
-    audits, states = [], []
-    while way:
-        way, state, audit = way
-        audits.append(audit)
-        states.append(state)
-    return cost, audits[::-1], states[::-1]
+    return min(held[s] for s in ENDS if s in held)
 
 
-_PLAN = T.StructType().add("cost", T.LongType()).add("audits", T.ArrayType(T.StringType())).add("states", T.ArrayType(T.IntegerType()))
+_PLAN = T.StructType().add("cost", T.LongType()).add("audits", T.ArrayType(T.StringType())).add("states", T.ArrayType(T.IntegerType())).add("starts", T.ArrayType(T.LongType()))
 _RESULT = T.StructType().add("cost", T.LongType()).add("audit", T.StringType())
 
 
+def _plans(found: list[tuple[int, str]], initials: pd.Series, sizes: pd.Series) -> pd.DataFrame:
+    rows = [(cost, *cut(audit, i, [int(n) for n in s])) for (cost, audit), i, s in zip(found, initials, sizes)]
+    return pd.DataFrame(rows, columns=_PLAN.names)
+
+
 @pandas_udf(_PLAN)
-def _whole_plan(initials: pd.Series, faults: pd.Series) -> pd.DataFrame:
-    found = [search(i, f) for i, f in zip(initials, faults)]
-    return pd.DataFrame({"cost": [c for c, _ in found], "audits": [[a] for _, a in found], "states": [[NOTHING]] * len(found)})
+def _whole_plan(initials: pd.Series, faults: pd.Series, sizes: pd.Series) -> pd.DataFrame:
+    return _plans([search(i, f) for i, f in zip(initials, faults)], initials, sizes)
 
 
 @pandas_udf(T.ArrayType(_RESULT))
@@ -159,9 +178,8 @@ def _piece_table(initials: pd.Series, faults: pd.Series) -> pd.Series:
 
 
 @pandas_udf(_PLAN)
-def _folded_plan(tables: pd.Series) -> pd.DataFrame:
-    found = [fold([[None if x is None else (x["cost"], x["audit"]) for x in piece] for piece in t]) for t in tables]
-    return pd.DataFrame(found, columns=["cost", "audits", "states"])
+def _folded_plan(tables: pd.Series, initials: pd.Series, sizes: pd.Series) -> pd.DataFrame:
+    return _plans([fold([[None if x is None else (x["cost"], x["audit"]) for x in piece] for piece in t]) for t in tables], initials, sizes)
 
 
 def damaged(convs: DataFrame) -> DataFrame:
@@ -180,10 +198,9 @@ def _fault(stripped: Column, first: Column) -> Column:
 
 
 def repaired(convs: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(conversations, rows): conv_id, gaps, fault counts, illegal, cost and audit of each conversation; its rows in order with their edits.
+    """(conversations, turns): conv_id, gaps, fault counts, illegal, cost and audit of each conversation; its repaired turns.
 
-    A row's ``edits`` (null but on the first row of a piece) spell what happens from
-    there to the end of the piece, beginning in role state ``state``.
+    A turn has conv_id, turn (its new number from 0), role, text and edit (K, R or I).
     """
     plain = convs.select(
         F.col(f"`{conv_col}`").cast("bigint").alias("conv_id"), F.col(f"`{turn_col}`").cast("bigint").alias("turn"),
@@ -210,21 +227,21 @@ def repaired(convs: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     sizes = pieces.groupBy("conv_id").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("pieces"))
     named = pieces.withColumnRenamed("conv_id", "c").join(sizes, F.col("c").eqNullSafe(F.col("conv_id"))).drop("c")
 
-    in_order = F.sort_array(F.collect_list(F.struct("part", "place", "initials", "faults")))
+    in_order = F.sort_array(F.collect_list(F.struct("part", "place", "initials", "faults", "n")))
     joined = [F.array_join(F.col(f"p.{n}"), "").alias(n) for n in ("initials", "faults")]
-    begin = F.element_at("p", 1)
+    at = F.transform("p", lambda x: F.struct(x["part"].alias("part"), x["place"].alias("place"))).alias("at")
     short = named.where(F.col("rows") <= WHOLE_ROWS).groupBy("conv_id").agg(in_order.alias("p"))  # at most WHOLE_ROWS letters
-    short = short.select("conv_id", F.array(F.struct(begin["part"].alias("part"), begin["place"].alias("place"))).alias("at"), *joined)
-    short = short.withColumn("plan", _whole_plan("initials", "faults"))
+    short = short.select("conv_id", at, *joined, F.col("p.n").alias("sizes")).withColumn("plan", _whole_plan("initials", "faults", "sizes"))
     tabled = named.where(F.col("rows") > WHOLE_ROWS).withColumn("table", _piece_table("initials", "faults"))
-    long_ = tabled.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("part", "place", "initials", "faults", "table"))).alias("p"))
-    at = F.transform("p", lambda x: F.struct(x["part"].alias("part"), x["place"].alias("place"))).alias("at")
-    long_ = long_.select("conv_id", at, *joined, _folded_plan(F.col("p.table")).alias("plan"))
+    long_ = tabled.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("part", "place", "initials", "faults", "n", "table"))).alias("p"))
+    long_ = long_.select("conv_id", at, *joined, F.col("p.n").alias("sizes"), F.col("p.table").alias("tables"))
+    long_ = long_.withColumn("plan", _folded_plan("tables", "initials", "sizes")).drop("tables")
     plans = stored(short.union(long_), "plans")
 
-    spread = plans.select(F.explode(F.arrays_zip("at", F.col("plan.audits").alias("edits"), F.col("plan.states").alias("state"))).alias("x"))
-    spread = spread.select("x.at.part", "x.at.place", "x.edits", "x.state")
-    edited = rows.join(spread, ["part", "place"], "left").select("conv_id", "part", "place", "role", "text", "edits", "state")
+    each = F.explode(F.arrays_zip("at", F.col("plan.audits").alias("edits"), F.col("plan.states").alias("state"), F.col("plan.starts").alias("start")))
+    spread = plans.select(each.alias("x")).select("x.at.part", "x.at.place", "x.edits", "x.state", "x.start")
+    edited = rows.join(spread, ["part", "place"], "left").withColumn("piece", F.floor(F.col("place") / PIECE_ROWS))
+    edited = edited.select("conv_id", "part", "piece", "place", "role", "text", "edits", "state", "start")
 
     turns = rows.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n")).groupBy("conv_id")
     gaps = turns.agg(F.coalesce(F.max("turn") - F.min("turn") + 1 - F.count("turn"), F.lit(0)).alias("gaps"))
@@ -238,78 +255,75 @@ def repaired(convs: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
         F.col("conv_id").alias("c"), count(BLANK).alias("blank"), count(DUPLICATE).alias("duplicate"), count(CUT).alias("truncated"), illegal.cast("bigint").alias("illegal"),
         "plan.cost", F.array_join("plan.audits", "").alias("audit"),
     )
-    return gaps.join(told, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c"), edited
+    return gaps.join(told, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c"), _turns(edited)
 
 
-class _Conversation:
-    """Applies the edits to one conversation's rows as they come, keeping only a running digest."""
+TURNS = "conv_id bigint, turn bigint, role string, text string, edit string"
 
-    def __init__(self, conv_id: int | None):
-        self.conv_id, self.hash, self.state, self.edits, self.empty = conv_id, hashlib.sha256(), NOTHING, iter(()), True
 
-    def _write(self, role: str, text: str) -> None:
-        self.hash.update(f"{'' if self.empty else chr(10)}{role}:{text}".encode())
-        self.empty = False
+def _frame(rows: list[tuple], ddl: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in ddl.split(", ")]).astype({"conv_id": "Int64"})
 
-    def _until_edit(self) -> str | None:
-        """The next letter that belongs to a row; inserted turns before it are written."""
-        for letter in self.edits:
-            if letter != "I":
-                return letter
-            self._write(*self._turn(""))
-        return None
 
-    def _turn(self, text: str) -> tuple[str, str]:
-        self.state = ASSISTANT if self.state == USER else USER
-        return ("user" if self.state == USER else "assistant"), text
+def _turns(edited: DataFrame) -> DataFrame:
+    """Repaired turns; pieces are independent, so a long conversation is written by many tasks."""
 
-    def row(self, role: str, text: str, edits: str | None) -> None:
-        if edits is not None:
-            self._until_edit()
-            self.edits = iter(edits)
-        letter = self._until_edit()
-        if letter == "K":
-            self.state = STEPS[role[0]][self.state]
-            self._write(role, text)
-        elif letter == "R":
-            self._write(*self._turn(text))
+    def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        conv, edits, state, turn = None, "", NOTHING, 0
+        at = 0
 
-    def digest(self) -> str:
-        self._until_edit()
-        return self.hash.hexdigest()
+        def inserted() -> Iterator[tuple]:
+            nonlocal at, state, turn
+            while at < len(edits) and edits[at] == "I":
+                state = _behind("I", "", state)
+                yield conv, turn, "user" if state == USER else "assistant", "", "I"
+                at, turn = at + 1, turn + 1
 
-
-def repaired_digests(edited: DataFrame) -> DataFrame:
-    """conv_id and the digest of its repaired ``role:text`` lines, streamed in order."""
+        for frame in frames:
+            out: list[tuple] = []
+            for row in frame.itertuples(index=False):
+                if row.edits is not None:  # a piece begins; what the last one inserts at its end comes first
+                    out += inserted()
+                    conv, edits, state, turn, at = (None if pd.isna(row.conv_id) else int(row.conv_id)), row.edits, int(row.state), int(row.start), 0
+                out += inserted()
+                letter, at = edits[at], at + 1
+                if letter != "D":
+                    state = _behind(letter, row.role[:1], state)
+                    out.append((conv, turn, row.role if letter == "K" else "user" if state == USER else "assistant", row.text, letter))
+                    turn += 1
+            yield _frame(out, TURNS)
+        yield _frame(list(inserted()), TURNS)
+
+    return edited.repartition("part", "piece").sortWithinPartitions("part", "place").mapInPandas(apply, TURNS)
+
+
+def turn_digests(turns: DataFrame) -> DataFrame:
+    """conv_id and the digest of its newline-joined ``role:text``; one running digest in a stream of sorted turns."""
 
     def stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now: _Conversation | None = None
-
-        def out(done: list[tuple]) -> pd.DataFrame:
-            return pd.DataFrame(done, columns=["conv_id", "repaired_sha256"]).astype({"conv_id": "Int64"})
-
+        now, digest, ddl = None, None, "conv_id bigint, repaired_sha256 string"
         for frame in frames:
             done = []
-            for conv, role, text, edits in zip(frame["conv_id"], frame["role"], frame["text"], frame["edits"]):
+            for conv, role, text in zip(frame["conv_id"], frame["role"], frame["text"]):
                 conv = None if pd.isna(conv) else int(conv)
-                if now is None or now.conv_id != conv:
-                    if now is not None:
-                        done.append((now.conv_id, now.digest()))
-                    now = _Conversation(conv)
-                now.row(role, text, edits)
-            yield out(done)
-        if now is not None:
-            yield out([(now.conv_id, now.digest())])
+                if digest is None or conv != now:
+                    if digest is not None:
+                        done.append((now, digest.hexdigest()))
+                    now, digest, joint = conv, hashlib.sha256(), ""
+                digest.update(f"{joint}{role}:{text}".encode())
+                joint = "\n"
+            yield _frame(done, ddl)
+        if digest is not None:
+            yield _frame([(now, digest.hexdigest())], ddl)
 
-    ordered = edited.repartition("conv_id").sortWithinPartitions("conv_id", "part", "place")
-    return ordered.mapInPandas(stream, "conv_id bigint, repaired_sha256 string")
+    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn").mapInPandas(stream, "conv_id bigint, repaired_sha256 string")
 
 
 def repair_report(convs: DataFrame) -> DataFrame:
     """One row for every conversation of ``convs`` after damage and repair."""
-    found, edited = repaired(damaged(convs))
-    digests = repaired_digests(edited).withColumnRenamed("conv_id", "d")
-    found = found.join(digests, F.col("conv_id").eqNullSafe(F.col("d"))).drop("d").withColumnRenamed("conv_id", "c")
+    found, turns = repaired(damaged(convs))
+    digests = turn_digests(turns).withColumnRenamed("conv_id", "d")
+    found = found.join(digests, F.col("conv_id").eqNullSafe(F.col("d")), "left").drop("d").withColumnRenamed("conv_id", "c")
     every = convs.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
     zeros = {c: F.coalesce(F.col(c), F.lit(0).cast("bigint")) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
     return every.withColumns(zeros | {"audit": F.coalesce("audit", F.lit("")), "repaired_sha256": F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256))})
