@@ -123,7 +123,7 @@ class Forest:
             hit = (distance <= radius) & self.alive[node]
             asked.append(query[hit])
             found.append(node[hit])
-            low = np.searchsorted(self.edges, node * 65 + np.maximum(distance - radius, 1))
+            low = np.searchsorted(self.edges, node * 65 + np.maximum(distance - radius, 0))
             high = np.searchsorted(self.edges, node * 65 + np.minimum(distance + radius, 64), side="right")
             spread = high - low
             query = np.repeat(query, spread)
