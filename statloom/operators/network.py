@@ -9,8 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from statloom.operators.ordered import order_bucket, shared, spread, top_k, value_ranks
-from statloom.operators.regress import automatic_lags, solve_hac
+from statloom.operators.ordered import order_bucket, shared, spread, top_k, value_ranks, with_one_row
 
 # Screening and stability rules of the network.
 RHO_MIN, FDR, MIN_WINDOWS, LAG_SPREAD = 0.25, 0.05, 3, 2
@@ -49,20 +48,35 @@ def remove_common_factor(slabs: DataFrame, headline: DataFrame, min_obs: int = 6
     return joined.select("win", "node", "m", (F.col("x") - F.col("_a") - F.col("_b") * F.col("_g")).alias("x"), "w")
 
 
-def _blocks(slabs: DataFrame, blocks: int) -> DataFrame:
+def _blocks(slabs: DataFrame, nodes_per_block: int) -> DataFrame:
     """One row per (window, node) with its dated values, sent to every block pair it takes part in.
 
-    A block pair holds two blocks of nodes, whatever the number of nodes: with
-    blocks ~ nodes / 64 each task gets at most 128 short series.
+    The number of blocks follows the number of nodes, so a block pair holds about
+    twice ``nodes_per_block`` short series, however many nodes there are.
     """
-    node = slabs.filter("x IS NOT NULL").groupBy("win", "node").agg(F.sort_array(F.collect_list(F.struct("m", "x"))).alias("s"))
-    packed = node.select("win", "node", F.transform("s", lambda v: v["m"]).alias("ms"), F.transform("s", lambda v: v["x"]).alias("xs"), F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("_b"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    src = packed.withColumn("_o", others).select("win", "node", "ms", "xs", F.col("_b").alias("sb"), F.col("_o").alias("db"), F.lit(True).alias("is_src"))
-    dst = packed.withColumn("_o", others).select("win", "node", "ms", "xs", F.col("_o").alias("sb"), F.col("_b").alias("db"), F.lit(False).alias("is_src"))
+    rows = slabs.filter("x IS NOT NULL")
+    node = rows.groupBy("win", "node").agg(F.sort_array(F.collect_list(F.struct("m", "x"))).alias("s"))
+    packed = node.select("win", "node", F.transform("s", lambda v: v["m"]).alias("ms"), F.transform("s", lambda v: v["x"]).alias("xs"))
+    count = rows.select("node").distinct().agg(F.greatest(F.ceil(F.count(F.lit(1)) / nodes_per_block), F.lit(1)).cast("int").alias("_k"))
+    packed = with_one_row(packed, count).withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_k")).cast("int"))
+    packed = packed.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    src = packed.select("win", "node", "ms", "xs", F.col("_b").alias("sb"), F.col("_o").alias("db"), F.lit(True).alias("is_src"))
+    dst = packed.select("win", "node", "ms", "xs", F.col("_o").alias("sb"), F.col("_b").alias("db"), F.lit(False).alias("is_src"))
     return src.unionByName(dst)
 
 
+def _sides(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """Names and centred (time, node) matrices of the sources and destinations of a block pair."""
+    src, dst = (pdf[pdf["is_src"] == side].sort_values("node").reset_index(drop=True) for side in (True, False))
+    if not len(src) or not len(dst):
+        return None
+    first = min(int(np.min(v)) for v in pdf["ms"])
+    length = max(int(np.max(v)) for v in pdf["ms"]) - first + 1
+    A, B = _matrix(src, first, length), _matrix(dst, first, length)
+    # centring changes no correlation and no slope, and keeps the closed forms accurate
+    return src["node"].to_numpy(), dst["node"].to_numpy(), A - np.nanmean(A, axis=0), B - np.nanmean(B, axis=0)
+
+
 def _matrix(pdf: pd.DataFrame, first: int, length: int) -> np.ndarray:
     out = np.full((length, len(pdf)), np.nan)
     for j, (ms, xs) in enumerate(zip(pdf["ms"], pdf["xs"])):
@@ -77,109 +91,178 @@ def _powers(values: np.ndarray) -> np.ndarray:
     return np.stack([known.astype(float), x, x * x], axis=1)
 
 
-def lagged_correlations(slabs: DataFrame, max_lag: int = 12, min_obs: int = 60, blocks: int = 4) -> DataFrame:
+def _lag_grid(A: np.ndarray, B: np.ndarray, max_lag: int, min_obs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Correlation and number of common rows at [lag - 1, source, destination]."""
+    rho, rows = [], []
+    for k in range(1, min(max_lag, len(A) - 1) + 1):
+        # one product of the stacked powers (1, x, x^2) holds every moment of every pair
+        moments = np.einsum("tpi,tqj->pqij", _powers(A[:-k]), _powers(B[k:]), optimize=True)
+        n = moments[0, 0]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            mean_a, mean_b = moments[1, 0] / n, moments[0, 1] / n
+            var_a, var_b = moments[2, 0] / n - mean_a**2, moments[0, 2] / n - mean_b**2
+            r = (moments[1, 1] / n - mean_a * mean_b) / np.sqrt(var_a * var_b)
+        r[~((n >= min_obs) & (var_a > 0) & (var_b > 0))] = np.nan
+        rho.append(r)
+        rows.append(n.astype(np.int64))
+    shape = (0, A.shape[1], B.shape[1])
+    return (np.stack(rho), np.stack(rows)) if rho else (np.zeros(shape), np.zeros(shape, np.int64))
+
+
+_EDGES = "win string, src string, dst string, lag int, n bigint, rho double"
+
+
+def _per_block_pair(slabs: DataFrame, nodes_per_block: int, edges) -> DataFrame:
+    """``edges(A, B)`` gives (source, destination, lag, n, rho) arrays of one block pair."""
+
+    def per_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = _sides(pdf)
+        if sides is None:
+            return pd.DataFrame(columns=["win", "src", "dst", "lag", "n", "rho"])
+        i, j, lag, n, rho = edges(*sides[2:])
+        out = pd.DataFrame({"win": pdf["win"].iloc[0], "src": sides[0][i], "dst": sides[1][j], "lag": lag, "n": n, "rho": rho})
+        return out[out["src"] != out["dst"]]
+
+    return spread(_blocks(slabs, nodes_per_block), "win", "sb", "db").groupBy("win", "sb", "db").applyInPandas(per_block, _EDGES)
+
+
+def lagged_correlations(slabs: DataFrame, max_lag: int = 12, min_obs: int = 60, nodes_per_block: int = 64) -> DataFrame:
     """corr(x_src at t-k, x_dst at t) for every ordered pair and lag 1..max_lag, pairwise complete.
 
     The result itself is all ordered pairs; each task multiplies two bounded
     blocks of node series, so no month's pairs are ever written out.
     """
 
-    def per_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        src = pdf[pdf["is_src"]].sort_values("node").reset_index(drop=True)
-        dst = pdf[~pdf["is_src"]].sort_values("node").reset_index(drop=True)
-        frames = []
-        if len(src) and len(dst):
-            first = min(int(np.min(v)) for v in pdf["ms"])
-            length = max(int(np.max(v)) for v in pdf["ms"]) - first + 1
-            A, B = _matrix(src, first, length), _matrix(dst, first, length)
-            # centring changes no correlation and keeps the closed form accurate
-            A, B = A - np.nanmean(A, axis=0), B - np.nanmean(B, axis=0)
-            for k in range(1, min(max_lag, length - 1) + 1):
-                # one product of the stacked powers (1, x, x^2) holds every moment of every pair
-                moments = np.einsum("tpi,tqj->pqij", _powers(A[:-k]), _powers(B[k:]), optimize=True)
-                n = moments[0, 0]
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    mean_a, mean_b = moments[1, 0] / n, moments[0, 1] / n
-                    var_a, var_b = moments[2, 0] / n - mean_a**2, moments[0, 2] / n - mean_b**2
-                    r = (moments[1, 1] / n - mean_a * mean_b) / np.sqrt(var_a * var_b)
-                r[~((n >= min_obs) & (var_a > 0) & (var_b > 0))] = np.nan
-                i, j = np.nonzero(n > 0)
-                frames.append(pd.DataFrame({"src": src["node"].to_numpy()[i], "dst": dst["node"].to_numpy()[j], "lag": k, "n": n[i, j].astype(int), "rho": r[i, j]}))
-        out = pd.concat(frames) if frames else pd.DataFrame(columns=["src", "dst", "lag", "n", "rho"])
-        out.insert(0, "win", pdf["win"].iloc[0])
-        return out[out["src"] != out["dst"]]
+    def every(A, B):
+        rho, rows = _lag_grid(A, B, max_lag, min_obs)
+        k, i, j = np.nonzero(rows)
+        return i, j, k + 1, rows[k, i, j], rho[k, i, j]
 
-    out = spread(_blocks(slabs, blocks), "win", "sb", "db").groupBy("win", "sb", "db").applyInPandas(per_block, "win string, src string, dst string, lag int, n bigint, rho double")
+    out = _per_block_pair(slabs, nodes_per_block, every)
     return out.withColumn("rho", F.when(~F.isnan("rho"), F.col("rho")))
 
 
-def strongest_lag(corr: DataFrame) -> DataFrame:
-    """Lag of the largest |rho| per edge, the shortest on ties."""
-    best = F.max(F.when(F.col("rho").isNotNull(), F.struct(F.round(F.abs("rho"), 12).alias("a"), (-F.col("lag")).alias("l"), F.col("rho").alias("rho"), F.col("n").alias("n"))))
-    return corr.groupBy("win", "src", "dst").agg(best.alias("_b")).filter("_b IS NOT NULL").select("win", "src", "dst", (-F.col("_b.l")).cast("int").alias("lag"), F.col("_b.rho").alias("rho"), F.col("_b.n").alias("n"))
+def strongest_lag(slabs: DataFrame, max_lag: int = 12, min_obs: int = 60, nodes_per_block: int = 64) -> DataFrame:
+    """Lag of the largest |rho| of every ordered pair that has one, the shortest on ties; a block returns one row a pair."""
+
+    def best(A, B):
+        rho, rows = _lag_grid(A, B, max_lag, min_obs)
+        size = np.where(np.isnan(rho), -1.0, np.round(np.abs(rho), 12))
+        if not len(size):
+            return (np.zeros(0, np.int64),) * 5
+        k = size.argmax(axis=0)
+        i, j = np.nonzero(size.max(axis=0) >= 0)
+        at = k[i, j]
+        return i, j, at + 1, rows[at, i, j], rho[at, i, j]
+
+    return _per_block_pair(slabs, nodes_per_block, best).select("win", "src", "dst", "lag", "rho", "n")
+
 
+def f_upper_tail(f, d1, d2) -> np.ndarray:
+    """P(F > f) by the continued fraction of the incomplete beta function; arrays or numbers."""
+    f, d1, d2 = np.broadcast_arrays(np.asarray(f, float), np.asarray(d1, float), np.asarray(d2, float))
+    f = np.maximum(f, 0.0)
+    x, a, b = d2 / (d2 + d1 * f), d2 / 2, d1 / 2
+    inner = (x > 0) & (x < 1)
+    safe = np.where(inner, x, 0.5)
+    gamma = np.vectorize(math.lgamma, otypes=[float])
+    front = np.where(inner, np.exp(gamma(a + b) - gamma(a) - gamma(b) + a * np.log(safe) + b * np.log1p(-safe)), 0.0)
+    direct = safe < (a + 1) / (a + b + 2)
+    part = front * _beta_fraction(np.where(direct, a, b), np.where(direct, b, a), np.where(direct, safe, 1 - safe)) / np.where(direct, a, b)
+    return np.where(x >= 1, 1.0, np.where(direct, part, 1 - part))
 
-def f_upper_tail(f: float, d1: float, d2: float) -> float:
-    """P(F > f) by the continued fraction of the incomplete beta function."""
-    if f <= 0:
-        return 1.0
-    x = d2 / (d2 + d1 * f)
-    a, b = d2 / 2, d1 / 2
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) if 0 < x < 1 else 0.0
-    if x < (a + 1) / (a + b + 2):
-        return front * _beta_fraction(a, b, x) / a
-    return 1 - front * _beta_fraction(b, a, 1 - x) / b
 
+def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    def off_zero(v):
+        return np.where(np.abs(v) > 1e-300, v, 1e-300)
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    tiny = 1e-300
-    c, d = 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d if abs(d) > tiny else tiny)
+    c, d = np.ones_like(x), 1 / off_zero(1 - (a + b) * x / (a + 1))
     h = d
     for m in range(1, 300):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + num * d
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = 1 + num / (c if abs(c) > tiny else tiny)
-            h *= d * c
-        if abs(d * c - 1) < 1e-14:
+            d = 1 / off_zero(1 + num * d)
+            c = off_zero(1 + num / c)
+            h = h * d * c
+        if (np.abs(d * c - 1) < 1e-14).all():
             break
     return h
 
 
-def granger(slabs: DataFrame, lags: int = 6, min_obs: int = 60, blocks: int = 4) -> DataFrame:
+def _lags_of(values: np.ndarray, lags: int) -> np.ndarray:
+    """(time, lag, node): each series 1..lags rows earlier."""
+    out = np.full((len(values), lags, values.shape[1]), np.nan)
+    for q in range(1, min(lags, len(values) - 1) + 1):
+        out[q:, q - 1] = values[:-q]
+    return out
+
+
+def granger_grid(A: np.ndarray, B: np.ndarray, lags: int) -> tuple[np.ndarray, np.ndarray]:
+    """F at [destination, source], and the number of complete rows, for every pair of two blocks at once.
+
+    Every sum over a pair's complete rows is a product of a destination part and a
+    source part, so the normal equations of all pairs are a few matrix products.
+    The own lags are taken out first: what is left of the source's lags is the
+    Schur complement of their block.  The middle of the HAC covariance comes from
+    products of the scores at each distance; a pair's rows are moved together
+    first, because distance counts complete rows.
+    """
+    own, theirs = _lags_of(B, lags), _lags_of(A, lags)
+    has_dst = (np.isfinite(B) & np.isfinite(own).all(axis=1)).astype(float)
+    has_src = np.isfinite(theirs).all(axis=1).astype(float)
+    y = np.where(has_dst > 0, B, 0.0)
+    D = np.concatenate((has_dst[:, None], np.where(has_dst[:, None] > 0, own, 0.0)), axis=1)
+    S = np.where(has_src[:, None] > 0, theirs, 0.0)
+
+    def over_time(left, right):
+        """Sums over time at [destination, source, ..., ...]."""
+        total = np.tensordot(left, right, axes=(0, 0))
+        p, q = left.ndim - 2, right.ndim - 2
+        return np.moveaxis(total, (p, p + 1 + q), (0, 1))
+
+    n = over_time(has_dst, has_src)
+    shared_, cross = over_time(D[:, :, None] * D[:, None], has_src), over_time(D, S)
+    added = over_time(has_dst, S[:, :, None] * S[:, None])
+    with_y, s_with_y = over_time(D * y[:, None], has_src), over_time(y, S)
+
+    solve = np.linalg.pinv(shared_, hermitian=True)
+    G, h = solve @ cross, np.einsum("jiab,jib->jia", solve, with_y)
+    schur = added - np.swapaxes(cross, 2, 3) @ G
+    g = s_with_y - np.einsum("jiab,jia->jib", cross, h)
+    beta = np.einsum("jibc,jic->jib", np.linalg.pinv(schur, hermitian=True), g)
+
+    ok = has_dst[:, :, None] * has_src[:, None]
+    left = S[:, :, None] - np.einsum("taj,jiab->tbji", D, G)
+    rest = y[:, :, None] - np.einsum("taj,jia->tji", D, h) - np.einsum("tbji,jib->tji", left, beta)
+    score = left * (rest * ok)[:, None]
+    together = np.argsort(ok < 1, axis=0, kind="stable")
+    score = np.take_along_axis(score, together[:, None], axis=0)
+    most = np.maximum(1, np.floor(4 * (n / 100) ** (2 / 9)))
+    middle = np.einsum("tbji,tcji->jibc", score, score)
+    for apart in range(1, min(int(most.max()), len(B) - 1) + 1):
+        near = np.einsum("tbji,tcji->jibc", score[apart:], score[:-apart])
+        middle += np.maximum(0.0, 1 - apart / (most + 1))[:, :, None, None] * (near + np.swapaxes(near, 2, 3))
+    form = np.einsum("jib,jibc,jic->ji", g, np.linalg.pinv(middle, hermitian=True), g)
+    k = 1 + 2 * lags
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return form * np.maximum(n - k, 1) / n / lags, n.astype(np.int64)
+
+
+def granger(slabs: DataFrame, lags: int = 6, min_obs: int = 60, nodes_per_block: int = 64) -> DataFrame:
     """F test (HAC) that the source's lags add to the destination's own, for every ordered pair."""
 
     def per_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        src, dst = pdf[pdf["is_src"]].reset_index(drop=True), pdf[~pdf["is_src"]].reset_index(drop=True)
-        rows = []
-        if len(src) and len(dst):
-            first = min(int(np.min(v)) for v in pdf["ms"])
-            length = max(int(np.max(v)) for v in pdf["ms"]) - first + 1
-            A, B = _matrix(src, first, length), _matrix(dst, first, length)
-
-            def stack(v):
-                return np.column_stack([np.concatenate([np.full(q, np.nan), v[:-q]]) for q in range(1, lags + 1)])
-
-            own = [stack(B[:, j]) for j in range(B.shape[1])]
-            for i in range(A.shape[1]):
-                theirs = stack(A[:, i])
-                for j in range(B.shape[1]):
-                    if src["node"][i] == dst["node"][j]:
-                        continue
-                    Z = np.column_stack([np.ones(length), own[j], theirs])
-                    ok = np.isfinite(B[:, j]) & np.isfinite(Z).all(axis=1)
-                    n, k = int(ok.sum()), Z.shape[1]
-                    if n < min_obs or n <= k:
-                        continue
-                    b, cov, _ = solve_hac(B[ok, j], Z[ok], max(1, automatic_lags(n)))
-                    rb = b[1 + lags :]
-                    f = float(rb @ np.linalg.pinv(cov[1 + lags :, 1 + lags :]) @ rb) / lags
-                    if np.isfinite(f) and f >= 0:
-                        rows.append((pdf["win"].iloc[0], src["node"][i], dst["node"][j], f, f_upper_tail(f, lags, n - k), n))
-        return pd.DataFrame(rows, columns=["win", "src", "dst", "f", "p", "n"])
-
-    return spread(_blocks(slabs, blocks), "win", "sb", "db").groupBy("win", "sb", "db").applyInPandas(per_block, "win string, src string, dst string, f double, p double, n bigint")
+        names = ["win", "src", "dst", "f", "p", "n"]
+        sides = _sides(pdf)
+        if sides is None:
+            return pd.DataFrame(columns=names)
+        src, dst, A, B = sides
+        f, n = granger_grid(A, B, lags)
+        k = 1 + 2 * lags
+        j, i = np.nonzero((n >= min_obs) & (n > k) & np.isfinite(f) & (f >= 0) & (dst[:, None] != src[None]))
+        f, n = f[j, i], n[j, i]
+        return pd.DataFrame({"win": pdf["win"].iloc[0], "src": src[i], "dst": dst[j], "f": f, "p": f_upper_tail(f, lags, n - k), "n": n})[names]
+
+    return spread(_blocks(slabs, nodes_per_block), "win", "sb", "db").groupBy("win", "sb", "db").applyInPandas(per_block, "win string, src string, dst string, f double, p double, n bigint")
 
 
 def benjamini_hochberg(df: DataFrame, group, p: str = "p", name: str = "q") -> DataFrame:

@@ -481,9 +481,9 @@ def _(spark, d):
     return timeseries.event_regression(gap_series(spark, d, -24, 24))
 
 
-# four windows from the first month of the cells to the last: three of 48 months a year apart, the last one open
+# four windows from the first month of the cells on: three of 48 months a year apart, and one from the 35th month to the last there is
 NET = """
-win AS (SELECT unnest(['w1', 'w2', 'w3', 'w4']) AS win, unnest([first, first + 12, first + 24, last - 48]) AS lo, unnest([first + 47, first + 59, first + 71, last]) AS hi FROM (SELECT min(m) AS first, max(m) AS last FROM cells) AS c),
+win AS (SELECT unnest(['w1', 'w2', 'w3', 'w4']) AS win, unnest([first, first + 12, first + 24, first + 34]) AS lo, unnest([first + 47, first + 59, first + 71, last]) AS hi FROM (SELECT min(m) AS first, max(m) AS last FROM cells) AS c),
 slab0 AS (SELECT win, item AS node, m, mom AS x, w FROM (SELECT wx.*, count(*) OVER (PARTITION BY m) AS k FROM wx WHERE mom IS NOT NULL) AS c JOIN win ON m BETWEEN lo AND hi),
 slabs AS (SELECT s.* FROM slab0 s JOIN (SELECT win, node FROM slab0 JOIN win USING (win) GROUP BY 1, 2, lo, hi HAVING count(*) >= 0.8 * (hi - lo + 1)) AS g USING (win, node)),
 hl AS (SELECT a.m, 100 * (a.idx / b.idx - 1) AS h FROM (SELECT m, sum(spend) / sum(qty) AS idx FROM cells GROUP BY 1) AS a JOIN (SELECT m, sum(spend) / sum(qty) AS idx FROM cells GROUP BY 1) AS b ON b.m = a.m - 1),
@@ -503,7 +503,7 @@ def headline(spark, d):
 def slabs(spark, d):
     rows = weighted_changes(spark, d).select(F.col("item").alias("node"), "m", F.col("mom").alias("x"), "w")
     first, last = price_cells(spark, d).agg(F.min("m"), F.max("m")).first()
-    windows = [("w1", first, first + 47), ("w2", first + 12, first + 59), ("w3", first + 24, first + 71), ("w4", last - 48, last)]
+    windows = [("w1", first, first + 47), ("w2", first + 12, first + 59), ("w3", first + 24, first + 71), ("w4", first + 34, last)]
     return network.window_slabs(rows, windows)
 
 
@@ -511,8 +511,8 @@ def residual_slabs(spark, d):
     return written(network.remove_common_factor(slabs(spark, d), headline(spark, d), 30))
 
 
-def correlations(spark, d):
-    return written(network.lagged_correlations(residual_slabs(spark, d), 12, 30, blocks=2))
+def strongest(spark, d):
+    return written(network.strongest_lag(residual_slabs(spark, d), 12, 30))
 
 
 @query("network_window_nodes", show("SELECT win, node, count(*) AS n FROM slabs GROUP BY 1, 2", "win, node, n", "", N_ALL))
@@ -536,12 +536,12 @@ def _(spark, d):
 
 @query("lagged_correlations", show("SELECT * FROM lc", "win, src, dst, lag, n", "rho", N_ALL))
 def _(spark, d):
-    return correlations(spark, d)
+    return network.lagged_correlations(residual_slabs(spark, d), 12, 30)
 
 
 @query("strongest_lag_edges", show("SELECT * FROM bl", "win, src, dst, lag, n", "rho", N_ALL))
 def _(spark, d):
-    return network.strongest_lag(correlations(spark, d))
+    return strongest(spark, d)
 
 
 STABLE = """
@@ -552,7 +552,7 @@ se AS (SELECT b.src, b.dst, b.lag, b.rho FROM bl b JOIN st USING (src, dst) WHER
 
 
 def stable(spark, d):
-    best = written(network.strongest_lag(correlations(spark, d)))
+    best = strongest(spark, d)
     st = written(network.stable_edges(network.screen(best, rho_min=0.30), min_windows=2))
     edges = best.filter("win = 'w4'").join(st.filter("stable").select("src", "dst", "stable"), ["src", "dst"]).select("src", "dst", "lag", "rho", "stable")
     return best, st, shared(edges)
@@ -598,7 +598,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    best = network.strongest_lag(correlations(spark, d)).filter("win = 'w4'").select("src", "dst", "lag", "rho")
+    best = strongest(spark, d).filter("win = 'w4'").select("src", "dst", "lag", "rho")
     return network.cascade(shared(best))
 
 
@@ -637,14 +637,32 @@ gr AS (SELECT win, src, dst, n, (e * (e * (qq * rr - qr * qr) + f * (pr * qr - p
 @query("granger_tests", show("SELECT win, src, dst, f, n FROM gr WHERE f >= 0", "win, src, dst, n", "f", N_ALL + GRANGER))
 def _(spark, d):
     """The F statistics; the screen below turns them into p and q."""
-    return network.granger(residual_slabs(spark, d), 3, 30, blocks=2).drop("p")
+    return network.granger(residual_slabs(spark, d), 3, 30).drop("p")
 
 
-@query("granger_false_discovery_screen")
+# upper tail of F(3, n - 7): the power series of the incomplete beta function, or of its mirror image where that one falls faster
+_SERIES = "exp({a} * ln({x}) + {b} * ln(1 - {x}) + lgamma(a + b) - lgamma(a) - lgamma(b)) / {a} * list_sum(list_transform(range(0, 600), lambda k: exp(lgamma(a + b + k) - lgamma(a + b) - lgamma({a} + 1 + k) + lgamma({a} + 1) + k * ln({x}))))"
+F_TAIL = f"""
+ft AS (SELECT *, (n - 7) / 2.0 AS a, 1.5 AS b, (n - 7) / (n - 7 + 3 * f) AS x FROM gr WHERE f >= 0),
+pv AS (SELECT win, src, dst, CASE WHEN f = 0 THEN 1 WHEN x < (a + 1) / (a + b + 2) THEN {_SERIES.format(a='a', b='b', x='x')} ELSE 1 - {_SERIES.format(a='b', b='a', x='(1 - x)')} END AS p FROM ft),
+qv AS (SELECT *, least(1, min(s) OVER (PARTITION BY win ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS q
+  FROM (SELECT *, count(*) OVER (PARTITION BY win) * p / count(*) OVER (PARTITION BY win ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM pv) AS t),
+"""
+
+
+@query(
+    "granger_false_discovery_screen",
+    show(
+        "SELECT win, src, dst, bl.lag, bl.rho, p, q, coalesce(abs(bl.rho) > 0.25 OR q < 0.05, false) AS passed FROM bl LEFT JOIN qv USING (win, src, dst)",
+        "win, src, dst, lag, passed",
+        "rho, p, q",
+        N_ALL + GRANGER + F_TAIL,
+    ),
+)
 def _(spark, d):
-    tests = written(network.granger(residual_slabs(spark, d), 3, 30, blocks=2))
-    q = network.benjamini_hochberg(tests, "win")
-    best = network.strongest_lag(correlations(spark, d)).drop("n")
+    rows = residual_slabs(spark, d)
+    q = network.benjamini_hochberg(written(network.granger(rows, 3, 30)), "win")
+    best = network.strongest_lag(rows, 12, 30).drop("n")
     return network.screen(best.join(q.select("win", "src", "dst", "p", "q"), ["win", "src", "dst"], "left"))
 
 

@@ -67,12 +67,55 @@ def test_known_lag_is_found(spark):
     y = np.concatenate([rng.normal(size=2), x[:-2]]) * 0.9 + rng.normal(size=160) * 0.2
     rows = [("x", m, float(v)) for m, v in enumerate(x, 1) if m != 50] + [("y", m, float(v)) for m, v in enumerate(y, 1)]
     slabs = spark.createDataFrame([("w", n, m, v) for n, m, v in rows], "win string, node string, m int, x double")
-    best = {(r.src, r.dst): r for r in network.strongest_lag(network.lagged_correlations(slabs, 6, 60, blocks=2)).collect()}
+    best = {(r.src, r.dst): r for r in network.strongest_lag(slabs, 6, 60, nodes_per_block=1).collect()}
     assert best[("x", "y")].lag == 2 and best[("x", "y")].rho > 0.9
-    tests = {(r.src, r.dst): r.p for r in network.granger(slabs, 3, 60, blocks=2).collect()}
+    tests = {(r.src, r.dst): r.p for r in network.granger(slabs, 3, 60, nodes_per_block=1).collect()}
     assert tests[("x", "y")] < 1e-6 < tests[("y", "x")]
 
 
+def gappy_slabs(spark, nodes, months, seed=4):
+    rng = np.random.default_rng(seed)
+    values = rng.normal(size=(months, nodes)).cumsum(axis=0) * 0.1 + rng.normal(size=(months, nodes))
+    values[2:, 1] += 0.8 * values[:-2, 0]
+    values[rng.random(values.shape) < 0.03] = np.nan
+    rows = [("w", f"n{j:02d}", m + 7, float(values[m, j])) for m in range(months) for j in range(nodes) if np.isfinite(values[m, j])]
+    return values, spark.createDataFrame(rows, "win string, node string, m int, x double")
+
+
+def test_granger_blocks_equal_one_regression_a_pair(spark):
+    values, slabs = gappy_slabs(spark, 7, 110)
+    lags, want = 3, {}
+    for i in range(7):
+        for j in range(7):
+            back = [np.concatenate([np.full(q, np.nan), v[:-q]]) for v in (values[:, j], values[:, i]) for q in range(1, lags + 1)]
+            Z = np.column_stack([np.ones(110), *back])
+            ok = np.isfinite(values[:, j]) & np.isfinite(Z).all(axis=1)
+            n = int(ok.sum())
+            if i != j and n >= 40:
+                b, cov, _ = regress.solve_hac(values[ok, j], Z[ok], max(1, regress.automatic_lags(n)))
+                tail = b[1 + lags :]
+                want[f"n{i:02d}", f"n{j:02d}"] = (float(tail @ np.linalg.inv(cov[1 + lags :, 1 + lags :]) @ tail) / lags, n)
+    for per_block in (2, 64):
+        got = {(r.src, r.dst): r for r in network.granger(slabs, lags, 40, nodes_per_block=per_block).collect()}
+        assert got.keys() == want.keys() and len(got) > 30
+        for edge, (f, n) in want.items():
+            assert got[edge].f == pytest.approx(f, rel=1e-8) and got[edge].n == n
+            assert got[edge].p == pytest.approx(float(network.f_upper_tail(f, lags, n - 1 - 2 * lags)), rel=1e-7)
+
+
+def test_blocks_follow_the_nodes_and_return_one_row_a_pair(spark):
+    values, slabs = gappy_slabs(spark, 9, 80)
+    sizes = network._blocks(slabs, 2).groupBy("sb", "db", "is_src").count().collect()
+    assert max(r.sb for r in sizes) > 1 and sum(r["count"] for r in sizes if r.is_src) == 9 * 5
+    every = network.lagged_correlations(slabs, 5, 30, nodes_per_block=3).collect()
+    best = {(r.src, r.dst): r for r in network.strongest_lag(slabs, 5, 30, nodes_per_block=4).collect()}
+    assert len(best) == 72
+    for edge, row in best.items():
+        own = [r for r in every if (r.src, r.dst) == edge and r.rho is not None]
+        want = min(own, key=lambda r: (-round(abs(r.rho), 12), r.lag))
+        assert (row.lag, row.n) == (want.lag, want.n) and row.rho == pytest.approx(want.rho)
+
+
 def test_f_tail_known_values():
     assert network.f_upper_tail(4.9646, 1, 10) == pytest.approx(0.05, abs=1e-4)
     assert network.f_upper_tail(2.8661, 4, 20) == pytest.approx(0.05, abs=1e-4)
