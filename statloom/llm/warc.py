@@ -38,6 +38,10 @@ MAGIC = b"\x1f\x8b\x08"
 BLOCK = 1 << 20
 SPLIT_BYTES = 8 << 20
 SALTS = 64
+#: Most tasks that read archives; beyond it a task reads several ranges.
+MOST_READERS = 65_536
+#: Spark's names of stores and those of the readers inside tasks.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
 DATE = "1970-01-01T00:00:00Z"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 MANIFEST = "path string, bytes bigint, records bigint"
@@ -46,10 +50,13 @@ NO_ID = "none"
 
 
 def file_system(uri: str):
-    """File system and path of a URI; a bare path is local."""
+    """File system and path of a URI; a bare path is local, and schemes that only Spark knows are those of the same store."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}" if uri.startswith("/") else uri.replace("file:/", "file:///", 1))
+    scheme, colon, rest = uri.partition("://")
+    if colon:
+        return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
+    return fs.FileSystem.from_uri(f"file://{uri}" if uri.startswith("/") else uri.replace("file:/", "file:///", 1))
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -242,7 +249,9 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, with_payl
         if rows:
             yield _frame(rows)
 
-    return ranges.repartition("path", "start").mapInPandas(read, RECORDS)
+    # an explicit number from the bytes to read: the ranges themselves are so small that they would be merged into one task
+    wanted = manifest.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
+    return ranges.repartitionByRange(max(1, min(int(wanted), MOST_READERS)), "path", "start").mapInPandas(read, RECORDS)
 
 
 def _frame(rows) -> pd.DataFrame:

@@ -81,3 +81,20 @@ def test_archives_are_plain_gzip(spark, tmp_path):
     text = gzip.open(manifest[0]["path"]).read()
     assert text.startswith(b"WARC/1.1\r\nWARC-Type: response") and text.endswith(b"body\r\n\r\n")
     assert manifest[0]["records"] == 1
+
+
+def test_ranges_are_read_by_tasks_of_their_own(spark, tmp_path):
+    rng = random.Random(5)
+    pages = spark.createDataFrame([(i, "http://x", "".join(chr(rng.randrange(33, 900)) for _ in range(4000))) for i in range(60)], "page_id bigint, url string, html string")
+    manifest = warc.write_archives(warc.planned(pages).repartition(3, "page_id"), str(tmp_path))
+    split = 20_000
+    wanted = sum(-(-r["bytes"] // split) for r in manifest.collect())
+    read = warc.read_archives(manifest, split)
+    tasks = read.select("page_id", warc.F.spark_partition_id().alias("task")).collect()
+    assert wanted > 10 and read.rdd.getNumPartitions() == wanted
+    assert sorted(int(r["page_id"]) for r in tasks) == list(range(60)) and len({r["task"] for r in tasks}) > wanted // 2
+
+
+def test_a_path_and_its_uris_are_one_place():
+    assert warc.SCHEMES["s3a"] == "s3"
+    assert warc.file_system("file:///tmp/x")[1] == "/tmp/x" and warc.file_system("/tmp/x")[1] == "/tmp/x" and warc.file_system("file:/tmp/x")[1] == "/tmp/x"
