@@ -11,7 +11,7 @@ from statloom.plans.registry import query, show
 from statloom.plans.tables import table
 from statloom.session import ensure_checkpoint_dir
 from statloom.sources import feed_registry
-from statloom.streaming import series, walls, windows
+from statloom.streaming import keyed, series, walls, windows
 
 # a metric feed per event type; each event is fetched an hour after its time stamp, and some are fetched twice
 FEED = """
@@ -43,13 +43,19 @@ def _(spark, d):
     return series.merge_series(None, feed(spark, d), 200).select("id", stamp("ts").alias("at"), "value")
 
 
+def event_stream(spark, d):
+    """The events as a stream, and a place for its output and checkpoint."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    rows = spark.readStream.schema(events(spark, d).schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return rows.withColumn("at", F.col("ts").cast("timestamp")), f"{base}/log", f"{base}/checkpoint"
+
+
 @query("series_merge_stream", show("SELECT id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, value FROM kept", "id, at", "value", FEED))
 def _(spark, d):
-    base = f"{ensure_checkpoint_dir(spark)}/series-{uuid.uuid4().hex}"
-    src = spark.readStream.schema(events(spark, d).schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    rows = src.select(F.col("event_type").alias("id"), F.window("ts", "10 minutes").getField("start").cast("timestamp").alias("ts"), "value", F.col("ts").cast("timestamp").alias("fetched"))
-    state = series.run_series_stream(rows, f"{base}/state", 200, f"{base}/checkpoint")
-    return state.select("id", stamp("ts").alias("at"), "value")
+    rows, folder, checkpoint = event_stream(spark, d)
+    rows = rows.select(F.col("event_type").alias("id"), F.window("ts", "10 minutes").getField("start").cast("timestamp").alias("ts"), "value", F.col("at").alias("fetched"))
+    log = keyed.run(keyed.series_changes(rows, 200), folder, checkpoint)
+    return keyed.series_points(log).select("id", stamp("ts").alias("at"), "value")
 
 
 @query(
@@ -74,8 +80,12 @@ lat AS (SELECT wall, id, max(at) AS at, arg_max(title, at) AS title FROM keyed G
 
 
 def wall_items(spark, d):
-    e = events(spark, d)
+    return wall_items_of(events(spark, d)).drop("event_id")
+
+
+def wall_items_of(e):
     return e.select(
+        "event_id",
         (F.col("user_id") % 7).alias("wall"),
         F.when(F.col("event_id") % 4 != 0, F.concat(F.lit("e"), F.floor(F.col("event_id") / 3).cast("string"))).alias("id"),
         F.col("ts").cast("timestamp").alias("at"),
@@ -108,6 +118,60 @@ def _(spark, d):
     return walls.upsert_wall(None, wall_items(spark, d), now, 80, forward=True).select("wall", stamp("at").alias("at"), "title")
 
 
+# items lie up to four days ahead of their fetch; now is a day before the last fetch
+AHEAD = WALL.replace("ts AS at,", "ts + to_hours((event_id % 96)::INT) AS at,").replace(
+    "arg_max(title, at) AS title", "arg_max(title, (fetched, at, title)) AS title, max(fetched) AS fetched, arg_max(at, (fetched, at, title)) AS newest, any_value(mx) AS mx"
+)
+
+
+@query(
+    "event_wall_forward_stream",
+    show(
+        "SELECT wall, strftime(newest, '%Y-%m-%d %H:%M:%S') AS at, title FROM (SELECT *, row_number() OVER (PARTITION BY wall ORDER BY newest, id) AS k FROM lat WHERE (epoch_us(newest) + 3600000000) // 1000 + 1 > epoch_us(mx) // 1000 - 86400000) AS t WHERE k <= 80",
+        "wall, at, title",
+        "",
+        AHEAD,
+    ),
+)
+def _(spark, d):
+    rows, folder, checkpoint = event_stream(spark, d)
+    items = wall_items_of(rows).withColumn("at", F.col("at") + F.make_dt_interval(hours=(F.col("event_id") % 96).cast("int"))).drop("event_id")
+    log = keyed.run(keyed.forward_wall_changes(items, "1 day"), folder, checkpoint)
+    return keyed.forward_wall(log, 80).select("wall", stamp("at").alias("at"), "title")
+
+
+@query(
+    "feed_staleness_stream",
+    show(
+        """SELECT id, strftime(at, '%Y-%m-%d %H:%M:%S') AS at, (epoch_us(at) + w * 3600000000) // 1000 + 1 <= (SELECT epoch_us(max(ts)) // 1000 - 3600000 FROM events) AS stale
+  FROM (SELECT event_type || '-' || (user_id % 40) AS id, max(ts) AS at, any_value(CASE WHEN event_type = 'error' THEN 48 ELSE 6 END) AS w FROM events GROUP BY 1) AS f""",
+        "id, at, stale",
+    ),
+)
+def _(spark, d):
+    """A feed for every event type and 40th of the users; it turns stale by a timer, six hours (errors: two days) after its last event."""
+    rows, folder, checkpoint = event_stream(spark, d)
+    window = F.when(F.col("id").startswith("error-"), 48).otherwise(6) * 3_600_000
+    feeds = rows.select(F.concat_ws("-", "event_type", (F.col("user_id") % 40).cast("string")).alias("id"), "at")
+    log = keyed.run(keyed.staleness_changes(feeds, window, "1 hour"), folder, checkpoint)
+    return keyed.latest(log, ["id"]).select("id", stamp(F.timestamp_micros("ref_us")).alias("at"), "stale")
+
+
+@query(
+    "keep_last_good_stream",
+    show(
+        """SELECT user_id::VARCHAR AS id, arg_max(value, ts) FILTER (event_type <> 'error') AS value, CASE WHEN any_value(good) IS NULL OR max(ts) > any_value(good) THEN 'fetch failed' END AS last_error,
+  count(*) FILTER (good IS NULL OR ts > good) AS error_count FROM events JOIN (SELECT user_id, max(ts) FILTER (event_type <> 'error') AS good FROM events GROUP BY 1) AS g USING (user_id) GROUP BY 1""",
+        "id, last_error, error_count",
+        "value",
+    ),
+)
+def _(spark, d):
+    rows, folder, checkpoint = event_stream(spark, d)
+    results = rows.select(F.col("user_id").cast("string").alias("id"), "value", "at", F.when(F.col("event_type") == "error", "fetch failed").alias("error"), F.col("at").alias("fetched"))
+    return keyed.latest(keyed.run(keyed.last_good_changes(results), folder, checkpoint), ["id"]).select("id", "value", "last_error", F.col("error_count").cast("bigint").alias("error_count"))
+
+
 def _reg_sql():
     out = []
     for ident, section, kind, cadence, history, position, _rules in feed_registry.feed_rows():

@@ -1,8 +1,8 @@
 """Metric feeds: merging series, snapshots, run gates, staleness and roll-ups.
 
-Every function works on a batch DataFrame; ``run_series_stream`` applies the
-merge to a stream through foreachBatch, so streamed and batch results agree.
-Late points always merge by timestamp; only ``history`` bounds the state.
+Every function works on a batch DataFrame; ``keyed`` holds the same rules as
+streaming state.  Late points always merge by timestamp; only ``history`` bounds
+what is kept.
 """
 
 from __future__ import annotations
@@ -150,39 +150,6 @@ def health(df: DataFrame, now: Column) -> DataFrame:
     return df.select("id", minutes("at").alias("data_age_min"), minutes("fetched_at").alias("fetch_age_min"), F.col("error_count") > 0)
 
 
-def run_series_stream(stream: DataFrame, folder: str, history: int, checkpoint: str, replace: bool = False) -> DataFrame:
-    """Drive a stream of (id, ts, value, fetched) into merged series and return the final state.
-
-    Batch n reads the newest state before n and writes state n under the caller's
-    shared folder; a replayed batch writes the same result again, and a restart
-    that finds nothing new returns the newest state there is.  A batch without
-    rows keeps the state as it is.
-    """
-    spark = stream.sparkSession
-
-    def upsert(batch: DataFrame, number: int) -> None:
-        before = [v for v in _versions(spark, folder) if v < number]
-        state = spark.read.parquet(f"{folder}/v={max(before)}") if before else None
-        merge_series(state, batch, history, replace).write.mode("overwrite").parquet(f"{folder}/v={number}")
-
-    query = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    done = _versions(spark, folder)
-    if not done:
-        raise ValueError("the stream has had no batch yet")
-    return spark.read.parquet(f"{folder}/v={max(done)}")
-
-
-def _versions(spark, folder: str) -> list[int]:
-    """Numbers of the finished states in a folder, listed by Spark's own file system."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        return []
-    entries = [e.getPath() for e in files.listStatus(path) if e.getPath().getName().startswith("v=")]
-    return [int(e.getName()[2:]) for e in entries if files.exists(e.suffix("/_SUCCESS"))]
-
-
 def upsert_on_date(series: DataFrame, live: DataFrame) -> DataFrame:
     """The live price replaces the bar of its date: series(id, day, value), live(id, day, value)."""
     return series.join(live.select("id", "day"), ["id", "day"], "left_anti").unionByName(live)

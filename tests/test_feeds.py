@@ -30,23 +30,6 @@ def test_merge_keeps_newest_value_and_history(spark):
     assert [v for _, _, v in as_set(series.merge_series(state, new, 4, replace=True))] == [100.0, 101.0, 102.0]
 
 
-def test_streamed_merge_equals_batch(spark, tmp_path):
-    parts = [points(40), points(40, start=20, value=500.0, fetched=2), points(10, start=-30, value=9.0, fetched=3, ident="b")]
-    src = tmp_path / "in"
-    for i, p in enumerate(parts):
-        spark.createDataFrame(p, SCHEMA).coalesce(1).write.parquet(str(src / f"part={i}"))
-    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(src / "*"))
-    got = series.run_series_stream(stream, str(tmp_path / "state"), 25, str(tmp_path / "ck"))
-    want = series.merge_series(None, spark.createDataFrame([r for p in parts for r in p], SCHEMA), 25)
-    assert as_set(got) == as_set(want)
-    # a restart that finds nothing new returns the same state, later files go on from it
-    assert as_set(series.run_series_stream(stream, str(tmp_path / "state"), 25, str(tmp_path / "ck"))) == as_set(want)
-    more = points(5, start=100, value=7.0, fetched=9)
-    spark.createDataFrame(more, SCHEMA).coalesce(1).write.parquet(str(src / "part=9"))
-    again = series.run_series_stream(stream, str(tmp_path / "state"), 25, str(tmp_path / "ck"))
-    assert as_set(again) == as_set(series.merge_series(want, spark.createDataFrame(more, SCHEMA), 25))
-
-
 def test_wall_ties_are_cut_by_id(spark):
     rows = [("w", f"{i:03d}", T0, f"t{i}", "info", T0) for i in range(60)]
     df = spark.createDataFrame(rows, "wall string, id string, at timestamp, title string, severity string, fetched timestamp")
