@@ -8,8 +8,8 @@ The order is cut by (curve number, row), so a third of all documents at one poin
 of the curve still spreads over many tasks; only one token total for each range
 partition passes through a window.
 
-Words between white space are tokenized once per worker and remembered (up to
-``REMEMBERED_WORDS``); white space never joins two tokens here, so the ids are
+Distinct words between white space are found in Arrow, tokenized once per worker and
+remembered (up to ``REMEMBERED_WORDS``); white space never joins two tokens here, so the ids are
 those of the whole text.
 
 Nulls and edge cases: a null or empty text is its end token alone; repeated rows
@@ -21,13 +21,14 @@ columns cannot clash.
 from __future__ import annotations
 
 import zlib
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from statloom.llm.common import in_range_order, stored, text_bytes
 from statloom.llm.hilbert import hilbert_index
@@ -35,20 +36,24 @@ from statloom.llm.hilbert import hilbert_index
 HASHED_DIMS = 256
 CURVE_DIMS = 3
 CURVE_BITS = 10
-REMEMBERED_WORDS = 600_000
-CODED_TEXTS = 500
-STOPS = b".,;:!?*#$%&|()-"
-LATIN_END, DOTTED_I = "\u0250", "\u0130"
+REMEMBERED_WORDS = 1_200_000
+#: Texts coded at once, and their bytes (one text may have more).
+CODED_TEXTS, CODED_BYTES = 10_000, 16 << 20
+STOPS = ".,;:!?*#$%&|()-"
+#: Letters up to Latin Extended-B whose lower case is one letter.
+LETTERS = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+$"
 PIECES = "doc_id bigint, no_id boolean, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, curve bigint, ids binary"
 
 
 class WordTokenizer:
     """Token ids of texts, word by word; for tokenizers that drop white space and never join across it.
 
-    A word of letters up to Latin Extended-B, perhaps followed by stops, is its
+    Texts are split and their distinct words found in Arrow, a batch at a time.  A
+    word of letters up to Latin Extended-B, perhaps followed by stops, is its
     lower-cased letters and its stops one after the other: such tokenizers split
     there.  Many words at once are coded in one call and told apart by the tokens
-    that end a word.
+    that end a word.  Words are remembered in two halves: once the younger is full
+    it becomes the older one, which gives its words back as they come again.
     """
 
     _loaded: dict[str, "WordTokenizer"] = {}
@@ -71,44 +76,66 @@ class WordTokenizer:
         if suffix:
             self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
-        self.letters: dict[str, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def flat(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, each with ``end_id`` behind it, and where each begins (with the end behind)."""
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))  # A-Z only, which the tokenizer lower-cases too
+        coded = split.flatten().dictionary_encode()
+        words = _bytes(coded.dictionary)
+        if 2 * len(self.known) > REMEMBERED_WORDS:
+            self.known, self.older = {}, self.known
+        if new := self._unknown(set(words)):
+            self._learn(list(new))
+        values = [*map(self.known.__getitem__, words), np.array([end_id], self.type).tobytes()]
+        ids = np.frombuffer(b"".join(values), self.type)
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // ids.itemsize
+        begins = np.cumsum(sizes) - sizes
+        behind = np.diff(split.offsets.to_numpy()).cumsum()
+        which = np.insert(coded.indices.to_numpy().astype(np.int64), behind, len(words))
+        lengths = sizes[which]
+        ends = np.cumsum(lengths)
+        edges = np.concatenate(([0], ends[behind + np.arange(len(behind))]))
+        return ids[np.repeat(begins[which] - (ends - lengths), lengths) + np.arange(int(edges[-1]))], edges
 
     def ids(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
-        """Ids of every text, each with ``end_id`` behind it."""
-        end = np.array([end_id], self.type).tobytes()
-        split = [t.split() for t in texts]
-        known = self.known
-        if len(known) + len(self.letters) > REMEMBERED_WORDS:
-            known.clear()
-            self.letters.clear()
-        if new := set(chain.from_iterable(split)).difference(known):
-            self._learn(new)
-        find = known.__getitem__
-        return [np.frombuffer(b"".join(map(find, words)) + end, self.type) for words in split]
-
-    def _learn(self, words: set[bytes]) -> None:
-        parts: dict[bytes, tuple[str, bytes]] = {}
-        for word in words:
-            core = word.rstrip(STOPS)
-            text = core.decode("utf-8", "replace")
-            if text.isalpha() and (core.isascii() or max(text) < LATIN_END and DOTTED_I not in text):
-                parts[word] = (text.lower(), word[len(core) :])
-        self._learn_letters([c for c in dict.fromkeys(c for c, _ in parts.values()) if c not in self.letters])
-        rest = [w for w in words if w not in parts or parts[w][0] not in self.letters]
-        stops = dict.fromkeys(s for _, s in parts.values() if s and s not in self.known)
-        self._learn_whole([*stops, *(w for w in rest if w not in stops)])
-        for word, (core, stop) in parts.items():
-            if core in self.letters:
-                self.known[word] = self.letters[core] + self.known[stop] if stop else self.letters[core]
-
-    def _learn_letters(self, cores: list[str]) -> None:
+        ids, edges = self.flat(pa.array(texts, pa.binary()), end_id)
+        return np.split(ids, edges[1:-1])
+
+    def _unknown(self, words: set[bytes]) -> set[bytes]:
+        """Words not remembered; those of the older half move to the younger."""
+        new = words.difference(self.known)
+        if kept := new.intersection(self.older):
+            self.known.update(zip(kept, map(self.older.__getitem__, kept)))
+            new -= kept
+        return new
+
+    def _learn(self, words: list[bytes]) -> None:
+        cores = pc.ascii_rtrim(pa.array(words, pa.binary()).view(pa.string()), characters=STOPS)
+        plain = pc.match_substring_regex(cores, LETTERS)
+        chosen = np.flatnonzero(plain.to_numpy(zero_copy_only=False))
+        cores = cores.filter(plain)
+        keys, lengths = _bytes(pc.utf8_lower(cores)), pc.binary_length(cores).to_numpy().tolist()
+        self._learn_letters(self._unknown(set(keys)))
+        known, plain_words = self.known, [words[at] for at in chosen.tolist()]
+        known[b""] = b""
+        stops = [word[size:] for word, size in zip(plain_words, lengths)]
+        rest = self._unknown(set(stops))
+        if len(plain_words) < len(words):
+            rest.update(set(words).difference(plain_words))
+        rest.update([word for word, key in zip(plain_words, keys) if key not in known])  # letters that were split after all
+        self._learn_whole(list(rest))
+        known.update([(word, known[key] + known[stop]) for word, key, stop in zip(plain_words, keys, stops) if word not in rest])
+
+    def _learn_letters(self, cores: set[bytes]) -> None:
         if not cores or not self.ends.any():
             return
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(cores)], add_special_tokens=False)[0].ids)
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(cores).decode()], add_special_tokens=False)[0].ids)
         cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
         if len(cuts) == len(cores):  # else a core was split after all, and all go the long way
             flat, width = ids.astype(self.type).tobytes(), int(self.type[-1])
-            self.letters.update((c, flat[a * width : b * width]) for c, a, b in zip(cores, [0, *cuts], cuts))
+            cuts = [c * width for c in cuts]
+            self.known.update(zip(cores, [flat[a:b] for a, b in zip([0, *cuts], cuts)]))
 
     def _learn_whole(self, words: list[bytes]) -> None:
         if not words:
@@ -120,6 +147,10 @@ class WordTokenizer:
         self.known.update((w, np.array(got.get(i, ()), self.type).tobytes()) for i, w in enumerate(words))
 
 
+def _bytes(strings: pa.Array) -> list[bytes]:
+    return strings.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+
+
 def _hash_table(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Dimension and sign of every token id, by a multiplicative hash."""
     mixed = (np.arange(size, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
@@ -138,23 +169,38 @@ def curve_cells(ids: np.ndarray, dims: np.ndarray, signs: np.ndarray, directions
     return np.clip(((place + 1) / 2 * (1 << CURVE_BITS)).astype(np.int64), 0, (1 << CURVE_BITS) - 1).tolist()
 
 
+def _slices(batch: pa.RecordBatch, texts: int) -> Iterator[pa.RecordBatch]:
+    """Rows of at most CODED_TEXTS texts and, but for one text, CODED_BYTES."""
+    sizes = np.cumsum(pc.binary_length(batch.column(texts)).to_numpy())
+    begin = 0
+    while begin < batch.num_rows:
+        before = sizes[begin - 1] if begin else 0
+        end = min(begin + CODED_TEXTS, max(begin + 1, int(np.searchsorted(sizes, before + CODED_BYTES, side="right"))))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, doc_id, ids (little-endian), doc_tokens and curve of every row; ids are kept in two bytes where the vocabulary allows it."""
 
-    @pandas_udf("ids binary, doc_tokens bigint, c0 int, c1 int, c2 int")
-    def code(texts: pd.Series) -> pd.DataFrame:
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTokenizer.of(tokenizer_path)
         dims, signs = _hash_table(max(words.size, end_id + 1))
         directions = _projection()
-        rows = []
-        for i in range(0, len(texts), CODED_TEXTS):
-            for ids in words.ids(texts.iloc[i : i + CODED_TEXTS].tolist(), end_id):
-                rows.append((ids.tobytes(), len(ids), *curve_cells(ids, dims, signs, directions)))
-        return pd.DataFrame(rows, columns=["ids", "doc_tokens", "c0", "c1", "c2"])
-
-    coded = docs.select(F.col(f"`{id_col}`").alias("doc_id"), code(text_bytes(text_col)).alias("t"), F.monotonically_increasing_id().alias("row"))
-    flat = coded.select("row", "doc_id", "t.*").withColumn("curve", hilbert_index(["c0", "c1", "c2"], CURVE_BITS))
-    return stored(flat.drop("c0", "c1", "c2"), "tokens")
+        for whole in batches:
+            for batch in _slices(whole, 2):
+                ids, edges = words.flat(batch.column(2), end_id)
+                cells = np.array([curve_cells(x, dims, signs, directions) for x in np.split(ids, edges[1:-1])], np.int32)
+                buffers = [None, pa.py_buffer((edges * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.Array.from_buffers(pa.binary(), batch.num_rows, buffers), pa.array(np.diff(edges)), *map(pa.array, cells.T)],
+                    names=["row", "doc_id", "ids", "doc_tokens", "c0", "c1", "c2"],
+                )
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), text_bytes(text_col).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    coded = rows.mapInArrow(code, f"row bigint, doc_id {kind}, ids binary, doc_tokens bigint, c0 int, c1 int, c2 int")
+    return stored(coded.withColumn("curve", hilbert_index(["c0", "c1", "c2"], CURVE_BITS)).drop("c0", "c1", "c2"), "tokens")
 
 
 def stream_starts(tokens: DataFrame) -> DataFrame:
