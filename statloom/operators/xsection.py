@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions.calendar import trailing
 from statloom.functions.stats import pair_corr
-from statloom.operators.ordered import running_totals, with_group_totals, with_one_row, with_ranks
+from statloom.operators.ordered import running_totals, value_ranks, with_group_totals, with_one_row, with_position, with_ranks
 
 
 def weighted_distribution(
@@ -142,21 +142,27 @@ def weighted_median(df: DataFrame, group, value: str, weight: str, name: str = "
 def expanding_percentile(df: DataFrame, by, ordinal: str, value: str, min_points: int = 12, name: str = "hist_pct") -> DataFrame:
     """Percent of own history up to and including now that is at or below the value.
 
-    The history array of a series is bounded by its calendar.
+    Counting is by dominance: the first q points of a series are one block of 2^k
+    adjacent points for every bit k of q, a point is a member of one block a level,
+    and its rank inside a block comes from running counts over value buckets.  A
+    row so becomes about 1.5 log2(n) small ones; no history is gathered, and a
+    series of any length is spread over its blocks and buckets.
     """
-    frame = trailing(by, ordinal, -(2**31) + 1)
-    hist = F.collect_list(value).over(frame)
-    return (
-        df.withColumn("_hist", hist)
-        .withColumn(
-            name,
-            F.when(
-                F.col(value).isNotNull() & (F.size("_hist") >= min_points),
-                F.size(F.filter("_hist", lambda h: h <= F.col(value))) * 100.0 / F.size("_hist"),
-            ),
-        )
-        .drop("_hist")
-    )
+    by = [by] if isinstance(by, str) else list(by)
+    known = df.filter(F.col(value).isNotNull()).select(*by, ordinal, value)
+    placed = with_position(known, by, ordinal, value, "_at").join(value_ranks(known, by, ordinal).select(*by, ordinal, F.col("rank_high").alias("_q")), [*by, ordinal])
+    placed = placed.select(*by, ordinal, value, (F.col("_at") - 1).alias("_at"), "_q", "group_n")
+    level = F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col("group_n").cast("double"))).cast("int")))
+    members = placed.select(*by, value, "_at", level.alias("_k")).select(*by, value, "_k", F.expr("shiftright(_at, _k)").alias("_block"), F.lit(1).alias("_one"))
+    asked = placed.select(*by, ordinal, value, "_q", level.alias("_k")).filter(F.expr("shiftright(_q, _k) & 1 = 1"))
+    asked = asked.select(*by, ordinal, value, "_k", (F.expr("shiftright(_q, _k)") - 1).alias("_block")).distinct()
+    cells = members.unionByName(asked.select(*by, value, "_k", "_block", F.lit(0).alias("_one")))
+    ranked = running_totals(cells, [*by, "_k", "_block"], value, "_one").select(*by, "_k", "_block", value, "_one_run")
+    below = asked.join(ranked, [*by, "_k", "_block", value]).groupBy(*by, ordinal, value).agg(F.sum("_one_run").alias("_below"))
+    sizes = placed.select(*by, ordinal, value, "_q").distinct()
+    found = below.join(sizes, [*by, ordinal, value])
+    found = found.select(*by, ordinal, value, F.when(F.col("_q") >= min_points, F.col("_below") * 100.0 / F.col("_q")).alias(name))
+    return df.join(found, [*by, ordinal, value], "left").select(*df.columns, name)
 
 
 def spearman(df: DataFrame, group, x: str, y: str, min_n: int = 5) -> DataFrame:

@@ -209,3 +209,18 @@ def test_rolling_windows_match_one_regression_each(spark):
         total = sum(u * v * (1 - abs(i - j) / 6) for i, u in z.items() for j, v in z.items() if abs(i - j) <= 5)
         n = len(pairs)
         assert got[end].lp_se == pytest.approx(np.sqrt(total * n / (n - 2)) / (dx @ dx))
+
+
+def test_expanding_percentile_counts_by_blocks(spark):
+    rng = np.random.default_rng(9)
+    rows = [("a", m, None if m % 11 == 3 else float(rng.integers(-40, 40))) for m in range(150)] + [("b", m, 1.0) for m in range(20)] + [("c", 5, 2.0)]
+    rows += [("d", m // 2, float(rng.normal())) for m in range(60)]  # two values a month
+    df = spark.createDataFrame(rows, "s string, m int, v double")
+    from statloom.operators import xsection
+
+    got = sorted(map(tuple, xsection.expanding_percentile(df, "s", "m", "v", 12).collect()), key=repr)
+    want = []
+    for s, m, v in rows:
+        past = [x for t, k, x in rows if t == s and k <= m and x is not None]
+        want.append((s, m, v, sum(x <= v for x in past) * 100.0 / len(past) if v is not None and len(past) >= 12 else None))
+    assert got == sorted(want, key=repr)
