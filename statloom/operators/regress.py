@@ -72,6 +72,38 @@ def grouped_hac(df: DataFrame, keys: list[str], y: str, xs: list[str], order: st
     return spread(df.select(*keys, y, *xs, order, lags), *keys).groupBy(*keys).applyInArrow(fit, schema)
 
 
+def window_slopes(y: np.ndarray, X: np.ndarray, first: np.ndarray, last: np.ndarray, lags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slope and HAC error of the first column of X, beside a constant and the others, in every window of rows first..last-1.
+
+    Cross products run along the rows once; a window's are the difference of two.
+    The other columns are taken out of y and of the first column, so the error
+    needs only one score for each row and window.
+    """
+    if not len(first):
+        return np.zeros(0), np.zeros(0)
+    columns = np.column_stack([np.ones(len(y)), X[:, 1:], X[:, 0], y])
+    centre = np.concatenate(([0.0], columns[:, 1:].mean(axis=0)))  # moves the constant only
+    columns = columns - centre
+    products = np.concatenate((np.zeros((1, columns.shape[1], columns.shape[1])), np.cumsum(columns[:, :, None] * columns[:, None], axis=0)))
+    gram = products[last] - products[first]
+    k, n = X.shape[1], last - first
+    others = np.linalg.pinv(gram[:, :k, :k], hermitian=True)
+    out = others @ gram[:, :k, k:]  # what the others explain of x and of y
+    left = gram[:, k:, k:] - np.swapaxes(gram[:, :k, k:], 1, 2) @ out
+    with np.errstate(invalid="ignore", divide="ignore"):
+        slope = left[:, 0, 1] / left[:, 0, 0]
+    rest = np.einsum("tk,wkc->wtc", columns[:, :k], out)
+    x, u = columns[:, k] - rest[..., 0], columns[:, k + 1] - rest[..., 1]
+    score = x * (u - slope[:, None] * x)
+    rows = np.arange(len(y))
+    score[(rows < first[:, None]) | (rows >= last[:, None])] = 0.0
+    total = (score * score).sum(axis=1)
+    for apart in range(1, min(int(lags.max()), len(y) - 1) + 1):
+        total += 2 * np.maximum(0.0, 1 - apart / (lags + 1)) * (score[:, apart:] * score[:, :-apart]).sum(axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return slope, np.sqrt(np.maximum(total, 0.0) * n / np.maximum(n - k - 1, 1)) / left[:, 0, 0]
+
+
 def specification_grid(df: DataFrame, keys: list[str], y: str, specs: dict[str, list[str]], order: str, long: str, short: str) -> DataFrame:
     """Slopes of every specification with errors under two truncation lags, and what each adds to the first one.
 

@@ -224,3 +224,18 @@ def test_expanding_percentile_counts_by_blocks(spark):
         past = [x for t, k, x in rows if t == s and k <= m and x is not None]
         want.append((s, m, v, sum(x <= v for x in past) * 100.0 / len(past) if v is not None and len(past) >= 12 else None))
     assert got == sorted(want, key=repr)
+
+
+def test_window_slopes_equal_one_regression_a_window(spark):
+    rng = np.random.default_rng(6)
+    n = 140
+    X = rng.normal(size=(n, 4)).cumsum(axis=0) * 0.2 + rng.normal(size=(n, 4)) + [5.0, -3.0, 0.0, 40.0]
+    y = 2 + X @ [0.7, -0.2, 0.1, 0.3] + rng.normal(size=n)
+    first = np.array([0, 11, 40, 90])
+    last = first + np.array([60, 48, 100, 50])
+    lags = np.array([3, 0, 12, 1])
+    beta, se = regress.window_slopes(y, X, first, last, lags)
+    for w, (a, b) in enumerate(zip(first, last)):
+        want, cov, _ = regress.solve_hac(y[a:b], np.column_stack([np.ones(b - a), X[a:b]]), int(lags[w]))
+        assert beta[w] == pytest.approx(want[1], rel=1e-9) and se[w] == pytest.approx(np.sqrt(cov[1, 1]), rel=1e-9)
+    assert len(regress.window_slopes(y, X, first[:0], last[:0], lags[:0])[0]) == 0
