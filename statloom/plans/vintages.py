@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from statloom.operators import vintages
 from statloom.operators.ordered import shared, written
 from statloom.plans.registry import query, show
 from statloom.plans.tables import cents, table
+from statloom.session import ensure_checkpoint_dir
+from statloom.sources.vintage_store import VintageStore
 
 VINT = """
 vc AS (SELECT p_brand AS series, year(l_shipdate) * 12 + month(l_shipdate) AS obs_m, l_linenumber AS k, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT AS c, sum(l_quantity) AS q
@@ -155,25 +159,37 @@ newer AS (SELECT k1, k2, arg_max(value, pull_id) AS value, arg_max(stage, pull_i
 """
 
 
-def _pulls(spark, d):
+def _observations(spark, d, pulls=None):
+    """The newest value and stage of every line over some of the pulls; ties of a pull as in the text."""
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k1"), F.col("l_linenumber").alias("k2"), F.col("l_suppkey").alias("pull_id"), "l_partkey", "l_extendedprice", "l_linestatus")
-    return shared(lines.groupBy("k1", "k2", "pull_id").agg(F.max_by("l_extendedprice", F.col("l_partkey") * 100000 + F.col("l_extendedprice")).alias("value"), F.max("l_linestatus").alias("stage")))
+    lines = lines if pulls is None else lines.filter(pulls)
+    value = F.max_by("l_extendedprice", F.col("l_partkey") * 100000 + F.col("l_extendedprice")).alias("value")
+    each = lines.groupBy("k1", "k2", "pull_id").agg(value, F.max("l_linestatus").alias("stage"))
+    return vintages.latest_vintage(each, ["k1", "k2"]).drop("pull_id")
+
+
+def _store(spark, d, **more):
+    """A store with two pulls: what two thirds of the suppliers say, then what all say."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/vintages-{uuid.uuid4().hex}"
+    schema = "k1 bigint, k2 bigint, value double" + (", stage string" if more.get("stage") else "")
+    eps = more.pop("eps", 1e-9)
+    store = VintageStore(spark, folder, schema, ["k1", "k2"], **more)
+    store.append(_observations(spark, d, "pull_id % 3 <> 0"), "6", eps)
+    store.append(_observations(spark, d), "7", eps)
+    return store
 
 
 @query("latest_vintage_view", show("SELECT * FROM newer", "k1, k2, stage", "value", _PULLS))
 def _(spark, d):
-    return vintages.latest_vintage(_pulls(spark, d), ["k1", "k2"]).select("k1", "k2", "value", "stage")
+    return _store(spark, d, stage="stage").latest().drop("pull_id")
 
 
 @query(
     "append_changed_observations",
-    show("SELECT n.*, 7 AS pull_id FROM newer n LEFT JOIN older o USING (k1, k2) WHERE o.value IS NULL OR abs(n.value - o.value) > 1e-9", "k1, k2, stage, pull_id", "value", _PULLS),
+    show("SELECT n.*, '7' AS pull_id FROM newer n LEFT JOIN older o USING (k1, k2) WHERE o.value IS NULL OR abs(n.value - o.value) > 1e-9", "k1, k2, pull_id", "value", _PULLS),
 )
 def _(spark, d):
-    pulls = _pulls(spark, d)
-    new = vintages.latest_vintage(pulls, ["k1", "k2"]).drop("pull_id")
-    old = vintages.latest_vintage(pulls.filter("pull_id % 3 <> 0"), ["k1", "k2"])
-    return vintages.changed_observations(new, old, ["k1", "k2"], pull_id=7)
+    return _store(spark, d).pull("7")
 
 
 @query(
@@ -186,24 +202,35 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    pulls = _pulls(spark, d)
-    new = vintages.latest_vintage(pulls, ["k1", "k2"]).drop("pull_id")
-    old = vintages.latest_vintage(pulls.filter("pull_id % 3 <> 0"), ["k1", "k2"])
-    return vintages.changed_observations(new, old, ["k1", "k2"], stage="stage", eps=20000).select("k1", "k2", "value", "stage")
+    return _store(spark, d, stage="stage", eps=20000).pull("7").drop("pull_id")
+
+
+@query(
+    "vintage_as_of",
+    show("SELECT * FROM older", "k1, k2, stage", "value", _PULLS),
+)
+def _(spark, d):
+    """The view as of the first pull, with the second one stored."""
+    return _store(spark, d, stage="stage").latest("6").drop("pull_id")
 
 
 @query(
     "incremental_vintage_ingest",
     show(
-        "SELECT l.series, l.obs_m, l.vintage_m, l.value FROM lev l WHERE vintage_m > (SELECT max(vintage_m) FROM lev s WHERE s.series = l.series AND s.vintage_m < 23990) AND obs_m >= vintage_m - 12",
+        "SELECT l.series, l.obs_m, l.vintage_m, l.value FROM lev l WHERE vintage_m > (SELECT max(vintage_m) FROM lev s WHERE s.series = l.series AND s.vintage_m < 23990 AND s.obs_m >= s.vintage_m - 12) AND obs_m >= vintage_m - 12",
         "series, obs_m, vintage_m",
         "value",
         VINT,
     ),
 )
 def _(spark, d):
-    lv = levels(spark, d).select("series", "obs_m", "vintage_m", "value")
-    return vintages.new_vintages(lv, lv.filter("vintage_m < 23990"), retain=12)
+    """The second pull brings all vintages; only those past the stored ones of their series come in."""
+    lv = levels(spark, d).select("series", "vintage_m", "obs_m", "value")
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/vintages-{uuid.uuid4().hex}"
+    store = VintageStore(spark, folder, "series string, vintage_m int, obs_m int, value double", ["series", "vintage_m", "obs_m"], bucket_by=["series"])
+    store.append_new_vintages(lv.filter("vintage_m < 23990"), "first", "series", "vintage_m", "obs_m", retain=12)
+    store.append_new_vintages(lv, "second", "series", "vintage_m", "obs_m", retain=12)
+    return store.pull("second").select("series", "obs_m", "vintage_m", "value")
 
 
 @query(
