@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,21 +21,35 @@ FINE_BANDS = {
 }
 
 
-def cohort_specs(bins0=None, bins1=None) -> list[tuple[str, list[str], str]]:
-    """(label, source bins, destination bin): ten years move a cohort up two bins.
+def age_span(label: str) -> tuple[int, int | None] | None:
+    """Lowest and highest age of a bin, None above for an open one; None for a label that is no span."""
+    closed, opened = re.fullmatch(r"(\d+)-(\d+)", label), re.fullmatch(r"(\d+)\+", label)
+    return (int(closed[1]), int(closed[2])) if closed else (int(opened[1]), None) if opened else None
+
+
+def cohort_specs(bins0=None, bins1=None, years: int = 10) -> list[tuple[str, list[str], str]]:
+    """(label, source bins, destination bin) of every cohort that can be followed for ``years``.
 
-    The two oldest closed bins end together in 85+; where the later table only
-    publishes a merged 75-84 bin, 65-69 and 70-74 travel as one cohort.
+    Every closed bin's ages are moved up and sought in the narrowest destination
+    that covers them.  Bins that end in the same destination are one cohort, kept
+    if together they fill it: from its lowest age to its highest, or, for the open
+    bin, as far as the people who were not in it before.
     """
-    have0, have1 = set(bins0 or STANDARD_BINS), set(bins1 or STANDARD_BINS)
-    moves = [(s, [s], d) for s, d in zip(STANDARD_BINS[:15], STANDARD_BINS[2:17]) if s in have0 and d in have1]
-    merged_later = "75-84" in have1 and have1.isdisjoint({"75-79", "80-84"})
-    if merged_later and have0.issuperset({"65-69", "70-74"}):
-        moves.append(("65-74", ["65-69", "70-74"], "75-84"))
-    oldest = ["75-79", "80-84"] if have0.issuperset({"75-79", "80-84"}) else ["75-84"] if "75-84" in have0 else []
-    if "85+" in have1 and oldest:
-        moves.append(("75-84", oldest, "85+"))
-    return moves
+    spans0, spans1 = ({b: s for b in (bins or STANDARD_BINS) if (s := age_span(b))} for bins in (bins0, bins1))
+    closed = sorted((low, high, b) for b, (low, high) in spans0.items() if high is not None)
+    finest = [x for x in closed if not any(y != x and x[0] <= y[0] and y[1] <= x[1] for y in closed)]
+    arriving: dict[str, list[tuple[int, int, str]]] = {}
+    for low, high, band in finest:
+        covers = [(top - base if top is not None else math.inf, target) for target, (base, top) in spans1.items() if base <= low + years and (top is None or high + years <= top)]
+        if covers:
+            arriving.setdefault(min(covers)[1], []).append((low, high, band))
+    out = []
+    for target, bands in arriving.items():
+        base, top = spans1[target]
+        ages = [age for low, high, _ in bands for age in range(low, high + 1)]
+        if ages == list(range(base - years, base if top is None else top - years + 1)):
+            out.append((f"{ages[0]}-{ages[-1]}", [band for _, _, band in bands], target))
+    return out
 
 
 def recode(df: DataFrame, column: str, mapping: DataFrame, source: str, target: str) -> DataFrame:
@@ -161,6 +178,12 @@ def trace(df: DataFrame, periods, specs=None, basis: str = "auto") -> DataFrame:
     return with_rate(traced).withColumn("reliability", F.when(F.col("expected_t1") < 100, "low").otherwise("ok"))
 
 
+def consecutive_periods(df: DataFrame) -> list[tuple[int, int]]:
+    """Every year there is with the next one; a year is one row here, whatever the table holds."""
+    years = sorted(r[0] for r in df.select("year").distinct().collect() if r[0] is not None)
+    return list(zip(years, years[1:]))
+
+
 def _birth_years(label: str, t0: int) -> str:
     low, high = (int(x) for x in label.split("-"))
     return f"{t0 - high - 1}-{t0 - low}"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions.calendar import calendar_lag, ordinal_month, trailing
+from statloom.operators.ordered import with_one_row
 
 
 def dispersion(df: DataFrame, min_n: int = 8, limit: float = 0.3) -> DataFrame:
@@ -32,16 +33,18 @@ def dispersion(df: DataFrame, min_n: int = 8, limit: float = 0.3) -> DataFrame:
     )
 
 
-def schedule(df: DataFrame, last: int, look_back: int = 60, skipped: int | None = None, share: float = 0.9) -> DataFrame:
-    """monthly, odd or even per metro from the months seen in the look-back: df(metro, m)."""
-    start = last - look_back + 1
-    rows = df.filter((F.col("m") >= start) & (F.col("m") <= last))
+def schedule(df: DataFrame, look_back: int = 60, skipped: int | None = None, share: float = 0.9) -> DataFrame:
+    """monthly, odd or even per metro from the months seen in the look-back to the last month there is: df(metro, m)."""
+    rows = with_one_row(df, df.agg(F.max("m").alias("_last")))
+    start = F.col("_last") - look_back + 1
+    rows = rows.filter(F.col("m") >= start)
+    missing = F.lit(0)
     if skipped is not None:
         rows = rows.filter(F.col("m") != skipped)
-    missing = 0 if skipped is None else 1
-    g = rows.groupBy("metro").agg(F.count(F.lit(1)).alias("n"), F.count_if(ordinal_month("m") % 2 == 1).alias("odd"), F.min("m").alias("_first"))
-    possible = F.lit(last) - F.greatest(F.lit(start), F.col("_first")) + 1 - missing
-    kind = F.when(F.col("n") >= possible * share, "monthly").when(F.col("odd") > F.col("n") - F.col("odd"), "odd").otherwise("even")
+        missing = F.lit(skipped).between(F.greatest(F.max(start), F.min("m")), F.max("_last")).cast("int")
+    possible = F.max("_last") - F.greatest(F.max(start), F.min("m")) + 1 - missing
+    g = rows.groupBy("metro").agg(F.count(F.lit(1)).alias("n"), F.count_if(ordinal_month("m") % 2 == 1).alias("odd"), possible.alias("_possible"))
+    kind = F.when(F.col("n") >= F.col("_possible") * share, "monthly").when(F.col("odd") > F.col("n") - F.col("odd"), "odd").otherwise("even")
     return g.select("metro", "n", "odd", kind.alias("schedule"))
 
 

@@ -9,13 +9,11 @@ from statloom.operators.ordered import shared
 from statloom.plans.registry import query, show
 from statloom.plans.tables import table
 
-PERIODS = [(1995, 1997), (1997, 1999)]
 _BINS_SQL = "[" + ", ".join(f"'{b}'" for b in cohort.STANDARD_BINS) + "]"
 _SPEC_SQL = ", ".join(
-    f"('{t0}-{t1}', {year}, '{end}', '{band}', '{label}', '{cohort._birth_years(label, t0)}')"
-    for t0, t1 in PERIODS
+    f"('{end}', '{band}', '{label}', {label.split('-')[0]}, {label.split('-')[1]})"
     for label, sources, target in cohort.cohort_specs()
-    for end, year, bands in (("t0", t0, sources), ("t1", t1, [target]))
+    for end, bands in (("t0", sources), ("t1", [target]))
     for band in bands
 )
 
@@ -36,7 +34,9 @@ unitpop AS (
 """
 
 FLOWS = f"""
-spec AS (SELECT * FROM (VALUES {_SPEC_SQL}) AS s(period, year, e, age_bin, cohort_age_at_t0, birth_years)),
+periods AS (SELECT year AS t0, lead(year) OVER (ORDER BY year) AS t1 FROM (SELECT DISTINCT year FROM unitpop)),
+spec AS (SELECT t0 || '-' || t1 AS period, CASE WHEN e = 't0' THEN t0 ELSE t1 END AS year, e, age_bin, cohort_age_at_t0, (t0 - high - 1) || '-' || (t0 - low) AS birth_years
+  FROM periods CROSS JOIN (VALUES {_SPEC_SQL}) AS s(e, age_bin, cohort_age_at_t0, low, high) WHERE t1 IS NOT NULL),
 common AS (SELECT period, unit FROM unitpop JOIN spec USING (year) GROUP BY 1, 2 HAVING count(DISTINCT e) = 2),
 gqy AS (SELECT period, bool_and(gq > 0) AS house FROM (SELECT period, e, sum(gq_count) AS gq FROM unitpop JOIN (SELECT DISTINCT period, year, e FROM spec) USING (year) GROUP BY 1, 2) GROUP BY 1),
 cells AS (
@@ -79,7 +79,8 @@ def crosswalked(spark, d):
 
 
 def flows(spark, d):
-    return cohort.trace(crosswalked(spark, d), PERIODS)
+    people = crosswalked(spark, d)
+    return cohort.trace(people, cohort.consecutive_periods(people))
 
 
 @query("cohort_crosswalk", show("SELECT * FROM unitpop", "year, unit, sex, age_bin, name, count, gq_count", "", POP + UNITS))
@@ -146,7 +147,7 @@ def _(spark, d):
 )
 def _(spark, d):
     cells = crosswalked(spark, d).select("year", F.concat_ws("/", "unit", "age_bin", "sex").alias("unit"))
-    return cohort.dropped_units(cells, PERIODS)
+    return cohort.dropped_units(cells, cohort.consecutive_periods(cells))
 
 
 @query(

@@ -607,21 +607,23 @@ def _tree(spark, d):
     ),
 )
 def _(spark, d):
-    return panel.parents_from_levels(_tree(spark, d), "scope", "item", "sort", "level", 3).select("scope", "item", "level", "parent")
+    return panel.parents_from_levels(_tree(spark, d), "scope", "item", "sort", "level").select("scope", "item", "level", "parent")
 
 
+# a group's published weight counts large parts a fifth higher, so its members do not always carry all of it
 TREE1 = """
-nodes AS (SELECT p_name AS item, split_part(p_name, ' ', 2) AS parent, sum(round(p_retailprice * 100)::BIGINT) / 100.0 AS w FROM part WHERE p_name NOT IN ('hot gear', 'old rod') GROUP BY 1, 2
-  UNION ALL SELECT split_part(p_name, ' ', 2), 'ALL', sum(round(p_retailprice * 100)::BIGINT) / 100.0 FROM part GROUP BY 1 UNION ALL SELECT 'ALL', NULL, sum(round(p_retailprice * 100)::BIGINT) / 100.0 FROM part),
+priced AS (SELECT p_name AS item, split_part(p_name, ' ', 2) AS word, round(p_retailprice * 100)::BIGINT AS c, CASE WHEN p_size >= 47 THEN round(p_retailprice * 100)::BIGINT // 5 ELSE 0 END AS extra FROM part),
+nodes AS (SELECT item, word AS parent, sum(c) / 100.0 AS w FROM priced GROUP BY 1, 2
+  UNION ALL SELECT word, 'ALL', sum(c + extra) / 100.0 FROM priced GROUP BY 1 UNION ALL SELECT 'ALL', NULL, sum(c + extra) / 100.0 FROM priced),
 """
 
 
 def _nodes(spark, d):
-    parts = table(spark, d, "part").select("p_name", F.split("p_name", " ")[1].alias("word"), "p_retailprice")
-    w = spend_sum("p_retailprice").alias("w")
-    leaf = parts.filter("p_name NOT IN ('hot gear', 'old rod')").groupBy(F.col("p_name").alias("item"), F.col("word").alias("parent")).agg(w)
-    mid = parts.groupBy(F.col("word").alias("item")).agg(w).withColumn("parent", F.lit("ALL"))
-    top = parts.agg(w).withColumn("item", F.lit("ALL")).withColumn("parent", F.lit(None).cast("string"))
+    parts = table(spark, d, "part").select(F.col("p_name").alias("item"), F.split("p_name", " ")[1].alias("word"), cents("p_retailprice").alias("c"), "p_size")
+    parts = parts.withColumn("published", F.col("c") + F.when(F.col("p_size") >= 47, F.floor(F.col("c") / 5)).otherwise(0))
+    leaf = parts.groupBy("item", F.col("word").alias("parent")).agg((F.sum("c") / 100.0).alias("w"))
+    mid = parts.groupBy(F.col("word").alias("item")).agg((F.sum("published") / 100.0).alias("w")).withColumn("parent", F.lit("ALL"))
+    top = parts.agg((F.sum("published") / 100.0).alias("w")).withColumn("item", F.lit("ALL")).withColumn("parent", F.lit(None).cast("string"))
     return shared(leaf.unionByName(mid).unionByName(top))
 
 

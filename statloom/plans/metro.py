@@ -64,13 +64,16 @@ def _(spark, d):
 
 
 SCHED = """
-sc AS (SELECT metro, n, odd, CASE WHEN n >= 0.9 * possible THEN 'monthly' WHEN odd > n - odd THEN 'odd' ELSE 'even' END AS schedule FROM (SELECT metro, count(*) AS n, count(*) FILTER (WHERE ((m - 1) % 12 + 1) % 2 = 1) AS odd, 24012 - greatest(23953, min(m)) + 1 - 1 AS possible FROM px WHERE m BETWEEN 23953 AND 24012 AND m <> 24000 GROUP BY 1) AS q),
+sc AS (SELECT metro, n, odd, CASE WHEN n >= 0.9 * possible THEN 'monthly' WHEN odd > n - odd THEN 'odd' ELSE 'even' END AS schedule FROM (
+  SELECT metro, count(*) AS n, count(*) FILTER (WHERE ((m - 1) % 12 + 1) % 2 = 1) AS odd, any_value(last) - greatest(any_value(last) - 59, min(m)) + 1
+    - CASE WHEN 24000 BETWEEN greatest(any_value(last) - 59, min(m)) AND any_value(last) THEN 1 ELSE 0 END AS possible
+  FROM px CROSS JOIN (SELECT max(m) AS last FROM px) AS l WHERE m > last - 60 AND m <> 24000 GROUP BY 1) AS q),
 """
 
 
 @query("metro_schedule", show("SELECT * FROM sc", "metro, n, odd, schedule", "", METRO + SCHED))
 def _(spark, d):
-    return metro.schedule(prices(spark, d).select("metro", "m"), 24012, 60, 24000)
+    return metro.schedule(prices(spark, d).select("metro", "m"), 60, 24000)
 
 
 @query(
@@ -85,7 +88,7 @@ def _(spark, d):
 def _(spark, d):
     rows = prices(spark, d).select("metro", "m")
     approx = table(spark, d, "nation").filter("n_regionkey = 3").select(F.col("n_name").alias("metro"))
-    return metro.area_dimension(rows, metro.schedule(rows, 24012, 60, 24000), approx)
+    return metro.area_dimension(rows, metro.schedule(rows, 60, 24000), approx)
 
 
 WAGE = """

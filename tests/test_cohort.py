@@ -48,11 +48,31 @@ def test_units_at_one_end_are_dropped_and_reported(spark):
     assert [(r.unit, r.missing_end) for r in cohort.dropped_units(df, [(2000, 2010)]).collect()] == [("Z", "t0")]
 
 
-def test_specs_adapt_to_merged_bins():
-    assert len(cohort.cohort_specs()) == 16
+def test_specs_follow_the_ages():
+    whole = {label: (sources, target) for label, sources, target in cohort.cohort_specs()}
+    assert len(whole) == 16 and whole["0-4"] == (["0-4"], "10-14") and whole["70-74"] == (["70-74"], "80-84")
+    assert whole["75-84"] == (["75-79", "80-84"], "85+")
+    # the later table knows one bin from 75 to 84
     merged = set(cohort.STANDARD_BINS) - {"75-79", "80-84"} | {"75-84"}
-    labels = [s[0] for s in cohort.cohort_specs(None, merged)]
-    assert "65-74" in labels and labels[-1] == "75-84"
+    later = {label: (sources, target) for label, sources, target in cohort.cohort_specs(None, merged)}
+    assert later["65-74"] == (["65-69", "70-74"], "75-84") and later["75-84"] == (["75-79", "80-84"], "85+") and len(later) == 15
+    # the earlier one does
+    earlier = {label: sources for label, sources, _ in cohort.cohort_specs(merged, None)}
+    assert earlier["75-84"] == ["75-84"] and len(earlier) == 16
+    assert [x[0] for x in cohort.cohort_specs(merged, merged)][-2:] == ["65-74", "75-84"]
+
+
+def test_a_cohort_with_a_part_missing_is_not_followed():
+    labels = [x[0] for x in cohort.cohort_specs(set(cohort.STANDARD_BINS) - {"80-84"}, None)]
+    assert not any(x.startswith("75") for x in labels)
+    merged = set(cohort.STANDARD_BINS) - {"75-79", "80-84"} | {"75-84"}
+    assert not any(x.startswith(("65", "70")) for x, _, _ in cohort.cohort_specs(set(cohort.STANDARD_BINS) - {"65-69"}, merged))
+    assert cohort.cohort_specs({"unknown", "85+"}, None) == [] and cohort.cohort_specs(["0-4"], ["5-9"], years=5) == [("0-4", ["0-4"], "5-9")]
+
+
+def test_periods_are_the_years_there_are(spark):
+    df = frame(spark, [(y, "A", "M", "0-4", 1) for y in (2010, 1990, 2000, 2000)])
+    assert cohort.consecutive_periods(df) == [(1990, 2000), (2000, 2010)] and cohort.consecutive_periods(df.limit(0)) == []
 
 
 def test_crosswalk_renames_then_merges(spark):
