@@ -142,6 +142,32 @@ def complete_partition(tree: DataFrame, weights: DataFrame, min_share: float = 0
     return state.filter(~F.col("open")).join(closed_above, "item", "left_anti").select("item", "parent", "w")
 
 
+def node_universes(tree: DataFrame, nodes: DataFrame, min_share: float = 0.90) -> DataFrame:
+    """coarse, fine and hybrid choice of usable nodes of a tree of any depth.
+
+    tree(item, parent); nodes(item, usable, w).  Coarse takes the topmost usable
+    node of every path, fine the usable nodes with none below them.  Hybrid opens a
+    coarse node, and on downwards, where its usable children carry at least
+    ``min_share`` of its weight.  What each node needs to know of those above and
+    below it are sums over one closure of the tree.
+    """
+    state = tree.join(nodes, "item", "left").withColumn("usable", F.coalesce("usable", F.lit(False)))
+    carried = state.filter("usable").groupBy(F.col("parent").alias("item")).agg(F.sum("w").alias("_cw"))
+    opens = F.col("usable") & F.coalesce((F.col("w") > 0) & (F.col("_cw") >= F.col("w") * min_share), F.lit(False))
+    state = written(state.join(carried, "item", "left").withColumn("open", opens).select("item", "parent", "w", "usable", "open"))
+    ends = state.select(F.col("item").alias("ancestor"), F.col("usable").alias("_au"), F.col("open").alias("_ao"))
+    pairs = ancestors(tree).join(ends, "ancestor").join(state.select("item", "usable"), "item")
+    both = F.array(
+        F.struct(F.col("item").alias("node"), F.when(F.col("_au"), F.col("depth")).alias("top"), F.when(F.col("_ao"), 1).alias("opened"), F.lit(None).cast("int").alias("below")),
+        F.struct(F.col("ancestor").alias("node"), F.lit(None).cast("int").alias("top"), F.lit(None).cast("int").alias("opened"), F.when(F.col("usable"), 1).alias("below")),
+    )
+    known = pairs.select(F.inline(both)).groupBy(F.col("node").alias("item")).agg(F.max("top").alias("top"), F.count("opened").alias("opened"), F.count("below").alias("below"))
+    rows = state.filter("usable").join(known, "item", "left")
+    # all nodes from the topmost usable one down to the parent must be open
+    reached = F.col("top").isNull() | (F.col("opened") == F.col("top"))
+    return rows.select("item", "parent", "w", F.col("top").isNull().alias("coarse"), (F.coalesce("below", F.lit(0)) == 0).alias("fine"), (~F.col("open") & reached).alias("hybrid"))
+
+
 def nearest_ancestor(tree: DataFrame, targets: DataFrame, name: str = "grp") -> DataFrame:
     """Closest listed ancestor (or the item itself) of every item: targets(item)."""
     selves = tree.select("item", F.col("item").alias("ancestor"), F.lit(0).alias("depth"))

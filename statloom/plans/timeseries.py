@@ -817,29 +817,46 @@ def _(spark, d):
     return timeseries.null_persistence(spark, n["items"] * 4, n["months"])
 
 
-@query(
-    "node_universe_hybrid",
-    show(
-        "SELECT i.item, n.n FROM (SELECT item FROM nodes_leaf) AS i JOIN (SELECT item, count(*) AS n FROM lv3 GROUP BY 1 HAVING count(*) >= 0.8 * (SELECT max(m) - min(m) + 1 FROM lv3)) AS n USING (item)",
-        "item, n",
-        "",
-        """
-lv3 AS (SELECT p_name AS item, year(l_shipdate) * 12 + month(l_shipdate) AS m FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2),
-nodes_leaf AS (SELECT DISTINCT p_name AS item FROM part),""",
-    ),
-)
+# a tree of product words, types and brands; a node is usable with values in 80 % of the months, up to the last two
+UNIVERSE = """
+ul AS (SELECT split_part(p_name, ' ', 2) AS a, p_type AS b, p_brand AS c, year(l_shipdate) * 12 + month(l_shipdate) AS m, round(l_extendedprice * 100)::BIGINT AS v FROM lineitem JOIN part ON p_partkey = l_partkey),
+ut AS (SELECT 'ALL' AS item, NULL AS parent, m, v FROM ul UNION ALL SELECT a, 'ALL', m, v FROM ul UNION ALL SELECT a || '/' || b, a, m, v FROM ul UNION ALL SELECT a || '/' || b || '/' || c, a || '/' || b, m, v FROM ul),
+un AS (SELECT item, any_value(parent) AS parent, sum(v) / 100.0 AS w, item <> 'ALL' AND count(DISTINCT m) >= 0.8 * (SELECT max(m) - min(m) + 1 FROM ul) AND max(m) > (SELECT max(m) - 2 FROM ul) AS usable FROM ut GROUP BY item),
+uo AS (SELECT n.*, n.usable AND coalesce(n.w > 0 AND k.cw >= 0.9 * n.w, false) AS opens FROM un n LEFT JOIN (SELECT parent AS item, sum(w) AS cw FROM un WHERE usable GROUP BY 1) AS k USING (item)),
+ua AS (SELECT item, parent AS anc, 1 AS depth FROM un WHERE parent IS NOT NULL UNION ALL SELECT x.item, y.parent, 2 FROM un x JOIN un y ON y.item = x.parent WHERE y.parent IS NOT NULL
+  UNION ALL SELECT x.item, z.parent, 3 FROM un x JOIN un y ON y.item = x.parent JOIN un z ON z.item = y.parent WHERE z.parent IS NOT NULL),
+uu AS (SELECT o.item, o.parent, o.w, t.top IS NULL AS coarse, NOT EXISTS (SELECT 1 FROM ua JOIN un d ON d.item = ua.item WHERE ua.anc = o.item AND d.usable) AS fine, NOT o.opens AND (t.top IS NULL OR t.opened = t.top) AS hybrid
+  FROM uo o LEFT JOIN (SELECT ua.item, max(depth) FILTER (WHERE p.usable) AS top, count(*) FILTER (WHERE p.opens) AS opened FROM ua JOIN uo p ON p.item = ua.anc GROUP BY 1) AS t USING (item) WHERE o.usable),
+"""
+
+
+def node_universes(spark, d):
+    parts = table(spark, d, "part").select("p_partkey", F.split("p_name", " ")[1].alias("a"), F.col("p_type").alias("b"), F.col("p_brand").alias("c"))
+    lines = table(spark, d, "lineitem").select("l_partkey", (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("int").alias("m"), cents("l_extendedprice").alias("v"))
+    cells = written(lines.join(parts, lines.l_partkey == parts.p_partkey).groupBy("a", "b", "c", "m").agg(F.sum("v").alias("v")))
+    path = [F.lit("ALL"), F.col("a"), F.concat_ws("/", "a", "b"), F.concat_ws("/", "a", "b", "c")]
+    each = F.array(*[F.struct(item.alias("item"), (path[i - 1] if i else F.lit(None).cast("string")).alias("parent")) for i, item in enumerate(path)])
+    months = cells.select("m", "v", F.inline(each)).groupBy("item", "parent", "m").agg(F.sum("v").alias("v"))
+    found = months.groupBy("item", "parent").agg(F.count(F.lit(1)).alias("n"), F.max("m").alias("last"), (F.sum("v") / 100.0).alias("w"))
+    span = cells.agg((F.max("m") - F.min("m") + 1).alias("_span"), F.max("m").alias("_end"))
+    usable = (F.col("item") != "ALL") & (F.col("n") >= F.col("_span") * 0.8) & (F.col("last") > F.col("_end") - 2)
+    nodes = written(with_one_row(found, span).select("item", "parent", "w", usable.alias("usable")))
+    return panel.node_universes(nodes.select("item", "parent"), nodes.select("item", "usable", "w"))
+
+
+@query("node_universe_coarse", show("SELECT item, parent FROM uu WHERE coarse", "item, parent", "", UNIVERSE))
+def _(spark, d):
+    return node_universes(spark, d).filter("coarse").select("item", "parent")
+
+
+@query("node_universe_fine", show("SELECT item, parent FROM uu WHERE fine", "item, parent", "", UNIVERSE))
+def _(spark, d):
+    return node_universes(spark, d).filter("fine").select("item", "parent")
+
+
+@query("node_universe_hybrid", show("SELECT item, parent FROM uu WHERE hybrid", "item, parent", "", UNIVERSE))
 def _(spark, d):
-    parts = table(spark, d, "part").select("p_partkey", "p_name", F.split("p_name", " ")[1].alias("word"))
-    lines = table(spark, d, "lineitem").select("l_partkey", (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("int").alias("m"))
-    cells = shared(lines.join(parts, lines.l_partkey == parts.p_partkey).groupBy("p_name", "word", "m").agg(F.count(F.lit(1)).cast("double").alias("w")))
-    leaf = cells.groupBy(F.col("p_name").alias("item"), F.col("word").alias("parent")).agg(F.sum("w").alias("w"))
-    mid = cells.groupBy(F.col("word").alias("item")).agg(F.sum("w").alias("w")).withColumn("parent", F.lit("ALL"))
-    top = cells.agg(F.sum("w").alias("w")).withColumn("item", F.lit("ALL")).withColumn("parent", F.lit(None).cast("string"))
-    nodes = shared(leaf.unionByName(mid).unionByName(top))
-    tiles = panel.complete_partition(nodes.select("item", "parent"), nodes.select("item", "w"), 0.90).select("item")
-    span = cells.agg((F.max("m") - F.min("m") + 1).alias("_span"))
-    counted = cells.groupBy(F.col("p_name").alias("item")).agg(F.count(F.lit(1)).alias("n"))
-    return with_one_row(counted, span).filter(F.col("n") >= F.col("_span") * 0.8).join(tiles, "item", "left_semi").select("item", "n")
+    return node_universes(spark, d).filter("hybrid").select("item", "parent")
 
 
 # y on a constant, x and three own lags: x is cleared of the lags one after the other, the rest is a simple slope

@@ -239,3 +239,15 @@ def test_window_slopes_equal_one_regression_a_window(spark):
         want, cov, _ = regress.solve_hac(y[a:b], np.column_stack([np.ones(b - a), X[a:b]]), int(lags[w]))
         assert beta[w] == pytest.approx(want[1], rel=1e-9) and se[w] == pytest.approx(np.sqrt(cov[1, 1]), rel=1e-9)
     assert len(regress.window_slopes(y, X, first[:0], last[:0], lags[:0])[0]) == 0
+
+
+def test_node_universes_of_a_deep_tree(spark):
+    tree = [("r", None), ("a", "r"), ("b", "r"), ("a1", "a"), ("a2", "a"), ("a11", "a1"), ("a12", "a1"), ("b1", "b"), ("b11", "b1"), ("c", "r"), ("c1", "c"), ("c2", "c"), ("c11", "c1")]
+    off = {"r", "b", "c1"}  # c11 lies below a node that is of no use
+    w = {"r": 100, "a": 50, "a1": 30, "a2": 18, "a11": 20, "a12": 9, "b": 30, "b1": 30, "b11": 28, "c": 20, "c1": 10, "c2": 10, "c11": 10}
+    nodes = spark.createDataFrame([(i, i not in off, float(w[i])) for i, _ in tree], "item string, usable boolean, w double")
+    got = {r.item: r for r in panel.node_universes(spark.createDataFrame(tree, "item string, parent string"), nodes, 0.9).collect()}
+    assert {i for i, r in got.items() if r.coarse} == {"a", "b1", "c"}
+    assert {i for i, r in got.items() if r.fine} == {"a11", "a12", "a2", "b11", "c2", "c11"}
+    # a opens (48 of 50), a1 too (29 of 30), b1 too (28 of 30), c does not (10 of 20)
+    assert {i for i, r in got.items() if r.hybrid} == {"a11", "a12", "a2", "b11", "c"}
