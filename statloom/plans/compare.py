@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from statloom.functions.text import place_key
-from statloom.operators import compare, ledger, peers
+from statloom.operators import compare, ledger, peers, spans
 from statloom.operators.ordered import exact_quantiles, shared
 from statloom.plans.ledger import METRICS, STAFF, _excl, directory, items, metrics, staff
 from statloom.plans.registry import query, show
@@ -418,3 +418,27 @@ def _(spark, d):
     now = docs.filter("source <> 'src7'").groupBy("source").agg(fp).withColumn("seen", F.lit("2024-02-01")).withColumn("failed", F.col("source") == "src3")
     old = docs.filter("source <> 'src9' AND NOT (source = 'src5' AND lang = 'fr')").groupBy("source").agg(fp).withColumn("changed", F.lit("2024-01-01"))
     return compare.changed_sources(now, old)
+
+
+# months of heavy buying of a brand and line number as bands, the days from an order's first to its last shipment as spans
+BANDS = """
+days AS (SELECT lineitem.*, date_diff('day', DATE '1970-01-01', l_shipdate::DATE) AS day FROM lineitem),
+bands AS (SELECT p_brand || '-' || l_linenumber AS band, min(day) AS blo, CASE WHEN l_linenumber < 7 THEN max(day) END AS bhi FROM days JOIN part ON p_partkey = l_partkey WHERE l_discount = 0.1 AND l_quantity >= 45 GROUP BY 1, l_linenumber),
+trips AS (SELECT l_orderkey, min(day) AS lo, max(day) AS hi FROM days GROUP BY 1),
+"""
+
+
+@query(
+    "range_containment_join",
+    show("SELECT band, count(*) AS n, min(hi - lo) AS shortest, max(hi - lo) AS longest FROM trips JOIN bands ON blo <= lo AND (bhi IS NULL OR hi <= bhi) GROUP BY 1", "band, n, shortest, longest", "", BANDS),
+)
+def _(spark, d):
+    lines = table(spark, d, "lineitem")
+    day = F.unix_date(F.col("l_shipdate").cast("date"))
+    parts = table(spark, d, "part").select("p_partkey", "p_brand")
+    heavy = lines.filter("l_discount = 0.1 AND l_quantity >= 45").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    bands = heavy.groupBy(F.concat_ws("-", "p_brand", F.col("l_linenumber").cast("string")).alias("band"), "l_linenumber").agg(F.min(day).alias("band_lo"), F.max(day).alias("_last"))
+    bands = bands.select("band", "band_lo", F.when(F.col("l_linenumber") < 7, F.col("_last")).alias("band_hi"))
+    trips = lines.groupBy("l_orderkey").agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
+    width = F.col("hi") - F.col("lo")
+    return spans.containing_bands(trips, bands).groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(width).alias("shortest"), F.max(width).alias("longest"))
