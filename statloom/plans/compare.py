@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from statloom.functions.text import place_key
 from statloom.operators import compare, ledger, peers, spans
-from statloom.operators.ordered import exact_quantiles, shared
+from statloom.operators.ordered import exact_quantiles, shared, written
 from statloom.plans.ledger import METRICS, STAFF, _excl, directory, items, metrics, staff
 from statloom.plans.registry import query, show
 from statloom.plans.tables import cents, table
+from statloom.session import ensure_checkpoint_dir
+from statloom.sources import checked
 
 PEERS = """
 u AS (SELECT c_custkey AS pid, c_acctbal + 1100 AS pop, CASE WHEN c_nationkey % 5 <> 0 THEN 90.0 + c_nationkey END AS rpp,
@@ -442,3 +446,91 @@ def _(spark, d):
     trips = lines.groupBy("l_orderkey").agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
     width = F.col("hi") - F.col("lo")
     return spans.containing_bands(trips, bands).groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(width).alias("shortest"), F.max(width).alias("longest"))
+
+
+_STAFF_CHECKS = """
+SELECT 'rows' AS check_name, count(*)::DOUBLE AS measured, (SELECT count(*) FROM supplier) * 5.0 AS low, NULL::DOUBLE AS high FROM st
+UNION ALL SELECT 'codes', count(DISTINCT code), 6, 6 FROM st
+UNION ALL SELECT 'no pay below zero', count(*) FILTER (WHERE ft_pay < 0), 0, 0 FROM st
+UNION ALL SELECT 'total staff', sum(ft), (SELECT sum(l_quantity) FROM lineitem), (SELECT sum(l_quantity) FROM lineitem) FROM st
+UNION ALL SELECT 'staffed rows only', count(*) FILTER (WHERE ft < 10), 0, 0 FROM st
+"""
+
+
+@query(
+    "checked_write_log",
+    show("SELECT *, measured IS NOT NULL AND coalesce(measured >= low, true) AND coalesce(measured <= high, true) AS ok FROM (" + _STAFF_CHECKS + ") AS c", "check_name, ok", "measured, low, high", STAFF.replace("staff AS", "st AS")),
+)
+def _(spark, d):
+    """The staff table through a checked write: what was measured on the way; a check that fails leaves no table."""
+    lines = table(spark, d, "lineitem")
+    total = float(lines.agg(F.sum("l_quantity")).first()[0] or 0)
+    units = table(spark, d, "supplier").count()
+    checks = [
+        checked.Check("rows", F.count(F.lit(1)), low=units * 5),
+        checked.exactly("codes", F.size(F.collect_set("code")), 6),
+        checked.none_where("no pay below zero", F.col("ft_pay") < 0),
+        checked.exactly("total staff", F.sum("ft"), total),
+        checked.none_where("staffed rows only", F.col("ft") < 10),
+    ]
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/checked-{uuid.uuid4().hex}"
+    return checked.log_rows(spark, checked.checked_write(staff(spark, d), folder, checks, required=["unit", "ft"], refuse=False))
+
+
+@query(
+    "restricted_columns_strip",
+    show(
+        """SELECT mktsegment, count(*) AS n, count(DISTINCT nation) AS nations FROM (SELECT c_mktsegment AS mktsegment, c_nationkey AS nation FROM customer) AS c GROUP BY 1""",
+        "mktsegment, n, nations",
+    ),
+)
+def _(spark, d):
+    """Customers written without their restricted columns, read back: names and balances are gone, or nothing is written."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stripped-{uuid.uuid4().hex}"
+    people = table(spark, d, "customer")
+    private = [c for c in people.columns if c in ("c_name", "c_address", "c_phone", "c_acctbal", "c_comment")]
+    checked.checked_write(people, folder, [checked.none_where("every customer has a key", F.col("c_custkey").isNull())], required=["c_custkey", "c_nationkey"], restricted=private)
+    rows = spark.read.parquet(folder)
+    if set(private) & set(rows.columns):
+        raise ValueError("a restricted column was written")
+    return rows.groupBy(F.col("c_mktsegment").alias("mktsegment")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("c_nationkey").alias("nations"))
+
+
+_REQUIRED = {"orders": ["o_orderkey", "o_custkey", "o_orderdate", "o_paid"], "customer": ["c_custkey", "c_nationkey", "c_birthday"], "events": ["event_id", "ts"]}
+
+
+@query(
+    "required_columns_check",
+    show(
+        "SELECT w.t AS table_name, w.c AS column_name, k.column_name IS NOT NULL AS present FROM (VALUES "
+        + ", ".join(f"('{t}', '{c}')" for t, cs in _REQUIRED.items() for c in cs)
+        + ") AS w(t, c) LEFT JOIN information_schema.columns k ON k.table_name = w.t AND k.column_name = w.c",
+        "table_name, column_name, present",
+    ),
+)
+def _(spark, d):
+    return checked.column_report({t: table(spark, d, t) for t in _REQUIRED}, _REQUIRED, spark)
+
+
+@query(
+    "table_digest_changes",
+    show(
+        """SELECT coalesce(a.part, b.part) AS part, a.n AS n_rows, b.n AS stored_rows, CASE WHEN b.part IS NULL THEN 'new' WHEN a.part IS NULL THEN 'gone' WHEN a.x = b.x AND a.y = b.y THEN 'same' ELSE 'changed' END AS state
+  FROM (SELECT part, count(*) AS n, sum(x) AS x, sum(y) AS y FROM now GROUP BY 1) AS a FULL JOIN (SELECT part, count(*) AS n, sum(x) AS x, sum(y) AS y FROM past GROUP BY 1) AS b ON a.part = b.part""",
+        "part, n_rows, stored_rows, state",
+        "",
+        """
+coded AS (SELECT year(o_orderdate) * 100 + month(o_orderdate) AS part, o_orderkey, md5('=' || o_orderkey || chr(31) || '=' || o_custkey || chr(31) || '=' || o_orderstatus) AS h, md5('=' || o_orderkey || chr(31) || '=' || o_custkey || chr(31) || '=X') AS hx FROM orders),
+now AS (SELECT part, ('0x' || substr(h, 1, 15))::BIGINT AS x, ('0x' || substr(h, 16, 15))::BIGINT AS y FROM coded WHERE part <> 199703),
+past AS (SELECT part, ('0x' || substr(g, 1, 15))::BIGINT AS x, ('0x' || substr(g, 16, 15))::BIGINT AS y FROM (SELECT part, CASE WHEN part % 5 = 1 AND o_orderkey % 50 = 0 THEN hx ELSE h END AS g FROM coded WHERE part < 200105 AND NOT (part % 7 = 2 AND o_orderkey % 90 = 1)) AS p),
+""",
+    ),
+)
+def _(spark, d):
+    """The months whose orders differ between a stored state and the present one, whatever the order of rows."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", (F.year("o_orderdate") * 100 + F.month("o_orderdate")).alias("part"))
+    altered = F.when((F.col("part") % 5 == 1) & (F.col("o_orderkey") % 50 == 0), "X").otherwise(F.col("o_orderstatus"))
+    past = orders.filter("part < 200105 AND NOT (part % 7 = 2 AND o_orderkey % 90 = 1)").withColumn("o_orderstatus", altered).orderBy(F.desc("o_custkey"))
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus"]
+    stored = written(checked.partition_digests(past, F.col("part"), columns))
+    return checked.changed_partitions(checked.partition_digests(orders.filter("part <> 199703"), F.col("part"), columns), stored)
