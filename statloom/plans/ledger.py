@@ -154,10 +154,7 @@ fl AS (SELECT *, education_usd * 100.0 / g > 5 AS runs_schools, county_like_func
 )
 
 
-@query(
-    "ledger_comparability_notes",
-    show(
-        """SELECT unit, year, consolidated, runs_schools, county_like, fire_external, police_contracted, array_to_string(list_concat(list_filter([
+NOTE = """array_to_string(list_concat(list_filter([
   CASE WHEN consolidated THEN 'consolidated or independent city: carries county functions' END,
   CASE WHEN runs_schools THEN 'school system inside city books' END,
   CASE WHEN county_like AND NOT consolidated THEN 'county functions above 3% of general expenditure' END,
@@ -166,13 +163,23 @@ fl AS (SELECT *, education_usd * 100.0 / g > 5 AS runs_schools, county_like_func
   CASE WHEN NOT record_complete THEN 'incomplete record: shares null' END,
   CASE WHEN fire_external THEN 'no fire spending: provided by another government' END,
   CASE WHEN police_contracted THEN 'police likely contracted' END,
-  CASE WHEN fire_intergov_usd > fire_usd THEN 'fire provided by contract' END], lambda x: x IS NOT NULL), coalesce(found, [])), '; ') AS note FROM fl""",
+  CASE WHEN fire_intergov_usd > fire_usd THEN 'fire provided by contract' END], lambda x: x IS NOT NULL), coalesce(found, [])), '; ')"""
+
+
+@query(
+    "ledger_comparability_notes",
+    show(
+        f"SELECT unit, year, consolidated, runs_schools, county_like, fire_external, police_contracted, {NOTE} AS note FROM fl",
         "unit, year, consolidated, runs_schools, county_like, fire_external, police_contracted, note",
         "",
         FLAGS,
     ),
 )
 def _(spark, d):
+    return flags(spark, d)
+
+
+def flags(spark, d):
     issues = table(spark, d, "lineitem").filter("l_discount = 0.1 AND l_quantity = 50").select(
         F.col("l_suppkey").alias("unit"),
         F.year("l_shipdate").alias("year"),
@@ -357,28 +364,36 @@ def _(spark, d):
     return to_cents(ledger.undo_real_per_capita(rows, "real_per_head", "value", "pop").select("unit", "year", "nominal_total"), "nominal_total")
 
 
-@query(
-    "county_spending_allocation",
-    show(
-        """SELECT o.unit AS place, coalesce(a.corr, 0) AS county_corr_alloc, coalesce(a.jud, 0) AS county_jud_alloc, CASE WHEN o.contracted THEN coalesce(a.pol, 0) END AS county_pol_alloc,
+COUNTY = """
+trips AS (SELECT l_suppkey AS place, c_nationkey AS county, l_linenumber AS ln, round(l_extendedprice * 100)::BIGINT AS cents
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey),
+parts AS (SELECT place, county, count(*) AS part_pop FROM trips GROUP BY 1, 2),
+counties AS (SELECT county, count(*) AS pop, sum(CASE WHEN ln = 1 THEN cents ELSE 0 END) / 100.0 AS corr, sum(CASE WHEN ln = 2 THEN cents ELSE 0 END) / 100.0 AS jud,
+  sum(CASE WHEN ln = 3 THEN cents ELSE 0 END) / 100.0 AS pol FROM trips JOIN nation ON n_nationkey = county WHERE n_regionkey <> 2 GROUP BY 1),
+"""
+ALLOCATION = """SELECT o.unit AS place, coalesce(a.corr, 0) AS county_corr_alloc, coalesce(a.jud, 0) AS county_jud_alloc, CASE WHEN o.contracted THEN coalesce(a.pol, 0) END AS county_pol_alloc,
   coalesce(a.n, 0) AS n_counties, a.n IS NOT NULL AS has_county_government,
   o.own + coalesce(a.corr, 0) + coalesce(a.jud, 0) + CASE WHEN o.contracted THEN coalesce(a.pol, 0) ELSE 0 END AS total
   FROM (SELECT unit, sum(police_usd + fire_usd) AS own, any_value(s_acctbal) < 1000 AS contracted FROM metrics JOIN supplier ON s_suppkey = unit GROUP BY 1) AS o
   LEFT JOIN (SELECT place, sum(corr * least(part_pop / pop, 1)) AS corr, sum(jud * least(part_pop / pop, 1)) AS jud, sum(pol * least(part_pop / pop, 1)) AS pol, count(*) AS n
-    FROM parts JOIN counties USING (county) GROUP BY 1) AS a ON a.place = o.unit""",
+    FROM parts JOIN counties USING (county) GROUP BY 1) AS a ON a.place = o.unit"""
+
+
+@query(
+    "county_spending_allocation",
+    show(
+        ALLOCATION,
         "place, n_counties, has_county_government",
         "",
-        METRICS
-        + """
-trips AS (SELECT l_suppkey AS place, c_nationkey AS county, l_linenumber AS ln, round(l_extendedprice * 100)::BIGINT AS cents
-  FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey),
-parts AS (SELECT place, county, count(*) AS part_pop FROM trips GROUP BY 1, 2),
-counties AS (SELECT county, count(*) AS pop, sum(CASE WHEN ln = 1 THEN cents ELSE 0 END) / 100.0 AS corr, sum(CASE WHEN ln = 2 THEN cents ELSE 0 END) / 100.0 AS jud,
-  sum(CASE WHEN ln = 3 THEN cents ELSE 0 END) / 100.0 AS pol FROM trips JOIN nation ON n_nationkey = county WHERE n_regionkey <> 2 GROUP BY 1),""",
+        METRICS + COUNTY,
         "county_corr_alloc, county_jud_alloc, county_pol_alloc, total",
     ),
 )
 def _(spark, d):
+    return to_cents(allocation(spark, d), "county_corr_alloc", "county_jud_alloc", "county_pol_alloc", "total")
+
+
+def allocation(spark, d):
     lines = table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("place"), "l_linenumber", cents("l_extendedprice").alias("cents"))
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     people = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("county"))
@@ -395,8 +410,7 @@ def _(spark, d):
     counties = cells.groupBy("county").agg(F.sum("n").alias("pop"), spent(1).alias("corr"), spent(2).alias("jud"), spent(3).alias("pol")).join(governed, "county", "left_semi")
     own = metrics(spark, d).groupBy(F.col("unit").alias("place")).agg(F.sum(F.col("police_usd") + F.col("fire_usd")).alias("own_usd"))
     places = table(spark, d, "supplier").select(F.col("s_suppkey").alias("place"), (F.col("s_acctbal") < 1000).alias("contracted"))
-    out = ledger.allocate_county_spending(parts, counties, own.join(places, "place"))
-    return to_cents(out, "county_corr_alloc", "county_jud_alloc", "county_pol_alloc", "total")
+    return ledger.allocate_county_spending(parts, counties, own.join(places, "place"))
 
 
 CRIME = (

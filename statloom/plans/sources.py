@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statloom.operators import cohort, ledger
+from statloom.operators import cohort, ledger, peers
 from statloom.operators.ordered import shared
 from statloom.plans.cohort import POP, population
-from statloom.plans.ledger import CRIME, ITEMS, METRICS, STAFF, crime, directory, items, metrics, staff
+from statloom.plans.compare import _peer_sql
+from statloom.plans.ledger import ALLOCATION, COUNTY, CRIME, EMPLOYMENT, FLAGS, ITEMS, NOTE, STAFF, allocation, crime, directory, flags, items, metrics, staff
 from statloom.plans.registry import query, show
 from statloom.plans.tables import table
 from statloom.sources import fixed_width, sinks, tables
@@ -396,47 +397,103 @@ def _(spark, d):
     return sinks.columnar_documents(rows, "item", "m", ["n"])
 
 
+# peers of a unit by its last year's people, its state's number as price level, and its flags
+CITY_PEERS = """
+u AS (SELECT * FROM (SELECT unit AS pid, pop, 90.0 + s_nationkey AS rpp, consolidated AS consolidated_or_independent, runs_schools, fire_external, police_contracted, county_like AS county_like_functions, record_complete AS complete
+  FROM fl JOIN directory USING (unit, year) JOIN supplier ON s_suppkey = unit QUALIFY row_number() OVER (PARTITION BY unit ORDER BY year DESC) = 1) WHERE pop > 0),
+"""
+CITY = FLAGS + CRIME.replace(ITEMS, "") + EMPLOYMENT.replace(ITEMS, "") + COUNTY + CITY_PEERS + f"""
+peer AS ({_peer_sql()}),
+alloc AS ({ALLOCATION}),
+parity AS (SELECT state, year, 1000 * sum(pop) // count(*) AS level FROM directory GROUP BY 1, 2),
+"""
+
+
+def _city_json(cte, unit, order, fields, how="list"):
+    """A part of the bundle as DuckDB builds it: an ordered list of structs, or the last one."""
+    struct = "{" + ", ".join(f"'{f}': {f}" for f in fields) + "}"
+    inner = f"list({struct} ORDER BY {order})" if how == "list" else f"arg_max({struct}, {order})"
+    return f"(SELECT to_json({inner}) FROM ({cte}) AS t WHERE t.{unit} = d.unit)"
+
+
+def city_parts(spark, d):
+    """Nine tables of a city: (table, order, columns, how)."""
+    places = directory(spark, d).select("unit", "year", "name", "state", F.col("pop").cast("bigint").alias("pop"))
+    rows = metrics(spark, d)
+    noted = flags(spark, d)
+    units = noted.join(places, ["unit", "year"]).join(rows.select("unit", "year", "record_complete"), ["unit", "year"])
+    newest = units.groupBy("unit").agg(F.max_by(F.struct(*[c for c in units.columns if c != "unit"]), "year").alias("_l")).select("unit", "_l.*")
+    level = table(spark, d, "supplier").select(F.col("s_suppkey").alias("unit"), (F.lit(90.0) + F.col("s_nationkey")).alias("rpp"))
+    alike = newest.join(level, "unit").filter("pop > 0").select(
+        F.col("unit").alias("pid"), F.col("pop").cast("double").alias("pop"), "rpp", F.col("consolidated").alias("consolidated_or_independent"), "runs_schools",
+        "fire_external", "police_contracted", F.col("county_like").alias("county_like_functions"), F.col("record_complete").alias("complete"),
+    )
+    ranked = peers.nearest_peers(alike).select(F.col("pid").alias("unit"), "rank", F.col("peer_pid").alias("peer"))
+    crew = ledger.employment_metrics(staff(spark, d), places.select("unit", "year", "pop"))
+    heads = [F.col(c).cast("bigint").alias(c) for c in ("police_sworn_ft", "police_other_ft", "fire_firefighters_ft")]
+    justice = allocation(spark, d).select(F.col("place").alias("unit"), F.col("n_counties").cast("bigint").alias("n_counties"), "has_county_government")
+    parity = places.groupBy("state", "year").agg(F.floor(F.sum("pop") * 1000 / F.count(F.lit(1))).alias("level"))
+    money = ["police_usd", "fire_usd", "general_expenditure_usd", "total_expenditure_usd"]
+    return {
+        "people": (places, "year", ["pop"], "series"),
+        "headline": (rows.select("unit", "year", *money, "police_flags", "fire_flags", "record_complete"), "year", [*money, "police_flags", "fire_flags", "record_complete"], "last"),
+        "flags": (noted, "year", ["consolidated", "runs_schools", "county_like", "fire_external", "police_contracted", "note"], "last"),
+        "spending": (rows, "year", ["police_usd", "fire_usd"], "series"),
+        "crime": (crime(spark, d), "year", ["violent", "property", "coverage"], "series"),
+        "staffing": (crew.select("unit", "year", *heads, "police_flag_class", "fire_flag_class"), "year", ["police_sworn_ft", "police_other_ft", "fire_firefighters_ft", "police_flag_class", "fire_flag_class"], "series"),
+        "peers": (ranked, "rank", ["peer"], "series"),
+        "justice": (justice, "n_counties", ["has_county_government"], "last"),
+        "prices": (places.join(parity, ["state", "year"]), "year", ["level"], "last"),
+    }
+
+
+_CITY_SQL = {
+    "people": ("SELECT unit, year, pop::BIGINT AS pop FROM directory", "year", ["year", "pop"], "list"),
+    "headline": ("SELECT * FROM metrics", "year", ["year", "police_usd", "fire_usd", "general_expenditure_usd", "total_expenditure_usd", "police_flags", "fire_flags", "record_complete"], "last"),
+    "flags": (f"SELECT *, {NOTE} AS note FROM fl", "year", ["year", "consolidated", "runs_schools", "county_like", "fire_external", "police_contracted", "note"], "last"),
+    "spending": ("SELECT * FROM metrics", "year", ["year", "police_usd", "fire_usd"], "list"),
+    "crime": ("SELECT * FROM cov", "year", ["year", "violent", "property", "coverage"], "list"),
+    "staffing": ("SELECT unit, year, police_sworn_ft::BIGINT AS police_sworn_ft, police_other_ft::BIGINT AS police_other_ft, fire_firefighters_ft::BIGINT AS fire_firefighters_ft, police_flag_class, fire_flag_class FROM emp", "year", ["year", "police_sworn_ft", "police_other_ft", "fire_firefighters_ft", "police_flag_class", "fire_flag_class"], "list"),
+    "peers": ("SELECT pid AS unit, rank, peer_pid AS peer FROM peer", "rank", ["rank", "peer"], "list"),
+    "justice": ("SELECT place AS unit, n_counties, has_county_government FROM alloc", "n_counties", ["n_counties", "has_county_government"], "last"),
+    "prices": ("SELECT unit, year, level FROM directory JOIN parity USING (state, year)", "year", ["year", "level"], "last"),
+}
+
+
 @query(
     "city_bundle_export",
     show(
-        """SELECT d.unit, max(d.year) AS last_year, to_json(list({'year': d.year, 'pop': d.pop} ORDER BY d.year)) AS people, (SELECT to_json(list({'year': i.year, 'n': i.n} ORDER BY i.year)) FROM (SELECT unit, year, count(*) AS n FROM items GROUP BY 1, 2) AS i WHERE i.unit = d.unit) AS books,
-  (SELECT to_json(list({'year': m.year, 'police_usd': m.police_usd, 'fire_usd': m.fire_usd} ORDER BY m.year)) FROM metrics m WHERE m.unit = d.unit) AS spending,
-  (SELECT to_json(list({'year': c.year, 'violent': c.violent, 'property': c.property, 'coverage': c.coverage} ORDER BY c.year)) FROM cov c WHERE c.unit = d.unit) AS crime,
-  (SELECT to_json(list({'year': s.year, 'police_ft': s.police, 'fire_ft': s.fire} ORDER BY s.year)) FROM (SELECT unit, year, coalesce(sum(ft) FILTER (WHERE code IN ('062', '162')), 0)::BIGINT AS police, coalesce(sum(ft) FILTER (WHERE code IN ('024', '124')), 0)::BIGINT AS fire FROM staff GROUP BY 1, 2) AS s WHERE s.unit = d.unit) AS staffing
-  FROM directory d GROUP BY 1""",
-        "unit, last_year, people, books, spending, crime, staffing",
+        "SELECT d.unit, " + ", ".join(f"{_city_json(cte, 'unit', order, fields, how)} AS {name}" for name, (cte, order, fields, how) in _CITY_SQL.items()) + " FROM (SELECT DISTINCT unit FROM directory) AS d",
+        "unit, " + ", ".join(_CITY_SQL),
         "",
-        METRICS + CRIME.replace(ITEMS, "") + STAFF,
+        CITY,
     ),
 )
 def _(spark, d):
-    places = directory(spark, d).select("unit", "year", "pop")
-    books = items(spark, d).groupBy("unit", "year").agg(F.count(F.lit(1)).alias("n"))
-    units = places.groupBy("unit").agg(F.max("year").alias("last_year"))
-    def heads(*codes):
-        return F.coalesce(F.sum(F.when(F.col("code").isin(*codes), F.col("ft"))), F.lit(0)).cast("bigint")
-
-    crew = staff(spark, d).groupBy("unit", "year").agg(heads("062", "162").alias("police_ft"), heads("024", "124").alias("fire_ft"))
-    joined = {
-        "people": (places, "year", ["pop"]),
-        "books": (books, "year", ["n"]),
-        "spending": (metrics(spark, d), "year", ["police_usd", "fire_usd"]),
-        "crime": (crime(spark, d), "year", ["violent", "property", "coverage"]),
-        "staffing": (crew, "year", ["police_ft", "fire_ft"]),
-    }
-    out = sinks.nested_records(units, "unit", joined)
-    return out.withColumns({name: F.to_json(name, {"ignoreNullFields": "false"}) for name in joined})
+    parts = city_parts(spark, d)
+    out = sinks.assembled("unit", parts)
+    return out.withColumns({name: F.when(F.size(name) > 0, F.to_json(name, {"ignoreNullFields": "false"})) if how == "series" else F.to_json(name, {"ignoreNullFields": "false"}) for name, (_, _, _, how) in parts.items()})
+
 
+_SHEET = ["headline", "flags", "spending", "crime", "staffing", "peers", "prices"]
 
-@query("city_fact_sheet")
+
+@query(
+    "city_fact_sheet",
+    show(
+        "SELECT d.unit, name, state, pop, " + ", ".join(f"{_city_json(cte, 'unit', order, fields, how)} AS {name}" for name, (cte, order, fields, how) in ((n, _CITY_SQL[n]) for n in _SHEET))
+        + " FROM (SELECT unit, arg_max(name, year) AS name, arg_max(state, year) AS state, arg_max(pop, year)::BIGINT AS pop FROM directory GROUP BY 1) AS d",
+        "unit, name, state, pop, " + ", ".join(_SHEET),
+        "",
+        CITY,
+    ),
+)
 def _(spark, d):
-    """Latest metrics, flags, staffing and history arrays of every unit, one row each."""
-    places = directory(spark, d).select("unit", "year", "name", "state", "pop")
-    rows = metrics(spark, d)
-    flags = ledger.comparability(rows).select("unit", "year", "runs_schools", "county_like", "fire_external", "police_contracted", "note")
-    head = ledger.latest_record(rows.select("unit", "year", "police_usd", "fire_usd", "police_fire_pct_general", "record_complete").join(flags, ["unit", "year"]).join(places, ["unit", "year"]))
-    crew = ledger.employment_metrics(staff(spark, d), places.select("unit", "year", "pop")).select("unit", "year", "sworn_per_1k", "firefighters_per_1k")
-    return sinks.nested_records(head, "unit", {"history": (rows.select("unit", "year", "police_usd", "fire_usd"), "year", ["police_usd", "fire_usd"]), "staffing": (crew, "year", ["sworn_per_1k", "firefighters_per_1k"])}).withColumn("history", F.to_json("history")).withColumn("staffing", F.to_json("staffing"))
+    """Name, latest figures and flags, histories, staffing, crime and peers of every unit, one row each."""
+    parts = city_parts(spark, d)
+    parts = {"who": (parts["people"][0], "year", ["name", "state", "pop"], "last"), **{n: parts[n] for n in _SHEET}}
+    out = sinks.assembled("unit", parts).select("unit", "who.name", "who.state", "who.pop", *_SHEET)
+    return out.withColumns({n: F.when(F.size(n) > 0, F.to_json(n, {"ignoreNullFields": "false"})) if parts[n][3] == "series" else F.to_json(n, {"ignoreNullFields": "false"}) for n in _SHEET})
 
 
 @query("data_vintage", show("SELECT 'orders' AS source, max(year(o_orderdate)) AS last_year FROM orders UNION ALL SELECT 'lines', max(year(l_shipdate)) FROM lineitem UNION ALL SELECT 'events', max(year(ts)) FROM events", "source, last_year"))

@@ -23,13 +23,21 @@ def columnar_documents(df: DataFrame, key: str, order: str, columns: list[str])
     return rows.select(key, F.to_json(F.struct(*arrays)).alias("document"))
 
 
-def nested_records(units: DataFrame, key: str, series: dict[str, tuple[DataFrame, str, list[str]]]) -> DataFrame:
-    """One row per unit with an ordered array of structs per joined table: series[name] = (table, order, columns)."""
-    out = units
-    for name, (table, order, columns) in series.items():
-        arr = table.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, *columns))).alias(name))
-        out = out.join(arr, key, "left")
-    return out
+def assembled(key: str, parts: dict[str, tuple[DataFrame, str, list[str], str]]) -> DataFrame:
+    """One row per unit out of many tables, which meet in one shuffle on the unit.
+
+    parts[name] = (table, order, columns, how): every table's rows become a struct
+    (order first) in a column of their own of one union, and one grouping takes each
+    column as its part says: ``series`` an array in order, ``last`` the struct of the
+    largest order.  A unit that a table lacks gets an empty array or NULL there.  A
+    unit's series is bounded by its calendar.
+    """
+    union = None
+    for name, (table, order, columns, _) in parts.items():
+        rows = table.select(key, F.struct(order, *[c for c in columns if c != order]).alias(name))
+        union = rows if union is None else union.unionByName(rows, allowMissingColumns=True)
+    take = {"series": lambda c: F.sort_array(F.collect_list(c)), "last": F.max}
+    return union.groupBy(key).agg(*[take[how](name).alias(name) for name, (_, _, _, how) in parts.items()])
 
 
 def data_vintage(sources: dict[str, tuple[DataFrame, str]]) -> DataFrame:
