@@ -88,7 +88,8 @@ def test_many_tables_meet_in_one_shuffle(spark):
     b = spark.createDataFrame([("x", 1, "lo"), ("x", 3, None), (None, 1, "who")], "unit string, year int, note string")
     parts = {"people": (a, "year", ["pop"], "series"), "flags": (b, "year", ["note"], "last"), "notes": (b, "year", ["year", "note"], "series")}
     out = sinks.assembled("unit", parts)
+    plan = out._jdf.queryExecution().executedPlan().toString()
     got = {r.unit: r for r in out.collect()}
     assert [tuple(p) for p in got["x"].people] == [(1, 10), (2, 20)] and tuple(got["x"].flags) == (3, None) and len(got["x"].notes) == 2
     assert got["y"].flags is None and got["y"].notes == [] and tuple(got[None].flags) == (1, "who")
-    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert plan.count("Exchange hashpartitioning") == 1
