@@ -142,6 +142,18 @@ def complete_partition(tree: DataFrame, weights: DataFrame, min_share: float = 0
     return state.filter(~F.col("open")).join(closed_above, "item", "left_anti").select("item", "parent", "w")
 
 
+def side_by_side(frames: dict[str, DataFrame], by: str = "m", value: str = "value") -> DataFrame:
+    """Separate series as columns of one table, a row for every month that any of them has; the others are NULL there.
+
+    The series meet in one grouping of their union, however many there are.
+    """
+    union = None
+    for name, frame in frames.items():
+        rows = frame.select(by, F.col(value).cast("double").alias("_v"), F.lit(name).alias("_series"))
+        union = rows if union is None else union.unionByName(rows)
+    return union.groupBy(by).agg(*[F.max(F.when(F.col("_series") == name, F.col("_v"))).alias(name) for name in frames])
+
+
 def node_universes(tree: DataFrame, nodes: DataFrame, min_share: float = 0.90) -> DataFrame:
     """coarse, fine and hybrid choice of usable nodes of a tree of any depth.
 

@@ -291,38 +291,60 @@ def _(spark, d):
     return tables.delimited(e.select(line.alias("line")), "id bigint, who bigint, value double", sep=" ")
 
 
-@query("rss_feed_items", show("SELECT user_id, event_type || ' ' || event_id AS title, 'https://example.org/' || event_id AS link, strftime(ts, '%Y-%m-%d') AS published FROM events", "user_id, title, link, published"))
+@query(
+    "rss_feed_items",
+    show(
+        """SELECT user_id, event_type || ' & <' || event_id || '>' AS title, 'https://example.org/' || event_id AS link, strftime(ts, '%Y-%m-%d') AS published, CASE WHEN event_id % 3 = 0 THEN props END AS summary, 'e' || event_id AS item_id FROM events""",
+        "user_id, title, link, published, summary, item_id",
+    ),
+)
 def _(spark, d):
+    """A document of all items of a user's day, RSS for even users and Atom for odd ones."""
     e = table(spark, d, "events")
-    number = F.col("event_id").cast("string")
-    item = F.concat(F.lit("<rss><channel><item><title>"), F.concat_ws(" ", "event_type", number), F.lit("</title><link>https://example.org/"), number, F.lit("</link><pubDate>"), F.date_format("ts", "yyyy-MM-dd"), F.lit("</pubDate></item></channel></rss>"))
-    return tables.rss_items(e.select("user_id", item.alias("body")), "body")
+    number, at = F.col("event_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")
+    name = F.concat(F.col("event_type"), F.lit(" &amp; &lt;"), number, F.lit("&gt;"))
+    link, more = F.concat(F.lit("https://example.org/"), number), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("<description><![CDATA["), "props", F.lit("]]></description>"))).otherwise("")
+    rss = F.concat(F.lit("<item><title>"), name, F.lit("</title><link>"), link, F.lit("</link>"), more, F.lit("<pubDate>"), at, F.lit("</pubDate><guid>e"), number, F.lit("</guid></item>"))
+    atom_more = F.regexp_replace(more, "description", "summary")
+    atom = F.concat(F.lit("<entry><title type='text'>"), name, F.lit('</title><link rel="x" href="'), link, F.lit('"/>'), atom_more, F.lit("<updated>"), at, F.lit("</updated><id>e"), number, F.lit("</id></entry>"))
+    item = F.when(F.col("user_id") % 2 == 0, rss).otherwise(atom)
+    docs = e.groupBy("user_id", at.alias("day")).agg(F.concat_ws("\n", F.sort_array(F.collect_list(item))).alias("body"))
+    return tables.feed_items(docs, "body").drop("day")
 
 
 @query(
     "html_weight_table",
-    show("SELECT l_suppkey AS page, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS name, l_quantity AS w1, round(l_extendedprice, 2) AS w2, CASE WHEN l_linenumber >= 5 THEN 'special' ELSE 'main' END AS section FROM lineitem", "page, name, section", "w1, w2"),
+    show("SELECT l_orderkey AS page, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS name, l_quantity AS w1, round(l_extendedprice, 2) AS w2, CASE WHEN l_linenumber >= 5 THEN 'special' ELSE 'main' END AS section FROM lineitem", "page, name, section", "w1, w2"),
 )
 def _(spark, d):
+    """A page per order with its lines in order; the marker stands before those from number five on."""
     li = table(spark, d, "lineitem")
     row = F.concat(F.lit("<tr class='r'><th scope='row'><p>"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")), F.lit("</p></th><td>"), F.col("l_quantity").cast("string"), F.lit("</td><td> "), F.col("l_extendedprice").cast("string"), F.lit("</td></tr>"))
-    marker = F.when(F.col("l_linenumber") >= 5, "<tr><td colspan=3>Special aggregate indexes</td></tr>").otherwise("")
-    # a page per order line keeps a page's rows in document order
-    pages = li.select(F.col("l_suppkey").alias("page"), F.monotonically_increasing_id().alias("line"), F.concat(F.lit("<table>"), marker, row, F.lit("</table>")).alias("html"))
-    return tables.weight_rows(pages, "html").drop("line", "position")
+    pages = li.groupBy(F.col("l_orderkey").alias("page")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", row.alias("r")))).alias("rows"))
+    part = lambda cond: F.transform(F.filter("rows", cond), lambda x: x["r"])
+    marker = F.array(F.lit("<tr><td colspan=3>Special aggregate indexes</td></tr>"))
+    body = F.array_join(F.concat(part(lambda x: x["l_linenumber"] < 5), marker, part(lambda x: x["l_linenumber"] >= 5)), "\n")
+    pages = pages.select("page", F.concat(F.lit("<table>"), body, F.lit("</table>")).alias("html"))
+    return tables.weight_rows(pages, "html").drop("position")
+
+
+# patterns of invented titles and their categories, the first one counts
+_NOTICES = [(r"^(the|le|die|el) ", "shutdown"), (r"tion", "revision"), (r"er( |$)", "method"), (r"^[a-f]", "release")]
+_NOTICE_SQL = " ".join(f"WHEN regexp_matches(lower(title), '{p}') THEN '{c}'" for p, c in _NOTICES)
 
 
 @query(
     "dated_notice_list",
     show(
-        r"""SELECT url, title, strftime(day, '%Y-%m-%d') AS day FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id, title, day NULLS FIRST) AS k FROM (
-  SELECT page_id, url, trim(regexp_replace(body, '\(\d{2}/\d{2}/\d{4}\)\s*$', '')) AS title, try_strptime(nullif(regexp_extract(body, '\((\d{2}/\d{2}/\d{4})\)\s*$', 1), ''), '%m/%d/%Y') AS day FROM (
-   SELECT page_id, regexp_extract(li, 'href="([^"]*)"', 1) AS url, trim(regexp_replace(li, '<[^>]+>', '', 'g')) AS body FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1)) AS li FROM pages) AS a) AS b) AS c WHERE url <> '') AS q WHERE k = 1""",
-        "url, title, day",
+        rf"""SELECT url, title, strftime(day, '%Y-%m-%d') AS day, category, category IN ('shutdown', 'revision') AS high_impact FROM (SELECT *, CASE {_NOTICE_SQL} ELSE 'other' END AS category FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id, title, day NULLS FIRST) AS k FROM (
+  SELECT page_id, url, trim(regexp_replace(body, '\(\d{{2}}/\d{{2}}/\d{{4}}\)\s*$', '')) AS title, try_strptime(nullif(regexp_extract(body, '\((\d{{2}}/\d{{2}}/\d{{4}})\)\s*$', 1), ''), '%m/%d/%Y') AS day FROM (
+   SELECT page_id, regexp_extract(li, 'href="([^"]*)"', 1) AS url, trim(regexp_replace(li, '<[^>]+>', '', 'g')) AS body FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1)) AS li FROM pages) AS a) AS b) AS c WHERE url <> '') AS q WHERE k = 1) AS r""",
+        "url, title, day, category, high_impact",
     ),
 )
 def _(spark, d):
-    return tables.dated_notices(table(spark, d, "pages").select("page_id", "html"), "html", "page_id").select("url", "title", F.date_format("day", "yyyy-MM-dd").alias("day"))
+    notices = tables.dated_notices(table(spark, d, "pages").select("page_id", "html"), "html", "page_id", _NOTICES, ["shutdown", "revision"])
+    return notices.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 @query(

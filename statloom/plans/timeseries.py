@@ -759,6 +759,26 @@ def _(spark, d):
     return regress.rolling_slope_error(rows, "item", "m", "yoy", "mom", rows=24, lags=6).withColumnRenamed("m", "end")
 
 
+@query(
+    "series_side_by_side",
+    show(
+        """SELECT m, a.level, b.mean_order, c.events, e.lead_level FROM (SELECT m, sum(spend) / sum(qty) AS level FROM cells GROUP BY 1) AS a
+  FULL JOIN (SELECT year(o_orderdate) * 12 + month(o_orderdate) AS m, sum(round(o_totalprice * 100)::BIGINT) / 100.0 / count(*) AS mean_order FROM orders GROUP BY 1) AS b USING (m)
+  FULL JOIN (SELECT year(ts) * 12 + month(ts) AS m, count(*)::DOUBLE AS events FROM events GROUP BY 1) AS c USING (m)
+  FULL JOIN (SELECT m - 12 AS m, sum(spend) / sum(qty) AS lead_level FROM cells GROUP BY 1) AS e USING (m)""",
+        "m",
+        "level, mean_order, events, lead_level",
+        CELLS,
+    ),
+)
+def _(spark, d):
+    """Prices, orders and events by month; no month of any of them is lost."""
+    level = price_cells(spark, d).groupBy("m").agg((F.sum("spend") / F.sum("qty")).alias("value"))
+    orders = table(spark, d, "orders").groupBy((F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("int").alias("m")).agg((F.sum(cents("o_totalprice")) / 100.0 / F.count(F.lit(1))).alias("value"))
+    seen = table(spark, d, "events").groupBy((F.year("ts") * 12 + F.month("ts")).cast("int").alias("m")).agg(F.count(F.lit(1)).alias("value"))
+    return panel.side_by_side({"level": level, "mean_order": orders, "events": seen, "lead_level": level.withColumn("m", F.col("m") - 12)})
+
+
 @query(
     "regressor_correlation_matrix",
     show(

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from statloom.functions.text import lenient_number
+from statloom.functions.text import first_match, lenient_number
 from statloom.operators.cohort import recode
 
 
@@ -149,12 +149,28 @@ def delimited(lines: DataFrame, schema: str, sep: str = "|", comment: str = "#")
     return rows.select(F.from_csv(text, schema, {"sep": "," if sep == " " else sep}).alias("_c")).select("_c.*")
 
 
-def rss_items(docs: DataFrame, body: str) -> DataFrame:
-    """RSS <item> elements to (title, link, at)."""
+def feed_items(docs: DataFrame, body: str) -> DataFrame:
+    """Items of RSS (``<item>``) and Atom (``<entry>``) documents: title, link, published, summary, item_id.
+
+    A field is the first of its elements that is not empty, markers of literal text
+    and the five named entities taken away; an Atom link is the ``href`` of its element.
+    Missing fields are NULL.
+    """
     keep = [c for c in docs.columns if c != body]
-    items = docs.select(*keep, F.explode(F.regexp_extract_all(body, F.lit(r"(?s)(<item>.*?</item>)"), 1)).alias("_i"))
-    parsed = items.select(*keep, F.from_xml("_i", "struct<title:string,link:string,pubDate:string>").alias("_x"))
-    return parsed.select(*keep, F.col("_x.title").alias("title"), F.col("_x.link").alias("link"), F.col("_x.pubDate").alias("published"))
+    items = docs.select(*keep, F.explode(F.regexp_extract_all(body, F.lit(r"(?s)(<(item|entry)\b.*?</\2>)"), 1)).alias("_i"))
+
+    def element(*names: str) -> Column:
+        found = [F.regexp_extract("_i", rf"(?is)<{n}\b[^>]*>(.*?)</{n}>", 1) for n in names]
+        plain = [F.trim(F.regexp_replace(f, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")) for f in found]
+        for mark, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+            plain = [F.replace(p, F.lit(mark), F.lit(sign)) for p in plain]
+        return F.coalesce(*[F.nullif(p, F.lit("")) for p in plain])
+
+    reference = F.nullif(F.regexp_extract("_i", r'(?i)<link\b[^>]*href="([^"]+)"', 1), F.lit(""))
+    return items.select(
+        *keep, element("title").alias("title"), F.coalesce(element("link"), reference).alias("link"), element("pubDate", "published", "updated", "dc:date").alias("published"),
+        element("description", "summary", "content").alias("summary"), element("guid", "id").alias("item_id"),
+    )
 
 
 def weight_rows(pages: DataFrame, body: str) -> DataFrame:
@@ -174,14 +190,18 @@ def weight_rows(pages: DataFrame, body: str) -> DataFrame:
     return out.filter("name <> '' AND w1 IS NOT NULL AND w2 IS NOT NULL")
 
 
-def dated_notices(pages: DataFrame, body: str, key: str) -> DataFrame:
-    """Links in list items with an optional trailing (mm/dd/yyyy); the smallest key's version of each url is kept."""
+def dated_notices(pages: DataFrame, body: str, key: str, rules: list[tuple[str, str]], high: list[str]) -> DataFrame:
+    """Links in list items with an optional trailing (mm/dd/yyyy); the smallest key's version of each url is kept.
+
+    The title's category is the first of ``rules`` (pattern, label) it meets, else
+    'other'; ``high`` names the categories of high impact.
+    """
     items = pages.select(key, F.explode(F.regexp_extract_all(body, F.lit(r"(?s)<li>(.*?)</li>"), 1)).alias("_i"))
     url = F.regexp_extract("_i", r'href="([^"]*)"', 1)
     text = F.trim(F.regexp_replace("_i", r"<[^>]+>", ""))
     stamp = F.regexp_extract(text, r"\((\d{2}/\d{2}/\d{4})\)\s*$", 1)
     rows = items.select(key, url.alias("url"), F.trim(F.regexp_replace(text, r"\(\d{2}/\d{2}/\d{4}\)\s*$", "")).alias("title"), F.try_to_timestamp(F.nullif(stamp, F.lit("")), F.lit("MM/dd/yyyy")).cast("date").alias("day"))
-    return rows.filter("url <> ''").groupBy("url").agg(F.min(F.struct(key, "title", "day")).alias("_b")).select("url", "_b.title", "_b.day")
+    return rows.filter("url <> ''").groupBy("url").agg(F.min(F.struct(key, "title", "day")).alias("_b")).select("url", "_b.title", "_b.day").withColumn("category", first_match("title", rules, "other")).withColumn("high_impact", F.col("category").isin(high))
 
 
 def baseline_rows(df: DataFrame, state: str, counties: list[str], per_unit: int = 36) -> DataFrame:

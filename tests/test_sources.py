@@ -93,3 +93,13 @@ def test_many_tables_meet_in_one_shuffle(spark):
     assert [tuple(p) for p in got["x"].people] == [(1, 10), (2, 20)] and tuple(got["x"].flags) == (3, None) and len(got["x"].notes) == 2
     assert got["y"].flags is None and got["y"].notes == [] and tuple(got[None].flags) == (1, "who")
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_feeds_of_both_kinds(spark):
+    from statloom.sources import tables
+
+    rss = "<rss><channel><title>no item</title><item><title><![CDATA[A &amp; B]]></title><link>http://x/1</link><pubDate>Mon</pubDate><guid>g1</guid></item><item><title>two</title></item></channel></rss>"
+    atom = '<feed><entry><title type="html">C &lt;i&gt;</title><link rel="alternate" href="http://x/3"/><updated>Tue</updated><id>g3</id><summary> s </summary></entry><entrywide><title>no</title></entrywide></feed>'
+    docs = spark.createDataFrame([(1, rss), (2, atom), (3, None), (4, "")], "k int, body string")
+    got = sorted(map(tuple, tables.feed_items(docs, "body").collect()), key=repr)
+    assert got == [(1, "A & B", "http://x/1", "Mon", None, "g1"), (1, "two", None, None, None, None), (2, "C <i>", "http://x/3", "Tue", "s", "g3")]
