@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions.calendar import calendar_lag
 from statloom.functions.stats import half_even, pair_corr
-from statloom.operators.ordered import exact_quantiles, with_one_row, with_position
+from statloom.operators.ordered import exact_quantiles, top_k, with_one_row, with_position
 
 # Item-code sets of the public finance classification.
 EXPENDITURE = list("EFGIJLMQS")
@@ -46,9 +46,15 @@ def ledger_metrics(items: DataFrame, min_items: int = 30) -> DataFrame:
     def dollars(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, F.col("amount"))), F.lit(0)) * 1000
 
+    # a flag is one sign between blank and underscore: the signs seen are bits of one number, combined like a sum
+    sign = F.ascii("flag") - 32
+
     def flags(condition: Column) -> Column:
-        seen = F.array_join(F.sort_array(F.collect_set(F.when(condition & (F.col("amount") != 0), F.col("flag")))), "")
-        return F.when(seen == "", "-").otherwise(seen)
+        return F.bit_or(F.when(condition & (F.col("amount") != 0) & sign.between(0, 63), F.call_function("shiftleft", F.lit(1).cast("bigint"), sign)))
+
+    def spelled(bits: str) -> Column:
+        signs = F.array_join(F.filter(F.transform(F.sequence(F.lit(32), F.lit(95)), lambda c: F.when(F.getbit(F.col(bits), c - 32) == 1, F.char(c))), lambda x: x.isNotNull()), "")
+        return F.when(F.col(bits).isNull() | (signs == ""), "-").otherwise(signs)
 
     measures = {
         "total_expenditure_usd": spent,
@@ -81,6 +87,7 @@ def ledger_metrics(items: DataFrame, min_items: int = 30) -> DataFrame:
     base = (
         base.withColumn("general_ex_education_usd", F.col("general_expenditure_usd") - F.col("education_usd"))
         .withColumn("core_municipal_expenditure_usd", F.col("general_expenditure_usd") - taken)
+        .withColumns({c: spelled(c) for c in ("police_flags", "fire_flags")})
         .withColumn("unit_imputed_share", half_even("_imputed", 3))
         .withColumn("record_complete", (F.col("police_usd") > 0) & (F.col("n_items") >= min_items) & (F.col("general_expenditure_usd") > 0))
         .drop("_imputed")
@@ -130,8 +137,11 @@ def is_consolidated(name, state, table=None) -> Column:
     return out
 
 
-def comparability(metrics: DataFrame, issues: DataFrame | None = None, consolidated: Column | None = None) -> DataFrame:
-    """Boolean flags and an ordered note per record; issues(unit, year, status, finding) are appended last."""
+def comparability(metrics: DataFrame, issues: DataFrame | None = None, consolidated: Column | None = None, listed_issues: int = 50) -> DataFrame:
+    """Boolean flags and an ordered note per record; issues(unit, year, status, finding) are appended last.
+
+    A note lists the first ``listed_issues`` of its record, in order, and says how many more there are.
+    """
     g = F.when(F.col("general_expenditure_usd") == 0, 1).otherwise(F.col("general_expenditure_usd"))
     education, county = F.col("education_usd") * 100 / g, F.col("county_like_functions_usd") * 100 / g
     cons = consolidated if consolidated is not None else F.lit(False)
@@ -161,8 +171,11 @@ def comparability(metrics: DataFrame, issues: DataFrame | None = None, consolida
     if issues is None:
         return df.withColumn("note", F.array_join(built, "; "))
     label = F.when(F.col("status") == "verified", "verified issue: ").otherwise("possible issue: ")
-    listed = issues.groupBy("unit", "year").agg(F.sort_array(F.collect_list(F.concat(label, F.split("finding", r"\. ")[0]))).alias("_issues"))
-    joined = df.join(listed, ["unit", "year"], "left")
+    found = issues.select("unit", "year", F.concat(label, F.split("finding", r"\. ")[0]).alias("_f"))
+    first = top_k(found, ["unit", "year"], ["_f"], listed_issues, "_rank").groupBy("unit", "year").agg(F.sort_array(F.collect_list("_f")).alias("_issues"))
+    listed = first.join(found.groupBy("unit", "year").agg(F.count(F.lit(1)).alias("_n")), ["unit", "year"])
+    rest = F.when(F.col("_n") > listed_issues, F.array(F.concat((F.col("_n") - listed_issues).cast("string"), F.lit(" more issues")))).otherwise(F.array().cast("array<string>"))
+    joined = df.join(listed.select("unit", "year", F.concat("_issues", rest).alias("_issues")), ["unit", "year"], "left")
     return joined.withColumn("note", F.array_join(F.concat(built, F.coalesce("_issues", F.array().cast("array<string>"))), "; ")).drop("_issues")
 
 

@@ -30,8 +30,10 @@ def solve_hac(y: np.ndarray, X: np.ndarray, lags: int, small_sample: bool = True
     beta = weights @ y
     resid = y - X @ beta
     pull = weights * resid
-    apart = np.abs(np.subtract.outer(np.arange(n), np.arange(n)))
-    cov = pull @ np.maximum(0.0, 1 - apart / (lags + 1)) @ pull.T
+    cov = pull @ pull.T
+    for apart in range(1, min(lags, n - 1) + 1):
+        near = pull[:, apart:] @ pull[:, :-apart].T
+        cov += (1 - apart / (lags + 1)) * (near + near.T)
     return beta, cov * (n / max(n - k, 1)) if small_sample else cov, resid
 
 

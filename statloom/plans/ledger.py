@@ -27,14 +27,17 @@ directory AS (
 
 
 def items(spark, d):
+    return shared(_items(spark, d))
+
+
+def _items(spark, d):
     lines = table(spark, d, "lineitem").select("l_suppkey", "l_shipdate", "l_returnflag", "l_linestatus", "l_linenumber", "l_extendedprice", "l_tax")
     code = F.concat(F.expr(_LETTER), F.expr(_FUNCTION))
     tax = F.max("l_tax")
-    rows = lines.groupBy(F.col("l_suppkey").alias("unit"), F.year("l_shipdate").alias("year"), code.alias("code")).agg(
+    return lines.groupBy(F.col("l_suppkey").alias("unit"), F.year("l_shipdate").alias("year"), code.alias("code")).agg(
         F.floor(F.sum(cents("l_extendedprice")) / 100).alias("amount"),
         F.when(tax < 0.04, "I").when(tax < 0.06, "A").otherwise("R").alias("flag"),
     )
-    return shared(rows)
 
 
 def directory(spark, d):
@@ -567,8 +570,10 @@ def _excl(p):
     ),
 )
 def _(spark, d):
-    rows, _ = panel_rows(spark, d)
-    out = exact_quantiles(rows, "year", "share", {"d1": 0.1, "q1": 0.25, "q2": 0.5, "q3": 0.75, "d9": 0.9}, "exclusive")
+    # the share alone: nothing else of the panel is read
+    known = table(spark, d, "supplier").select(F.col("s_suppkey").alias("unit"))
+    rows = ledger.ledger_metrics(_items(spark, d)).select("unit", "year", F.col("police_fire_pct_general").alias("share")).join(known, "unit", "left_semi")
+    out = exact_quantiles(shared(rows), "year", "share", {"d1": 0.1, "q1": 0.25, "q2": 0.5, "q3": 0.75, "d9": 0.9}, "exclusive")
     return out.filter("n > 1")
 
 

@@ -826,15 +826,23 @@ def _(spark, d):
     items = cells.select("item").distinct()
     # the common index is repeated per item through the item's own months, an equality join
     common = cells.select("item", "m").join(_published(cells), "m").select("item", "m", F.col("level").alias("idx"))
-    del items
     return timeseries.log_change_check(cells.select("item", "m", "idx"), common)
 
 
-@query("null_persistence_reference")
+@query(
+    "null_persistence_reference",
+    show(
+        """SELECT item, draw, count(l) AS n, regr_slope(x, l) AS rho FROM (SELECT *, lag(x) OVER (PARTITION BY item, draw ORDER BY k) AS l FROM (
+  SELECT item, draw, k, CASE WHEN k >= 12 THEN avg(mom) OVER (PARTITION BY item, draw ORDER BY k ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) END AS x FROM (
+   SELECT item, draw, mom, row_number() OVER (PARTITION BY item, draw ORDER BY md5(item || '|' || c.m || '|' || draw)) AS k FROM chg c CROSS JOIN range(1, 5) AS d(draw) WHERE mom IS NOT NULL) AS a) AS b) AS e GROUP BY 1, 2""",
+        "item, draw, n",
+        "rho",
+        CELLS + CHANGES,
+    ),
+)
 def _(spark, d):
-    """Reference slopes from seeded noise, one simulation per brand and observed month count of the price table."""
-    n = price_cells(spark, d).agg(F.count_distinct("item").alias("items"), F.count_distinct("m").alias("months")).first()
-    return timeseries.null_persistence(spark, n["items"] * 4, n["months"])
+    """Four random orders of each brand's own monthly changes."""
+    return timeseries.null_persistence(changes(spark, d).select("item", "m", "mom"), "item", "m", "mom")
 
 
 # a tree of product words, types and brands; a node is usable with values in 80 % of the months, up to the last two
