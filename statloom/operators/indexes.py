@@ -298,3 +298,30 @@ def haircut_shares(items: DataFrame, content: DataFrame, haircuts: list[tuple[st
     base = F.when(p.isin(*goods), F.col("_avg")).otherwise(0.0)
     out = items.join(F.broadcast(mean.limit(1)), F.lit(True))
     return out.select("item", (base * cut * 0.7).alias("share_direct"), (base * cut).alias("share_total"))
+
+
+def import_share_checks(basket: DataFrame, purchased: DataFrame, low: float, high: float, goods_below: float = 0.98) -> DataFrame:
+    """Weighted means of import shares held against what they should be: check, ours, expected_low, expected_high, ok.
+
+    basket(item, w), purchased(item, purchasers, producer_share, share_total).  A good
+    is an item whose producers' part of the purchase price is below ``goods_below``:
+    it is carried and sold with margins.  By purchase value the mean must lie between
+    the two bounds; goods must carry more than the basket as a whole.  An item without
+    a share counts as nothing in the whole basket and is no good.
+    """
+    joined = basket.join(purchased, "item", "full_outer")
+    good = F.coalesce(F.col("producer_share") < goods_below, F.lit(False))
+
+    def mean(weight: Column, share: Column) -> Column:
+        return F.sum(weight * share) / F.nullif(F.sum(weight), F.lit(0.0))
+
+    share, w = F.coalesce("share_total", F.lit(0.0)), F.coalesce(F.col("w"), F.lit(0.0)).cast("double")
+    bought = F.when(F.col("purchasers") > 0, F.col("purchasers").cast("double"))
+    found = joined.agg(mean(bought, F.col("share_total")).alias("p"), mean(w, share).alias("b"), mean(F.when(good, w), share).alias("g"))
+    rows = F.array(
+        F.struct(F.lit("by purchase value").alias("check"), F.col("p").alias("ours"), F.lit(low).alias("expected_low"), F.lit(high).alias("expected_high")),
+        F.struct(F.lit("goods of the basket").alias("check"), F.col("g").alias("ours"), F.col("b").alias("expected_low"), F.lit(1.0).alias("expected_high")),
+        F.struct(F.lit("whole basket").alias("check"), F.col("b").alias("ours"), F.lit(0.0).alias("expected_low"), F.lit(1.0).alias("expected_high")),
+    )
+    out = found.select(F.inline(rows))
+    return out.withColumn("ok", F.coalesce(F.col("ours").between(F.col("expected_low"), F.col("expected_high")), F.lit(False)))

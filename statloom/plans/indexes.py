@@ -480,6 +480,27 @@ def _(spark, d):
     return indexes.haircut_shares(items, _content(spark, d), [("hot", 0.6), ("red", 0.5)], ["hot", "red", "old"], 0.4)
 
 
+@query(
+    "import_share_checks",
+    show(
+        """SELECT c.*, coalesce(ours BETWEEN expected_low AND expected_high, false) AS ok FROM (
+  SELECT unnest(['by purchase value', 'goods of the basket', 'whole basket']) AS "check", unnest([p, g, b]) AS ours, unnest([0.05, b, 0.0]) AS expected_low, unnest([0.6, 1.0, 1.0]) AS expected_high FROM (
+   SELECT sum(CASE WHEN purchasers > 0 THEN purchasers * share_total END) / sum(CASE WHEN purchasers > 0 THEN purchasers END) AS p, sum(coalesce(w, 0) * coalesce(share_total, 0)) / sum(coalesce(w, 0)) AS b,
+    sum(CASE WHEN producer_share < 0.98 THEN coalesce(w, 0) * coalesce(share_total, 0) END) / nullif(sum(CASE WHEN producer_share < 0.98 THEN coalesce(w, 0) END), 0) AS g
+   FROM (SELECT p_brand AS category, sum(l_quantity) AS w FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1) AS k FULL JOIN purch USING (category)) AS m) AS c""",
+        '"check", ok',
+        "ours, expected_low, expected_high",
+        IO,
+    ),
+)
+def _(spark, d):
+    """Import shares by purchase value, over the basket and over its goods."""
+    lines = table(spark, d, "lineitem").select("l_partkey", "l_quantity")
+    parts = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("item"))
+    basket = lines.join(parts, lines.l_partkey == parts.p_partkey).groupBy("item").agg(F.sum("l_quantity").alias("w"))
+    return indexes.import_share_checks(basket, _purchasers(spark, d).withColumnRenamed("category", "item"), 0.05, 0.6)
+
+
 @query(
     "economy_import_share",
     show(
