@@ -12,13 +12,11 @@ task always makes the same cut.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statloom.session import ensure_checkpoint_dir
+from statloom.session import scratch_folder
 
 
 def _c(col) -> Column:
@@ -234,7 +232,7 @@ def written(df: DataFrame) -> DataFrame:
     prune columns.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/statloom-table-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

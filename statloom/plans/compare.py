@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from statloom.functions.text import place_key
@@ -12,7 +10,7 @@ from statloom.operators.ordered import exact_quantiles, shared, written
 from statloom.plans.ledger import METRICS, STAFF, _excl, directory, items, metrics, staff
 from statloom.plans.registry import query, show
 from statloom.plans.tables import cents, table
-from statloom.session import ensure_checkpoint_dir
+from statloom.session import scratch_folder
 from statloom.sources import checked
 
 PEERS = """
@@ -473,7 +471,7 @@ def _(spark, d):
         checked.exactly("total staff", F.sum("ft"), total),
         checked.none_where("staffed rows only", F.col("ft") < 10),
     ]
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/checked-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "checked")
     return checked.log_rows(spark, checked.checked_write(staff(spark, d), folder, checks, required=["unit", "ft"], refuse=False))
 
 
@@ -486,7 +484,7 @@ def _(spark, d):
 )
 def _(spark, d):
     """Customers written without their restricted columns, read back: names and balances are gone, or nothing is written."""
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stripped-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "stripped")
     people = table(spark, d, "customer")
     private = [c for c in people.columns if c in ("c_name", "c_address", "c_phone", "c_acctbal", "c_comment")]
     checked.checked_write(people, folder, [checked.none_where("every customer has a key", F.col("c_custkey").isNull())], required=["c_custkey", "c_nationkey"], restricted=private)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from statloom.operators.ordered import shared, with_one_row
 from statloom.plans.registry import query, show
 from statloom.plans.tables import table
-from statloom.session import ensure_checkpoint_dir
+from statloom.session import scratch_folder
 from statloom.sources import feed_registry
 from statloom.streaming import keyed, series, walls, windows
 
@@ -45,7 +43,7 @@ def _(spark, d):
 
 def event_stream(spark, d):
     """The events as a stream, and a place for its output and checkpoint."""
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = scratch_folder(spark, "stream")
     rows = spark.readStream.schema(events(spark, d).schema).option("pathGlobFilter", "events.parquet").parquet(d)
     return rows.withColumn("at", F.col("ts").cast("timestamp")), f"{base}/log", f"{base}/checkpoint"
 
@@ -353,7 +351,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    base = f"{ensure_checkpoint_dir(spark)}/windows-{uuid.uuid4().hex}"
+    base = scratch_folder(spark, "windows")
     src = spark.readStream.schema(events(spark, d).schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
     counts = windows.sliding_counts(src, "event_type", "ts", "6 hours", "2 hours", "1 hour")
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from statloom.operators import vintages
 from statloom.operators.ordered import shared, written
 from statloom.plans.registry import query, show
 from statloom.plans.tables import cents, table
-from statloom.session import ensure_checkpoint_dir
+from statloom.session import scratch_folder
 from statloom.sources.vintage_store import VintageStore
 
 VINT = """
@@ -170,7 +168,7 @@ def _observations(spark, d, pulls=None):
 
 def _store(spark, d, **more):
     """A store with two pulls: what two thirds of the suppliers say, then what all say."""
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/vintages-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "vintages")
     schema = "k1 bigint, k2 bigint, value double" + (", stage string" if more.get("stage") else "")
     eps = more.pop("eps", 1e-9)
     store = VintageStore(spark, folder, schema, ["k1", "k2"], **more)
@@ -226,7 +224,7 @@ def _(spark, d):
 def _(spark, d):
     """The second pull brings all vintages; only those past the stored ones of their series come in."""
     lv = levels(spark, d).select("series", "vintage_m", "obs_m", "value")
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/vintages-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "vintages")
     store = VintageStore(spark, folder, "series string, vintage_m int, obs_m int, value double", ["series", "vintage_m", "obs_m"], bucket_by=["series"])
     store.append_new_vintages(lv.filter("vintage_m < 23990"), "first", "series", "vintage_m", "obs_m", retain=12)
     store.append_new_vintages(lv, "second", "series", "vintage_m", "obs_m", retain=12)

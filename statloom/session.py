@@ -12,9 +12,15 @@ import atexit
 import os
 import shutil
 import tempfile
+import threading
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
+_SCOPES = threading.local()
+
 
 def build_session(app: str = "statloom", cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and bench runs."""
@@ -52,3 +58,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, current, ignore_errors=True)
         context.setCheckpointDir(current)
     return current
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder name below the shared folder; ``working`` deletes it if one is open."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/statloom-{name}-{uuid.uuid4().hex}"
+    for scope in getattr(_SCOPES, "open", [])[-1:]:
+        scope.append(path)
+    return path
+
+
+@contextmanager
+def working(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete the folders that are written inside, also after a failure, but those taken out of the list.
+
+    Use a result inside, or take its folder out: what is lazily read from a deleted
+    folder fails.
+    """
+    if not hasattr(_SCOPES, "open"):
+        _SCOPES.open = []
+    scope: list[str] = []
+    _SCOPES.open.append(scope)
+    try:
+        yield scope
+    finally:
+        _SCOPES.open.remove(scope)
+        for path in scope:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
