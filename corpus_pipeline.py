@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from statloom.llm import jaccard, lines, mixing, nbsvm, packing
 from statloom.llm.common import stored
+from statloom.session import hand_over, remove_folder, working
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +42,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table."""
+    """All stages over the whole documents table; what a stage has left behind is deleted once the next one is stored."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with working(spark) as outer:
+        for name, stage in STAGES[:-1]:
+            before = list(outer)
+            with working(spark) as made:
+                docs = stored(stage(spark, docs, sf_dir), name)
+                outer.append(made.pop())  # the stage's own result, the last folder
+            for path in before:
+                outer.remove(path)
+                remove_folder(spark, path)
+        last = STAGES[-1][1](spark, docs, sf_dir)
+        hand_over(outer)  # read by whoever uses the result
+    return last

@@ -82,7 +82,20 @@ def working(spark: SparkSession) -> Iterator[list[str]]:
     try:
         yield scope
     finally:
-        _SCOPES.open.remove(scope)
+        _SCOPES.open.pop()
         for path in scope:
-            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            remove_folder(spark, path)
+
+
+def hand_over(scope: list[str]) -> None:
+    """Leave what is in a scope to the one around it, or to the caller if there is none."""
+    place = next(i for i, s in enumerate(_SCOPES.open) if s is scope)
+    if place:
+        _SCOPES.open[place - 1].extend(scope)
+    scope.clear()
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's own file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
