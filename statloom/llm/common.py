@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from statloom.session import ensure_checkpoint_dir
+from statloom.session import scratch_folder
 
 #: monotonically_increasing_id() keeps the row's place in its partition in the low 33 bits.
 PLACE_BITS = 33
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder name below the shared folder every executor can reach."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/statloom-{name}-{uuid.uuid4().hex}"
+    """A fresh folder name below the shared folder every executor can reach; ``session.working`` deletes it."""
+    return scratch_folder(spark, name)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

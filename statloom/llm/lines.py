@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.llm.common import new_folder, stored, text_or_empty
+from statloom.session import remove_folder
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -64,15 +65,22 @@ class LineRuns:
     name: str = field(default_factory=lambda: f"statloom_runs_{uuid.uuid4().hex}")
     levels: list[list[str]] = field(default_factory=list)
     made: int = 0
+    folders: dict[str, str] = field(default_factory=dict)
 
     def _write(self, df: DataFrame) -> str:
         table = f"{self.name}_{self.made}"
         self.made += 1
         sorted_rows = df.repartition(self.buckets, *HASH).sortWithinPartitions(*HASH)
         writer = sorted_rows.write.bucketBy(self.buckets, *HASH).sortBy(*HASH)
-        writer.option("path", new_folder(self.spark, "run")).saveAsTable(table)
+        self.folders[table] = new_folder(self.spark, "run")
+        writer.option("path", self.folders[table]).saveAsTable(table)
         return table
 
+    def _forget(self, table: str) -> None:
+        """A table with a path keeps its files when it is dropped."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        remove_folder(self.spark, self.folders.pop(table))
+
     def runs(self) -> list[str]:
         return [t for level in self.levels for t in level]
 
@@ -100,7 +108,7 @@ class LineRuns:
         """One run out of several: a full merge join of sorted buckets for each."""
         out = self._write(self._merged(tables))
         for table in tables:
-            self.spark.sql(f"DROP TABLE {table}")
+            self._forget(table)
         return out
 
     def _merged(self, tables: list[str]) -> DataFrame:
@@ -120,8 +128,8 @@ class LineRuns:
         return self._merged(self.runs()).drop("fresh")
 
     def drop(self) -> None:
-        for table in self.runs():
-            self.spark.sql(f"DROP TABLE {table}")
+        for table in list(self.folders):
+            self._forget(table)
         self.levels = []
 
 
@@ -134,11 +142,12 @@ def repeated_keys(lines: DataFrame, least_docs: int, batches: int = BATCHES) ->
     """h1, h2 and largest id of every key in at least that many documents, found batch by batch."""
     spark = lines.sparkSession
     runs = LineRuns(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    for batch in range(batches):
-        runs.add(batch_counts(lines.where(F.col("batch") == batch)))
-    hits = stored(runs.totals().where(F.col("docs") >= least_docs).select(*HASH, "largest"), "repeated-lines")
-    runs.drop()
-    return hits
+    try:
+        for batch in range(batches):
+            runs.add(batch_counts(lines.where(F.col("batch") == batch)))
+        return stored(runs.totals().where(F.col("docs") >= least_docs).select(*HASH, "largest"), "repeated-lines")
+    finally:
+        runs.drop()
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, least_length: int, batches: int) -> DataFrame:

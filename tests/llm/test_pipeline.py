@@ -1,5 +1,6 @@
 """Every stage of the pipeline on its own input, against a brute-force version of it."""
 
+import os
 from collections import Counter
 
 import numpy as np
@@ -12,6 +13,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from statloom.llm import mixing, nbsvm
 from statloom.llm.common import stored
+from statloom.session import ensure_checkpoint_dir, working
 
 SF = "/root/testdata/sf0.001"
 
@@ -71,8 +73,18 @@ def test_packing_stage(tables):
     assert got == want and all(n == 2048 for s, n in lengths.items() if s != max(lengths))
 
 
-def test_run_gives_the_last_stage(spark, tables):
-    assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, tables[-1].collect()))
+def left(spark):
+    folder = ensure_checkpoint_dir(spark).removeprefix("file://")
+    return {f for f in os.listdir(folder) if f.startswith("statloom-")}
+
+
+def test_run_gives_the_last_stage_and_leaves_nothing_in_a_scope(spark, tables):
+    before, tables_before = left(spark), {t.name for t in spark.catalog.listTables()}
+    with working(spark):
+        assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, tables[-1].collect()))
+        # the last stage's own folders and its input; what earlier stages wrote is gone already
+        assert 0 < len(left(spark) - before) <= 5
+    assert left(spark) == before and {t.name for t in spark.catalog.listTables()} == tables_before
 
 
 ODD = "doc_id bigint, text string, lang string, source string, n_chars bigint, fp string"
