@@ -2,11 +2,15 @@
 
 All templates and key phrases, as word numbers, go into one generalised suffix
 automaton.  Streaming a document's words through it gives, at every place, the
-longest template string that ends there.  Matches that cannot be extended and
-have ``LEAST_MATCH`` words or more are chained per template: later in the
-document means no earlier in the template, with at most ``MAX_GAP`` words between.
-A chain that covers ``LEAST_COVERAGE`` of its template is a licence span.  A key
-phrase occurs wherever it is a suffix of the current match, so base places come
+longest template string that ends there, and by the links of its state what other
+templates share of it.  Matches that cannot be extended in their template and have ``LEAST_MATCH`` words or more are chained per template: later in the document means
+later in the template, with at most ``MAX_GAP`` words between; where two overlap, the
+later one counts from behind the earlier one on.  For every match the chain ending
+there that covers most template words is found by dynamic programming over the
+matches before it that are near enough; of the chains that cover ``LEAST_COVERAGE``
+of their template, a second dynamic programme takes those that lie apart in the
+document and cover most words together.  They are the licence spans.  A key phrase
+occurs wherever it is a suffix of the current match, so base places come
 from the same stream.  Words outside the templates reset the automaton, so only
 runs of template words are streamed; this changes no result.
 
@@ -20,6 +24,7 @@ empty table gives no rows; only the id and the text are read.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from functools import lru_cache
 from itertools import repeat
 
@@ -50,10 +55,6 @@ TEMPLATES = [
      "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
      "following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("mit", "Released under the MIT License."),
-    ("warranty-disclaimer", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
-     "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, "
-     "DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR "
-     "OTHER DEALINGS IN THE SOFTWARE."),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
      "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software "
      "distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the "
@@ -163,6 +164,7 @@ class Scanner:
         self.numbers = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
         coded = [[self.numbers[w] for w in t] for t in texts]
         self.labels = [label for label, _ in templates]
+        self.coded = coded
         self.sizes = [len(t) for t in coded]
         self.automaton = Automaton(coded)
         self.phrases = [(len(t), label) for t, (_, label) in zip(coded[len(templates) :], phrases)]
@@ -175,6 +177,19 @@ class Scanner:
             above = self.automaton.link[state]
             self.shorter[state] = self.shorter[above] + self.own.get(above, [])
 
+        # where the string of a state ends in a template, and how much of it that template shares: all of the match, or as much as a state it links to
+        self.reach: list[list[tuple[int, int, int]]] = []
+        for state in range(len(self.automaton.link)):
+            found: dict[tuple[int, int], int] = {}
+            up, shared = state, 1 << 30
+            while up > 0 and (up == state or shared >= LEAST_MATCH):
+                for end in self.automaton.ends[up]:
+                    if end[0] < len(self.labels):
+                        found.setdefault(end, shared)
+                up = self.automaton.link[up]
+                shared = self.automaton.length[up]
+            self.reach.append([(*end, n) for end, n in found.items()])
+
     def scan(self, text: bytes):
         """n_words, places [(start, label)] of phrases, spans [(label, first, last, coverage)]."""
         words = words_of(text)
@@ -195,39 +210,67 @@ class Scanner:
                     places.append((start + i + 1 - self.phrases[p][0], self.phrases[p][1]))
             for p in self.shorter[state]:
                 places.append((start + i + 1 - self.phrases[p][0], self.phrases[p][1]))
-            if length >= LEAST_MATCH and (i + 1 == len(trail) or trail[i + 1][1] != length + 1):
-                for template, place in self.automaton.ends[state]:
-                    if template < len(self.labels):
-                        matches.append((template, start + i + 1 - length, place + 1 - length, length))
+            if length >= LEAST_MATCH:
+                following = run[i + 1] if i + 1 < len(run) else 0
+                for template, place, most in self.reach[state]:
+                    sequence, shared = self.coded[template], min(length, most)
+                    if place + 1 == len(sequence) or sequence[place + 1] != following:
+                        matches.append((template, start + i + 1 - shared, place + 1 - shared, shared))
 
     def _chains(self, matches) -> list[tuple[str, int, int, float]]:
-        """Spans of chained matches that cover enough of their template."""
+        """Spans (label, first word, last word, coverage) of every template's chains."""
+        by_template: dict[int, list[tuple[int, int, int]]] = {}
+        for template, at, place, length in set(matches):
+            by_template.setdefault(template, []).append((at, place, length))
         spans = []
-        open_: dict[int, list] = {}  # template: first word, end, template end, covered words
-
-        def close(template):
-            first, end, _, covered = open_.pop(template)
-            if covered >= LEAST_COVERAGE * self.sizes[template]:
-                spans.append((self.labels[template], first, end - 1, min(1.0, covered / self.sizes[template])))
-
-        for template, at, place, length in sorted(matches, key=lambda m: (m[1], m[1] + m[3], m[0], m[2])):
-            if template in open_:
-                _, end, reached, _ = open_[template]
-                if at - end > MAX_GAP or place + length <= reached:
-                    if at < end:
-                        continue  # another reading of words the chain holds already
-                    close(template)
-            if template not in open_:
-                open_[template] = [at, at + length, place + length, length]
-            else:
-                chain = open_[template]
-                chain[3] += place + length - max(place, chain[2])
-                chain[1], chain[2] = max(chain[1], at + length), place + length
-        for template in list(open_):
-            close(template)
+        for template, own in by_template.items():
+            size = self.sizes[template]
+            enough = [c for c in best_chains(sorted(own)) if c[2] >= LEAST_COVERAGE * size]
+            spans += [(self.labels[template], first, end - 1, min(1.0, covered / size)) for first, end, covered in apart(enough)]
         return sorted(spans, key=lambda s: (s[1], s[0], s[2]))
 
 
+def best_chains(matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(first word, end, covered words) of the chain that covers most, of those the one that begins last, up to every match.
+
+    matches (at, place, length) of one template, in order.  Only matches that end
+    near enough to a match can stand before it, so few are looked at for each.
+    """
+    out: list[tuple[int, int, int]] = []
+    near: list[int] = []
+    for j, (at, place, length) in enumerate(matches):
+        near = [i for i in near if matches[i][0] + matches[i][2] >= at - MAX_GAP]
+        covered, first = length, at
+        for i in near:
+            before, reached = matches[i][0] + matches[i][2], matches[i][1] + matches[i][2]
+            gain = length - max(0, before - at, reached - place)
+            if gain > 0 and matches[i][0] < at and (out[i][2] + gain, out[i][0]) > (covered, first):
+                covered, first = out[i][2] + gain, out[i][0]
+        out.append((first, at + length, covered))
+        near.append(j)
+    return out
+
+
+def apart(chains: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Chains without a common word that cover most together; on ties those that end first."""
+    chains = sorted(set(chains), key=lambda c: (c[1], c[0]))
+    ends = [c[1] for c in chains]
+    total, way = [0], [()]
+    for i, (first, _, covered) in enumerate(chains):
+        before = bisect_right(ends, first, 0, i)
+        if total[before] + covered > total[i]:
+            total.append(total[before] + covered)
+            way.append((way[before], chains[i]))
+        else:
+            total.append(total[i])
+            way.append(way[i])
+    out, left = [], way[-1]
+    while left:
+        left, chain = left
+        out.append(chain)
+    return out[::-1]
+
+
 @lru_cache(maxsize=1)
 def scanner() -> Scanner:
     """One per worker process."""
