@@ -49,6 +49,8 @@ RADIUS = 26
 SHARD_HASHES = 2_000_000
 #: Bits of a set's rarest shingles, and pairs held against them at once.
 RARE_BITS, PAIRS = 4096, 65_536
+#: Hashes compared with one set at once (one set may have more).
+COMPARED = 1 << 18
 #: Hashes permuted at once.
 STEP = 4096
 _RANDOM = np.random.Generator(np.random.PCG64(SEED))
@@ -135,17 +137,17 @@ class Sets:
         open_ = open_[open_ >= 0]
         out = np.zeros(len(query), bool)
         open_ = open_[np.argsort(query[open_], kind="stable")]
-        cuts = np.flatnonzero(np.diff(query[open_])) + 1
-        for same in np.split(open_, cuts) if len(open_) else ():
-            for i in range(0, len(same), 1024):
-                some = same[i : i + 1024]
-                own = self.flat[self.begin[query[some[0]]] : self.end[query[some[0]]]]
-                sizes = self.size[row[some]]
-                starts = np.cumsum(sizes) - sizes
-                other = self.flat[np.repeat(self.begin[row[some]] - starts, sizes) + np.arange(int(sizes.sum()))]
-                at = np.minimum(np.searchsorted(own, other), len(own) - 1)
-                common = np.add.reduceat((own[at] == other).astype(np.int64), starts)
-                out[some] = common * (OVER + UNDER) >= OVER * (len(own) + sizes)
+        # runs of one query, cut where their sets together reach COMPARED hashes
+        weight = np.cumsum(self.size[row[open_]]) // COMPARED
+        cuts = np.flatnonzero(np.diff(query[open_]) | np.diff(weight)) + 1
+        for some in np.split(open_, cuts) if len(open_) else ():
+            own = self.flat[self.begin[query[some[0]]] : self.end[query[some[0]]]]
+            sizes = self.size[row[some]]
+            starts = np.cumsum(sizes) - sizes
+            other = self.flat[np.repeat(self.begin[row[some]] - starts, sizes) + np.arange(int(sizes.sum()))]
+            at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+            common = np.add.reduceat((own[at] == other).astype(np.int64), starts)
+            out[some] = common * (OVER + UNDER) >= OVER * (len(own) + sizes)
         return out
 
 

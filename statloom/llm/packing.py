@@ -36,9 +36,9 @@ from statloom.llm.hilbert import hilbert_index
 HASHED_DIMS = 256
 CURVE_DIMS = 3
 CURVE_BITS = 10
-REMEMBERED_WORDS = 1_200_000
+REMEMBERED_WORDS = 600_000
 #: Texts coded at once, and their bytes (one text may have more).
-CODED_TEXTS, CODED_BYTES = 10_000, 16 << 20
+CODED_TEXTS, CODED_BYTES = 10_000, 8 << 20
 STOPS = ".,;:!?*#$%&|()-"
 #: Letters up to Latin Extended-B whose lower case is one letter.
 LETTERS = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+$"
@@ -196,6 +196,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "
                     [batch.column(0), batch.column(1), pa.Array.from_buffers(pa.binary(), batch.num_rows, buffers), pa.array(np.diff(edges)), *map(pa.array, cells.T)],
                     names=["row", "doc_id", "ids", "doc_tokens", "c0", "c1", "c2"],
                 )
+            pa.default_memory_pool().release_unused()  # the worker lives on beside the next stages
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), text_bytes(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
