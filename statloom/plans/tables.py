@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions.calendar import month_ordinal
 from statloom.operators.ordered import written
+from statloom.session import outliving
 
 
 def file_stamp(spark: SparkSession, path: str) -> tuple:
@@ -41,7 +42,8 @@ def derived(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     stamps = tuple(file_stamp(spark, f"{folder}/{t}.parquet") for t in _SOURCES)
     key = (spark.sparkContext.applicationId, folder, name, stamps)
     if key not in _DERIVED:
-        _DERIVED[key] = written(build())
+        with outliving():
+            _DERIVED[key] = written(build())
     return _DERIVED[key]
 
 

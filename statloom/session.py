@@ -87,6 +87,18 @@ def working(spark: SparkSession) -> Iterator[list[str]]:
             remove_folder(spark, path)
 
 
+@contextmanager
+def outliving() -> Iterator[None]:
+    """What is written inside belongs to no scope: tables that later queries of the session read again."""
+    if not hasattr(_SCOPES, "open"):
+        _SCOPES.open = []
+    _SCOPES.open.append([])
+    try:
+        yield
+    finally:
+        _SCOPES.open.pop()
+
+
 def hand_over(scope: list[str]) -> None:
     """Leave what is in a scope to the one around it, or to the caller if there is none."""
     place = next(i for i, s in enumerate(_SCOPES.open) if s is scope)
