@@ -43,6 +43,66 @@ def test_whole_table(spark):
     assert sum(m["rows"] for m in manifest) == len(texts)
 
 
+def plain_index(cells, bits):
+    """The curve's number by loops over bits and axes."""
+    x, n = list(cells), len(cells)
+    for q in range(bits - 1, 0, -1):
+        low = (1 << q) - 1
+        for i in range(n):
+            if x[i] >> q & 1:
+                x[0] ^= low
+            else:
+                swap = (x[0] ^ x[i]) & low
+                x[0] ^= swap
+                x[i] ^= swap
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    turn = 0
+    for q in range(bits - 1, 0, -1):
+        if x[-1] >> q & 1:
+            turn ^= (1 << q) - 1
+    out = 0
+    for b in range(bits - 1, -1, -1):
+        for v in x:
+            out = 2 * out + ((v ^ turn) >> b & 1)
+    return out
+
+
+def plain_layout(rows, shards=40, bits=6):
+    """shard, slot and curve number of (doc_id, text, lang, source) rows, in one list."""
+    cells = 1 << bits
+
+    def category(values):
+        known = sorted({v for v in values if v is not None})
+        step = cells // len(known) if len(known) <= cells else None
+        place = {v: i * step if step else i * cells // len(known) for i, v in enumerate(known)}
+        return lambda v: 0 if v is None else place[v]
+
+    lang, source = category(r[2] for r in rows), category(r[3] for r in rows)
+    ids = [r[0] for r in rows]
+    width = (max(ids) - min(ids)) // cells + 1
+    keyed = []
+    for doc_id, text, a, b in rows:
+        data = (text or "").encode()
+        size = len(data) + 16
+        length = size.bit_length()
+        step = 4 * (length - 1) + (size >> max(length - 3, 0) & 3) - 16
+        h = plain_index([lang(a), source(b), min(max(step, 0), cells - 1), (doc_id - min(ids)) // width], bits)
+        keyed.append((h, zlib.crc32(data), size, doc_id))
+    out, first = {}, {}
+    for rank, (h, _, _, doc_id) in enumerate(sorted(keyed)):
+        shard = rank * shards // len(rows)
+        out[doc_id] = (shard, rank - first.setdefault(shard, rank), h)
+    return out
+
+
+def test_whole_table_equals_a_plain_numbering(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    want = plain_layout([(r["doc_id"], r["text"], r["lang"], r["source"]) for r in docs.collect()])
+    got = {r["doc_id"]: (r["shard"], r["slot"], r["hilbert"]) for r in hilbert.contract_rows(hilbert.hilbert_shards(docs)).collect()}
+    assert got == want
+
+
 def test_nulls_repeats_and_clashing_columns(spark):
     rows = [(None, None, None, None, 1), (1, "", "en", "s", 2), (1, "", "en", "s", 2), (-(2**63), "é" * 9, None, "t", 3), (2**63 - 1, "x" * 200_000, "fr", None, 4)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, shard int").withColumn("hilbert", F.lit("x"))
