@@ -38,7 +38,7 @@ CURVE_DIMS = 3
 CURVE_BITS = 10
 REMEMBERED_WORDS = 600_000
 #: Texts coded at once, and their bytes (one text may have more).
-CODED_TEXTS, CODED_BYTES = 10_000, 8 << 20
+CODED_TEXTS, CODED_BYTES = 10_000, 16 << 20
 STOPS = ".,;:!?*#$%&|()-"
 #: Letters up to Latin Extended-B whose lower case is one letter.
 LETTERS = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+$"
@@ -52,8 +52,9 @@ class WordTokenizer:
     word of letters up to Latin Extended-B, perhaps followed by stops, is its
     lower-cased letters and its stops one after the other: such tokenizers split
     there.  Many words at once are coded in one call and told apart by the tokens
-    that end a word.  Words are remembered in two halves: once the younger is full
-    it becomes the older one, which gives its words back as they come again.
+    that end a word.  Words that a batch holds more than once are remembered, in two
+    halves: once the younger is full it becomes the older one, which gives its words
+    back as they come again.
     """
 
     _loaded: dict[str, "WordTokenizer"] = {}
@@ -75,8 +76,9 @@ class WordTokenizer:
         self.ends = np.zeros(self.size, bool)
         if suffix:
             self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {b"": b""}
         self.older: dict[bytes, bytes] = {}
+        self.fresh: dict[bytes, bytes] = {}
 
     def flat(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, each with ``end_id`` behind it, and where each begins (with the end behind)."""
@@ -84,27 +86,35 @@ class WordTokenizer:
         coded = split.flatten().dictionary_encode()
         words = _bytes(coded.dictionary)
         if 2 * len(self.known) > REMEMBERED_WORDS:
-            self.known, self.older = {}, self.known
+            self.known, self.older = {b"": b""}, self.known
         if new := self._unknown(set(words)):
             self._learn(list(new))
-        values = [*map(self.known.__getitem__, words), np.array([end_id], self.type).tobytes()]
+        fresh, known = self.fresh, self.known
+        values = [fresh[w] if w in new else known[w] for w in words]
+        values.append(np.array([end_id], self.type).tobytes())
         ids = np.frombuffer(b"".join(values), self.type)
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // ids.itemsize
-        begins = np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, values), np.int32, len(values)) // ids.itemsize
+        begins = np.cumsum(sizes, dtype=np.int32) - sizes
+        places = coded.indices.to_numpy()
+        if new:  # a word that the batch holds once is seldom worth remembering
+            often = np.flatnonzero(np.bincount(places, minlength=len(words)) > 1).tolist()
+            known.update([(w, fresh[w]) for w in map(words.__getitem__, often) if w in new])
+            self.fresh = {}
         behind = np.diff(split.offsets.to_numpy()).cumsum()
-        which = np.insert(coded.indices.to_numpy().astype(np.int64), behind, len(words))
+        which = np.insert(places, behind, len(words))
         lengths = sizes[which]
-        ends = np.cumsum(lengths)
+        ends = np.cumsum(lengths, dtype=np.int64)
         edges = np.concatenate(([0], ends[behind + np.arange(len(behind))]))
-        return ids[np.repeat(begins[which] - (ends - lengths), lengths) + np.arange(int(edges[-1]))], edges
+        shift = (begins[which] - (ends - lengths)).astype(np.int32)
+        return ids[np.repeat(shift, lengths) + np.arange(int(edges[-1]), dtype=np.int32)], edges
 
     def ids(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
         ids, edges = self.flat(pa.array(texts, pa.binary()), end_id)
         return np.split(ids, edges[1:-1])
 
     def _unknown(self, words: set[bytes]) -> set[bytes]:
-        """Words not remembered; those of the older half move to the younger."""
-        new = words.difference(self.known)
+        """Words neither remembered nor learned in this batch; those of the older half move to the younger."""
+        new = words.difference(self.known, self.fresh)
         if kept := new.intersection(self.older):
             self.known.update(zip(kept, map(self.older.__getitem__, kept)))
             new -= kept
@@ -117,15 +127,15 @@ class WordTokenizer:
         cores = cores.filter(plain)
         keys, lengths = _bytes(pc.utf8_lower(cores)), pc.binary_length(cores).to_numpy().tolist()
         self._learn_letters(self._unknown(set(keys)))
-        known, plain_words = self.known, [words[at] for at in chosen.tolist()]
-        known[b""] = b""
+        known, fresh, plain_words = self.known, self.fresh, [words[at] for at in chosen.tolist()]
         stops = [word[size:] for word, size in zip(plain_words, lengths)]
         rest = self._unknown(set(stops))
         if len(plain_words) < len(words):
             rest.update(set(words).difference(plain_words))
-        rest.update([word for word, key in zip(plain_words, keys) if key not in known])  # letters that were split after all
+        rest.update([word for word, key in zip(plain_words, keys) if key not in fresh and key not in known])  # letters that were split after all
         self._learn_whole(list(rest))
-        known.update([(word, known[key] + known[stop]) for word, key, stop in zip(plain_words, keys, stops) if word not in rest])
+        marks = {stop: fresh[stop] if stop in fresh else known[stop] for stop in set(stops)}
+        fresh.update([(word, (fresh[key] if key in fresh else known[key]) + marks[stop]) for word, key, stop in zip(plain_words, keys, stops) if word not in rest])
 
     def _learn_letters(self, cores: set[bytes]) -> None:
         if not cores or not self.ends.any():
@@ -135,7 +145,7 @@ class WordTokenizer:
         if len(cuts) == len(cores):  # else a core was split after all, and all go the long way
             flat, width = ids.astype(self.type).tobytes(), int(self.type[-1])
             cuts = [c * width for c in cuts]
-            self.known.update(zip(cores, [flat[a:b] for a, b in zip([0, *cuts], cuts)]))
+            self.fresh.update(zip(cores, [flat[a:b] for a, b in zip([0, *cuts], cuts)]))
 
     def _learn_whole(self, words: list[bytes]) -> None:
         if not words:
@@ -144,7 +154,7 @@ class WordTokenizer:
         got: dict[int, list[int]] = {}
         for word, token in zip(coded.word_ids, coded.ids):
             got.setdefault(word, []).append(token)
-        self.known.update((w, np.array(got.get(i, ()), self.type).tobytes()) for i, w in enumerate(words))
+        self.fresh.update((w, np.array(got.get(i, ()), self.type).tobytes()) for i, w in enumerate(words))
 
 
 def _bytes(strings: pa.Array) -> list[bytes]:
@@ -162,11 +172,13 @@ def _projection() -> np.ndarray:
     return np.linalg.qr(np.random.default_rng(7).normal(size=(HASHED_DIMS, CURVE_DIMS)))[0].T
 
 
-def curve_cells(ids: np.ndarray, dims: np.ndarray, signs: np.ndarray, directions: np.ndarray) -> list[int]:
-    vector = np.bincount(dims[ids], weights=signs[ids], minlength=HASHED_DIMS)
-    vector = np.sign(vector) * np.sqrt(np.abs(vector))
-    place = directions @ vector / max(np.linalg.norm(vector), 1e-12)
-    return np.clip(((place + 1) / 2 * (1 << CURVE_BITS)).astype(np.int64), 0, (1 << CURVE_BITS) - 1).tolist()
+def curve_cells(ids: np.ndarray, edges: np.ndarray, dims: np.ndarray, signs: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    """Cells (document, direction) of documents end to end: signed hashed counts, their roots, projected and quantised."""
+    document = np.repeat(np.arange(len(edges) - 1), np.diff(edges)) * HASHED_DIMS
+    vectors = np.bincount(document + dims[ids], weights=signs[ids], minlength=(len(edges) - 1) * HASHED_DIMS).reshape(-1, HASHED_DIMS)
+    vectors = np.sign(vectors) * np.sqrt(np.abs(vectors))
+    places = vectors @ directions.T / np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)[:, None]
+    return np.clip(((places + 1) / 2 * (1 << CURVE_BITS)).astype(np.int32), 0, (1 << CURVE_BITS) - 1)
 
 
 def _slices(batch: pa.RecordBatch, texts: int) -> Iterator[pa.RecordBatch]:
@@ -190,10 +202,10 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "
         for whole in batches:
             for batch in _slices(whole, 2):
                 ids, edges = words.flat(batch.column(2), end_id)
-                cells = np.array([curve_cells(x, dims, signs, directions) for x in np.split(ids, edges[1:-1])], np.int32)
+                cells = curve_cells(ids, edges, dims, signs, directions)
                 buffers = [None, pa.py_buffer((edges * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.Array.from_buffers(pa.binary(), batch.num_rows, buffers), pa.array(np.diff(edges)), *map(pa.array, cells.T)],
+                    [batch.column(0), batch.column(1), pa.Array.from_buffers(pa.binary(), batch.num_rows, buffers), pa.array(np.diff(edges)), *[pa.array(c) for c in np.ascontiguousarray(cells.T)]],
                     names=["row", "doc_id", "ids", "doc_tokens", "c0", "c1", "c2"],
                 )
             pa.default_memory_pool().release_unused()  # the worker lives on beside the next stages
