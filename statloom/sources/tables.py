@@ -190,10 +190,10 @@ def weight_rows(pages: DataFrame, body: str) -> DataFrame:
     return out.filter("name <> '' AND w1 IS NOT NULL AND w2 IS NOT NULL")
 
 
-def dated_notices(pages: DataFrame, body: str, key: str, rules: list[tuple[str, str]], high: list[str]) -> DataFrame:
+def dated_notices(pages: DataFrame, body: str, key: str, rules: list[tuple[str, str]] | None = None, high: list[str] | None = None) -> DataFrame:
     """Links in list items with an optional trailing (mm/dd/yyyy); the smallest key's version of each url is kept.
 
-    The title's category is the first of ``rules`` (pattern, label) it meets, else
+    With ``rules`` (pattern, label) the title's category is the first one it meets, else
     'other'; ``high`` names the categories of high impact.
     """
     items = pages.select(key, F.explode(F.regexp_extract_all(body, F.lit(r"(?s)<li>(.*?)</li>"), 1)).alias("_i"))
@@ -201,7 +201,10 @@ def dated_notices(pages: DataFrame, body: str, key: str, rules: list[tuple[str,
     text = F.trim(F.regexp_replace("_i", r"<[^>]+>", ""))
     stamp = F.regexp_extract(text, r"\((\d{2}/\d{2}/\d{4})\)\s*$", 1)
     rows = items.select(key, url.alias("url"), F.trim(F.regexp_replace(text, r"\(\d{2}/\d{2}/\d{4}\)\s*$", "")).alias("title"), F.try_to_timestamp(F.nullif(stamp, F.lit("")), F.lit("MM/dd/yyyy")).cast("date").alias("day"))
-    return rows.filter("url <> ''").groupBy("url").agg(F.min(F.struct(key, "title", "day")).alias("_b")).select("url", "_b.title", "_b.day").withColumn("category", first_match("title", rules, "other")).withColumn("high_impact", F.col("category").isin(high))
+    notices = rows.filter("url <> ''").groupBy("url").agg(F.min(F.struct(key, "title", "day")).alias("_b")).select("url", "_b.title", "_b.day")
+    if not rules:
+        return notices
+    return notices.withColumn("category", first_match("title", rules, "other")).withColumn("high_impact", F.col("category").isin(high or []))
 
 
 def baseline_rows(df: DataFrame, state: str, counties: list[str], per_unit: int = 36) -> DataFrame:

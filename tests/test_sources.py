@@ -45,6 +45,8 @@ def test_notices_with_dates(spark):
     html = '<ul><li><a href="/a">Correction notice</a> (03/04/2021)</li><li><a href="/b">Webinar</a></li><li><a href="/a">again</a></li></ul>'
     rows = {r.url: (r.title, str(r.day)) for r in tables.dated_notices(spark.createDataFrame([(1, html)], "id int, h string"), "h", "id").collect()}
     assert rows["/a"] == ("Correction notice", "2021-03-04") and rows["/b"] == ("Webinar", "None")
+    told = tables.dated_notices(spark.createDataFrame([(1, html)], "id int, h string"), "h", "id", [("correct", "correction")], ["correction"]).collect()
+    assert {r.url: (r.category, r.high_impact) for r in told} == {"/a": ("correction", True), "/b": ("other", False)}
 
 
 def test_lenient_numbers(spark):
