@@ -108,7 +108,7 @@ _PCTS = ", ".join(f"{t}_pct_{b}" for t in ("police", "fire", "police_fire") for
     show("SELECT * FROM metrics", "unit, year, n_items, record_complete, police_flags, fire_flags, " + _LONGS, "unit_imputed_share, " + _PCTS, METRICS),
 )
 def _(spark, d):
-    return metrics(spark, d)
+    return ledger.ledger_metrics(_items(spark, d))
 
 
 @query(
