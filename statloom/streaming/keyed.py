@@ -15,6 +15,7 @@ import math
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -22,6 +23,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from statloom.streaming.series import epoch_us, keep_last
 
 HOUR_US = 3_600_000_000
+NEVER = -(1 << 63)  # a missing time or wall, on the way into pandas
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -149,72 +151,116 @@ def last_good_changes(stream: DataFrame) -> DataFrame:
     return rows.groupBy("id").transformWithState(LastGood(), LastGood.SCHEMA, "Append", "None")
 
 
-class ForwardItem(StatefulProcessor):
-    """One item of a forward wall: its newest version, until an hour after its time has passed.
+class ForwardItems(StatefulProcessor):
+    """A bucket of a forward wall's items: their newest versions, until an hour after their time has passed.
 
-    The item leaves by a timer, with or without further rows.  A version that is
-    over (or undated) is remembered, unseen, until the watermark has passed its
-    fetch: an older version that comes late must not bring the item back.
+    Items leave by a timer, with or without further rows.  A version that is over
+    (or undated) is remembered, unseen, until the watermark has passed its fetch:
+    an older version that comes late must not bring the item back.  The bucket is
+    read and written at once and has one timer, that of the item due first, so a
+    trigger costs a few calls a bucket and none an item.
     """
 
     SCHEMA = "wall bigint, id string, at_us bigint, title string, severity string, fetched_us bigint, kept boolean, version bigint"
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.item = handle.getValueState("item", "fetched_us bigint, at_us bigint, title string, severity string, kept boolean, version bigint")
+        # an array a field: the items of a bucket are one value
+        self.items = handle.getValueState(
+            "items", "due bigint, id array<string>, fetched_us array<bigint>, at_us array<bigint>, title array<string>, severity array<string>, kept array<boolean>, version array<bigint>"
+        )
 
     @staticmethod
     def _order(item) -> tuple:
         return tuple((x is not None, x if x is not None else 0) for x in item[:2]) + ((item[2] is not None, item[2] or ""),)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        stored = tuple(self.item.get()) if self.item.exists() else None
-        newest = max(((r.fetched_us, r.at_us, r.title, r.severity) for r in rows), key=self._order)
-        if stored is not None and self._order(stored) >= self._order(newest):
+    @staticmethod
+    def _due(item) -> int:
+        """When a kept item leaves, and when one that is over is forgotten."""
+        fetched, at, _, _, kept, _ = item
+        if kept:
+            return due_ms(at + HOUR_US)
+        return max(due_ms(at + HOUR_US) if at is not None else 0, due_ms(fetched) if fetched is not None else 0)
+
+    def _stored(self) -> tuple[dict, int | None]:
+        """The items, and the timer that is set."""
+        if not self.items.exists():
+            return {}, None
+        due, ids, *fields = self.items.get()
+        return dict(zip(ids, zip(*fields, strict=True), strict=True)), due
+
+    def _store(self, items: dict, timer: int | None) -> None:
+        """Write the bucket, and move its timer (``timer``: the one that is set) to the item due first."""
+        due = min(map(self._due, items.values()), default=None)
+        if items:
+            self.items.update((due, list(items), *map(list, zip(*items.values(), strict=True))))
+        else:
+            self.items.clear()
+        if timer == due:
             return
-        fetched, at, title, severity = newest
-        over = due_ms(at + HOUR_US) if at is not None else 0
-        forget = max(over, due_ms(fetched))
-        kept = over > max(0, timerValues.getCurrentWatermarkInMs())
-        for timer in list(self.handle.listTimers()):
+        if timer is not None:
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(over if kept else forget)
-        was, version = (stored[4], stored[5]) if stored is not None else (False, 0)
-        self.item.update((fetched, at, title, severity, kept, version + 1))
-        if kept or was:
-            yield self._row(key, newest, kept, version + 1)
+        if due is not None:
+            self.handle.registerTimer(due)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if not self.item.exists():
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        came = {}
+        for frame in rows:
+            fetched, at = ([None if us == NEVER else us for us in frame[c].tolist()] for c in ("fetched_us", "at_us"))
+            for ident, *item in zip(frame["id"].tolist(), fetched, at, frame["title"].tolist(), frame["severity"].tolist(), strict=True):
+                if ident not in came or self._order(item) > self._order(came[ident]):
+                    came[ident] = item
+        (items, timer), now, changed = self._stored(), max(0, timerValues.getCurrentWatermarkInMs()), []
+        for ident, item in came.items():
+            stored = items.get(ident)
+            if stored is not None and self._order(stored) >= self._order(item):
+                continue
+            kept = item[1] is not None and due_ms(item[1] + HOUR_US) > now
+            was, version = (stored[4], stored[5]) if stored is not None else (False, 0)
+            items[ident] = (*item, kept, version + 1)
+            changed.append((ident, was))
+        if not changed:
             return
-        fetched, at, title, severity, kept, version = self.item.get()
-        forget = due_ms(fetched)
-        if forget > timerValues.getCurrentWatermarkInMs():
-            self.item.update((fetched, at, title, severity, False, version + 1))
-            self.handle.registerTimer(forget)
-        else:
-            self.item.clear()
-        if kept:
-            yield self._row(key, (fetched, at, title, severity), False, version + 1)
+        self._store(items, timer)
+        yield self._frame(key, [(ident, items[ident]) for ident, was in changed if items[ident][4] or was])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        (items, _), now, left = self._stored(), timerValues.getCurrentWatermarkInMs(), []
+        for ident, item in list(items.items()):
+            if self._due(item) > now:
+                continue
+            over = (*item[:4], False, item[5] + 1)
+            if item[4]:
+                left.append((ident, over))
+            if self._due(over) > now:
+                items[ident] = over
+            else:
+                del items[ident]
+        self._store(items, None)  # the timer that has expired is gone by itself
+        yield self._frame(key, left)
 
     @staticmethod
-    def _row(key, item, kept: bool, version: int) -> Row:
-        return Row(wall=key[0], id=key[1], at_us=item[1], title=item[2], severity=item[3], fetched_us=item[0], kept=kept, version=version)
+    def _frame(key, entries: list) -> pd.DataFrame:
+        # objects, so that no whole number becomes a float beside a missing one
+        wall = int(key[0]) if key[0] != NEVER else None
+        rows = [(wall, ident, at, title, severity, fetched, kept, version) for ident, (fetched, at, title, severity, kept, version) in entries]
+        return pd.DataFrame(rows, columns=["wall", "id", "at_us", "title", "severity", "fetched_us", "kept", "version"], dtype=object)
 
     def close(self) -> None:
         pass
 
 
-def forward_wall_changes(stream: DataFrame, lateness: str) -> DataFrame:
+def forward_wall_changes(stream: DataFrame, lateness: str, buckets: int = 256) -> DataFrame:
     """Change log of a forward wall (wall, id, at, title, severity, fetched); now is the watermark of the fetches.
 
-    State and timers are kept per item, so a wall with most of the items is many keys.
+    State and timers are kept per ``buckets``-th of a wall's ids, so a wall with most
+    of the items is many keys; a bucket's items, those not yet over, are read together.
     """
     keyed = stream.withColumn("id", F.coalesce("id", F.substring(F.concat_ws("|", F.col("at").cast("string"), "title"), 1, 200)))
-    rows = keyed.withWatermark("fetched", lateness).select(
-        F.col("wall").cast("bigint").alias("wall"), "id", epoch_us("at").alias("at_us"), "title", "severity", epoch_us("fetched").alias("fetched_us"), "fetched"
-    )
-    return rows.groupBy("wall", "id").transformWithState(ForwardItem(), ForwardItem.SCHEMA, "Append", "EventTime")
+    us = lambda c: F.coalesce(epoch_us(c), F.lit(NEVER)).alias(f"{c}_us")
+    bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("bucket")
+    rows = keyed.withWatermark("fetched", lateness).select(F.coalesce(F.col("wall").cast("bigint"), F.lit(NEVER)).alias("wall"), bucket, "id", us("at"), "title", "severity", us("fetched"), "fetched")
+    return rows.groupBy("wall", "bucket").transformWithStateInPandas(ForwardItems(), ForwardItems.SCHEMA, "Append", "EventTime")
 
 
 def forward_wall(log: DataFrame, history: int) -> DataFrame:

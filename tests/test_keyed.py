@@ -130,3 +130,16 @@ def test_a_silent_feed_turns_stale_without_a_row_of_its_own(spark, tmp_path):
 @pytest.mark.parametrize("us, ms", [(0, 1), (999, 1), (1000, 2)])
 def test_timers_fire_behind_their_time(us, ms):
     assert keyed.due_ms(us) == ms
+
+
+def test_a_bucket_of_a_wall_holds_many_items(spark, tmp_path):
+    source = Source(spark, tmp_path, WALL)
+    source.add([(1, f"i{i}", hours(i % 20), f"t{i}", None if i % 9 == 0 else "info", hours(0)) for i in range(300)] + [(None, "n", hours(9), "no wall", "info", hours(0))])
+    source.add([(1, f"i{i}", hours(30), "moved", "info", hours(3)) for i in range(0, 300, 7)])
+    changes = keyed.forward_wall_changes(source.stream(), "0 seconds", buckets=2)
+    log = source.run(changes)
+    entry = lambda r: (r.wall, r.id, r.at, r.title, r.fetched)
+    want = walls.upsert_wall(None, source.all(), F.lit(hours(3)).cast("timestamp"), 500, forward=True)
+    assert {entry(r) for r in keyed.forward_wall(log, 500).collect() if r.wall} == {entry(r) for r in want.collect() if r.wall}
+    # an item's entry leaves once: every id that is not kept has one such row
+    assert log.filter("NOT kept").groupBy("wall", "id").count().filter("count > 1").count() == 0
