@@ -3,26 +3,34 @@
 Distance = sum of weights of differing structure flags + |log2 size ratio| +
 |price difference| / scale (a fixed 1.0 when either price is missing).
 
-1. Candidates with identical features collapse to one point that keeps its k+1
-   smallest ids: with ties broken by id nobody else can be among anyone's k.
-   Searches collapse the same way, so a third of all units sharing one point
-   costs one search.
-2. Every searching point gets a proven bound, the smaller of two: the distance
-   of its k+1-th candidate among neighbours of its own class in a locality
-   ordering, and the reach of the cheapest strips of size, over all classes with
-   their mismatch, that together hold k+1 candidates.
-3. Points are put in square cells whose side is the power of two above the
-   bound; any candidate within the bound lies in the 3 x 3 cells around the
-   point, found by an equality join on (level, cell, class).  Levels adapt to
-   the local density, so dense regions use small cells.
+1. Units with identical features collapse to one point that keeps its k+1
+   smallest candidate ids: with ties broken by id nobody else can be among
+   anyone's k.  A third of all units sharing one point costs one search.
+2. Points are sorted by class and locality and cut, an Arrow batch at a time, by
+   halving the wider side of the box: blocks of at most ``BLOCK`` points of a
+   class with the boxes of their points and of their candidates.  A batch's share
+   of a class is a region.
+3. The farthest any point of a searching box can be from a box with k+1
+   candidates bounds the distance of its k+1-th candidate; boxes that begin
+   beyond it are out.  Regions are compared with regions first, then blocks inside
+   the regions that are left, then the single points of blocks with many
+   candidates left.  So points far off all candidates, or of a rare class, see the
+   few blocks they can have peers in.
+4. A block meets its candidate blocks in one group, where the distances are one
+   matrix product of bounded size at a time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.operators.ordered import shared, top_k
+from statloom.operators.ordered import shared, spread, top_k, written
 
 # Structure weights, size weight, price scale, peers per unit.
 STRUCTURE_WEIGHTS = {
@@ -34,6 +42,11 @@ STRUCTURE_WEIGHTS = {
 }
 SIZE_WEIGHT, PRICE_SCALE, N_PEERS = 1.0, 10.0, 8
 
+BLOCK = 128  # points of a block
+CROWD = 1 << 16  # candidates above which a block's points search on their own
+CELLS = 1 << 20  # distances held at a time
+TIE = 2e-9  # distances are compared at nine digits
+
 
 def nearest_peers(
     units: DataFrame,
@@ -52,52 +65,41 @@ def nearest_peers(
             "complete",
             code.alias("cls"),
             (F.log2(F.col("pop").cast("double")) * size_weight).alias("x"),
-            (F.col("rpp") / price_scale).alias("r"),
+            F.nanvl(F.col("rpp").cast("double") / price_scale, F.lit(None).cast("double")).alias("r"),
         ).withColumn("priced", F.col("r").isNotNull()).withColumn("y", F.coalesce("r", F.lit(0.0)))
     )
     feature = ["cls", "priced", "x", "y"]
-    keep = top_k(points.filter("complete"), feature, [F.col("pid")], k + 1).groupBy(*feature).agg(F.sort_array(F.collect_list("pid")).alias("pids"))
-    keep = shared(keep)
-    searches = points.select(*feature).distinct()
-
-    # the classes a search must look into, with the fixed part of the distance
-    classes = keep.select(F.col("cls").alias("c_cls"), F.col("priced").alias("c_priced")).distinct()
-    pairs = searches.select("cls", "priced").distinct()
-    mismatch = sum((F.when((F.col("cls").bitwiseXOR(F.col("c_cls"))).bitwiseAND(1 << i) != 0, w).otherwise(0.0) for i, (f, w) in enumerate(weights.items())), F.lit(0.0))
-    # at most 2 * 2**flags classes on each side, by construction of the code
-    lanes = pairs.join(F.broadcast(classes), F.lit(True)).withColumn("both", F.col("priced") & F.col("c_priced")).withColumn(
-        "fixed", mismatch + F.when(F.col("both"), 0.0).otherwise(1.0)
-    )
+    # a size that is missing or not positive has no distance to anybody
+    sized = points.filter("abs(x) < double('infinity')").withColumn("_c", F.coalesce("complete", F.lit(False)))
+    first = top_k(sized, feature, [F.desc("_c"), F.col("pid")], k + 1)
+    spots = first.groupBy(*feature).agg(F.sort_array(F.collect_list(F.when(F.col("_c"), F.col("pid")))).alias("pids"))
+    # the cuts of range partitioning are sampled, so the blocks are written before anything refers to them
+    blocks = written(_blocks(spots).withColumn("block", F.monotonically_increasing_id()))
 
-    bounds = _bounds(searches, keep, k).join(F.broadcast(_strip_reach(searches, keep, lanes, k)), ["cls", "priced", "strip"])  # a row a class and doubling of size
-    bounds = bounds.select(*feature, F.least("near", "reach").alias("bound"))
-    wanted = searches.join(bounds, feature).join(F.broadcast(lanes), ["cls", "priced"]).filter(F.col("fixed") <= F.col("bound"))
-    # what is left of the bound after the fixed part is the radius in the (x, y) plane; rounding up keeps ties in
-    radius = F.col("bound") - F.col("fixed") + 1e-9
-    level = F.greatest(F.ceil(F.log2(radius)), F.lit(-40)).cast("int")
-    side = F.pow(F.lit(2.0), F.col("level"))
-    cell = lambda v: F.floor(F.col(v) / side).cast("bigint")
-    probes = wanted.withColumn("level", level).withColumn("_cx", cell("x")).withColumn("_cy", F.when(F.col("both"), cell("y")).otherwise(0))
-    around = F.when(F.col("both"), F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).otherwise(
-        F.array(*[F.struct(F.lit(i).alias("i"), F.lit(0).alias("j")) for i in (-1, 0, 1)])
-    )
-    probes = probes.withColumn("_o", F.explode(around)).select(
-        *feature, "bound", "fixed", "both", "c_cls", "c_priced", "level", (F.col("_cx") + F.col("_o.i")).alias("cx"), (F.col("_cy") + F.col("_o.j")).alias("cy")
-    )
-    # the grid levels in use are bounded by the exponent range of the data, not by its rows
-    used = probes.select("level", "both", "c_cls", "c_priced").distinct()
-    home = keep.withColumnsRenamed({"cls": "c_cls", "priced": "c_priced", "x": "c_x", "y": "c_y"}).join(used, ["c_cls", "c_priced"])
-    home = home.withColumn("cx", F.floor(F.col("c_x") / side).cast("bigint")).withColumn("cy", F.when(F.col("both"), F.floor(F.col("c_y") / side).cast("bigint")).otherwise(0))
-    found = probes.join(home, ["level", "both", "c_cls", "c_priced", "cx", "cy"])
-    size = F.abs(F.col("x") - F.col("c_x"))
-    price = F.when(F.col("both"), F.abs(F.col("y") - F.col("c_y"))).otherwise(1.0)
-    scored = found.withColumn("size_component", size).withColumn("price_component", price)
-    structure = F.col("fixed") - F.when(F.col("both"), 0.0).otherwise(1.0)
-    scored = scored.withColumn("distance", structure + F.col("size_component") + F.col("price_component")).filter(F.col("distance") <= F.col("bound") + 1e-9)
-    hits = scored.select(*feature, "distance", "size_component", "price_component", F.col("c_cls").bitwiseXOR(F.col("cls")).alias("mismatch_code"), F.explode("pids").alias("peer_pid"))
-    best = top_k(hits, feature, [F.round("distance", 9), F.col("peer_pid")], k + 1, "_order")
+    pairs = _near_blocks(blocks, weights, k)
+    # a searching point of a crowded block is a block of its own
+    load = pairs.groupBy("block").agg(F.sum("points").alias("_load"))
+    crowded = F.col("_load") > CROWD
+    pairs = shared(pairs.join(load, "block"))
+    sought = blocks.select("block", "cls", "priced", "xs", "ys").join(load, "block")
+    alone = sought.filter(crowded & (F.size("xs") > 1)).select("block", "cls", "priced", F.posexplode(F.arrays_zip("xs", "ys")).alias("part", "_p"))
+    alone = alone.select("block", "part", "cls", "priced", F.array("_p.xs").alias("xs"), F.array("_p.ys").alias("ys"), *[F.col(f"_p.{v}s").alias(f"{v}{e}") for v in "xy" for e in "01"])
+    whole = sought.join(alone.select("block").distinct(), "block", "left_anti")
+    boxes = blocks.select(F.col("block").alias("c_block"), *[f"c_{v}{e}" for v in "xy" for e in "01"])
+    picked = pairs.filter(crowded).drop("_load").join(boxes, "c_block")
+    single = _within(_spans(alone.drop("cls", "priced", "xs", "ys").join(picked, "block")), ["block", "part"], k)
+
+    meets = pairs.join(whole.select("block"), "block").withColumn("part", F.lit(-1)).select("block", "part", "c_block", "miss", "both", "code")
+    meets = meets.unionByName(single.select(*meets.columns))
+    theirs = blocks.select(F.col("block").alias("c_block"), "c_xs", "c_ys", "c_ns", "pids")
+    meets = meets.join(theirs, "c_block").withColumnsRenamed({"block": "m_block", "part": "m_part"}).drop("c_block")
+    seekers = whole.withColumn("part", F.lit(-1)).select("block", "part", "cls", "priced", "xs", "ys")
+    seekers = seekers.unionByName(alone.select(*seekers.columns))
+    near = "array<struct<pid: bigint, distance: double, size_component: double, price_component: double, code: int>>"
+    best = seekers.groupBy("block", "part").cogroup(meets.groupBy("m_block", "m_part")).applyInArrow(_search(k), f"cls int, priced boolean, x double, y double, near {near}")
+    order = F.transform("near", lambda s: F.struct(F.round(s["distance"], 9).alias("_order"), s["pid"].alias("peer_pid"), s["distance"], s["size_component"], s["price_component"], s["code"].alias("mismatch_code")))
     # every unit of the point drops itself and keeps k
-    answers = points.select("pid", *feature).join(best.groupBy(*feature).agg(F.sort_array(F.collect_list(F.struct("_order", "peer_pid", "distance", "size_component", "price_component", "mismatch_code"))).alias("_all")), feature)
+    answers = sized.select("pid", *feature).join(best.select(*feature, F.slice(F.array_sort(order), 1, k + 1).alias("_all")), feature)
     mine = F.slice(F.filter("_all", lambda s: s["peer_pid"] != F.col("pid")), 1, k)
     rows = answers.select("pid", F.posexplode(mine).alias("_i", "_s"))
     names = F.array_join(F.array_compact(F.array(*[F.when(F.col("_s.mismatch_code").bitwiseAND(1 << i) != 0, F.lit(f)) for i, f in enumerate(flags)])), "|")
@@ -112,65 +114,147 @@ def nearest_peers(
     )
 
 
-def _strip(x: str) -> Column:
-    """Strip of the size axis one unit wide."""
-    return F.floor(F.col(x)).cast("int")
+def _blocks(spots: DataFrame) -> DataFrame:
+    """Blocks of points in a locality order: interleaved-digit cells of both coordinates, class by class."""
+    digits = [(F.shiftright(F.floor(F.col(c) * 64).cast("bigint"), i).bitwiseAND(1), c, i) for i in range(11, -1, -1) for c in ("x", "y")]
+    order = F.concat(*[d.cast("string") for d, _, _ in digits])
+    laid = spots.withColumn("_z", order).repartitionByRange("cls", "priced", "_z", "x", "y").sortWithinPartitions("cls", "priced", "_z", "x", "y").drop("_z")
+    lists = "xs array<double>, ys array<double>, c_xs array<double>, c_ys array<double>, c_ns array<int>, pids array<bigint>"
+    box = ", ".join(f"{side}{v}{e} double" for side in ("", "c_") for v in "xy" for e in "01")
+    return laid.mapInArrow(_cut, f"region bigint, cls int, priced boolean, {lists}, {box}, points int, n int")
 
 
-def _strip_reach(searches: DataFrame, keep: DataFrame, lanes: DataFrame, k: int) -> DataFrame:
-    """cls, priced, strip, reach: within ``reach`` any point of the strip finds k+1 candidates, or all there are.
+def _halves(x: np.ndarray, y: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    """Rows in blocks of at most ``BLOCK``, by halving the wider side."""
+    todo, done = [rows], []
+    while todo:
+        part = todo.pop()
+        if len(part) <= BLOCK:
+            done.append(part)
+            continue
+        side = x if np.ptp(x[part]) >= np.ptp(y[part]) else y
+        middle = len(part) // 2
+        part = part[np.argpartition(side[part], middle)]
+        todo += [part[middle:], part[:middle]]
+    return done
 
-    Strips of candidates are taken in order of the largest distance they can be
-    at.  Both sides are classes times strips, whatever the number of units.
-    """
-    low_high = [F.min("y").alias("lo"), F.max("y").alias("hi")]
-    mine = searches.groupBy("cls", "priced", _strip("x").alias("strip")).agg(*low_high)
-    theirs = keep.groupBy(F.col("cls").alias("c_cls"), F.col("priced").alias("c_priced"), _strip("x").alias("c_strip")).agg(
-        F.sum(F.size("pids")).alias("n"), F.min("y").alias("c_lo"), F.max("y").alias("c_hi")
-    )
-    apart = F.when(F.col("both"), F.greatest(F.col("hi") - F.col("c_lo"), F.col("c_hi") - F.col("lo"))).otherwise(0.0)
-    met = mine.join(F.broadcast(lanes), ["cls", "priced"]).join(theirs, ["c_cls", "c_priced"])
-    met = met.withColumn("far", F.col("fixed") + F.abs(F.col("strip") - F.col("c_strip")) + 1 + apart)
-    w = Window.partitionBy("cls", "priced", "strip").orderBy("far", "c_cls", "c_priced", "c_strip")
-    met = met.withColumn("_run", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    enough = F.min(F.when(F.col("_run") >= k + 1, F.col("far")))
-    return met.groupBy("cls", "priced", "strip").agg(F.coalesce(enough, F.max("far")).alias("reach"))
-
-
-def _bounds(searches: DataFrame, keep: DataFrame, k: int) -> DataFrame:
-    """``near``: distance to the k+1-th candidate of the same class among neighbours in a locality order, where there are so many.
-
-    Searching points and candidates of one (class, priced) lane are laid out on
-    interleaved-digit cells of both coordinates.  The order is cut where range
-    partitioning cuts it, so a hot lane is many tasks; any cut gives a valid
-    bound.
-    """
-    feature = ["cls", "priced", "x", "y"]
-    tagged = searches.select(*feature, F.lit(0).alias("_n"), F.lit(1).alias("_search")).unionByName(
-        keep.select(*feature, F.size("pids").alias("_n"), F.lit(0).alias("_search"))
-    )
-    tagged = tagged.groupBy(*feature).agg(F.sum("_n").alias("_n"), F.max("_search").alias("_search"))
-    digits = [(F.shiftright(F.floor(F.col(c) * 64).cast("bigint"), i).bitwiseAND(1), c, i) for i in range(11, -1, -1) for c in ("x", "y")]
-    order = F.concat(*[d.cast("string") for d, _, _ in digits])
-    cut = tagged.withColumn("_z", order).repartitionByRange("cls", "priced", "_z", "x", "y").withColumn("_seg", F.spark_partition_id())
-    w = Window.partitionBy("cls", "priced", "_seg").orderBy("_z", "x", "y").rowsBetween(-(k + 1), k + 1)
-    near = cut.withColumn("_near", F.collect_list(F.struct("x", "y", "_n")).over(w))
-    # distances to neighbours of the same class, each standing for _n candidates
-    dist = F.array_sort(
-        F.transform(
-            F.filter("_near", lambda s: s["_n"] > 0),
-            lambda s: F.struct((F.abs(s["x"] - F.col("x")) + F.when(F.col("priced"), F.abs(s["y"] - F.col("y"))).otherwise(1.0)).alias("d"), s["_n"].alias("n")),
-        )
-    )
-    reach = F.aggregate(
-        dist,
-        F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("double").alias("d")),
-        lambda acc, s: F.struct(
-            (acc["n"] + s["n"]).cast("bigint").alias("n"), F.when(acc["n"] >= k + 1, acc["d"]).otherwise(s["d"]).alias("d")
-        ),
-    )
-    found = near.filter("_search = 1").withColumn("_r", reach)
-    return found.select(*feature, _strip("x").alias("strip"), F.when(F.col("_r.n") >= k + 1, F.col("_r.d")).alias("near"))
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    region = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cls, priced, x, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cls", "priced", "x", "y"))
+        pids = batch.column("pids")
+        held = pids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)
+        lane = cls.astype(np.int64) * 2 + priced
+        starts = np.flatnonzero(np.r_[True, lane[1:] != lane[:-1]])
+        parts, regions = [], []
+        for a, b in zip(starts, np.r_[starts[1:], len(lane)], strict=True):
+            blocks = _halves(x, y, np.arange(a, b))
+            parts += blocks
+            regions += [region] * len(blocks)
+            region += 1
+        at = np.concatenate(parts)
+        ends = np.cumsum([len(p) for p in parts])
+        begins = np.r_[0, ends[:-1]]
+        mine, n = held[at] > 0, held[at]
+        counts, ids = np.add.reduceat(mine.astype(np.int32), begins), np.add.reduceat(n, begins)
+        few = at[mine]
+        lists = lambda values, sizes: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), values)
+        sizes = ends - begins
+        out = {
+            "region": pa.array(regions, pa.int64()), "cls": pa.array(cls[at[begins]], pa.int32()), "priced": pa.array(priced[at[begins]].astype(bool)),
+            "xs": lists(pa.array(x[at]), sizes), "ys": lists(pa.array(y[at]), sizes),
+            "c_xs": lists(pa.array(x[few]), counts), "c_ys": lists(pa.array(y[few]), counts), "c_ns": lists(pa.array(held[few]), counts),
+            "pids": lists(pids.take(pa.array(few)).flatten(), ids),
+        }
+        for prefix, inside in (("", np.ones(len(at), bool)), ("c_", mine)):
+            for v, values in (("x", x[at]), ("y", y[at])):
+                out[f"{prefix}{v}0"] = pa.array(np.minimum.reduceat(np.where(inside, values, np.inf), begins))
+                out[f"{prefix}{v}1"] = pa.array(np.maximum.reduceat(np.where(inside, values, -np.inf), begins))
+        yield pa.RecordBatch.from_pydict({**out, "points": pa.array(counts, pa.int32()), "n": pa.array(ids, pa.int32())})
+
+
+def _spans(met: DataFrame) -> DataFrame:
+    """``lo`` and ``hi``: the least and largest distance of a point of the searching box to one of the other's candidates."""
+    gap = lambda v: F.greatest(F.col(f"{v}0") - F.col(f"c_{v}1"), F.col(f"c_{v}0") - F.col(f"{v}1"), F.lit(0.0))
+    far = lambda v: F.greatest(F.col(f"{v}1") - F.col(f"c_{v}0"), F.col(f"c_{v}1") - F.col(f"{v}0"))
+    side = lambda f: F.col("miss") + f("x") + F.when(F.col("both"), f("y")).otherwise(1.0)
+    return met.withColumns({"lo": side(gap), "hi": side(far)})
+
+
+def _within(spans: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The pairs that can hold one of the k+1 nearest candidates."""
+    reach = spans.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("n") > k, F.col("hi"))), F.lit(float("inf"))).alias("_reach"))
+    return spans.join(reach, keys).filter(F.col("lo") <= F.col("_reach") + TIE).drop("_reach", "lo", "hi")
+
+
+def _near_blocks(blocks: DataFrame, weights: dict[str, float], k: int) -> DataFrame:
+    """(block, c_block, points, n, miss, both, code): blocks and the candidate blocks their peers can be in."""
+    box = [f"{v}{e}" for v in "xy" for e in "01"]
+    edge = lambda c: (F.min if c.endswith("0") else F.max)(c).alias(c)
+    regions = blocks.groupBy("region", "cls", "priced").agg(*[edge(f"{side}{c}") for side in ("", "c_") for c in box], F.sum("n").alias("n"))
+    # ten thousand points a region, so their pairs are few
+    other = regions.filter("n > 0").select(F.col("region").alias("c_region"), F.col("cls").alias("c_cls"), F.col("priced").alias("c_priced"), *[f"c_{c}" for c in box], "n")
+    code = F.col("cls").bitwiseXOR(F.col("c_cls"))
+    miss = sum((F.when(code.bitwiseAND(1 << i) != 0, w).otherwise(0.0) for i, w in enumerate(weights.values())), F.lit(0.0))
+    met = regions.select("region", "cls", "priced", *box).crossJoin(other)
+    met = met.withColumns({"code": code, "miss": miss, "both": F.col("priced") & F.col("c_priced")})
+    close = shared(_within(_spans(met), ["region"], k).select("region", "c_region", "miss", "both", "code"))
+    theirs = blocks.filter("n > 0").select(F.col("region").alias("c_region"), F.col("block").alias("c_block"), *[f"c_{c}" for c in box], "points", "n")
+    mine = spread(blocks.select("region", "block", *box), "block")
+    # the pairs of regions reach every block of theirs: the block's own bound comes from them
+    return _within(_spans(mine.join(close, "region").join(theirs, "c_region")), ["block"], k).select("block", "c_block", "points", "n", "miss", "both", "code")
+
+
+def _search(k: int):
+    """The k+1 nearest candidates of every point of a block, and what ties with the last."""
+
+    def nearest(key, mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        flat = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        x, y = flat(mine, "xs"), flat(mine, "ys")
+        sizes = theirs.column("c_xs").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+        each = lambda c: np.repeat(theirs.column(c).to_numpy(), sizes)
+        cx, cy, cn, pids = (flat(theirs, c) for c in ("c_xs", "c_ys", "c_ns", "pids"))
+        miss, both, code = each("miss"), each("both").astype(bool), each("code")
+        first = np.cumsum(cn) - cn
+        found = []
+        step = max(1, CELLS // max(1, len(cx)))
+        for a in range(0, len(x), step):
+            size = np.abs(x[a : a + step, None] - cx)
+            price = np.where(both, np.abs(y[a : a + step, None] - cy), 1.0)
+            d = miss + size + price
+            last = np.partition(d, k, axis=1)[:, k] if d.shape[1] > k else np.full(len(d), np.inf)
+            row, col = np.nonzero(d <= last[:, None] + TIE)
+            # a row for each id of the points that are left
+            n = cn[col]
+            pick = np.repeat(np.arange(len(col)), n)
+            pid = pids[np.repeat(first[col], n) + np.arange(len(pick)) - np.repeat(np.cumsum(n) - n, n)]
+            row, col = row[pick], col[pick]
+            dist = d[row, col]
+            o = np.lexsort((pid, dist, row))
+            row, col, pid, dist = row[o], col[o], pid[o], dist[o]
+            # places in the point and, among equal distances, in the tie
+            place = np.arange(len(row))
+            begin = np.searchsorted(row, np.arange(len(d)))
+            new = np.r_[True, (row[1:] != row[:-1]) | (dist[1:] != dist[:-1])] if len(row) else np.zeros(0, bool)
+            tie = place - np.maximum.accumulate(np.where(new, place, 0))
+            total = np.diff(np.r_[begin, len(row)])
+            limit = np.full(len(d), np.inf)
+            limit[total > k] = dist[begin[total > k] + k]
+            keep = (dist <= limit[row] + TIE) & (tie <= k)
+            row, col, pid, dist = row[keep], col[keep], pid[keep], dist[keep]
+            found.append((np.bincount(row, minlength=len(d)), pid, dist, size[row, col], price[row, col], code[col]))
+        counts, *columns = (np.concatenate(c) for c in zip(*found, strict=True))
+        types = (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32())
+        names = ("pid", "distance", "size_component", "price_component", "code")
+        near = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=list(names))
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), near)
+        same = lambda c, t: pa.array(np.full(len(x), mine.column(c)[0].as_py()), t)
+        return pa.table({"cls": same("cls", pa.int32()), "priced": same("priced", pa.bool_()), "x": pa.array(x), "y": pa.array(y), "near": lists})
+
+    return nearest
 
 
 def group_quality(links: DataFrame) -> DataFrame:

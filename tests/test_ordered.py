@@ -2,6 +2,7 @@ import statistics
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from statloom.operators import network, ordered, peers
 
@@ -117,6 +118,36 @@ def test_peers_of_a_lone_class_under_heavier_weights(spark):
     assert got == brute_peers(units, 8, tuple(weights.values())) and len(got[0]) == 8
 
 
+def test_points_off_all_candidates_meet_few_of_them(spark):
+    rng = np.random.default_rng(5)
+    names = list(peers.STRUCTURE_WEIGHTS)
+    # a twentieth of the units are no candidates, and smaller than all that are
+    units = [(i, float(rng.uniform(100, 600) if i % 20 == 0 else rng.uniform(700, 11000)), float(rng.uniform(80, 120)), *[False] * 5, i % 20 != 0) for i in range(20000)]
+    df = spark.createDataFrame(units, "pid long, pop double, rpp double, " + ", ".join(f"{n} boolean" for n in names) + ", complete boolean")
+    spots = df.selectExpr("0 AS cls", "true AS priced", "log2(pop) AS x", "rpp / 10 AS y", "IF(complete, array(pid), array()) AS pids")
+    blocks = peers.written(peers._blocks(spots).withColumn("block", F.monotonically_increasing_id()))
+    met = peers._near_blocks(blocks, peers.STRUCTURE_WEIGHTS, 8).groupBy("block").agg(F.sum("points").alias("met"))
+    far = blocks.filter("n = 0").join(met, "block").agg(F.avg("met").alias("met"), F.count(F.lit(1)).alias("n")).collect()[0]
+    assert far.n > 0 and far.met < 20000 / 8 and blocks.selectExpr("max(size(xs))").collect()[0][0] <= peers.BLOCK
+    got = {}
+    for r in peers.nearest_peers(df).filter("pid % 2000 = 0").orderBy("pid", "rank").collect():
+        got.setdefault(r.pid, []).append(r.peer_pid)
+    away = lambda a, b: round(abs(np.log2(a[1]) - np.log2(b[1])) + abs(a[2] - b[2]) / 10, 9)
+    assert got == {a[0]: [p for _, p in sorted((away(a, b), b[0]) for b in units if b[8] and b[0] != a[0])[:8]] for a in units[::2000]}
+
+
+def test_points_of_crowded_blocks_search_on_their_own(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    units = [(i, float(10 ** rng.uniform(5, 7)), None if i % 7 == 0 else float(rng.uniform(80, 120)), *[bool(x) for x in rng.random(5) < 0.2], i % 5 != 0) for i in range(200)]
+    names = list(peers.STRUCTURE_WEIGHTS)
+    df = spark.createDataFrame(units, "pid long, pop double, rpp double, " + ", ".join(f"{n} boolean" for n in names) + ", complete boolean")
+    monkeypatch.setattr(peers, "CROWD", 30)
+    got = {}
+    for r in peers.nearest_peers(df).orderBy("pid", "rank").collect():
+        got.setdefault(r.pid, []).append(r.peer_pid)
+    assert got == brute_peers(units, 8)
+
+
 def test_fewer_candidates_than_peers(spark):
     names = list(peers.STRUCTURE_WEIGHTS)
     units = [(i, 1000.0 * (i + 1), 90.0, False, False, False, False, False, i < 3) for i in range(5)]
