@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions.calendar import calendar_lag
 from statloom.functions.stats import half_even, pair_corr
-from statloom.operators.ordered import exact_quantiles, top_k, with_one_row, with_position
+from statloom.operators.ordered import exact_quantiles, with_one_row, with_position
 
 # Item-code sets of the public finance classification.
 EXPENDITURE = list("EFGIJLMQS")
@@ -137,11 +137,8 @@ def is_consolidated(name, state, table=None) -> Column:
     return out
 
 
-def comparability(metrics: DataFrame, issues: DataFrame | None = None, consolidated: Column | None = None, listed_issues: int = 50) -> DataFrame:
-    """Boolean flags and an ordered note per record; issues(unit, year, status, finding) are appended last.
-
-    A note lists the first ``listed_issues`` of its record, in order, and says how many more there are.
-    """
+def comparability(metrics: DataFrame, issues: DataFrame | None = None, consolidated: Column | None = None) -> DataFrame:
+    """Boolean flags and an ordered note per record; issues(unit, year, status, finding) are appended last, all of them in order."""
     g = F.when(F.col("general_expenditure_usd") == 0, 1).otherwise(F.col("general_expenditure_usd"))
     education, county = F.col("education_usd") * 100 / g, F.col("county_like_functions_usd") * 100 / g
     cons = consolidated if consolidated is not None else F.lit(False)
@@ -170,15 +167,26 @@ def comparability(metrics: DataFrame, issues: DataFrame | None = None, consolida
     built = F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in notes]))
     if issues is None:
         return df.withColumn("note", F.array_join(built, "; "))
-    label = F.when(F.col("status") == "verified", "verified issue: ").otherwise("possible issue: ")
-    found = issues.select("unit", "year", F.concat(label, F.split("finding", r"\. ")[0]).alias("_f"))
-    first = top_k(found, ["unit", "year"], ["_f"], listed_issues, "_rank").groupBy("unit", "year").agg(F.sort_array(F.collect_list("_f")).alias("_issues"))
-    listed = first.join(found.groupBy("unit", "year").agg(F.count(F.lit(1)).alias("_n")), ["unit", "year"])
-    rest = F.when(F.col("_n") > listed_issues, F.array(F.concat((F.col("_n") - listed_issues).cast("string"), F.lit(" more issues")))).otherwise(F.array().cast("array<string>"))
-    joined = df.join(listed.select("unit", "year", F.concat("_issues", rest).alias("_issues")), ["unit", "year"], "left")
+    joined = df.join(issue_lists(issues), ["unit", "year"], "left")
     return joined.withColumn("note", F.array_join(F.concat(built, F.coalesce("_issues", F.array().cast("array<string>"))), "; ")).drop("_issues")
 
 
+def issue_lists(issues: DataFrame) -> DataFrame:
+    """(unit, year, _issues): every issue of a record in order, joined to stretches of the record's list.
+
+    Equal texts are counted before the shuffle.  A range of (record, text) holds one
+    stretch of a record's order, so the issues of a record with very many are sorted
+    and joined by many tasks, and the last grouping sets the stretches in a row.
+    """
+    label = F.when(F.col("status") == "verified", "verified issue: ").otherwise("possible issue: ")
+    found = issues.select("unit", "year", F.concat(label, F.split("finding", r"\. ")[0]).alias("_f")).filter("_f IS NOT NULL")
+    counted = found.groupBy("unit", "year", "_f").agg(F.count(F.lit(1)).alias("_n"))
+    laid = counted.repartitionByRange("unit", "year", "_f").withColumn("_part", F.spark_partition_id())
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("_f", "_n"))), lambda s: F.array_join(F.array_repeat(s["_f"], s["_n"].cast("int")), "; "))
+    stretches = laid.groupBy("unit", "year", "_part").agg(F.array_join(texts, "; ").alias("_text"))
+    return stretches.groupBy("unit", "year").agg(F.sort_array(F.collect_list(F.struct("_part", "_text")))["_text"].alias("_issues"))
+
+
 def flag_class(flags: Column) -> Column:
     """'' when blank, reported, prorated (adds T) or imputed, from an array of one-letter flags."""
     seen = F.filter(flags, lambda f: F.trim(f) != "")

@@ -182,7 +182,8 @@ def _(spark, d):
     return flags(spark, d)
 
 
-def flags(spark, d):
+def flags(spark, d, listed=True):
+    """Flags and notes, the notes with the issues of the record if ``listed``."""
     issues = table(spark, d, "lineitem").filter("l_discount = 0.1 AND l_quantity = 50").select(
         F.col("l_suppkey").alias("unit"),
         F.year("l_shipdate").alias("year"),
@@ -190,7 +191,7 @@ def flags(spark, d):
         F.concat(F.lit("order "), F.col("l_orderkey").cast("string"), F.lit(". see books")).alias("finding"),
     )
     rows = metrics(spark, d).join(directory(spark, d).select("unit", "year", "name", "state"), ["unit", "year"])
-    out = ledger.comparability(rows, issues, ledger.is_consolidated("name", "state", _CONS))
+    out = ledger.comparability(rows, issues if listed else None, ledger.is_consolidated("name", "state", _CONS))
     return out.select("unit", "year", "consolidated", "runs_schools", "county_like", "fire_external", "police_contracted", "note")
 
 

@@ -443,7 +443,7 @@ def city_parts(spark, d):
     places = directory(spark, d).select("unit", "year", "name", "state", F.col("pop").cast("bigint").alias("pop"))
     rows = metrics(spark, d)
     noted = flags(spark, d)
-    units = noted.join(places, ["unit", "year"]).join(rows.select("unit", "year", "record_complete"), ["unit", "year"])
+    units = flags(spark, d, listed=False).drop("note").join(places, ["unit", "year"]).join(rows.select("unit", "year", "record_complete"), ["unit", "year"])
     newest = units.groupBy("unit").agg(F.max_by(F.struct(*[c for c in units.columns if c != "unit"]), "year").alias("_l")).select("unit", "_l.*")
     level = table(spark, d, "supplier").select(F.col("s_suppkey").alias("unit"), (F.lit(90.0) + F.col("s_nationkey")).alias("rpp"))
     alike = newest.join(level, "unit").filter("pop > 0").select(
